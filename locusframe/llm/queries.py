@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, token_records
 from .shared import Workspace
 
 SHARDS = 16
@@ -36,6 +36,26 @@ def op4_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the vocabulary files of public tokenizers lie; they are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    files = ws.path("records")
+    token_records.write_records(_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path("word_bpe_49k.json"), files)
+    index = token_records.with_starts(token_records.index_records(ws, files))
+    return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), ids=False)
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -73,6 +93,8 @@ FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_water_filling_mix": op4_water_filling_mix,
+    "op7_token_records": op7_token_records,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
 
 SQL: dict[str, str] = {"op4_water_filling_mix": OP4_SQL}

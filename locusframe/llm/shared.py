@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of this machine where Spark itself runs in one local process."""
@@ -33,6 +35,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/locusframe-{uuid.uuid4().hex}"
         self._n = 0
+        ship(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
