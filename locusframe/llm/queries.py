@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_records
+from . import minhash_dedup, mixing, packing, sharding, token_records
 from .shared import Workspace
 
 SHARDS = 16
@@ -56,6 +56,11 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
+def op10_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash_dedup.near_duplicates(Workspace(spark), _table(spark, sf_dir, "documents"), "doc_id", "text", percent=85)
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_water_filling_mix": op4_water_filling_mix,
     "op7_token_records": op7_token_records,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
+    "op10_minhash_coordinate_join": op10_minhash_coordinate_join,
 }
 
 SQL: dict[str, str] = {"op4_water_filling_mix": OP4_SQL}
