@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, packing, sharding, token_records
+from . import minhash_dedup, mixing, packing, quality_rules, sharding, token_records
 from .shared import Workspace
 
 SHARDS = 16
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.rules(docs, trees).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -96,6 +102,7 @@ FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tree_rules": op2_tree_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_water_filling_mix": op4_water_filling_mix,
     "op7_token_records": op7_token_records,

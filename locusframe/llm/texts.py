@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as one byte array, and hashes of their words and shingles, by numpy.
 
-Words are runs of bytes other than 0x20 and 0x09 to 0x0D, letters A to Z count as lower case. A word's hash is
+Words are runs of bytes other than 0x20 and 0x09 to 0x0D. A word's hash is
 a polynomial of randomly chosen 64-bit values of its bytes, taken for all words of a block at once from running
 sums, then mixed.
 """
@@ -69,12 +69,13 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarra
 class Words:
     """Words of a block: starts and ends in bytes, 64-bit hashes, and first: the first word of each row and the end."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lower: bool = True):
+        """lower: letters A to Z count as a to z."""
         inside = ~_IS_SPACE[data]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         up, down = _powers(len(data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up[: len(data)], dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_VALUE if lower else _BYTE)[data] * up[: len(data)], dtype=np.uint64)))
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, starts)
 
