@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, packing, quality_rules, sharding, token_records
+from . import minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
+from .labelled import fold
 from .shared import Workspace
 
 SHARDS = 16
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = quality_cnn.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_cnn.classify(docs, network)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trees = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
@@ -102,6 +110,7 @@ FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_network": op1_byte_network,
     "op2_tree_rules": op2_tree_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_water_filling_mix": op4_water_filling_mix,
