@@ -12,7 +12,6 @@ Null and empty texts have the end id alone. Null and repeated keys are packed li
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -105,7 +104,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, width: int = WIDT
     names = [c.split()[0] for c in PIECES.split(", ")][: 8 if ids else 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end, packer = encoder(tokenizer), struct.pack("<I", END), Packer(width)
+        e, packer = encoder(tokenizer), Packer(width)
         number = TaskContext.get().partitionId() << 33
 
         def rows() -> pa.RecordBatch:
@@ -123,10 +122,12 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, width: int = WIDT
             return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns[: len(names)], kinds, strict=False)], names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                for k, t in zip(batch.column(0)[i : i + 512].to_pylist(), batch.column(1)[i : i + 512].to_pylist(), strict=True):
-                    packer.add(k, e.encode(t) + end)
-                yield rows()
+            keys = batch.column(0).to_pylist()
+            for i, ids in e.rows(batch.column(1), END):
+                packer.add(keys[i], ids)
+                if i % 512 == 511:
+                    yield rows()
+            yield rows()
         packer.finish()
         yield rows()
 

@@ -12,7 +12,11 @@ import functools
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters of Unicode's property White_Space, as a class of a pattern.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -24,10 +28,16 @@ _TAIL = rf"[{_MARKS}]+(?=[{SPACES}]|\Z)"
 BYTE_LEVEL = rf" ?[{_LETTERS}]+{_ENDS}|{_TAIL}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Word ends: white space only separates.
 WORD_END = rf"[{_LETTERS}]+{_ENDS}|{_TAIL}|[^{SPACES}]+"
-#: Chunks that are remembered, twice at most; and pieces between two spaces.
-MOST, MOST_PIECES = 400_000, 200_000
-_RUN = re.compile(rf"[{SPACES}]{{2}}|\A[{SPACES}]|[{SPACES}]\Z").search
-_SEPARATORS = re.compile("[\x1c-\x1f]").search  # white space to str.split, not to Unicode
+#: Strings that are remembered, twice at most.
+MOST = 300_000
+#: Bytes of text that are encoded at a time, unless one text is longer.
+BLOCK = 1 << 22
+_RUN = rf"[{SPACES}][{SPACES}]|\A[{SPACES}]|[{SPACES}]\z"
+_WHOLE = re.compile(rf" ?[{_LETTERS}]+|[{_MARKS}]+").fullmatch
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 and on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = dict.fromkeys(_PRINTED) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SIGNS = {b: b if c is None else c for b, c in _SIGNS.items()}
 
 
 class Memory(dict):
@@ -59,33 +69,76 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         name = os.path.basename(path)
         if name not in ("byte_bpe_50k.json", "word_bpe_49k.json"):
             raise ValueError(f"no proved cuts for {name}")
         self.byte_level = name.startswith("byte")
         self.cut = re.compile(BYTE_LEVEL if self.byte_level else WORD_END).findall
-        self.chunks = Memory(lambda chunk: array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes(), MOST)
-        self.first = Memory(self.by_chunks, MOST_PIECES)
-        self.later = Memory(lambda word: self.by_chunks(" " + word), MOST_PIECES)
+        self.chunks = Memory(self.by_library, MOST)
+        self.pieces = Memory(self.by_piece, MOST)
+
+    def by_library(self, chunk: str) -> bytes:
+        if _WHOLE(chunk):  # the pre-tokenizer leaves these whole, so they go to the library's model at once
+            signs = (chunk if self.byte_level else chunk.lower()).encode().decode("latin-1").translate(_SIGNS)
+            return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def by_chunks(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, self.cut(text)))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text; null and empty texts have none."""
-        if not text:
-            return b""
+    def by_piece(self, piece: str) -> bytes:
+        return self.by_chunks(piece if not self.byte_level or piece[:1] == "\n" else " " + piece)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and the end; null and empty texts have none.
+
+        Texts are cut at spaces, equal pieces are found by Arrow, and each piece's ids are looked up once. At
+        byte level a space opens the next piece, a line end opens a piece of its own, and a text is read as
+        if a line end came before it, whose id is dropped again. That holds where white space stands alone;
+        other texts go by chunks.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        n = len(column)
+        if self.byte_level:
+            odd = pc.or_(pc.match_substring_regex(column, _RUN), pc.equal(column, "")).to_numpy(zero_copy_only=False)
+            line_ends = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(column, "\n", " \n"), pa.scalar("", pa.large_string()))
+            lists = pc.split_pattern(line_ends, " ")
+        else:
+            odd = np.zeros(n, bool)
+            lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids = list(map(self.pieces.__getitem__, words.dictionary.to_pylist()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, data = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        which = words.indices.to_numpy()
+        own = size[which]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        out = data[np.repeat(at[which] - ends[:-1], own) + np.arange(ends[-1])]
+        offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if not self.byte_level:
-            return self.by_chunks(text) if _SEPARATORS(text) else b"".join(map(self.first.__getitem__, text.split()))
-        if _RUN(text):
-            return self.by_chunks(text)
-        # every white space stands alone here, so a space opens the next word and a line end is a word of its own
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out += (self.chunks["\n"], self.first[words[0]])
-            out += map(self.later.__getitem__, words[1:])
-        return b"".join(out[1:])
+            return out, offsets
+        keep = np.ones(len(out), bool)
+        keep[offsets[:-1]] = False
+        if not odd.any():
+            return out[keep], offsets - np.arange(n + 1)
+        each = np.split(out, offsets[1:-1])
+        parts = [np.frombuffer(self.by_chunks(column[i].as_py()), "<u4") if odd[i] else each[i][1:] for i in range(n)]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def rows(self, column: pa.Array, end: int) -> Iterator[tuple[int, bytes]]:
+        """(row, ids with the end id) of each text."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
+        first, stop = 0, end.to_bytes(4, "little")
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(size, size[first] + BLOCK, "right")) - 1)
+            ids, at = self.encode_column(column.slice(first, last - first))
+            raw = memoryview(ids).cast("B")
+            for i in range(last - first):
+                yield first + i, bytes(raw[at[i] * 4 : at[i + 1] * 4]) + stop
+            first = last
 
 
 @functools.cache

@@ -69,11 +69,15 @@ def write_records(docs: DataFrame, key: str, text: str, tokenizer: str, path: st
     """Writes docs' records under path, files in the order of key; as many files as docs has partitions."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(tokenizer), struct.pack("<I", END)
+        e = encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = zip(batch.column(0)[i : i + 256].to_pylist(), batch.column(1)[i : i + 256].to_pylist(), strict=True)
-                yield pa.record_batch([pa.array([frame(k, e.encode(t) + end) for k, t in rows], pa.binary())], ["value"])
+            keys = batch.column(0).to_pylist()
+            out: list[bytes] = []
+            for i, ids in e.rows(batch.column(1), END):
+                out.append(frame(keys[i], ids))
+                if len(out) == 512 or i == len(keys) - 1:
+                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+                    out = []
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
