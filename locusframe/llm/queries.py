@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
+from . import embed_dedup, html_text, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
 from .labelled import fold
 from .shared import Workspace
 
@@ -70,6 +70,10 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_sign_hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embed_dedup.near_duplicates(Workspace(spark), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.95)
     return out.select(F.col("key").alias("vec_id"), "n_links", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tree_rules": op2_tree_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_water_filling_mix": op4_water_filling_mix,
+    "op5_line_blocks": op5_line_blocks,
     "op6_sign_hash_embeddings": op6_sign_hash_embeddings,
     "op7_token_records": op7_token_records,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
