@@ -7,10 +7,11 @@ ordered by how many classes hold them, a class's K - T + 1 rarest ones are its p
 pair of their prefixes, and the long lists of the rest are skipped: their agreement is counted on the
 signatures. Classes that share fewer than T of their pairs with any other are out at once.
 
-Candidates are confirmed on the full sets. Groups of copies are not expanded into all pairs. First each class
-is held against one other of its lists, chosen by a hash for each list; most copies meet there. Only lists
-that still hold several components are then gone through, pairs within a component are left out, and the
-lists are cut into chunks whose pairs are dealt over tasks, so no task holds a long list.
+Pairs are never rows, so groups of copies stay as long as they are. Each list gives one row for each class that
+has a candidate there, with the smallest class that candidates reach within the list; components of these rows
+are groups of candidates. Every class then goes to its group once, with its text, and candidates are confirmed
+on the full sets there; again each class gives one row. Pairs that links already join are not looked at again.
+Lists and groups of more than CHUNK classes are cut into chunks, and pairs of chunks are dealt over tasks.
 
 T is set so that a pair at the threshold has fewer than 1 in 1,000 chances to be missed: with K = 64 and a
 similarity of 0.85, agreement has mean 54.4 and deviation 2.86, and T = 45.
@@ -35,7 +36,7 @@ from .texts import Words, blocks, distinct, mix
 
 K = 64
 SHINGLE = 5
-#: Rows of a chunk of a long list.
+#: Classes of a chunk of a long list or group.
 CHUNK = 512
 _RNG = np.random.default_rng(7)
 _FLIP = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -86,91 +87,139 @@ def _prefixes(ws: Workspace, classes: DataFrame, t: int, k: int) -> DataFrame:
     return ws.keep(own.select("rep", F.explode("prefix").alias("p")).select("p.pair", "rep", "p.n"), "prefixes")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
-    """pairs (a, b) whose signatures agree in t coordinates or more, with that number."""
-    s = lambda x: sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, rep, ...) with chunks x <= y of their group, once for each other chunk; right marks rows of y. Groups of one go."""
+    size = rows.groupBy(by).agg(F.count("*").alias("m")).where("m > 1").select(by, F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(size, by)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "right": F.col("own") > F.col("other")}).drop("own", "other", "chunks")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, over the bounds of batches."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        k = np.stack([table.column(c).to_numpy() for c in keys])
+        edges = [0, *(np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1).tolist(), table.num_rows]
+        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+            yield table.slice(a, b - a)
+        rest = table.slice(edges[-2])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class _Union:
+    """Sets of rows; find gives a set's row with the smallest class."""
+
+    def __init__(self, rep: np.ndarray):
+        self.rep, self.up = rep, list(range(len(rep)))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            low, high = (i, j) if self.rep[i] <= self.rep[j] else (j, i)
+            self.up[high] = low
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rep, root) of the rows whose root is another."""
+        root = np.array([self.find(i) for i in range(len(self.up))], int)
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return self.rep[at], self.rep[root[at]]
+
+
+def _sides(g: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows to hold it against): later rows of one chunk, or of two the rows of the other."""
+    n = g.num_rows
+    if g.column("x")[0].as_py() == g.column("y")[0].as_py():
+        yield from ((i, np.arange(i + 1, n)) for i in range(n - 1))
+    else:
+        right = g.column("right").to_numpy()
+        others = np.flatnonzero(right)
+        yield from ((i, others) for i in np.flatnonzero(~right).tolist())
+
+
+def _signs(g: pa.Table) -> np.ndarray:
+    return g.column("sig").chunk(0).flatten().to_numpy().reshape(g.num_rows, -1)
+
+
+def _collected(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    reps, roots, n = [], [], 0
+    for rep, root in found:
+        reps.append(rep)
+        roots.append(root)
+        n += len(rep)
+        if n > 20_000:
+            yield pa.record_batch([pa.array(np.concatenate(reps), pa.int64()), pa.array(np.concatenate(roots), pa.int64())], ["rep", "root"])
+            reps, roots, n = [], [], 0
+    if reps:
+        yield pa.record_batch([pa.array(np.concatenate(reps), pa.int64()), pa.array(np.concatenate(roots), pa.int64())], ["rep", "root"])
+
+
+def _candidate_edges(prefixes: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
+    """(rep, root): for each list, its classes that reach a smaller one over signatures that agree in t coordinates."""
+    keys = ["pair", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                x, y = (c.flatten().to_numpy().reshape(n, -1) for c in batch.columns[2:])
-                same = (x == y).sum(axis=1)
-                keep = same >= t
-                yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(same[keep], pa.int32())], ["a", "b", "same"])
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for g in _groups(batches, keys):
+                if g.num_rows > 1:
+                    g = g.combine_chunks()
+                    sig, sets = _signs(g), _Union(g.column("rep").to_numpy())
+                    for i, to in _sides(g):
+                        for j in to[(sig[to] == sig[i]).sum(axis=1) >= t].tolist():
+                            sets.join(i, j)
+                    yield sets.moved()
 
-    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, same int")
+        yield from _collected(found())
 
+    rows = _dealt(prefixes.select("pair", "rep"), "pair").join(sigs, "rep")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig").mapInArrow(run, "rep long, root long").distinct()
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    t = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                sets = []
-                for column in part.columns[2:]:
-                    mine: list[np.ndarray] = []
-                    for _, data, starts in blocks(column):
-                        h, first = distinct(*Words(data, starts).shingles(shingle))
-                        mine += np.split(h, first[1:-1])
-                    sets.append(mine)
-                keep = []
-                for x, y in zip(*sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
-
-    return pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _apart(prefixes: DataFrame, labels: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
-    """Candidates (a, b, same) of different components, from all lists that hold more than one."""
-    at = prefixes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_lists = at.groupBy("pair").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("pair", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    rows = at.join(open_lists, "pair").join(sigs, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("pair", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "component", "sig")
+def _confirmed_edges(groups: DataFrame, sigs: DataFrame, texts: DataFrame, t: int, percent: int, shingle: int) -> DataFrame:
+    """(rep, root): for each group (component, rep), its classes that reach a smaller one over pairs whose full sets are alike."""
+    keys = ["component", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            rest = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-                k = np.stack([table.column(c).to_numpy() for c in range(3)])
-                cuts = np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1
-                edges = [0, *cuts.tolist(), table.num_rows]
-                for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-                    yield table.slice(a, b - a)
-                rest = table.slice(edges[-2])
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for g in groups():
-            g = g.combine_chunks()
-            rep, comp, right = (g.column(c).to_numpy() for c in ("rep", "component", "right"))
-            sig = g.column("sig").chunk(0).flatten().to_numpy().reshape(len(rep), -1)
-            same_chunk = g.column("x")[0].as_py() == g.column("y")[0].as_py()
-            left = np.arange(len(rep)) if same_chunk else np.flatnonzero(~right)
-            others = np.arange(len(rep)) if same_chunk else np.flatnonzero(right)
-            a, b, s = [], [], []
-            for i in left:
-                to = others[others > i] if same_chunk else others
-                to = to[comp[to] != comp[i]]
-                same = (sig[to] == sig[i]).sum(axis=1)
-                found = to[same >= t]
-                a.append(np.minimum(rep[i], rep[found]))
-                b.append(np.maximum(rep[i], rep[found]))
-                s.append(same[same >= t])
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()), pa.array(np.concatenate(s).astype(np.int32))], ["a", "b", "same"])
-
-    dealt = rows.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y")
-    found = dealt.select("pair", "x", "y", "right", "rep", "component", "sig").mapInArrow(run, "a long, b long, same int")
-    return found.groupBy("a", "b").agg(F.max("same").alias("same"))
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for g in _groups(batches, keys):
+                if g.num_rows < 2:
+                    continue
+                g = g.combine_chunks()
+                sig, sets = _signs(g), _Union(g.column("rep").to_numpy())
+                h, first = [], [np.zeros(1, np.int64)]
+                for _, data, starts in blocks(g.column("text")):
+                    own, at = distinct(*Words(data, starts).shingles(shingle))
+                    h.append(own)
+                    first.append(at[1:] + first[-1][-1])
+                shingles, edge = np.concatenate(h), np.concatenate(first)
+                size = np.diff(edge)
+                for i, to in _sides(g):
+                    to = to[(sig[to] == sig[i]).sum(axis=1) >= t]
+                    root = sets.find(i)
+                    to = np.array([j for j in to.tolist() if sets.find(j) != root and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])], int)
+                    for k in range(0, len(to), 256):
+                        part = to[k : k + 256]
+                        mine = shingles[edge[i] : edge[i + 1]]
+                        rows = np.repeat(np.arange(len(part)), size[part])
+                        theirs = shingles[np.repeat(edge[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(len(rows))]
+                        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                        both = np.bincount(rows[mine[at] == theirs], minlength=len(part))
+                        for j in part[100 * both >= percent * (size[i] + size[part] - both)].tolist():
+                            sets.join(i, j)
+                yield sets.moved()
+
+        yield from _collected(found())
+
+    rows = _dealt(groups, "component").join(sigs, "rep").join(texts, "rep")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig", "text").mapInArrow(run, "rep long, root long").distinct()
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent: int = 85, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -188,27 +237,11 @@ def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent
     lone = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(members, "rep", "left_semi")
     texts = ws.keep(lone.groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
-    hubs = prefixes.groupBy("pair").agg(F.min_by("rep", F.xxhash64("rep", "pair")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    stars = prefixes.join(hubs, "pair").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep").distinct()
-    agreed = ws.keep(_agreeing(stars.select("a", "b").distinct(), sigs, t), "stars")
-    both = agreed.select("a", "b", "same", F.col("a").alias("rep")).unionByName(agreed.select("a", "b", "same", F.col("b").alias("rep")))
-    best = both.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("same", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
-    tested = ws.keep(best, "tested")
-    links = ws.keep(_confirmed(tested, texts, percent, shingle), "links")
-    labels = connected_components(ws, links, "a", "b").select(F.col("node").alias("rep"), "component")
-
-    apart = ws.keep(_apart(prefixes, labels, sigs, t).join(tested, ["a", "b"], "left_anti"), "apart")
-    for best_only in (True, False):
-        mine = lambda x: labels.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}"))
-        left = apart.join(mine("a"), "a", "left").join(mine("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
-        if best_only:  # one pair of each two components, before all that are still apart
-            ends = (F.least("c_a", "c_b").alias("lo"), F.greatest("c_a", "c_b").alias("hi"))
-            left = left.groupBy(*ends).agg(F.max_by(F.struct("a", "b"), F.struct("same", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b")
-        links = links.unionByName(ws.keep(_confirmed(left.select("a", "b"), texts, percent, shingle), "links"))
-        if not best_only:
-            twice = several.join(filled, "key").join(classes.drop("sig"), same).select(F.col("key").alias("a"), F.col("rep").alias("b"))
-            links = links.unionByName(twice)
-        labels = connected_components(ws, links, "a", "b").select(F.col("node").alias("rep"), "component")
+    candidates = ws.keep(_candidate_edges(prefixes, sigs, t), "candidates")
+    groups = connected_components(ws, candidates, "rep", "root").select("component", F.col("node").alias("rep"))
+    links = ws.keep(_confirmed_edges(groups, sigs, texts, t, percent, shingle), "links")
+    twice = several.join(filled, "key").join(classes.drop("sig"), same).select("rep", F.col("key").alias("root"))
+    labels = connected_components(ws, links.unionByName(twice), "rep", "root").select(F.col("node").alias("rep"), "component")
     named = classes.drop("sig").join(labels, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sets.drop("sig").join(named, same, "left")
     return out.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"), "fp1", "fp2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
+from . import embed_dedup, html_text, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
 from .labelled import fold
 from .shared import Workspace
 
@@ -65,6 +65,11 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_mixing.score(Workspace(spark), _table(spark, sf_dir, "documents"), "doc_id", "text", fold(F.col("doc_id"), 10) == 0)
+    return out.withColumnRenamed("key", "doc_id")
+
+
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), ids=False)
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_blocks": op5_line_blocks,
     "op6_sign_hash_embeddings": op6_sign_hash_embeddings,
     "op7_token_records": op7_token_records,
+    "op8_context_mixing": op8_context_mixing,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minhash_coordinate_join": op10_minhash_coordinate_join,
 }
