@@ -1,0 +1,472 @@
+"""Corpus operators against brute force on small tables with nulls, empty texts, ties, repeated rows and extra columns."""
+
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from locusframe.llm import embed_dedup, graph, html_text, labelled, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, texts, token_ids, token_records
+from locusframe.llm.queries import tokenizer_path
+from locusframe.llm.shared import Workspace
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6))) for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = prose(rng, rng.choice([3, 40, 120, 300]))
+        if rows and rng.random() < 0.4:
+            w = rng.choice(rows)[1].split(" ") if rng.random() < 0.9 else t.split(" ")
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = "zz%d" % rng.randrange(9)
+            t = " ".join(w)
+        rows.append((i, t, "en", f"s{i % 5}", len(t)))
+    rows += [(1000, None, None, None, None), (1001, "", "en", None, 0), (1002, " \n\t ", "en", "s0", 4), (1003, "One two\nONE two", "en", "s1", 15), (1004, "one TWO\none two", "en", "s1", 15)]
+    rows += [rows[0], (None, "no id here at all", "en", "s2", 17), (None, None, None, None, None), (1005, prose(rng, 9000), "en", "s3", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---- shared parts
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(200, 260)] + [(7, i) for i in range(8, 40)] + [(99, 99)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(None, 3)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in graph.connected_components(Workspace(spark), spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    assert got == {x: find(x) for x in up}
+    assert graph.connected_components(Workspace(spark), spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_word_hashes_split_like_the_pattern():
+    rows = ["", None, "a", " b  c\x0bd\x0c", "é x ÀB", "A a", "w " * 2000]
+    for size in (1, 1 << 20):
+        seen = []
+        for _, data, starts in texts.blocks(pa.array(rows), size):
+            w = texts.Words(data, starts)
+            for i in range(len(starts) - 1):
+                seen.append([bytes(data[a:b]).decode() for a, b in zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]], strict=True)])
+        assert seen == [WORD.findall(r or "") for r in rows]
+    _, data, starts = next(texts.blocks(pa.array(["A a", "aa a"])))
+    low, own = texts.Words(data, starts).hash, texts.Words(data, starts, lower=False).hash
+    assert low[0] == low[1] == low[3] and own[0] != own[1] and len(set(own.tolist())) == 3
+
+
+# ---- 1, 2
+
+
+def quality_rows(lines, seed=2, n=160):
+    """Bad texts have signs after words, or else equal lines, or words said again and again."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        good = i % 3 > 0
+        t = prose(rng, rng.randrange(60, 200))
+        if not good:
+            t = " ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in t.split()) if i % 2 else "\n".join([prose(rng, 8)] * 30) if lines else " ".join(w for w in t.split()[:9] for _ in range(20))
+        rows.append((i, t, "en", "s", 1))
+        labels.append((i, int(good)))
+    return rows, labels
+
+
+def test_network_learns_and_scores_every_row(spark, docs, empty):
+    rows, labels = quality_rows(lines=False)
+    table = spark.createDataFrame(rows, DOCS)
+    net = quality_cnn.train(table, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {r["doc_id"]: r["score"] for r in quality_cnn.classify(table, net).collect()}
+    right = [(got[i] >= 0.5) == bool(y) for i, y in labels if i in held]
+    assert sum(right) / len(right) > 0.9
+    scored = quality_cnn.classify(docs, net).collect()
+    assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
+    assert quality_cnn.classify(empty, net).count() == 0
+    more = docs.withColumn("score", F.lit("x"))
+    kept = quality_cnn.filter_docs(more, net)
+    assert kept.columns == more.columns and kept.count() == sum(r["score"] >= 0.5 for r in scored)
+    none = quality_cnn.train(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert {round(r["score"], 9) for r in quality_cnn.classify(docs, none).collect()} == {0.5}
+
+
+def test_network_score_does_not_depend_on_the_block():
+    rng = np.random.default_rng(0)
+    net = quality_cnn.fit([b"aaaa bbbb" * 20, b"### $$$ " * 30] * 4, np.array([1.0, 0.0] * 4))
+    rows = ["", "x", "ab" * 3, "le le le le le " * 30, "".join(chr(rng.integers(32, 1000)) for _ in range(700))]
+    at_once = [net.score(d, s).tolist() for _, d, s in texts.blocks(pa.array(rows), 1 << 20)][0]
+    alone = [x for row in rows for _, d, s in texts.blocks(pa.array([row])) for x in net.score(d, s)]
+    assert np.allclose(at_once, alone, rtol=1e-5)
+
+
+def plain_statistics(t):
+    w = WORD.findall(t or "")
+    lines, seen, dup = [x for x in (t or "").split("\n") if WORD.search(x)], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    runs = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(hit)
+
+
+def test_rules_statistics_and_verdicts(spark, docs, empty):
+    rows, labels = quality_rows(lines=True)
+    table = spark.createDataFrame(rows, DOCS)
+    trees = quality_rules.train(table, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    for part in (docs, table):
+        text = {r["doc_id"]: r["text"] for r in part.collect() if r["doc_id"] is not None}
+        for r in quality_rules.rules(part, trees).collect():
+            if r["doc_id"] is not None:
+                want = plain_statistics(text[r["doc_id"]])
+                assert tuple(r[c] for c in quality_rules.BASE) == want
+                assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+                assert not (r["base_failed"] and r["kept"])
+    held = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.rules(table, trees).collect()}
+    assert all(got[i] == bool(y) for i, y in held.items())
+    assert quality_rules.rules(empty, trees).count() == 0
+    more = docs.withColumn("kept", F.lit(1))
+    assert quality_rules.filter_docs(more, trees).columns == more.columns
+
+
+def test_trees_keep_the_order_of_constrained_features():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] + 0.5 * np.sin(5 * x[:, 1]) + 0.3 * rng.normal(size=600) > 0).astype(float)
+    trees = quality_rules.fit(x, y, [1, -1, 0])
+    grid = np.linspace(-3, 3, 80)
+    for base in x[:20]:
+        for f, sign in ((0, 1), (1, -1)):
+            line = np.tile(base, (80, 1))
+            line[:, f] = grid
+            assert (sign * np.diff(trees.score(line)) >= -1e-12).all()
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.8
+
+
+def test_sample_leaves_out_the_held_out_fold(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    ids = [r["doc_id"] for r in labelled.sample(docs, labels, "doc_id", "quality", 50).collect()]
+    assert len(ids) == 50 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+
+
+# ---- 3, 4
+
+
+def test_shards_only_draw_into_the_new_one(spark, docs, empty):
+    keys = spark.range(20000).withColumnRenamed("id", "doc_id")
+    both = sharding.shard(sharding.shard(keys, "doc_id", [1.0] * 16), "doc_id", [1.0] * 17, out="grown")
+    rows = both.collect()
+    assert all(r["grown"] in (r["shard"], 16) for r in rows)
+    n = Counter(r["shard"] for r in rows)
+    assert len(n) == 16 and max(n.values()) < 1.2 * min(n.values())
+    heavy = Counter(r["shard"] for r in sharding.shard(keys, "doc_id", [3.0, 1.0]).collect())
+    assert abs(heavy[0] / 20000 - 0.75) < 0.02
+    for table in (docs, both.repartition(7)):
+        at = sharding.gapless(Workspace(spark), table if "shard" in table.columns else sharding.shard(table, "doc_id", [1.0] * 3), "shard", "slot")
+        slots = defaultdict(list)
+        for r in at.collect():
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == table.count()
+    assert sharding.gapless(Workspace(spark), sharding.shard(empty, "doc_id", [1.0]), "shard", "slot").count() == 0
+    with pytest.raises(ValueError):
+        sharding.rendezvous(F.lit(1), [1.0, 0.0])
+
+
+def test_word_count(spark):
+    rows = [("",), (None,), (" ",), ("a",), (" a b\n",), ("a\x0b\x0cb c  d",), ("é\r\n",)]
+    for r in spark.createDataFrame(rows, "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect():
+        assert r["n"] == len(WORD.findall(r["t"] or ""))
+
+
+def plain_targets(sizes, weights, budget, cap):
+    total, open_ = sum(sizes.values()) * budget, dict(weights)
+    out = {}
+    while open_:
+        level = total / sum(open_.values())
+        over = [s for s in open_ if open_[s] * level > cap * sizes[s]]
+        if not over:
+            return out | {s: w * level for s, w in open_.items()}
+        for s in over:
+            out[s] = cap * sizes[s]
+            total -= out[s]
+            del open_[s]
+    return out
+
+
+def test_targets_and_taken_words(spark, docs, empty):
+    df = docs.withColumn("size", mixing.word_count(F.col("text")))
+    rows = mixing.repetitions(Workspace(spark), df, "doc_id", "source", F.col("size")).collect()
+    assert len(rows) == docs.count()
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["times"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        assert 0 <= r["times"] <= 2
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    want = plain_targets(sizes, {s: [5, 2, 1][i % 3] for i, s in enumerate(names)}, 1.5, 2)
+    got = {r["source"]: r["target"] for r in rows}
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-12) for s in names)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in names)
+    again = mixing.repetitions(Workspace(spark), df.repartition(5), "doc_id", "source", F.col("size")).collect()
+    key = lambda r: (str(r["doc_id"]), r["size"], r["times"])
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    more = docs.withColumn("target", F.lit("x"))
+    mixed = mixing.mix(Workspace(spark), more)
+    assert mixed.columns == more.columns and mixed.count() == sum(r["times"] for r in rows)
+    assert mixing.mix(Workspace(spark), empty).count() == 0
+
+
+# ---- 5
+
+
+def test_main_text():
+    page = """<html><head><title>T</title><style>p{x:"</p>"}</style></head><body><nav><ul><li><a href="/a>b">menu</a></ul></nav>
+    <div class="ad banner">buy</div><!-- <p>no</p> --><article><h1>Head &amp; more</h1><p><b>One   two.<br><p>Three&nbsp;&#233;</p>x
+    <script>var t="</p><p>no";</script><div id="comments"><p>reader</p><div>says</div></div><p>Short.</p></article><footer>&copy;</footer>"""
+    assert html_text.main_text(page) == "Head & more\n\nOne two.\n\nThree é\n\nx\n\nShort."
+    assert [html_text.main_text(x) for x in (None, "", "<p></p>", "<nav>x</nav>", "< b", "plain text")] == ["", "", "", "", "< b", "plain text"]
+    long = "Words that go on for a while, in a sentence of an article. " * 4
+    plain = f"<body><div class=menu><a href=1>one</a></div><p>{long}</p><p>ok.</p><p>{long}</p><form>q</form><aside>side</aside><div><a href=2>link link</a></div>"
+    assert html_text.main_text(plain) == "\n\n".join([" ".join(long.split()), "ok.", " ".join(long.split())])
+
+
+def test_pages_of_a_table(spark):
+    rows = [(1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "u", ""), (1, "u", "<article><p>x</p></article>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("", 0), ("x", 1), ("x", 1)]
+
+
+# ---- 6
+
+
+def test_embeddings_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    vecs = [b + rng.normal(size=16) * s for b in base for s in (0, 0.05, 0.1, 0.2)] + [base[0] * 3, base[0]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    odd = [(900, None), (901, [0.0] * 16), (902, [1.0] * 15 + [None]), (903, [float("nan")] * 16), (904, []), (905, [1.0, 2.0]), (None, rows[0][1]), (906, [float("inf")] + [1.0] * 15)]
+    x = np.array(vecs)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    lab = np.arange(len(x))
+    for _ in range(len(x)):
+        lab = np.minimum(lab, np.where(near, lab[None], 10**9).min(axis=1))
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>").withColumn("n", F.lit(1))
+    for chunk in (1024, 7):
+        monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
+        got = {r["key"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(Workspace(spark), df, "vec_id", "embedding").collect()}
+        assert all(got[i] == (near[i].sum(), lab[i]) for i in range(len(x)))
+        assert got[None] == (0, None) and all(got[i] == (0, i) for i, _ in odd if i is not None)
+    assert embed_dedup.near_duplicates(Workspace(spark), df.where("vec_id < 0"), "vec_id", "embedding").count() == 0
+
+
+# ---- 7, 9
+
+ODD = ["", None, "  a", "a  b\n\n c \t", "it's 's don't'", "12,5 %% a1b2 ..\nx", "\x1c a\x1cb\x85c d　e", "<|endoftext|> x", "日本 語。ok!", "á b. ́x", "ΑΣ ΟΔΟΣ,", "\r\n x \r", "\n", "a\nb", " ", "É ÀÉß ÿ", "a | b||c"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_encode_like_whole_texts(name, monkeypatch):
+    rng = random.Random(4)
+    rows = ODD + ["".join(rng.choice("ab Zé'\n\t.,1$ ́") for _ in range(rng.randrange(60))) for _ in range(400)]
+    monkeypatch.setattr(token_ids, "MOST", 50)
+    monkeypatch.setattr(token_ids, "BLOCK", 500)
+    e = token_ids.Encoder(tokenizer_path(name))
+    for i, ids in e.rows(pa.array(rows), 1):
+        want = e.tokenizer.encode(rows[i] or "", add_special_tokens=False).ids + [1]
+        assert np.frombuffer(ids, "<u4").tolist() == want, rows[i]
+
+
+def test_records_round_trip_and_notice_damage(spark, docs, empty):
+    path = tokenizer_path("word_bpe_49k.json")
+    ws = Workspace(spark)
+    files = ws.path("records")
+    token_records.write_records(docs.repartition(3), "doc_id", "text", path, files)
+    got = token_records.with_starts(token_records.index_records(ws, files)).orderBy("start").collect()
+    e = token_ids.Encoder(path)
+    want = sorted(((r["doc_id"], e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert [r["key"] for r in got] == [k for k, _ in want]
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert Counter((r["key"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in want)
+    data = token_records.frame(-5, np.array([1, 70000], "<u4").tobytes()) + b"\n" + token_records.frame(None, b"") + b"\n"
+    key, ids, at = token_records.parse(data)
+    assert (key, ids.tolist()) == (-5, [1, 70000]) and token_records.parse(data, at)[0] is None
+    for i in (3, 9, 14, len(data) // 2):
+        with pytest.raises(ValueError):
+            bad = bytearray(data)
+            bad[i] ^= 1
+            token_records.parse(bytes(bad))
+            token_records.parse(bytes(bad), at)
+    files = ws.path("records")
+    token_records.write_records(empty, "doc_id", "text", path, files)
+    assert token_records.index_records(ws, files).count() == 0
+
+
+def check_packing(rows, want, width=2048):
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    padding = 0
+    for w in windows.values():
+        at = 0
+        for r in sorted(w, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert at <= width
+        padding += 0 if at & (at - 1) == 0 else width - at
+    for k, ids in want.items():
+        parts = sorted(pieces[k], key=lambda r: r["start"])
+        assert sum(r["length"] for r in parts) == len(ids) and {r["doc_tokens"] for r in parts} == {len(ids)}
+        for r in parts:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    return padding
+
+
+def test_packing_keeps_every_id(spark, docs, empty):
+    path = tokenizer_path("byte_bpe_50k.json")
+    e = token_ids.Encoder(path)
+    single = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = {r["doc_id"]: e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in single.collect()}
+    rows = packing.pack(single.repartition(3), "doc_id", "text", path).collect()
+    assert check_packing(rows, want) == 0
+    assert all(len(r["ids"]) == 4 * r["length"] for r in rows)
+    assert packing.pack(empty, "doc_id", "text", path).count() == 0
+    assert packing.pack(docs, "doc_id", "text", path, ids=False).agg(F.sum("length")).first()[0] == sum(len(e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+
+
+def test_level_is_the_least_sum_of_squares():
+    rng = random.Random(6)
+    p = packing.Packer(width=32, most=10**9)
+    for i in range(2000):
+        size = rng.randrange(1, 32)
+        n = p.count.copy()
+
+        def cost(level, size=size, n=n):
+            m = n.copy()
+            if level:
+                m[level] -= 1
+            if level + size < 32:
+                m[level + size] += 1
+            return (m[1:32] ** 2).sum()
+
+        options = [0] + [x for x in range(1, 32 - size + 1) if n[x]]
+        best = min(cost(x) for x in options)
+        level = p.level(size)
+        assert level in options and cost(level) == best and level == max(x for x in options if cost(x) == best)
+        p.add(i, struct.pack("<I", 7) * size)
+    p.finish()
+    assert all(sum(len(x[2]) for x in w) // 4 <= 32 for w in p.closed)
+
+
+# ---- 8
+
+
+def test_language_model_counts_and_proper_codes(spark, empty):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["The", "the", "of", "cat", "dog", "runs"]) + (str(rng.randrange(4)) if rng.random() < 0.1 else "") for _ in range(rng.randrange(1, 90))), "en", "s", 1) for i in range(150)]
+    rows += [(500, None, None, None, None), (501, "", "en", None, 0), (502, "never seen wörds", "en", "s", 1), rows[3], (None, "the of", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    held = labelled.fold(F.col("doc_id"), 10) == 0
+    got = lm_mixing.score(Workspace(spark), docs, "doc_id", "text", held).collect()
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tok = lambda t: WORD.findall((t or "").translate(low)) + [None]
+    is_held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(x for i, t, *_ in rows if not is_held(i) for x in tok(t))
+    n, v = sum(c.values()), len(c)
+    text = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        w = tok(text[r["key"]])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (is_held(r["key"]), len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9) and r["score"] < 0
+    assert lm_mixing.score(Workspace(spark), empty, "doc_id", "text", held).count() == 0
+
+
+def test_codes_are_a_distribution():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 50):
+        w = rng.integers(1, 100, n)
+        first, node, bit, share = lm_mixing.huffman(w)
+        p = [np.prod([share[node[k]] if bit[k] else 1 - share[node[k]] for k in range(first[s], first[s + 1])]) for s in range(n)]
+        assert np.allclose(p, w / w.sum())
+
+
+# ---- 10
+
+
+def plain_components(rows, percent):
+    sets, up = {}, {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        up[i] = i
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_minhash_against_brute_force(spark, docs, empty, monkeypatch):
+    rows = [r for r in corpus() if r[0] is not None]
+    chain = random.Random(9)
+    w = prose(chain, 150).split(" ")
+    for i in range(40):
+        w = list(w)
+        w[chain.randrange(150)] = f"q{i}"
+        rows.append((3000 + i, " ".join(w), "en", "s", 1))
+    table = spark.createDataFrame(rows, DOCS).unionByName(docs.where("doc_id IS NULL")).withColumn("sig", F.lit(1))
+    for chunk, percent in ((512, 85), (5, 80)):
+        monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
+        want = plain_components(rows, percent)
+        got = minhash_dedup.near_duplicates(Workspace(spark), table, "doc_id", "text", percent).collect()
+        assert len(got) == len(rows) + 2
+        assert all((r["n_shingles"], r["component_id"]) == want[r["key"]] for r in got if r["key"] is not None)
+        assert all(r["component_id"] is None for r in got if r["key"] is None)
+    assert minhash_dedup.near_duplicates(Workspace(spark), empty, "doc_id", "text").count() == 0

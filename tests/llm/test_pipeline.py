@@ -1,0 +1,39 @@
+"""The pipeline's stages, each on what its predecessor kept."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from locusframe.llm import queries
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    before = docs
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, before, DIR).write.parquet(path)
+        after = spark.read.parquet(path)
+        assert after.columns == docs.columns
+        counts.append(after.count())
+        if name != "mixing sources to target weights":
+            assert after.select("doc_id").subtract(before.select("doc_id")).isEmpty()
+        before = after
+    assert counts[0] > counts[1] > counts[2] > counts[3]
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, DIR)
+    of = Counter(r["doc_id"] for r in before.select("doc_id").collect())
+    got = {r["doc_id"]: r["n"] for r in packed.where("start = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == dict(of)
+    good = spark.read.parquet(f"{DIR}/labels.parquet").where("quality = 1").select("doc_id")
+    n = docs.join(good, "doc_id", "left_semi").count()
+    kept = corpus_pipeline.classify(spark, docs, DIR).join(good, "doc_id", "left_semi").count()
+    assert kept >= 0.97 * n
+
+
+def test_every_query_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.SQL) <= set(queries.QUERIES)
