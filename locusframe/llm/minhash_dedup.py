@@ -234,7 +234,8 @@ def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent
     prefixes = _prefixes(ws, classes.select("rep", "sig"), t, k)
     members = prefixes.select("rep").distinct()
     sigs = ws.keep(classes.join(members, "rep", "left_semi").groupBy("rep").agg(F.first("sig").alias("sig")), "signatures")
-    lone = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(members, "rep", "left_semi")
+    # members grow with the input, so the join is the same at every size and never sends them to all tasks
+    lone = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(members.hint("merge"), "rep", "left_semi")
     texts = ws.keep(lone.groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
     candidates = ws.keep(_candidate_edges(prefixes, sigs, t), "candidates")
