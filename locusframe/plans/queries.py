@@ -12,6 +12,7 @@ from ..functions import alleles as A
 from ..functions import coords as C
 from ..functions import genotypes as G
 from ..operators import allele_join as J
+from ..operators import columns as K
 from ..operators import genmap as M
 from ..operators import intervals as I
 from ..operators import islands as S
@@ -352,6 +353,28 @@ def spdi_text(spark, d):
     return view(spark, d, VARIANTS).select("variant_id", C.format_spdi(F.concat(F.lit("NC_"), F.col("chrom").cast("string")), "pos", A.letter_of("ref"), A.letter_of("alt")).alias("spdi"))
 
 
+@query("legacy_repack", f"{_V} SELECT variant_id, chrom, pos, ref, alt FROM variants")
+def legacy_repack(spark, d):
+    """The older layout, whose bits are made here by arithmetic, read into fields."""
+    old = F.expr("shiftleft(CAST(alt AS BIGINT), 56) | shiftleft(CAST(ref AS BIGINT), 48) | (pos * 32) | CAST(chrom AS BIGINT)")
+    u = C.unpack_legacy_variant("old")
+    return view(spark, d, VARIANTS).withColumn("old", old).select("variant_id", *[c.alias(k) for k, c in u.items()])
+
+
+@query("compact_explode_variants", f"{_V} SELECT variant_id, chrom, pos, {_LET('ref')} AS ascii_ref, 'N' AS ascii_alt, pos AS start_pos, pos+1 AS end_pos FROM variants")
+def compact_explode_variants(spark, d):
+    v = K.compact_variants(view(spark, d, VARIANTS).drop("beta"), alt=None).drop("alt")
+    r = K.explode_regions(v.withColumn("region", K.region_of_variant())).withColumnsRenamed({"start": "start_pos", "end": "end_pos"}).drop("chrom")
+    return K.explode_variants(r, letters=True).select("variant_id", "chrom", "pos", "ascii_ref", "ascii_alt", "start_pos", "end_pos")
+
+
+@query("compact_explode_regions", f"{_R} SELECT region_id, chrom, start_pos + 5 AS start_pos, end_pos FROM regions")
+def compact_explode_regions(spark, d):
+    r = K.compact_regions(view(spark, d, REGIONS), "chrom", "start_pos", "end_pos")
+    moved = r.withColumn("region", K.with_fields(K.region_columns(r)[0], start=F.col("region.start") + 5))
+    return K.explode_regions(moved).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
 # ---- islands, sets, order
 
 
