@@ -70,7 +70,9 @@ def jittered_until_increasing(knots: DataFrame, step: float, rounds: int = 10, *
 
 def theta(m: int | Column) -> Column:
     """Mutation rate of m individuals: (1 / s) / (2 m + 1 / s), s the sum of 1 / i for i below 2 m."""
-    m = F.lit(m) if isinstance(m, int) else m
+    if isinstance(m, int):  # a constant of the plan, not a sum for each row
+        total = sum(1.0 / i for i in range(1, 2 * m))
+        return F.lit((1.0 / total) / (2.0 * m + 1.0 / total))
     s = F.aggregate(F.sequence(F.lit(1), (2 * m - 1).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
     return (1.0 / s) / (2.0 * m + 1.0 / s)
 
