@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
     """Runs of rows whose vectors have the same dimension."""
-    size = pa.compute.binary_length(batch.column(column)).to_numpy()
+    size = pc.binary_length(batch.column(column)).to_numpy()
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
     yield from ((a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
