@@ -420,6 +420,33 @@ def test_language_model_counts_and_proper_codes(spark, empty):
     assert lm_mixing.score(Workspace(spark), empty, "doc_id", "text", held).count() == 0
 
 
+def test_tables_hold_every_training_token(spark):
+    rng = random.Random(4)
+    rows = [(7 if i % 3 == 0 else i, prose(rng, rng.choice([5, 60, 200])), "en", "s", 1) for i in range(60)] + [(900, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ws, none = Workspace(spark), F.lit(False)
+    model = lm_mixing.train(ws, docs, "doc_id", "text", none)[0]
+    ((_, data, starts),) = texts.blocks(pa.array([r[1] for r in rows], pa.large_string()), texts.BLOCK)
+    h, first, _, _ = lm_mixing.tokens(data, starts)
+    s = model.symbols(h)
+    assert all(model.counts[k].sum() == np.diff(model.first)[s].sum() for k in range(lm_mixing.CONTEXTS))
+    # a text that is seen without its own counts looks as it does to tables that never held it
+    part = slice(first[1], first[2])
+    token, place, _ = model.codes(s[part], np.arange(first[2] - first[1]))
+    context = model.contexts(s[part], first[1:3] - first[1])
+    st, gate = lm_mixing._ready(model).inputs(context, token, place, np.zeros(len(s[part]), np.int64))
+    lm_mixing.learn_tables(ws, spark.createDataFrame(rows[:1] + rows[2:], DOCS).select("text"), model)
+    want, want_gate = lm_mixing._ready(model).inputs(context, token, place)
+    assert np.allclose(st, want) and (gate == want_gate).all()
+
+
+def test_sample_of_texts_is_by_row(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "MOST_FITTED", 20)
+    rows = [(7, f"text {i}") for i in range(50)] + [(8, "again")] * 50
+    found = lm_mixing.sample(spark.createDataFrame(rows, "k long, t string"), "k", "t", F.lit(False))
+    assert len(found) == len(set(found)) == 20
+
+
 def test_codes_are_a_distribution():
     rng = np.random.default_rng(2)
     for n in (2, 3, 50):
