@@ -1,6 +1,7 @@
 """Near duplicates by an inverted join over MinHash signature coordinates.
 
-Documents with the same set of shingles form a class; everything below works on one document of each class.
+Documents with the same set of shingles form a class; everything below works on one document of each class. A
+class is known by a hash of its set's fingerprint; keys come back in at the end, as the least key of a component.
 A class has a signature of K coordinates and is posted under its pairs of coordinate and value. Two classes
 whose signatures agree in T coordinates or more are candidates. As in prefix and skip merging, pairs are
 ordered by how many classes hold them, a class's K - T + 1 rarest ones are its prefix, two candidates share a
@@ -41,7 +42,7 @@ CHUNK = 512
 _RNG = np.random.default_rng(7)
 _FLIP = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPREAD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-SETS = "key long, n_shingles long, fp1 long, fp2 long, sig array<int>"
+SETS = "key long, text_hash long, n_shingles long, fp1 long, fp2 long, sig array<int>"
 
 
 def least_agreement(percent: int, k: int = K) -> int:
@@ -59,12 +60,12 @@ def signatures(h: np.ndarray, first: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """SETS of docs: size, two independent sums of hashes as the set's fingerprint, and the signature (null if the set is empty)."""
+    """SETS of docs: a hash of the text, the set's size, two independent sums of hashes as the set's fingerprint, and the signature (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for row, data, starts in blocks(batch.column(1)):
+            for row, data, starts in blocks(batch.column(2)):
                 h, first = distinct(*Words(data, starts).shingles(shingle))
                 n = np.diff(first)
                 has = np.flatnonzero(n)
@@ -73,9 +74,9 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int = K, shingle: int
                 if len(has):
                     fp[0, has], fp[1, has] = np.add.reduceat(h, first[:-1][has]), np.add.reduceat(mix(h ^ _FLIP[0]), first[:-1][has])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0))) * k, pa.int32(), mask=np.append(n == 0, False)), pa.array(sig.ravel().view(np.int32)))
-                yield pa.record_batch([keys[row : row + len(n)], pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), lists], ["key", "n_shingles", "fp1", "fp2", "sig"])
+                yield pa.record_batch([keys[row : row + len(n)], batch.column(1)[row : row + len(n)], pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), lists], ["key", "text_hash", "n_shingles", "fp1", "fp2", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, SETS)
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, SETS)
 
 
 def _prefixes(ws: Workspace, classes: DataFrame, t: int, k: int) -> DataFrame:
@@ -228,21 +229,27 @@ def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent
     sets = ws.keep(shingle_sets(docs, key, text, k, shingle), "sets")
     filled = sets.where("key IS NOT NULL AND n_shingles > 0")
     same = ["fp1", "fp2", "n_shingles"]
-    classes = ws.keep(filled.groupBy(*same).agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes")
-    # a key that comes with several texts stands for several classes
-    several = filled.groupBy("key").agg(F.countDistinct("fp1", "fp2").alias("c")).where("c > 1")
+    # the row with the least key stands for its class; a key can come with texts of several classes
+    least = F.min(F.struct("key", "text_hash"))
+    classes = filled.groupBy(*same).agg(least.alias("least"), F.first("sig").alias("sig"))
+    classes = ws.keep(classes.select(*same, F.xxhash64(*same).alias("rep"), F.col("least.key").alias("least"), F.col("least.text_hash").alias("text_hash"), "sig"), "classes")
     prefixes = _prefixes(ws, classes.select("rep", "sig"), t, k)
     members = prefixes.select("rep").distinct()
-    sigs = ws.keep(classes.join(members, "rep", "left_semi").groupBy("rep").agg(F.first("sig").alias("sig")), "signatures")
+    own = classes.join(members, "rep", "left_semi")
+    sigs = ws.keep(own.select("rep", "sig"), "signatures")
     # members grow with the input, so the join is the same at every size and never sends them to all tasks
-    lone = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(members.hint("merge"), "rep", "left_semi")
+    lone = docs.select(F.col(key).cast("long").alias("least"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    lone = lone.join(own.select("least", "text_hash", "rep").hint("merge"), ["least", "text_hash"])
     texts = ws.keep(lone.groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
     candidates = ws.keep(_candidate_edges(prefixes, sigs, t), "candidates")
     groups = connected_components(ws, candidates, "rep", "root").select("component", F.col("node").alias("rep"))
     links = ws.keep(_confirmed_edges(groups, sigs, texts, t, percent, shingle), "links")
-    twice = several.join(filled, "key").join(classes.drop("sig"), same).select("rep", F.col("key").alias("root"))
+    held = filled.select("key", F.xxhash64(*same).alias("rep"))
+    twice = held.join(held.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("most")).where("root < most"), "key").select("rep", "root").distinct()
     labels = connected_components(ws, links.unionByName(twice), "rep", "root").select(F.col("node").alias("rep"), "component")
-    named = classes.drop("sig").join(labels, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sets.drop("sig").join(named, same, "left")
+    joined = ws.keep(classes.select(*same, "rep", "least").join(labels, "rep"), "joined")
+    named = joined.join(joined.groupBy("component").agg(F.min("least").alias("label")), "component").select("rep", "label")
+    named = classes.join(named, "rep", "left").select(*same, F.coalesce("label", "least").alias("component"))
+    out = sets.drop("sig", "text_hash").join(named, same, "left")
     return out.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"), "fp1", "fp2")

@@ -497,3 +497,15 @@ def test_minhash_against_brute_force(spark, docs, empty, monkeypatch):
         assert all((r["n_shingles"], r["component_id"]) == want[r["key"]] for r in got if r["key"] is not None)
         assert all(r["component_id"] is None for r in got if r["key"] is None)
     assert minhash_dedup.near_duplicates(Workspace(spark), empty, "doc_id", "text").count() == 0
+
+
+def test_key_with_several_texts_joins_their_links(spark):
+    rng = random.Random(3)
+    made = [prose(rng, 120) for _ in range(12)]
+    near = [x.split(" ") for x in made]
+    for w in near:
+        w[60] = "other"
+    rows = [(5, x) for x in made] + [(10 + i, " ".join(w)) for i, w in enumerate(near)] + [(90, prose(rng, 120))]
+    got = minhash_dedup.near_duplicates(Workspace(spark), spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 85).collect()
+    assert len(got) == len(rows)
+    assert {r["key"]: r["component_id"] for r in got} == {5: 5, **{10 + i: 5 for i in range(12)}, 90: 90}
