@@ -105,6 +105,19 @@ def fasta_read(spark, d):
     return sequences.read_fasta(spark, path).select("name", "seq")
 
 
+_WHOLE_DNA = "translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query("fasta_read_whole", f"SELECT 'd' || coalesce(CAST(doc_id AS VARCHAR), '') AS name, {_WHOLE_DNA} AS seq FROM documents WHERE length({_WHOLE_DNA})>0")
+def fasta_read_whole(spark, d):
+    """All texts whole, in as many files as the table has partitions."""
+    seq = F.expr("translate(regexp_replace(text, '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", seq.alias("s")).where("length(s) > 0")
+    path = scratch(spark, "fa")
+    docs.select(F.concat(F.lit(">d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" x\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n"))).write.text(path)
+    return sequences.read_fasta(spark, path).select("name", "seq")
+
+
 @query("bgzf_lines", f"{cte(regions=REGIONS)} SELECT CAST(region_id AS BIGINT) AS line, 'chr' || chrom || ':' || start_pos || '_' || end_pos AS value FROM regions")
 def bgzf_lines(spark, d):
     rows = view(spark, d, REGIONS).orderBy("region_id").select(format_region("chrom", "start_pos", "end_pos").alias("t")).toLocalIterator()

@@ -13,15 +13,23 @@ from pyspark.sql.window import Window
 
 from ..cluster import ship
 from ..functions.alleles import mask_of
-from .text import with_line_number
+
+
+def _lines_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): lines numbered from 0, file by file, in whatever order Spark deals the splits of files to partitions."""
+    at = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = at.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    splits = splits.select("file", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    return at.join(F.broadcast(splits), ["file", "at"]).select("value", (F.col("id") + F.col("shift")).alias("line"))  # one row for each split
 
 
 def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """(record, name, start, seq): one row for each line of bases; start counts from 0 within its record.
 
-    Long sequences stay cut into lines. Records are numbered by sums over the lines of each file's partitions.
+    Long sequences stay cut into lines. Records are numbered by sums over the lines of all files.
     """
-    lines = with_line_number(spark.read.text(path)).withColumn("head", F.col("value").startswith(">"))
+    lines = _lines_of_files(spark, path).withColumn("head", F.col("value").startswith(">"))
     block = F.floor(F.col("line") / 100_000)
     lines = lines.withColumn("block", block)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,6 +71,24 @@ def test_fasta(spark, tmp_path):
         assert got == {(1, p): seq[p - 1] for p in (1, 50, 51, 101, 160)} | {(2, 3): "N"}
 
 
+def test_fasta_of_several_split_files(spark, tmp_path):
+    want = {}
+    for f, letters in enumerate(("ACGT", "GGC", "TA")):
+        records = {f"r{f}_{i}": (letters * 2000)[: 700 * (i + 1) + 13 * f] for i in range(6)}
+        (tmp_path / f"{f}.fa").write_text("".join(f">{n} x\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in records.items()))
+        want |= records
+    conf = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        got = [tuple(r) for r in sequences.read_fasta(spark, str(tmp_path)).select("name", "seq").collect()]
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert sorted(got) == sorted(want.items())
+
+
 def test_block_gzip(spark, tmp_path):
     lines = [f"line {i}" for i in range(500)]
     data = sequences.bgzf_compress("\n".join(lines).encode(), block=700)
