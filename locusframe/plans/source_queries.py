@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
-from ..functions.coords import format_region, rsid_text
+from ..functions.coords import chrom_label, format_region, rsid_text
 from ..sources import plink, sequences, store, text
 from ..streaming import joins as stream
 from .queries import _BEST, _V, query
@@ -57,6 +57,15 @@ def genetic_map_read(spark, d):
     return text.read_genetic_map(spark, path).select("chrom", "pos", F.round("cm", 6).alias("cm"))
 
 
+@query("genetic_map_read_whole", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(cm, 6) AS cm FROM knots WHERE pos%3<>0")
+def genetic_map_read_whole(spark, d):
+    """One map file for each chromosome, which its path names."""
+    path = scratch(spark, "maps")
+    k = view(spark, d, KNOTS).select(chrom_label("chrom").alias("file"), F.col("pos").alias("position"), F.lit(0.1).alias("rate"), F.col("cm").alias("map"), F.when(F.col("pos") % 3 == 0, 1).otherwise(0).alias("filtered"))
+    k.repartition("file").write.partitionBy("file").csv(path, sep="\t", header=True)
+    return text.read_genetic_map(spark, path).select("chrom", "pos", F.round("cm", 6).alias("cm"))
+
+
 @query("store_region_read", f"{_V} SELECT variant_id, chrom, pos FROM variants WHERE chrom=7 AND pos>=200000 AND pos<700000")
 def store_region_read(spark, d):
     path = scratch(spark, "store")

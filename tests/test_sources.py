@@ -1,6 +1,7 @@
 """Files of small known content."""
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from locusframe.functions import genotypes as G
 from locusframe.sources import plink, sequences, store, text
 
+DIR = "/root/testdata/sf0.001"
+
 
 def test_plink_golden_bytes(spark, tmp_path):
     prefix = str(tmp_path / "p")
@@ -58,6 +61,16 @@ def test_genetic_map(spark, tmp_path):
     assert [tuple(r) for r in text.read_genetic_map(spark, str(tmp_path / "CEU-chr2.txt")).collect()] == [(2, 10, 0.1)]
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
+def test_genetic_map_of_every_chromosome(spark):
+    from locusframe.plans import source_queries as q
+    from locusframe.plans.views import KNOTS, view
+
+    want = sorted((r["chrom"], r["pos"]) for r in view(spark, DIR, KNOTS).where("pos % 3 <> 0").collect())
+    got = sorted((r["chrom"], r["pos"]) for r in q.genetic_map_read_whole(spark, DIR).collect())
+    assert got == want and {c for c, _ in got} == set(range(1, 25))
+
+
 def test_fasta(spark, tmp_path):
     seq = "ACGT" * 40
     body = "\n".join(seq[i : i + 50] for i in range(0, len(seq), 50))
