@@ -1,11 +1,11 @@
 """Main text of web pages by the distribution of text over lines of blocks.
 
 Markup is stripped to one line for each block. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, known by their element or by a word of their class or id, leave an empty
-line, and so do lines of links. Lengths are summed over windows of WINDOW lines; a run of lines surges where a
-window's sum rises above 0 and dives where it falls back to 0. If the page marks an article or a main part,
-all runs inside it are kept. Otherwise a run is kept if it has a window of at least SURGE characters and at
-least SHARE of the text of the largest run. Within kept runs nothing is dropped, however short.
+scripts, styles and reader comments, known by their element or by a word of their class or id, are apart from
+the main text, and so are lines of links. If the page marks an article or a main part, the text inside it is
+looked at alone. A run of lines surges where the sum of lengths over a window rises above 0 and dives where it
+falls back to 0. Lines known as apart don't count as empty ones in windows, so they end no run: the rest of the
+lines, none of which is empty, is one run, and in it nothing is dropped, however short.
 
 Null pages and pages without text give an empty text. A page is read to its end, closed or not: the start of
 an article ends whatever was left open before it. Rows are treated one by one.
@@ -17,15 +17,11 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
 
-WINDOW = 3
-SURGE = 80
-SHARE = 0.2
 _RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|head|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?a-zA-Z](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[/!?a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
@@ -102,14 +98,7 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     inside = any(a and not apart for _, a, apart in lines)
-    size = np.array([0 if apart or inside and not a else len(text) for text, a, apart in lines])
-    sums = np.convolve(size, np.ones(WINDOW, int))[WINDOW // 2 : WINDOW // 2 + len(size)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], sums > 0, [False])).astype(np.int8)))
-    runs = list(zip(edge[::2], edge[1::2], strict=True))
-    if not inside and runs:
-        most = max(size[a:b].sum() for a, b in runs)
-        runs = [(a, b) for a, b in runs if size[a:b].sum() == most or sums[a:b].max() >= SURGE and size[a:b].sum() >= SHARE * most]
-    return "\n\n".join(lines[i][0] for a, b in runs for i in range(a, b) if size[i])
+    return "\n\n".join(text for text, a, apart in lines if not apart and (a or not inside))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

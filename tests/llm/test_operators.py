@@ -264,6 +264,16 @@ def test_main_text():
     assert html_text.main_text(plain) == "\n\n".join([" ".join(long.split()), "ok.", " ".join(long.split())])
 
 
+def test_pages_without_an_article_keep_short_text():
+    long, menu = " ".join(["word"] * 160), "<nav><p>a</p><p>b</p><p>c</p><p>d</p></nav>"
+    assert html_text.main_text(f"<h1>Title</h1>{menu}<p>{long}</p>") == f"Title\n\n{long}"
+    parts = ["Title", "By me", "A date", long, "End", "Short.", "Shorter."]
+    page = "".join(f"<p>{x}</p>" for x in parts[:4]) + '<div class="widget"><p>x</p><p>y</p><p>z</p></div>' + "".join(f"<p>{x}</p>" for x in parts[4:])
+    assert html_text.main_text(page) == "\n\n".join(parts)
+    small = " ".join(["word"] * 10)
+    assert html_text.main_text(f"<p>{small}</p>{menu}<p>{long}</p>{menu}<p>{small}</p>") == f"{small}\n\n{long}\n\n{small}"
+
+
 def test_pages_of_a_table(spark):
     rows = [(1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "u", ""), (1, "u", "<article><p>x</p></article>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
