@@ -4,6 +4,9 @@ The library spends its time on merges, and words repeat. A text is cut where its
 pre-tokenizer always cuts, each chunk is encoded once by the library and its ids are remembered as bytes;
 a text's ids are its chunks' ids joined. The cuts are proved for the two kinds below only, by the patterns
 of their files, so other files are refused.
+
+Names of special tokens in a text, as <|endoftext|>, are encoded as ordinary pieces, not as the special id that
+the library gives by default.
 """
 
 from __future__ import annotations
