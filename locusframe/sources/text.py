@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.alleles import letter_of, mask_of
 from ..functions.coords import chrom_code, chrom_label, rsid_number, rsid_text
@@ -50,18 +51,18 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_number(df: DataFrame, name: str = "line") -> DataFrame:
-    """df with a row number from 0 in file order.
+    """df, as read from files, with a row number from 0: files in the order of their paths, rows in the order of their file.
 
-    Partitions are counted first, and each starts where the ones before it end.
+    Spark deals splits to partitions by size, so neither partitions nor their order say where a row lies. Rows are
+    counted in each split of each file, and each split starts where the ones before it end; the table of splits has
+    one row for every 128 MB of input at most.
     """
-    at = df.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
-    counts = {r["__part"]: r["n"] for r in at.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    total, starts = 0, {}
-    for part in sorted(counts):
-        starts[part] = total
-        total += counts[part]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__part")) if starts else F.lit(0)
-    return at.withColumn(name, (base + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("__part", "__id")
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = at.groupBy("__file", "__at").agg(F.count("*").alias("n"), F.min("__id").alias("least"))
+    splits = splits.select("__file", "__at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("__shift"))
+    rows = at.join(F.broadcast(splits), ["__file", "__at"])
+    return rows.withColumn(name, (F.col("__id") + F.col("__shift")).cast("bigint")).drop("__file", "__at", "__id", "__shift")
 
 
 def write_bim(df: DataFrame, path: str, mode: str = "append") -> None:

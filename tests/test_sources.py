@@ -120,3 +120,50 @@ def test_store(spark, tmp_path):
     assert store.read_region(spark, path, 2, 100, 200).count() == 34
     r = spark.createDataFrame([(1, 0, 10), (1, 5, 12), (3, 990, 2000)], "chrom int, start bigint, end bigint")
     assert store.read_regions(spark, path, r).count() == 7 and store.read_rsids(spark, path, spark.createDataFrame([(5,)], "rsid bigint"), allow_missing=False).count() == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Small splits, many to a partition, and parts as they come."""
+    conf = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    yield
+    for k, x in old.items():
+        spark.conf.set(k, x)
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path, small_splits):
+    sizes, want = [5, 400, 1, 90, 250], []
+    for i, n in enumerate(sizes):
+        rows = [f"{i}_{j}" for j in range(n)]
+        (tmp_path / f"part-{i}.txt").write_text("\n".join(rows) + "\n")
+        want += rows
+    got = {r["line"]: r["value"] for r in text.with_line_number(spark.read.text(str(tmp_path))).collect()}
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+
+
+def test_plink_of_several_parts_reads_back_what_was_written(spark, tmp_path, small_splits):
+    n = 3000
+    v = spark.range(n).select(F.col("id").alias("variant_index"), (F.col("id") % 22 + 1).cast("int").alias("chrom"), F.col("id").alias("rsid"), (F.col("id") * 7 + 1).alias("pos"), F.lit(1).alias("ref"), F.lit(2).alias("alt"))
+    dose = F.array(*[F.when((F.col("variant_index") + i) % 5 == 0, F.lit(None)).otherwise((F.col("variant_index") * 3 + i) % 3) for i in range(6)]).cast("array<int>")
+    v = v.withColumn("dosages", dose).repartition(7, "rsid")
+    fam = spark.range(6).selectExpr("'f' AS fid", "CAST(id AS STRING) AS iid", "'0' AS father_id", "'0' AS mother_id", "1 AS sex", "1.0D AS phenotype")
+    plink.write_plink(v, fam, str(tmp_path / "x"))
+    assert len([f for f in os.listdir(tmp_path / "x.bim") if f.endswith(".csv")]) > 1
+    want = {r["rsid"]: (r["chrom"], r["pos"], r["dosages"]) for r in v.collect()}
+    got = {int(r["rsid"][2:]): (r["chrom"], r["pos"], r["dosages"]) for r in plink.read_plink(spark, str(tmp_path / "x")).collect()}
+    assert got == want
+
+
+def test_haplotypes_of_several_parts_meet_their_legend(spark, tmp_path, small_splits):
+    at = 0
+    for i, n in enumerate((40, 3, 200)):
+        (tmp_path / "l").mkdir(exist_ok=True)
+        (tmp_path / "h").mkdir(exist_ok=True)
+        (tmp_path / "l" / f"{i}").write_text("id position a0 a1\n" + "".join(f"rs{at + j} {at + j} A C\n" for j in range(n)))
+        (tmp_path / "h" / f"{i}").write_text("".join(" ".join(f"{at + j:010b}") + "\n" for j in range(n)))
+        at += n
+    got = text.read_hap_with_legend(spark, str(tmp_path / "l"), str(tmp_path / "h"), 19).select("rsid", G.format_bits("words", 10).alias("b")).collect()
+    assert {r["rsid"]: r["b"] for r in got} == {i: f"{i:010b}" for i in range(at)}
