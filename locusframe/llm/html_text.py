@@ -1,104 +1,236 @@
 """Main text of web pages by the distribution of text over lines of blocks.
 
-Markup is stripped to one line for each block. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, known by their element or by a word of their class or id, are apart from
-the main text, and so are lines of links. If the page marks an article or a main part, the text inside it is
-looked at alone. A run of lines surges where the sum of lengths over a window rises above 0 and dives where it
-falls back to 0. Lines known as apart don't count as empty ones in windows, so they end no run: the rest of the
-lines, none of which is empty, is one run, and in it nothing is dropped, however short.
-
-Null pages and pages without text give an empty text. A page is read to its end, closed or not: the start of
-an article ends whatever was left open before it. Rows are treated one by one.
+Markup is stripped to one line for each block, in page order. A line weighs its characters outside of links, and
+nothing where half of it or more is links. Lengths are summed over windows of WINDOW lines. A window without weight is
+a dive: the lines that it covers, a menu or list of links, are outside the main text, which surges again after them.
+If the page marks an article or a main part, that part alone is looked at, and all between dives is kept. Otherwise
+lines belong to the element that holds them (a division, section or cell), windows don't reach beyond it, and an
+element's lines are the main text if one of its windows surges to SURGE characters, or to SHARE of the page's highest
+window if that is more; so a short line stays where its neighbours are, and a line of its own beside the text goes.
+A heading of the first rank surges by itself.
+
+Elements that HTML itself names as menus, footers, sidebars, forms and the like, and headers outside of an article,
+are apart: their lines are left out before windows are summed, so they cut nothing. So are elements whose class or
+id says that they hold reader comments, adverts or notices, as those can be long prose: all parts of one of its names
+must be known words, so "ad-banner" and "comments" are, and "ad-hoc", "related-work" and "entry-header" are not.
+
+Null pages and pages without text give an empty text. A page is read to its end, closed or not, and in time linear in
+its length, however malformed: the start of an article ends whatever was left open before it. Rows are treated one by
+one; pages with nulls in other columns and repeated rows are like others. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
 
-_RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|head|title"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?a-zA-Z](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[/!?a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
-_OWN = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_PARTS = re.compile(r"[a-z]+")
+#: Lines of a window; characters of a window that make it a surge where nothing marks the main part; or this share of the highest.
+WINDOW, SURGE, SHARE = 3, 80, 0.2
+_RAW = frozenset("script style noscript template svg iframe textarea select object head title".split())
 _BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_HOLDERS = frozenset("div section td th article main".split())
 _APART = frozenset("nav footer aside form button menu dialog".split())
-_APART_WORDS = frozenset("nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices comment comments respond reply replies share sharing social related breadcrumb breadcrumbs subscribe newsletter popup modal toolbar pagination widget".split())
-_PARTS_OF_PAGE = frozenset(("article", "main"))
-
-
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in an article or main part, apart from the main text or mostly links) of each block, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+#: Words of a class or id that say what an element holds, and those that may stand beside them.
+_SAYS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices comment comments respond reply replies disqus newsletter subscribe popup modal navbar breadcrumb breadcrumbs sidebar widget footer menu nav".split())
+_BESIDE = frozenset("area banner bar block body box container content form group header inner item items left link links list main message meta outer page panel right section signup site slot space text thread title top unit wrap wrapper".split())
+_OWN = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*")
+_STOP = re.compile(r"[>\"']")
+_ENDS = {name: re.compile(rf"</{name}(?![a-zA-Z0-9])[^<>]*>?", re.I) for name in _RAW}
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int
+    holder: int
+    inside: bool  # of an article or main part
+    apart: bool
+    first_rank: bool
+
+
+class Reader:
+    """Text and tags of a page, each read once. What isn't found after some place is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that starts before `at` ends; a bracket in a quoted value doesn't end it. -1 if it never does."""
+        if self.find(">", at) < 0:
+            return -1
+        start = at
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if self.page[m.start() - 1] == "=" or self.page[m.start() - 1].isspace():
+                close = self.find(m[0], at)
+                if close >= 0 and "<" not in self.page[at:close]:
+                    at = close + 1
+        return self.find(">", start)
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(text, "", ""), or ("", name, tag) with a slash before the names of closing tags."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            open_ = self.find("<", at)
+            if open_ != at:
+                stop = n if open_ < 0 else open_
+                yield page[at:stop], "", ""
+                at = stop
+                continue
+            if page.startswith("<!--", at):
+                stop = self.find("-->", at + 4)
+                at = n if stop < 0 else stop + 3
+                continue
+            sign = page[at + 1 : at + 2]
+            closing = sign == "/"
+            name = _NAME.match(page, at + 1 + closing)
+            if not name and sign not in ("!", "?", "/") or (stop := self.tag_end(at + 1)) < 0:
+                yield "<", "", ""
+                at += 1
+                continue
+            tag, at = page[at : stop + 1], stop + 1
+            if not name:
+                continue
+            low = name[0].lower()
+            if low in _RAW:
+                if not closing and not tag.endswith("/>"):
+                    end = None if low in self.gone else _ENDS[low].search(page, at)
+                    if end is None:
+                        self.gone.add(low)
+                    at = end.end() if end else n
+                continue
+            yield "", ("/" if closing else "") + low, tag
+
+
+def _says_apart(tag: str) -> bool:
+    for found in _OWN.findall(tag):
+        for one in "".join(found).split():
+            parts = [p.lower() for p in _PARTS.split(one) if p]
+            if any(p in _SAYS for p in parts) and all(p in _SAYS or p in _BESIDE for p in parts):
+                return True
+    return False
+
+
+def lines_of(page: str) -> list[Line]:
+    """Every block's line in page order."""
+    out: list[Line] = []
     now: list[str] = []
-    linked = 0
-    article: list[str] = []  # open article and main elements
-    skip, depth, in_link = "", 0, False
+    linked, in_link, first_rank = 0, False, False
+    open_: list[tuple[str, int]] = [("", 0)]  # elements that hold lines, with their numbers
+    many: Counter[str] = Counter()
+    holders, skip, depth = 0, "", 0
 
     def end() -> None:
         nonlocal now, linked
         text = " ".join(html.unescape("".join(now)).split())
         if text:
-            out.append((text, bool(article), bool(skip) or 2 * linked > len(text) and not article))
+            weight = 0 if 2 * linked >= len(text) else len(text) - linked
+            out.append(Line(text, weight, open_[-1][1], many["article"] + many["main"] > 0, bool(skip), first_rank))
         now, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or len(token) == 1:
-            now.append(token)
+    for text, name, tag in Reader(page).tokens():
+        if not name:
+            now.append(text)
             if in_link:
-                linked += len(token.strip())
+                linked += len(text.strip())
             continue
-        if m[1] or not (found := _NAME.match(token)):
-            continue
-        name, closing = found[1].lower(), token[1] == "/"
+        closing, name = name[0] == "/", name.lstrip("/")
         if name == "br":
             now.append(" ")
-            continue
-        if name == "a":
+        elif name == "a":
             in_link = not closing
-            continue
         if name in _BLOCKS:
             end()
-        if name in _PARTS_OF_PAGE:
-            if closing:
-                if name in article:
-                    del article[len(article) - 1 - article[::-1].index(name) :]
-                    skip, depth, in_link = "", 0, False
-            elif not article or not skip:
-                article.append(name)
-                skip, depth, in_link = "", 0, False
-            continue
+        if name == "h1":
+            first_rank = not closing
+        marks_part = name in ("article", "main")
+        if marks_part and (closing or not skip or not many["article"] + many["main"]):
+            skip, depth, in_link = "", 0, False
+        if name in _HOLDERS:
+            if not closing:
+                holders += 1
+                open_.append((name, holders))
+                many[name] += 1
+            elif many[name]:
+                while open_[-1][0] != name:
+                    many[open_.pop()[0]] -= 1
+                many[open_.pop()[0]] -= 1
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
                 if depth <= 0:
                     end()
                     skip, depth = "", 0
-        elif not closing and name not in _VOID and (name in _APART or name == "header" and not article or name not in ("html", "body") and _says_apart(token)):
-            end()
-            skip, depth = name, 1
+        elif not closing and name not in _VOID and not marks_part and name not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if name in _APART or name == "header" and not many["article"] + many["main"] or _says_apart(tag):
+                end()
+                skip, depth = name, 1
     end()
     return out
 
 
-def _says_apart(token: str) -> bool:
-    return any(not _APART_WORDS.isdisjoint(_PARTS.findall(x.lower())) for x in _OWN.findall(token))
+def dives(weights: list[int], window: int) -> list[bool]:
+    """Whether each line is covered by a window that sums to 0."""
+    out, run = [False] * len(weights), 0
+    for i, w in enumerate(weights):
+        run = 0 if w else run + 1
+        if run == window:
+            out[i - window + 1 : i + 1] = [True] * window
+        elif run > window:
+            out[i] = True
+    return out
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    inside = any(a and not apart for _, a, apart in lines)
-    return "\n\n".join(text for text, a, apart in lines if not apart and (a or not inside))
+def surges(weights: list[int], window: int) -> int:
+    """The highest sum over a window."""
+    total = best = sum(weights[:window])
+    for i in range(window, len(weights)):
+        total += weights[i] - weights[i - window]
+        best = max(best, total)
+    return best
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
+    lines = [x for x in lines_of(page or "") if not x.apart]
+    inside = [x for x in lines if x.inside]
+    if inside:
+        out = dives([x.weight for x in inside], window)
+        kept = [x for x, gone in zip(inside, out, strict=True) if not gone] or inside
+        return "\n\n".join(x.text for x in kept)
+    of: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        of.setdefault(x.holder, []).append(i)
+    highest = {h: surges([lines[i].weight for i in at], window) for h, at in of.items()}
+    level = max(surge, share * max(highest.values(), default=0))
+    if all(v < level for v in highest.values()):  # nothing on the page is long: what weighs most stays
+        level = max(highest.values(), default=0)
+    keep = [False] * len(lines)
+    for h, at in of.items():
+        gone = dives([lines[i].weight for i in at], window)
+        for i, out_ in zip(at, gone, strict=True):
+            keep[i] = lines[i].first_rank or highest[h] >= level and not out_ and highest[h] > 0
+    return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
