@@ -1,13 +1,17 @@
 """Near duplicates among embeddings: sign hashing in several tables, exact cosines, connected components.
 
-Equal vectors form a class and everything works on classes. Each table cuts space by BITS random hyperplanes;
-classes on the same side of all of them share a bucket, and cosines within buckets are computed in double
-precision. Two vectors at the threshold share a table's bucket with probability (1 - angle / pi) ** bits, and
-there are as many tables as it takes to miss such a pair with probability MISS; bits follow the number of
-classes, so buckets stay small. Buckets with more than CHUNK classes are cut into chunks, and pairs of chunks
-are dealt over tasks: nothing is capped. A bucket gives one row for each class that has links there: how many
-rows of the table it links with, pairs that an earlier table has seen left out, and the smallest class that
-it reaches within the bucket. Pairs are never rows.
+Equal vectors form a class, known by a 64-bit hash of its bytes. Each table cuts space by random hyperplanes; classes
+on the same side of all of them share a bucket. What is shuffled for a table is a class's bucket, its number and a
+sketch, the signs of SKETCH more hyperplanes; classes of a bucket whose sketches differ in few enough places are
+candidates. Only classes with a candidate have their vectors looked up: each group of candidates of a bucket gets them
+once, however many tables found the same group, and cosines are computed there in double precision. Links give the
+components, and within each component all links are counted, again by exact cosines.
+
+Two vectors at the threshold share a table's bucket with probability (1 - angle / pi) ** bits, and there are as many
+tables as it takes to miss such a pair with probability MISS, whatever the number of classes; sketches miss it with
+about MISS / 2 more. bits follow the number of classes, so buckets stay at about BUCKET classes where vectors are
+spread; buckets and components of more than CHUNK classes are cut into chunks whose pairs are dealt over tasks, and
+nothing is capped. Pairs are never rows.
 
 Vectors that are null, hold nulls, NaN or infinities, or have length 0 link with nothing; so do rows with null
 ids, and vectors of different dimension. Repeated rows link with each other. Empty tables give no rows.
@@ -16,165 +20,255 @@ ids, and vectors of different dimension. Repeated rows link with each other. Emp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, with_group
 from .shared import Workspace
+from .texts import mix
 
 MISS = 1e-4
-CHUNK = 1024
+BUCKET, CHUNK = 512, 2048
+SKETCH = 128
 SEED = 5
 
 
 def plan(n: int, least: float, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables) for n classes and a cosine of at least `least`."""
-    bits = min(24, max(8, round(math.log2(max(n, 2) / 12))))
+    bits = min(40, max(4, round(math.log2(max(n, 2) / BUCKET))))
     p = (1 - math.acos(least) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-p))
 
 
-def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of each row in each table."""
-    planes = np.random.default_rng(SEED).normal(size=(x.shape[1], bits * tables))
-    return ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+def most_apart(least: float, miss: float = MISS / 2) -> int:
+    """The least number of places that sketches may differ in so that a pair at the threshold is missed with probability miss at most."""
+    p, below = math.acos(least) / math.pi, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if 1 - below <= miss:
+            return k
+    return SKETCH
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equally long binary values as unit vectors of doubles."""
-    n = len(column)
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(n, -1)
+def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).normal(size=(dim, SKETCH + bits * tables))
+
+
+def codes(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each row in each table, and its sketch in two words."""
+    sides = (x @ _planes(x.shape[1], bits, tables)) > 0
+    sketch = np.packbits(sides[:, :SKETCH], axis=1).view(np.int64)
+    return sides[:, SKETCH:].reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)), sketch
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose vectors have the same dimension."""
-    size = pc.binary_length(batch.column(column)).to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
-    yield from ((a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
+def valid(keys: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, vectors, classes) of the rows that can link, by dimension."""
+    import xxhash
+
+    present = lists.is_valid().to_numpy(zero_copy_only=False) & keys.is_valid().to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    size = np.where(present, np.diff(offsets), 0)
+    data = lists.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+    if data.dtype not in (np.float32, np.float64):
+        data = data.astype(np.float64)
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dim)
+        x = data[offsets[rows][:, None] + np.arange(dim)]
+        fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        rows, x = rows[fine], np.ascontiguousarray(x[fine])
+        if len(rows):
+            yield rows, x, np.fromiter((xxhash.xxh3_64_intdigest(v.tobytes(), dim) for v in x), np.uint64, len(x)).view(np.int64)
 
 
-def _postings(classes: DataFrame, bits: int, tables: int, vectors: bool) -> DataFrame:
-    schema = "dim int, tab int, code long" + (", rep long, n long, vec binary" if vectors else "")
+def _each(table: DataFrame, key: str, vector: str, schema: str, make: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """What make gives for (vectors, classes) of one dimension, equal vectors of a batch once."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                for a, b in _runs(part, "vec"):
-                    own = part.slice(a, b - a)
-                    x = _matrix(own.column("vec"))
-                    rows = np.repeat(np.arange(len(x)), tables)
-                    out = [pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(codes(x, bits, tables).ravel())]
-                    if vectors:
-                        out += [own.column(c).take(pa.array(rows)) for c in ("rep", "n", "vec")]
-                    yield pa.record_batch(out, names)
-
-    return classes.select("rep", "n", "vec").mapInArrow(run, schema)
-
-
-def _reach(links: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """The smallest reps entry that each row reaches over a symmetric matrix of links."""
-    now = reps.copy()
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                for _, x, cid in valid(part.column(0), part.column(1).slice(0)):
+                    cid, first = np.unique(cid, return_index=True)
+                    yield pa.record_batch(make(x[first], cid), names)
+
+    return table.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(run, schema)
+
+
+def _classes_of_rows(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, cid) of every row; cid is null where the row links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, some = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for rows, _, cid in valid(batch.column(0), batch.column(1)):
+                out[rows], some[rows] = cid, True
+            yield pa.record_batch([batch.column(0), pa.array(out, mask=~some)], ["key", "cid"])
+
+    return table.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInArrow(run, "key long, cid long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, over the bounds of batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        if rest and any(rest[-1].column(c)[-1].as_py() != v for c, v in zip(keys, k[:, 0].tolist(), strict=True)):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        edges = [0, *(np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rest.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _dealt(rows: DataFrame, chunks: Column) -> DataFrame:
+    """rows with chunks x <= y of their group, once for each other chunk; right marks rows of y."""
+    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod("cid", F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "right": F.col("own") > F.col("other")}).drop("own", "other", "chunks")
+
+
+def _reach(links: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches over a symmetric matrix of links."""
+    now = np.arange(len(links))
     while True:
-        after = np.minimum(now, np.where(links, now[None, :], np.iinfo(np.int64).max).min(axis=1))
+        after = np.minimum(now, np.where(links, now[None, :], len(links)).min(axis=1))
+        after = after[after]
         if (after == now).all():
             return now
         now = after
 
 
-def _bucket(t: int, rep: np.ndarray, n: np.ndarray, x: np.ndarray, right: np.ndarray, alone: bool, least: float, bits: int, tables: int) -> pa.RecordBatch | None:
-    links = (x @ x.T) >= least
-    np.fill_diagonal(links, False)
-    if not alone:
-        links &= right[:, None] != right[None, :]
-    some = np.flatnonzero(links.any(axis=1))
-    if not len(some):
-        return None
-    links, rep, n = links[np.ix_(some, some)], rep[some], n[some]
-    mine = codes(x[some], bits, tables)
-    new = links.copy()
-    for earlier in range(t):
-        new &= mine[:, earlier][:, None] != mine[:, earlier][None, :]
-    return pa.record_batch([pa.array(rep), pa.array(_reach(links, rep)), pa.array((new * n[None, :]).sum(axis=1))], ["rep", "root", "links"])
+def _batched(found: Iterator[list[np.ndarray]], names: list[str], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    for arrays in found:
+        held.append(arrays)
+        if sum(len(x[0]) for x in held) > most:
+            yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names)
 
 
-def _bucket_links(rows: DataFrame, least: float, bits: int, tables: int) -> DataFrame:
-    keys = ["dim", "tab", "code", "x", "y"]
+def candidates(rows: DataFrame, apart: int) -> DataFrame:
+    """(comp, cid): the groups of classes that sketches link in each bucket, equal groups of several buckets once."""
+    keys = ["code", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            rest = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-                k = np.stack([table.column(c).to_numpy() for c in keys])
-                edges = [0, *(np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1).tolist(), table.num_rows]
-                for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-                    yield table.slice(a, b - a)
-                rest = table.slice(edges[-2])
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        out: list[pa.RecordBatch] = []
-        for g in groups():
-            if g.num_rows < 2:
-                continue
-            g = g.combine_chunks()
-            rep, n, right = (g.column(c).to_numpy() for c in ("rep", "n", "right"))
-            found = _bucket(g.column("tab")[0].as_py(), rep, n, _matrix(g.column("vec").chunk(0)), right, g.column("x")[0].as_py() == g.column("y")[0].as_py(), least, bits, tables)
-            if found is not None:
-                out.append(found)
-            if len(out) >= 256:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        def found() -> Iterator[list[np.ndarray]]:
+            for g in _groups(batches, keys):
+                if g.num_rows < 2:
+                    continue
+                cid, first = np.unique(g.column("cid").to_numpy(), return_index=True)
+                s1, s2 = (g.column(c).to_numpy()[first].view(np.uint64) for c in ("s1", "s2"))
+                right = g.column("right").to_numpy()[first]
+                near = np.bitwise_count(s1[:, None] ^ s1[None, :]) + np.bitwise_count(s2[:, None] ^ s2[None, :]) <= apart
+                np.fill_diagonal(near, False)
+                if g.column("x")[0].as_py() != g.column("y")[0].as_py():
+                    near &= right[:, None] != right[None, :]
+                some = np.flatnonzero(near.any(axis=1))
+                if not len(some):
+                    continue
+                root, cid = _reach(near[np.ix_(some, some)]), cid[some]
+                sums = np.zeros(len(cid), np.uint64)
+                np.add.at(sums, root, mix(cid.view(np.uint64)))
+                yield [mix(sums)[root].view(np.int64), cid]
+
+        yield from _batched(found(), ["comp", "cid"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "right", "rep", "n", "vec").mapInArrow(run, "rep long, root long, links long")
+    return dealt.select(*keys, "right", "cid", "s1", "s2").mapInArrow(run, "comp long, cid long").distinct()
 
 
-def valid_bytes(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, vec): vec holds the vector's doubles, null where it links with nothing."""
+def _vectors(g: pa.Table, kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(g.column("vec").to_pylist()), kind).reshape(g.num_rows, -1))
+
+
+def confirmed(members: DataFrame, least: float, kind: str) -> DataFrame:
+    """(cid, root): what each class of a group of candidates reaches over cosines of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[bytes | None] = []
-            keys = batch.column(0)
-            lists = batch.column(1)
-            values, offsets = lists.values.cast(pa.float64()), lists.offsets.to_numpy()
-            data = values.to_numpy(zero_copy_only=False)  # nulls become NaN
-            present = lists.is_valid().to_numpy(zero_copy_only=False) & keys.is_valid().to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                x = data[offsets[i] : offsets[i + 1]]
-                out.append(np.ascontiguousarray(x, "<f8").tobytes() if present[i] and np.isfinite(x).all() and x.any() else None)
-            yield pa.record_batch([keys, pa.array(out, pa.binary())], ["key", "vec"])
+        def found() -> Iterator[list[np.ndarray]]:
+            for g in _groups(batches, ["comp"]):
+                x, cid = _vectors(g, kind), g.column("cid").to_numpy()
+                root = _reach(x @ x.T >= least)
+                some = root != np.arange(len(root))
+                yield [cid[some], cid[root[some]]]
+
+        yield from _batched(found(), ["cid", "root"])
+
+    return members.repartition("comp").sortWithinPartitions("comp").select("comp", "cid", "vec").mapInArrow(run, "cid long, root long").distinct()
+
 
-    return table.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "key long, vec binary")
+def counted(rows: DataFrame, least: float, kind: str) -> DataFrame:
+    """(cid, links): rows of the table whose vectors link with each class's, its own class left out."""
+    keys = ["component", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[np.ndarray]]:
+            for g in _groups(batches, keys):
+                x, n, right = _vectors(g, kind), g.column("n").to_numpy(), g.column("right").to_numpy()
+                links = x @ x.T >= least
+                np.fill_diagonal(links, False)
+                if g.column("x")[0].as_py() != g.column("y")[0].as_py():
+                    links &= right[:, None] != right[None, :]
+                yield [g.column("cid").to_numpy(), links @ n]
+
+        yield from _batched(found(), ["cid", "links"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "right", "cid", "n", "vec").mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(ws: Workspace, table: DataFrame, key: str, vector: str, least: float = 0.95) -> DataFrame:
     """(key, n_links, component_id) of each row: other rows with a cosine of at least `least`, and the smallest key that links reach."""
-    rows = valid_bytes(table, key, vector)
-    fp = (F.xxhash64("vec").alias("fp1"), F.xxhash64(F.lit(1), "vec").alias("fp2"))
-    rows = ws.keep(rows.select("key", "vec", *[F.when(F.col("vec").isNotNull(), x).alias(f"fp{i + 1}") for i, x in enumerate(fp)]), "vectors")
-    classes = ws.keep(rows.where("fp1 IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
-    bits, tables = plan(classes.count(), least)
-    held = _postings(classes, bits, tables, vectors=False).groupBy("dim", "tab", "code").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK)
-    long_ones = ws.keep(held.select("dim", "tab", "code", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "buckets")
-    posted = _postings(classes, bits, tables, vectors=True).join(long_ones, ["dim", "tab", "code"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    posted = posted.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = posted.select("dim", "tab", "code", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "rep", "n", "vec")
-    found = ws.keep(_bucket_links(dealt, least, bits, tables), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = connected_components(ws, found, "rep", "root").select(F.col("node").alias("rep"), "component")
-    classes = classes.drop("vec").join(links, "rep", "left").join(named, "rep", "left")
-    out = rows.select("key", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
-    return out.select("key", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep", "key").alias("component_id"))
+    kind = "<f4" if dict(table.dtypes)[vector] == "array<float>" else "<f8"
+    table = table if kind == "<f4" else table.withColumn(vector, F.col(vector).cast("array<double>"))
+    rows = ws.keep(_classes_of_rows(table, key, vector), "rows")
+    classes = ws.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("key").alias("least"), F.count("*").alias("n")), "classes")
+    total = classes.count()
+    bits, tables = plan(total, least)
+    number = lambda x: (np.int64(x.shape[1] * tables) + np.arange(tables)) << bits
+
+    def count(x: np.ndarray, cid: np.ndarray) -> list[pa.Array]:
+        return [pa.array(a) for a in np.unique(codes(x, bits, tables)[0] + number(x), return_counts=True)]
+
+    def post(x: np.ndarray, cid: np.ndarray) -> list[pa.Array]:
+        code, sketch = codes(x, bits, tables)
+        return [pa.array((code + number(x)).ravel()), pa.array(np.repeat(cid, tables)), *[pa.array(np.repeat(s, tables)) for s in sketch.T]]
+
+    held = _each(table, key, vector, "code long, m long", count).groupBy("code").agg(F.sum("m").alias("m")).where(F.col("m") > CHUNK)
+    long_ones = ws.keep(held.select("code", F.ceil(F.col("m") / CHUNK).cast("int").alias("many")), "buckets")
+    if long_ones.count() <= 100_000:  # else Spark's own join
+        long_ones = F.broadcast(long_ones)
+    posted = _each(table, key, vector, "code long, cid long, s1 long, s2 long", post).join(long_ones, "code", "left")
+    members = ws.keep(candidates(_dealt(posted, F.coalesce("many", F.lit(1))), most_apart(least)), "members")
+    looked_up = _each(table, key, vector, "cid long, vec binary", lambda x, cid: [pa.array(cid), pa.array([v.tobytes() for v in x], pa.binary())])
+    vectors = ws.keep(looked_up.join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "vectors")
+    found = ws.keep(confirmed(members.join(vectors, "cid"), least, kind), "found")
+    named = ws.keep(connected_components(ws, found, "cid", "root").select(F.col("node").alias("cid"), "component"), "components")
+    named = named.join(classes, "cid")
+    sizes = named.groupBy("component").agg(F.count("*").alias("m"), F.min("least").alias("label"))
+    grouped = ws.keep(with_group(named, sizes, "component", "m", max(1, named.count())), "grouped")
+    links = counted(_dealt(grouped.select("component", "cid", "n", "m").join(vectors, "cid"), F.ceil(F.col("m") / CHUNK).cast("int")), least, kind)
+    of = ws.keep(classes.join(grouped.select("cid", "label"), "cid", "left").join(links, "cid", "left"), "links")
+    of = of.select("cid", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "least").alias("label"))
+    known = with_group(rows.where("cid IS NOT NULL"), of, "cid", "n", max(1, rows.count()))
+    known = known.select("key", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), F.col("label").alias("component_id"))
+    return known.unionByName(rows.where("cid IS NULL").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")))

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a minimum per node and a join, so no task holds a node's whole neighbourhood and the number
-of rows never exceeds twice the number of edges.
+Every step is a minimum per node, summed up before the shuffle, and a join of edges with the minimum of their node.
+Nodes that hold more than 1 / HUBS of all edges, which are fewer than HUBS by that, get theirs by broadcast, so no task
+holds a large node's neighbourhood. The number of rows never exceeds twice the number of edges.
 """
 
 from __future__ import annotations
@@ -11,6 +12,20 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace
 
+HUBS = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with the one row of groups that has their key; size counts the rows of a key, total all of them.
+
+    Keys with more than total / HUBS rows are fewer than HUBS, so theirs are sent to all tasks, and their rows are not
+    shuffled; all others meet in a shuffle.
+    """
+    hot = F.col(size) * HUBS > total
+    few = F.broadcast(groups.where(hot))  # fewer than HUBS rows
+    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
 
 def _down(df: DataFrame, u: str, v: str) -> DataFrame:
     return df.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
@@ -31,12 +46,12 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
     before = _state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _down(both.where("v > u").join(least, "u"), "v", "m")
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _down(large.join(smallest, "u").select("v", "m").unionByName(smallest.select(F.col("u").alias("v"), "m")), "v", "m")
-        after = ws.keep(small, "edges")
-        ws.drop(now)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = ws.keep(_down(with_group(both.where("v > u"), least, "u", "n", 2 * before[0]), "v", "m"), "large")
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_group(large, smallest, "u", "n", before[0]).select("v", "m").unionByName(smallest.select(F.col("u").alias("v"), "m"))
+        after = ws.keep(_down(small, "v", "m"), "edges")
+        ws.drop(now, large)
         now, state = after, _state(after)
         if state == before:
             break
