@@ -15,10 +15,13 @@ def fold(key: Column, n: int = 3) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int = MOST_LABELLED) -> DataFrame:
-    """(key, label, docs' other columns) of at most `most` labelled rows outside fold 1, chosen by a hash of the key.
+    """(key, docs' other columns, __label) of at most `most` labelled rows outside fold 1, chosen by a hash of the key.
 
-    The chosen keys are few by this bound, so they are sent to the documents and no text is shuffled.
+    The chosen keys are few by this bound, so they are sent to the documents and few texts are shuffled. A key with
+    several rows gives the least by a hash of the whole row, and a key with several labels the least label.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(F.col(key)) != 1))
     known = known.groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("int").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(most)
-    return docs.join(F.broadcast(known), F.col(key) == F.col("__key")).drop("__key").dropDuplicates([key])
+    rest = [c for c in docs.columns if c != key]
+    rows = docs.join(F.broadcast(known), F.col(key) == F.col("__key")).withColumn("__row", F.struct(F.xxhash64(*docs.columns).alias("h"), *rest))
+    return rows.groupBy(key, "__label").agg(F.min("__row").alias("__row")).select(key, *[F.col("__row")[c].alias(c) for c in rest], "__label")
