@@ -2,10 +2,10 @@
 
 A document's whole windows are cut off first; what is left goes, as it comes, to the fill level that makes the
 sum of squares of the numbers of open windows at each level least, an empty window being level 0. Each
-partition of the input packs its own rows, with an array of level counts and at most MAX_OPEN open windows;
-beyond that the fullest one is filled up with a cut. At the end the open windows fill each other with cuts,
-and what is left is cut at powers of two, which need no padding. So no row crosses a shuffle, no sequence is
-padded, and a lost task packs the same rows again in the same way.
+partition of the input packs its own rows, with an array of level counts, in stretches of STRETCH tokens, so that
+memory is bounded whatever the sizes. At the end of a stretch the open windows fill each other with cuts, and what is
+left is cut at powers of two, which need no padding. So no row crosses a shuffle, no sequence is padded, and a lost
+task packs the same rows again in the same way.
 
 Null and empty texts have the end id alone. Null and repeated keys are packed like others. Empty tables give no rows.
 """
@@ -26,15 +26,16 @@ from .token_ids import encoder
 
 END = 1
 WIDTH = 2048
-MAX_OPEN = 256
+#: Tokens after which open windows are closed.
+STRETCH = 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Packer:
     """Pieces are [key, start, ids, doc_tokens]; closed sequences are lists of pieces, in closed."""
 
-    def __init__(self, width: int = WIDTH, most: int = MAX_OPEN):
-        self.width, self.most = width, most
+    def __init__(self, width: int = WIDTH, stretch: int = STRETCH):
+        self.width, self.stretch, self.taken = width, stretch, 0
         self.count = np.zeros(width + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(width + 1)]
         self.closed: list[list] = []
@@ -67,12 +68,11 @@ class Packer:
             self.closed.append([[key, at // 4, ids[at : at + step], total]])
             at += step
         if at < len(ids):
-            rest = len(ids) - at
-            if self.count.sum() >= self.most and (full := int(np.flatnonzero(self.count)[-1])) and (self.width - full) * 4 < rest:
-                gap = (self.width - full) * 4
-                self.put([key, at // 4, ids[at : at + gap], total], full)
-                at += gap
             self.put([key, at // 4, ids[at:], total], self.level((len(ids) - at) // 4))
+        self.taken += total
+        if self.taken >= self.stretch:
+            self.finish()
+            self.taken = 0
 
     def finish(self) -> None:
         """Closes all windows: the fullest are filled with pieces of the emptiest, the last is cut at powers of two."""
