@@ -5,8 +5,8 @@ pre-tokenizer always cuts, each chunk is encoded once by the library and its ids
 a text's ids are its chunks' ids joined. The cuts are proved for the two kinds below only, by the patterns
 of their files, so other files are refused.
 
-Names of special tokens in a text, as <|endoftext|>, are encoded as ordinary pieces, not as the special id that
-the library gives by default.
+A text that holds the sign that names of special tokens start with, as in <|endoftext|>, goes to the library whole,
+so such a name gives its special id, as it does by the library's default.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _TAIL = rf"[{_MARKS}]+(?=[{SPACES}]|\Z)"
 BYTE_LEVEL = rf" ?[{_LETTERS}]+{_ENDS}|{_TAIL}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Word ends: white space only separates.
 WORD_END = rf"[{_LETTERS}]+{_ENDS}|{_TAIL}|[^{SPACES}]+"
+#: Fixed value: what names of special tokens of the files start with.
+SPECIAL = "<|"
 #: Strings that are remembered, twice at most.
 MOST = 300_000
 #: Bytes of text that are encoded at a time, unless one text is longer.
@@ -71,7 +73,6 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         name = os.path.basename(path)
         if name not in ("byte_bpe_50k.json", "word_bpe_49k.json"):
@@ -88,6 +89,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def by_chunks(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.chunks.__getitem__, self.cut(text)))
 
     def by_piece(self, piece: str) -> bytes:
@@ -110,6 +113,8 @@ class Encoder:
         else:
             odd = np.zeros(n, bool)
             lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        special = pc.match_substring(column, SPECIAL).to_numpy(zero_copy_only=False)
+        odd = odd | special
         words = lists.flatten().dictionary_encode()
         ids = list(map(self.pieces.__getitem__, words.dictionary.to_pylist()))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -119,14 +124,15 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(own)))
         out = data[np.repeat(at[which] - ends[:-1], own) + np.arange(ends[-1])]
         offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        if not self.byte_level:
-            return out, offsets
-        keep = np.ones(len(out), bool)
-        keep[offsets[:-1]] = False
+        lead = int(self.byte_level)
         if not odd.any():
+            if not lead:
+                return out, offsets
+            keep = np.ones(len(out), bool)
+            keep[offsets[:-1]] = False
             return out[keep], offsets - np.arange(n + 1)
         each = np.split(out, offsets[1:-1])
-        parts = [np.frombuffer(self.by_chunks(column[i].as_py()), "<u4") if odd[i] else each[i][1:] for i in range(n)]
+        parts = [np.frombuffer(self.by_chunks(column[i].as_py()), "<u4") if odd[i] else each[i][lead:] for i in range(n)]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
     def rows(self, column: pa.Array, end: int) -> Iterator[tuple[int, bytes]]:
