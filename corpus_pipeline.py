@@ -1,7 +1,14 @@
 """A training corpus from raw documents: classify, apply rules, drop near duplicates, mix sources, pack.
 
 Each stage is written as Parquet and read again before the next, so an executor that is lost costs one stage's
-tasks at most. All stages but the last return the columns of documents.
+tasks at most. All stages but the last return the columns of documents, whatever further ones there are and however
+they are named; the last returns pieces of sequences.
+
+Null and empty texts fail the base rules, so none gets past the second stage. Nulls in other columns change nothing, and
+a null source is a source of its own. Rows without a doc_id are scored and mixed like others, and link with nothing.
+Very long texts are read whole. Rows that are repeated in full are near duplicates of each other, and one stays; rows
+that share a doc_id but not a text are documents of their own, which stay or go together. Ties are broken by doc_id.
+Empty tables give no rows; without labels the classifier keeps everything and the base rules decide alone.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import minhash_dedup, mixing, packing, quality_cnn, quality_rules
+from locusframe.llm.graph import with_group
 from locusframe.llm.queries import tokenizer_path
 from locusframe.llm.shared import Workspace
 
@@ -34,10 +42,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; of repeated rows one, and all rows without a doc_id."""
-    found = minhash_dedup.near_duplicates(Workspace(spark), docs, "doc_id", "text", percent=SIMILAR)
-    kept = found.where("key = component_id").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps the document with the smallest doc_id of each group; of rows with its doc_id and the same text one, and all rows without a doc_id."""
+    ws, names = Workspace(spark), docs.columns
+    found = minhash_dedup.near_duplicates(ws, docs, "doc_id", "text", percent=SIMILAR)
+    kept = ws.keep(found.where("key = component_id").groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("__rows")), "kept")
+    rows = with_group(docs, kept, "doc_id", "__rows", max(1, docs.count()))
+    once = rows.where("__rows = 1").select(names)
+    # few: rows that share their doc_id, of which equal texts come once
+    several = rows.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(names)
+    return once.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

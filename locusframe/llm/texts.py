@@ -26,6 +26,7 @@ _IS_SPACE[[32, *range(9, 14)]] = True
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 #: Bytes of text that are worked on at a time, unless one text is longer.
 BLOCK = 1 << 19
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +67,20 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarra
         first = last
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from start to end, by stretches of about PIECE bytes, as a hash doesn't depend on the place."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        a = start[i]
+        j = max(i + 1, int(np.searchsorted(end, a + PIECE, "right")))
+        up, down = _powers(end[j - 1] - a + 1)
+        own = data[a : end[j - 1]]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[own] * up[: len(own)], dtype=np.uint64)))
+        out[i:j] = mix((sums[end[i:j] - a] - sums[start[i:j] - a]) * down[start[i:j] - a])
+        i = j
+    return out
+
+
 class Words:
     """Words of a block: starts and ends in bytes, 64-bit hashes, and first: the first word of each row and the end."""
 
@@ -74,9 +89,7 @@ class Words:
         inside = ~_IS_SPACE[data]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
-        up, down = _powers(len(data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_VALUE if lower else _BYTE)[data] * up[: len(data)], dtype=np.uint64)))
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = _hashes(data, self.start, self.end, _VALUE if lower else _BYTE)
         self.first = np.searchsorted(self.start, starts)
 
     def counts(self) -> np.ndarray:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from locusframe.llm import embed_dedup, graph, html_text, labelled, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, texts, token_ids, token_records
@@ -306,7 +307,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
 
 # ---- 7, 9
 
-ODD = ["", None, "  a", "a  b\n\n c \t", "it's 's don't'", "12,5 %% a1b2 ..\nx", "\x1c a\x1cb\x85c d　e", "<|endoftext|> x", "日本 語。ok!", "á b. ́x", "ΑΣ ΟΔΟΣ,", "\r\n x \r", "\n", "a\nb", " ", "É ÀÉß ÿ", "a | b||c"]
+ODD = ["", None, "  a", "a  b\n\n c \t", "it's 's don't'", "12,5 %% a1b2 ..\nx", "\x1c a\x1cb\x85c d　e", "<|endoftext|> x", "a b<|endoftext|>c <|startoftext|>\nd", "<|ENDOFTEXT|>", "a <| b", "日本 語。ok!", "á b. ́x", "ΑΣ ΟΔΟΣ,", "\r\n x \r", "\n", "a\nb", " ", "É ÀÉß ÿ", "a | b||c"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -315,9 +316,9 @@ def test_chunks_encode_like_whole_texts(name, monkeypatch):
     rows = ODD + ["".join(rng.choice("ab Zé'\n\t.,1$ ́") for _ in range(rng.randrange(60))) for _ in range(400)]
     monkeypatch.setattr(token_ids, "MOST", 50)
     monkeypatch.setattr(token_ids, "BLOCK", 500)
-    e = token_ids.Encoder(tokenizer_path(name))
+    e, plain = token_ids.Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
     for i, ids in e.rows(pa.array(rows), 1):
-        want = e.tokenizer.encode(rows[i] or "", add_special_tokens=False).ids + [1]
+        want = plain.encode(rows[i] or "", add_special_tokens=False).ids + [1]
         assert np.frombuffer(ids, "<u4").tolist() == want, rows[i]
 
 
@@ -384,7 +385,7 @@ def test_packing_keeps_every_id(spark, docs, empty):
 
 def test_level_is_the_least_sum_of_squares():
     rng = random.Random(6)
-    p = packing.Packer(width=32, most=10**9)
+    p = packing.Packer(width=32, stretch=10**9)
     for i in range(2000):
         size = rng.randrange(1, 32)
         n = p.count.copy()
@@ -430,31 +431,133 @@ def test_language_model_counts_and_proper_codes(spark, empty):
     assert lm_mixing.score(Workspace(spark), empty, "doc_id", "text", held).count() == 0
 
 
-def test_tables_hold_every_training_token(spark):
+def learnt(spark, rows):
+    """(model, blocks of all rows) of texts that are all training ones."""
+    docs = spark.createDataFrame(rows, DOCS)
+    ws = Workspace(spark)
+    model = lm_mixing.learn(ws, docs.select("text"))
+    work = lm_mixing.coded(ws, docs, model, "doc_id", "text", F.lit(False))
+    counts = lm_mixing.class_counts(ws, work, model.size)
+    model.tables = lm_mixing.tables_of(model, counts)
+    return model, [bytes(r["data"]) for r in work.where("block IS NOT NULL").select("data").collect()], counts
+
+
+def answered(model, blocks, which):
+    """What the shards say of one block's keys."""
+    chunks = defaultdict(list)
+    for i, data in enumerate(blocks):
+        for shard, keys in lm_mixing.asked(model, data):
+            chunks[shard].append((i, keys))
+    out = []
+    for shard in sorted(chunks):
+        for (i, _), told in zip(chunks[shard], lm_mixing.served([k for _, k in chunks[shard]]), strict=True):
+            if i == which:
+                out.append((shard, told))
+    return out
+
+
+def test_everything_that_is_counted_grows_with_the_training_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "SHARD", 8)
     rng = random.Random(4)
     rows = [(7 if i % 3 == 0 else i, prose(rng, rng.choice([5, 60, 200])), "en", "s", 1) for i in range(60)] + [(900, None, None, None, None)]
-    docs = spark.createDataFrame(rows, DOCS)
-    ws, none = Workspace(spark), F.lit(False)
-    model = lm_mixing.train(ws, docs, "doc_id", "text", none)[0]
-    ((_, data, starts),) = texts.blocks(pa.array([r[1] for r in rows], pa.large_string()), texts.BLOCK)
-    h, first, _, _ = lm_mixing.tokens(data, starts)
+    model, blocks, counts = learnt(spark, rows)
+    total = sum(len(WORD.findall(t or "")) + 1 for _, t, *_ in rows)
+    assert model.n == total and model.shards == total >> 8 > 1
+    assert all(c.sum() == total for c in counts)
+    asked = [lm_mixing.unpack_keys(k) for data in blocks for shard, k in lm_mixing.asked(model, data) if shard < model.shards]
+    assert sum(times.sum() for _, times in asked) == total
+
+
+def test_keys_travel_and_come_back_counted():
+    rng = np.random.default_rng(0)
+    chunks, want = [], Counter()
+    for _ in range(4):
+        keys = np.unique(rng.integers(0, 1 << lm_mixing.KEY_BITS, 300, dtype=np.uint64) & np.uint64(0xFF0000C00F))
+        times = rng.integers(0, 1000, len(keys))
+        chunks.append(lm_mixing.pack_keys(keys, times))
+        back = lm_mixing.unpack_keys(chunks[-1])
+        assert (back[0] == keys).all() and (back[1] == times).all()
+        want.update(dict(zip(keys.tolist(), times.tolist(), strict=True)))
+    contexts = Counter()
+    for k, n in want.items():
+        contexts[k >> lm_mixing.SYMBOL_BITS] += n
+    for data, told in zip(chunks, lm_mixing.served(chunks), strict=True):
+        keys = lm_mixing.unpack_keys(data)[0].tolist()
+        c, n = lm_mixing.unpack(told, "<u4 <u4")
+        assert c.tolist() == [want[k] for k in keys] and n.tolist() == [contexts[k >> lm_mixing.SYMBOL_BITS] for k in keys]
+    wide = np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
+    assert (lm_mixing.unpack_keys(lm_mixing.pack_keys(wide, np.ones(50, int), True))[0] == wide).all()
+
+
+def ready(rows, held=1):
+    """A block of rows of symbols."""
+    sizes = np.array([len(r) for r in rows], "<u4")
+    n = np.zeros(len(rows), "<i8")
+    return lm_mixing.pack(n, n.astype("u1"), np.full(len(rows), held, "u1"), n, sizes, np.concatenate(rows).astype("<i4"), np.zeros(0, "<u8"), np.zeros(0, "<f4"))
+
+
+def test_probabilities_of_the_whole_model_sum_to_one(spark):
+    rng = random.Random(9)
+    phrase = "the cat sat on the mat and the dog ran".split()
+    rows = [(i, " ".join(rng.choice(phrase) for _ in range(30)) + " " + " ".join(phrase), "en", "s", 1) for i in range(40)]
+    model, blocks, _ = learnt(spark, rows)
+    h = lm_mixing.tokens(*next(texts.blocks(pa.array([" ".join(phrase)])))[1:])[0]
     s = model.symbols(h)
-    assert all(model.counts[k].sum() == np.diff(model.first)[s].sum() for k in range(lm_mixing.CONTEXTS))
-    # a text that is seen without its own counts looks as it does to tables that never held it
-    part = slice(first[1], first[2])
-    token, place, _ = model.codes(s[part], np.arange(first[2] - first[1]))
-    context = model.contexts(s[part], first[1:3] - first[1])
-    st, gate = lm_mixing._ready(model).inputs(context, token, place, np.zeros(len(s[part]), np.int64))
-    lm_mixing.learn_tables(ws, spark.createDataFrame(rows[:1] + rows[2:], DOCS).select("text"), model)
-    want, want_gate = lm_mixing._ready(model).inputs(context, token, place)
-    assert np.allclose(st, want) and (gate == want_gate).all()
-
-
-def test_sample_of_texts_is_by_row(spark, monkeypatch):
-    monkeypatch.setattr(lm_mixing, "MOST_FITTED", 20)
-    rows = [(7, f"text {i}") for i in range(50)] + [(8, "again")] * 50
-    found = lm_mixing.sample(spark.createDataFrame(rows, "k long, t string"), "k", "t", F.lit(False))
-    assert len(found) == len(set(found)) == 20
+    for k in (0, 1, 5, 9):
+        after = [np.append(s[:k], x) for x in range(model.size)] + ([s[:k]] if k else [])
+        # slots are scored as symbols here: words of a slot share its probability
+        monkey = ready(after)
+        got = np.array(_scores_of_symbols(model, [*blocks, monkey]))
+        p = 10 ** (got[: model.size] - (got[-1] if k else 0))
+        assert abs(p.sum() - 1) < 1e-6
+        assert k < 5 or p[s[k]] > 0.3  # a context that was seen makes the word that followed likely
+
+
+def _scores_of_symbols(model, blocks):
+    top, model.top = model.top, np.arange(model.size)  # no symbol counts as rare
+    base, model.base = model.base, np.zeros(model.size)
+    try:
+        return lm_mixing.scored_block(model, blocks[-1], answered_by_places(model, blocks)).column("score").to_pylist()
+    finally:
+        model.top, model.base = top, base
+
+
+def answered_by_places(model, blocks):
+    return [(shard, told) for shard, told in answered(model, blocks, len(blocks) - 1) if shard < model.shards]
+
+
+def test_spellings_are_a_distribution(spark):
+    rng = random.Random(3)
+    model, _, _ = learnt(spark, [(i, prose(rng, 80), "en", "s", 1) for i in range(20)])
+    every = np.arange(256)
+    for context in (32 * 256 + 32, 32 * 256 + ord("a"), ord("b") * 256 + ord("c"), 5 * 256 + 7):
+        assert abs(model.byte(np.full(256, context), every).sum() - 1) < 1e-9
+    assert model.slot_p.sum() <= 1 + 1e-6
+    words = ["".join(x) for n in (1, 2) for x in __import__("itertools").product("abcde", repeat=n)]
+    data, starts = next(texts.blocks(pa.array([" ".join(words)])))[1:]
+    at = texts.Words(data, starts)
+    slot = lm_mixing.slot_of(data[at.start], np.where(at.end - at.start > 1, data[np.minimum(at.start + 1, len(data) - 1)], 32))
+    assert max(np.bincount(slot, 10 ** model.spelled(data, at.start, at.end))) <= 1 + 1e-6
+
+
+def test_a_text_that_comes_in_parts_scores_alike(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 400), "en", "s", 1) for i in range(6)]
+    rows.append((10, rows[0][1] + " " + rows[1][1] * 3, "en", "s", 1))
+    model, blocks, _ = learnt(spark, rows)
+    whole = [lm_mixing.scored_block(model, b, answered(model, blocks, i)).column("score").to_pylist() for i, b in enumerate(blocks)]
+    monkeypatch.setattr(lm_mixing, "PART", 2 * lm_mixing.STEP)
+    parts = [lm_mixing.scored_block(model, b, answered(model, blocks, i)).column("score").to_pylist() for i, b in enumerate(blocks)]
+    assert np.allclose(sum(whole, []), sum(parts, []), rtol=1e-4)
+
+
+def test_copies_are_told_from_other_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 150), "en", "s", 1) for i in range(60)] + [(100 + i, None, "en", "s", 1) for i in range(2)]
+    rows[60:] = [(100 + i, rows[i][1], "en", "s", 1) for i in range(4)]
+    got = {r["key"]: r["bits_per_byte"] for r in lm_mixing.score(Workspace(spark), spark.createDataFrame(rows, DOCS), "doc_id", "text", F.lit(False)).collect()}
+    copies = [got[i] for i in (*range(4), *range(100, 104))]
+    assert max(copies) < 0.3 * min(v for k, v in got.items() if 4 <= k < 60)
 
 
 def test_codes_are_a_distribution():
