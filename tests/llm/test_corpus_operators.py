@@ -472,7 +472,7 @@ def test_keys_travel_and_come_back_counted():
     rng = np.random.default_rng(0)
     chunks, want = [], Counter()
     for _ in range(4):
-        keys = np.unique(rng.integers(0, 1 << lm_mixing.KEY_BITS, 300, dtype=np.uint64) & np.uint64(0xFF0000C00F))
+        keys = np.unique(rng.integers(0, 1 << lm_mixing.KEY_BITS, 300, dtype=np.uint64) & np.uint64(0xFFF00C000F0))
         times = rng.integers(0, 1000, len(keys))
         chunks.append(lm_mixing.pack_keys(keys, times))
         back = lm_mixing.unpack_keys(chunks[-1])
