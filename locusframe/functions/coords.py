@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 CHROM_X, CHROM_Y = 23, 24
 #: Bits of the packed layouts.
 POS_AT, CHROM_AT, REF_AT, START_AT = 16, 58, 8, 29
-IUPAC = "ACGTUMRWSYKVHDBN"
+#: The letters of alleles in texts of variants.
+IUPAC = "ACGTMRWSYKVHDBN"
 
 
 def _c(x: Column | str) -> Column:
@@ -150,6 +151,32 @@ def relative_position(p, lp, rp) -> Column:
     return (p - lp) / F.nullif((rp - lp).cast("double"), F.lit(0.0))
 
 
+def variant_holds(c1, p1, c2, s2, e2) -> Column:
+    """Whether a variant's one base is all of a region."""
+    c1, p1, c2, s2, e2 = map(_c, (c1, p1, c2, s2, e2))
+    return (c1 == c2) & (s2 == p1) & (e2 == p1 + 1)
+
+
+def boundary_positions(start="start", end="end") -> dict[str, Column]:
+    """The first position of a region, the last one inside, and the one after it."""
+    return {"first": _c(start), "last": _c(end) - 1, "after": _c(end)}
+
+
+def joined_region(c1, s1, e1, c2, s2, e2) -> tuple[Column, Column]:
+    """(start, end) of the region from the earlier start to the end of the later region; NULL across chromosomes and where a gap lies between."""
+    c1, s1, e1, c2, s2, e2 = map(_c, (c1, s1, e1, c2, s2, e2))
+    first = F.least(F.struct(s1.alias("s"), e1.alias("e")), F.struct(s2.alias("s"), e2.alias("e")))
+    second = F.greatest(F.struct(s1.alias("s"), e1.alias("e")), F.struct(s2.alias("s"), e2.alias("e")))
+    fine = (c1 == c2) & (first["e"] >= second["s"])
+    return F.when(fine, first["s"]), F.when(fine, second["e"])
+
+
+def shifted(start="start", end="end", offset: Column | int = 0) -> tuple[Column, Column]:
+    """(start, end) moved by an offset."""
+    o = offset if isinstance(offset, Column) else F.lit(offset)
+    return _c(start) + o, _c(end) + o
+
+
 def starts_before(c1, s1, c2, s2) -> Column:
     """Order by chromosome and then by one coordinate; with ends, whether the first ends before the second."""
     return F.struct(_c(c1), _c(s1).alias("x")) < F.struct(_c(c2), _c(s2).alias("x"))

@@ -79,6 +79,24 @@ def format_bits(words: Column | str, n: Column | int) -> Column:
     return F.array_join(F.transform(unpack_bits(words, n), lambda x: x.cast("string")), "")
 
 
+def pack_bytes(bits: Column | str) -> Column:
+    """0/1 values as bytes, eight to a byte, first value lowest."""
+    b = _c(bits)
+    one = lambda i, k: F.when(i + k < F.size(b), F.get(b, i + k)).otherwise(F.lit(0)) * (1 << k)
+    byte = lambda j: sum((one(j * 8, k) for k in range(1, 8)), one(j * 8, 0)).cast("int")
+    hexes = F.transform(F.sequence(F.lit(0), F.ceil(F.size(b) / 8).cast("int") - 1), lambda j: F.lpad(F.hex(byte(j)), 2, "0"))
+    return F.when(F.size(b) > 0, F.unhex(F.array_join(hexes, ""))).when(b.isNotNull(), F.unhex(F.lit("")))
+
+
+def dosage_covariance(x: Column | str, y: Column | str) -> Column:
+    """Sample covariance of two dosage arrays over the samples that both have; NULL with fewer than two."""
+    both = F.filter(F.arrays_zip(_c(x).alias("a"), _c(y).alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    total = lambda f: F.aggregate(F.transform(both, f), F.lit(0.0), lambda s, v: s + v)
+    n = F.size(both).cast("double")
+    dot, sx, sy = total(lambda p: (p["a"] * p["b"]).cast("double")), total(lambda p: p["a"].cast("double")), total(lambda p: p["b"].cast("double"))
+    return F.when(n > 1, (n * dot - sx * sy) / F.nullif(n * (n - 1.0), F.lit(0.0)))
+
+
 def popcount(words: Column | str) -> Column:
     return F.aggregate(_c(words), F.lit(0).cast("bigint"), lambda a, w: a + F.bit_count(w))
 

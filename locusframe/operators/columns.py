@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.alleles import letter_of, mask_of
-from ..functions.coords import chrom_code
+from ..functions.coords import chrom_code, pack_region, pack_variant, parse_region, parse_variant, unpack_region, unpack_variant
 
 #: All bases, for an allele that isn't given.
 ANY = 15
@@ -26,6 +26,41 @@ def region_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if _is(f, _REGION)]
 
 
+def is_variant(df: DataFrame, column: str) -> bool:
+    return column in variant_columns(df)
+
+
+def is_region(df: DataFrame, column: str) -> bool:
+    return column in region_columns(df)
+
+
+def _struct(parts: dict[str, Column], names: list[str]) -> Column:
+    made = F.struct(*[parts[n].alias(n) for n in names])
+    return F.when(parts[names[1]].isNotNull() & parts["chrom"].isNotNull(), made)
+
+
+def as_variant(df: DataFrame, column: str) -> Column:
+    """A column as a variant struct: from text, from the packed long, or as it is; NULL where it isn't one."""
+    if is_variant(df, column):
+        return F.col(column)
+    return _struct(parse_variant(column) if dict(df.dtypes)[column] == "string" else unpack_variant(column), _VARIANT)
+
+
+def as_region(df: DataFrame, column: str) -> Column:
+    """A column as a region struct: from text, from the packed long, from a variant struct (its one base), or as it is."""
+    if is_region(df, column):
+        return F.col(column)
+    if is_variant(df, column):
+        return region_of_variant(column)
+    return _struct(parse_region(column) if dict(df.dtypes)[column] == "string" else unpack_region(column), _REGION)
+
+
+def as_packed(df: DataFrame, column: str) -> Column:
+    """A variant or region struct as its packed long."""
+    v = F.col(column)
+    return pack_variant(*[v[n] for n in _VARIANT]) if is_variant(df, column) else pack_region(*[v[n] for n in _REGION])
+
+
 def as_allele(df: DataFrame, name: str) -> Column:
     """A column as sets: texts by their first letter, numbers as they are."""
     return mask_of(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("int")
@@ -64,7 +99,7 @@ def explode_regions(df: DataFrame, column: str = "region", remove: bool = True)
 def region_of_variant(column: str = "variant") -> Column:
     """The one-base region of a variant."""
     v = F.col(column)
-    return F.struct(v["chrom"].alias("chrom"), v["pos"].alias("start"), (v["pos"] + 1).alias("end"))
+    return F.when(v.isNotNull(), F.struct(v["chrom"].alias("chrom"), v["pos"].alias("start"), (v["pos"] + 1).alias("end")))
 
 
 def with_fields(column: str, **values: Column) -> Column:

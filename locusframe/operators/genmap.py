@@ -9,6 +9,15 @@ from pyspark.sql.window import Window
 from .intervals import as_of
 
 
+#: Least length of a segment of windows on the map.
+SEGMENT_CM = 1.0
+
+
+def steps(knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm", out: str = "step") -> DataFrame:
+    """knots with the distance on the map from the knot before, NULL for the first of a chromosome."""
+    return knots.withColumn(out, F.abs(F.col(cm) - F.lag(cm).over(Window.partitionBy(chrom).orderBy(pos))))
+
+
 def interpolate(q: DataFrame, knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm", out: str = "map", strict: bool = False) -> DataFrame:
     """q with the map's value at each position: linear between knots of the chromosome, and beyond the ends by their last two.
 
@@ -34,11 +43,18 @@ def interpolate(q: DataFrame, knots: DataFrame, chrom: str = "chrom", pos: str =
 def windows(df: DataFrame, width: float, chrom: str = "chrom", pos: str = "pos", cm: str = "cm") -> DataFrame:
     """df with start and end of the region of all positions whose map value is at most width / 2 away.
 
-    The frame is a range over doubles, which only SQL text can express.
+    The frame is a range over doubles, which only SQL text can express. A chromosome is cut at multiples of a length on
+    the map, and every segment also gets the rows within half a width of it, so no task sorts a chromosome. A row
+    without a map value has no region.
     """
-    half = width / 2
-    over = f"OVER (PARTITION BY `{chrom}` ORDER BY `{cm}` RANGE BETWEEN CAST({half!r} AS DOUBLE) PRECEDING AND CAST({half!r} AS DOUBLE) FOLLOWING)"
-    return df.withColumns({"start": F.expr(f"min(`{pos}`) {over}"), "end": F.expr(f"max(`{pos}`) {over} + 1")})
+    half, length = width / 2, max(width, SEGMENT_CM)
+    at = F.explode_outer(F.sequence(F.floor((F.col(cm) - half) / length), F.floor((F.col(cm) + half) / length)))
+    df = df.withColumn("__seg", at)
+    over = f"OVER (PARTITION BY `{chrom}`, __seg ORDER BY `{cm}` RANGE BETWEEN CAST({half!r} AS DOUBLE) PRECEDING AND CAST({half!r} AS DOUBLE) FOLLOWING)"
+    seen = df.withColumns({"start": F.expr(f"min(`{pos}`) {over}"), "end": F.expr(f"max(`{pos}`) {over} + 1")})
+    seen = seen.where(F.floor(F.col(cm) / length).eqNullSafe(F.col("__seg")))
+    known = F.col(cm).isNotNull()
+    return seen.withColumns({"start": F.when(known, F.col("start")), "end": F.when(known, F.col("end"))}).drop("__seg")
 
 
 def not_increasing(knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm") -> DataFrame:

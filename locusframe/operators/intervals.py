@@ -1,10 +1,12 @@
 """Interval joins as equi-joins on bins.
 
-A target region is put into the one or two bins that it touches at the finest level whose bins are as wide as
-it is; a query is put into the bins that it touches at every level. Both sides meet on (chrom, level, bin), which
-Spark shuffles, sorts or broadcasts as it sees fit, and an exact condition follows. A pair is taken only in the
-first bin that both touch, so it comes once without a distinct. Long targets cost two rows, not one row for each
-fine bin, and the 24 chromosomes are no skew.
+A region's own level is the finest one whose bins are as wide as it is, so it touches one or two bins there, and one or
+two at each coarser level. A pair meets at the coarser of its two levels: where that is the target's, queries look
+there from below, and where it is the query's, targets do. Both cases are one join on (chrom, level and case, bin), which
+Spark shuffles, sorts or broadcasts as it sees fit, and an exact condition follows. A pair is taken only in the first
+bin that both touch, so it comes once without a distinct. However wide a region is, on either side, it gives a few rows
+and not one for each fine bin, and the 24 chromosomes are no skew. A small aggregate over the bounds of each side says
+which levels come up, and rows are made for those only.
 """
 
 from __future__ import annotations
@@ -16,44 +18,72 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bases of a bin at each level; the last level holds all that is wider.
-LEVELS = (1 << 14, 1 << 17, 1 << 20, 1 << 23, 1 << 30)
+LEVELS = (1 << 8, 1 << 11, 1 << 14, 1 << 17, 1 << 20, 1 << 23, 1 << 30)
 #: Bases of a segment of the as-of lookup.
 SEGMENT = 1 << 20
 Span = tuple[str, str, str]
+#: Code of a level in a row's key where the query's level is the coarser one.
+_FROM_QUERY = 100
 
 
-def _target_bins(t: DataFrame, levels: Sequence[int]) -> DataFrame:
-    width = F.col("__te") - F.col("__ts")
+def _level(start: Column, end: Column, levels: Sequence[int]) -> Column:
     level = F.lit(len(levels) - 1)
     for i in reversed(range(len(levels) - 1)):
-        level = F.when(width <= levels[i], i).otherwise(level)
-    t = t.withColumn("__level", level).withColumn("__bin_width", F.element_at(F.array(*[F.lit(x).cast("bigint") for x in levels]), F.col("__level") + 1))
-    first, last = F.floor(F.col("__ts") / F.col("__bin_width")), F.floor(F.greatest(F.col("__te") - 1, F.col("__ts")) / F.col("__bin_width"))
-    return t.withColumn("__tfirst", first).withColumn("__bin", F.explode(F.sequence(first, last))).drop("__bin_width")
+        level = F.when(end - start <= levels[i], i).otherwise(level)
+    return F.when(start < end, level)
 
 
-def _query_bins(q: DataFrame, levels: Sequence[int]) -> DataFrame:
-    last = F.greatest(F.col("__qe") - 1, F.col("__qs"))
+def _side(df: DataFrame, key: str, span: Span, names: tuple[str, str, str]) -> DataFrame:
+    return df.select(F.col(key).alias(names[0]), F.col(span[0]).alias("__chrom"), F.col(span[1]).cast("bigint").alias(names[1]), F.col(span[2]).cast("bigint").alias(names[2]))
 
-    def touched(level: int, width: int) -> Column:
-        first = F.floor(F.col("__qs") / F.lit(width))
-        bins = F.sequence(first, F.floor(last / F.lit(width)))
-        return F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), first.alias("first")))
 
-    spans = [touched(i, x) for i, x in enumerate(levels)]
-    return q.withColumn("__at", F.explode(F.concat(*spans))).select("*", F.col("__at.level").alias("__level"), F.col("__at.bin").alias("__bin"), F.col("__at.first").alias("__qfirst")).drop("__at")
+def used_levels(df: DataFrame, start: str, end: str, levels: Sequence[int] = LEVELS) -> list[int]:
+    """The levels that regions of df have, from one aggregate over their bounds."""
+    return sorted(df.agg(F.collect_set(_level(F.col(start), F.col(end), levels))).first()[0])
 
 
-def overlap_pairs(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False, levels: Sequence[int] = LEVELS) -> DataFrame:
+def _bins(df: DataFrame, start: str, end: str, own: str, first: str, looks: dict[int, tuple[str, int]], levels: Sequence[int], outer: bool) -> DataFrame:
+    """df with a row for each bin that it touches at the levels it looks at: looks has, by code, whether its own level must be "at" or "upto" or "below" a level."""
+    s, e, level = F.col(start), F.col(end), F.col(own)
+    none = F.array().cast("array<struct<code:int,bin:bigint,first:bigint>>")
+
+    def at_level(code: int, rule: str, at: int) -> Column:
+        width = F.lit(levels[at]).cast("bigint")
+        lo, hi = F.floor(s / width), F.floor((e - 1) / width)
+        wanted = {"at": level == at, "upto": level <= at, "below": level < at}[rule]
+        made = F.transform(F.sequence(lo, hi), lambda b: F.struct(F.lit(code).alias("code"), b.alias("bin"), lo.alias("first")))
+        return F.when(wanted, made).otherwise(none)
+
+    parts = [at_level(code, rule, at) for code, (rule, at) in looks.items()]
+    every = F.concat(*parts) if parts else none
+    out = df.withColumn(own, _level(s, e, levels)).withColumn("__at", (F.explode_outer if outer else F.explode)(every))
+    return out.select("*", F.col("__at.code").alias("__code"), F.col("__at.bin").alias("__bin"), F.col("__at.first").alias(first)).drop("__at", own)
+
+
+def binned_pair(q: DataFrame, t: DataFrame, q_levels: Sequence[int], t_levels: Sequence[int], levels: Sequence[int] = LEVELS, within: bool = False, outer: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides, (.., __qs, __qe) and (.., __ts, __te), with a row for each bin where they may meet."""
+    up = [x for x in t_levels if any(y <= x for y in q_levels)]
+    down = [] if within else [x for x in q_levels if any(y < x for y in t_levels)]
+    ql = _bins(q, "__qs", "__qe", "__qlevel", "__qfirst", {x: ("upto", x) for x in up} | {x + _FROM_QUERY: ("at", x) for x in down}, levels, outer)
+    tl = _bins(t, "__ts", "__te", "__tlevel", "__tfirst", {x: ("at", x) for x in up} | {x + _FROM_QUERY: ("below", x) for x in down}, levels, False)
+    return ql, tl
+
+
+def overlap_pairs(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False, levels: Sequence[int] = LEVELS, left: bool = False) -> DataFrame:
     """(qid, tid) of all overlapping half-open regions of one chromosome; within: of queries that lie inside the target.
 
+    left: queries without a target have rows with NULL, one for each bin that was looked at, beside those of no other.
     Regions with a NULL bound or without a base match nothing.
     """
-    ql = q.select(F.col(qid).alias("__q"), F.col(q_span[0]).alias("__chrom"), F.col(q_span[1]).cast("bigint").alias("__qs"), F.col(q_span[2]).cast("bigint").alias("__qe")).where("__qs < __qe")
-    tl = t.select(F.col(tid).alias("__t"), F.col(t_span[0]).alias("__chrom"), F.col(t_span[1]).cast("bigint").alias("__ts"), F.col(t_span[2]).cast("bigint").alias("__te")).where("__ts < __te")
-    pairs = _query_bins(ql, levels).join(_target_bins(tl, levels), ["__chrom", "__level", "__bin"])
+    ql, tl = _side(q, qid, q_span, ("__q", "__qs", "__qe")), _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
+    if not left:
+        ql = ql.where("__qs < __qe AND __chrom IS NOT NULL")
+    ql, tl = binned_pair(ql, tl, used_levels(ql, "__qs", "__qe", levels), used_levels(tl, "__ts", "__te", levels), levels, within, left)
     fits = (F.col("__ts") <= F.col("__qs")) & (F.col("__qe") <= F.col("__te")) if within else (F.col("__qs") < F.col("__te")) & (F.col("__ts") < F.col("__qe"))
-    return pairs.where(fits & (F.col("__bin") == F.greatest("__qfirst", "__tfirst"))).select(F.col("__q").alias(qid), F.col("__t").alias(tid))
+    a, b = ql.alias("a"), tl.alias("b")
+    same = (F.col("a.__chrom") == F.col("b.__chrom")) & (F.col("a.__code") == F.col("b.__code")) & (F.col("a.__bin") == F.col("b.__bin"))
+    pairs = a.join(b, same & fits & (F.col("a.__bin") == F.greatest("__qfirst", "__tfirst")), "left" if left else "inner")
+    return pairs.select(F.col("__q").alias(qid), F.col("__t").alias(tid))
 
 
 def with_point_span(df: DataFrame, pos: str = "pos", end: str = "pos_end") -> DataFrame:
@@ -62,9 +92,21 @@ def with_point_span(df: DataFrame, pos: str = "pos", end: str = "pos_end") -> Da
 
 
 def first_match(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False) -> DataFrame:
-    """(qid, tid): for each query the smallest matching target, NULL without one."""
-    found = overlap_pairs(q, qid, q_span, t, tid, t_span, within).groupBy(qid).agg(F.min(tid).alias(tid))
-    return q.select(qid).join(found, qid, "left")
+    """(qid, tid): for each query the smallest matching target, NULL without one. Queries are told apart by qid."""
+    return overlap_pairs(q, qid, q_span, t, tid, t_span, within, left=True).groupBy(qid).agg(F.min(tid).alias(tid))
+
+
+def flagged(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, out: str = "overlaps") -> DataFrame:
+    """(qid, out): whether any target overlaps the query; regions or positions (as one-base regions) on either side."""
+    found = first_match(q, qid, q_span, t.withColumn("__one", F.lit(1)), "__one", t_span)
+    return found.select(qid, F.col("__one").isNotNull().alias(out))
+
+
+def block_of(q: DataFrame, qid: str, q_span: Span, blocks: DataFrame, block: str, b_span: Span) -> DataFrame:
+    """(qid, block's columns): the first block, by its number, that holds or overlaps each query; NULLs without one."""
+    made = F.struct(block, *[c for c in blocks.columns if c != block])
+    found = first_match(q, qid, q_span, blocks.withColumn("__block", made), "__block", b_span)
+    return found.select(qid, *[F.col(f"__block.{c}").alias(c if c == block else f"block_{c}") for c in blocks.columns])
 
 
 def overlapping(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, tid: str = "__tid", anti: bool = False) -> DataFrame:
@@ -82,7 +124,7 @@ def annotate_sets(q: DataFrame, qid: str, q_span: Span, t: DataFrame, feature: s
 
 def group_by_region(t: DataFrame, tid: str, t_span: Span, q: DataFrame, qid: str, q_span: Span) -> DataFrame:
     """(tid, qid): all queries of each target; a target without any has one row with NULL."""
-    return t.select(tid).join(overlap_pairs(q, qid, q_span, t, tid, t_span), tid, "left")
+    return t.select(tid).join(overlap_pairs(t, tid, t_span, q, qid, q_span), tid, "left")
 
 
 def as_of(q: DataFrame, chrom: str, pos: str, t: DataFrame, t_chrom: str, t_pos: str, value: Column, prev: str = "prev", next_: str = "next", segment: int = SEGMENT) -> DataFrame:

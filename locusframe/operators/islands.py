@@ -1,5 +1,7 @@
 """Hulls, clusters, unions and disjoint cuts of regions.
 
+Rows whose chromosome is NULL are a group of their own. Regions with a NULL bound come first in their group.
+
 Clusters are found in two steps. Regions are sorted within segments of a chromosome, and a segment starts
 with the furthest end of all segments before it, which comes from a table with one row for each segment.
 """
@@ -19,9 +21,16 @@ def hull(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "
     return df.groupBy(*(by or [])).agg(F.when(one.isNull(), F.min(chrom)).alias(chrom), F.min(start).alias(start), F.max(end).alias(end))
 
 
+def _with(df: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with the one row of sums that has equal keys; NULL equals NULL."""
+    right = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in sums.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(right, same).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def hull_over(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
     """df with hull_start and hull_end of its chromosome; sums per chromosome are joined back."""
-    return df.join(df.groupBy(chrom).agg(F.min(start).alias("hull_start"), F.max(end).alias("hull_end")), chrom)
+    return _with(df, df.groupBy(chrom).agg(F.min(start).alias("hull_start"), F.max(end).alias("hull_end")), [chrom])
 
 
 def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], what: Column, name: str, segment: int, before: str) -> DataFrame:
@@ -32,7 +41,7 @@ def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], w
     across = Window.partitionBy(chrom).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(chrom, "__seg", fold("__all").over(across).alias("__carry"))
     own = Window.partitionBy(chrom, "__seg").orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, -1 if before == "max" else 0)
-    df = df.join(totals, [chrom, "__seg"])
+    df = _with(df, totals, [chrom, "__seg"])
     inner = what.over(own)
     value = F.greatest(inner, F.col("__carry")) if before == "max" else F.coalesce(inner, F.lit(0)) + F.coalesce("__carry", F.lit(0))
     return df.withColumn(name, value).drop("__seg", "__carry")
@@ -57,7 +66,7 @@ def cluster_hulls(df: DataFrame, chrom: str = "chrom", start: str = "start", end
     """df with its cluster and the cluster's hull."""
     at = clusters(df, chrom, start, end, **how)
     hulls = at.groupBy(chrom, "cluster").agg(F.min(start).alias("hull_start"), F.max(end).alias("hull_end"))
-    return at.join(hulls, [chrom, "cluster"])
+    return _with(at, hulls, [chrom, "cluster"])
 
 
 def merged(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", **how) -> DataFrame:
@@ -85,5 +94,26 @@ def disjoin(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str
     firsts = deep.groupBy(chrom, "__seg").agg(F.min("at").alias("__first"))
     firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(chrom).orderBy("__seg"))).drop("__first")
     after = F.lead("at").over(Window.partitionBy(chrom, "__seg").orderBy("at"))
-    cut = deep.withColumn("__lead", after).join(firsts, [chrom, "__seg"]).withColumn("__to", F.coalesce("__lead", "__next"))
+    cut = _with(deep.withColumn("__lead", after), firsts, [chrom, "__seg"]).withColumn("__to", F.coalesce("__lead", "__next"))
     return cut.where("depth > 0").select(chrom, F.col("at").alias(start), F.col("__to").alias(end), "depth")
+
+
+def ranked(df: DataFrame, by: list[str], out: str = "rank", chrom: str = "chrom", pos: str = "pos", segment: int = SEGMENT) -> DataFrame:
+    """df with each row's place, from 1, in the order of by, whose first two columns are chrom and pos.
+
+    Rows are numbered within segments of a chromosome, and each starts where those before it end: no task orders all
+    rows or a chromosome. NULLs come first.
+    """
+    seg = F.floor(F.col(pos) / segment)
+    df = df.withColumn("__seg", seg)
+    before = Window.orderBy(chrom, "__seg").rowsBetween(Window.unboundedPreceding, -1)  # one row for each segment
+    starts = df.groupBy(chrom, "__seg").agg(F.count("*").alias("n")).select(chrom, "__seg", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(chrom, "__seg").orderBy(*by))
+    return _with(df.withColumn("__r", own), starts, [chrom, "__seg"]).withColumn(out, F.col("__r") + F.col("__base")).drop("__seg", "__r", "__base")
+
+
+def extended_ends(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", least: int = 1, most: int = (1 << 29) - 1) -> DataFrame:
+    """df with the first region of each chromosome from `least` on and the last one up to `most`, so that blocks cover all of it."""
+    at = hull_over(df, chrom, start, end)
+    first, last = F.col(start) == F.col("hull_start"), F.col(end) == F.col("hull_end")
+    return at.withColumns({start: F.when(first, F.lit(least).cast("bigint")).otherwise(F.col(start)), end: F.when(last, F.lit(most).cast("bigint")).otherwise(F.col(end))}).drop("hull_start", "hull_end")

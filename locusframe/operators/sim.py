@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,14 +27,22 @@ def random_variants(spark: SparkSession, n: int, sizes: DataFrame, seed: int, ch
 def sample_in_regions(regions: DataFrame, rid: str, n: int, seed: int, replace: bool = True, start: str = "start", end: str = "end") -> DataFrame:
     """(rid, draw, pos): n positions of each half-open region; without replacement at most its width.
 
-    Without replacement position k of the draw is taken from the k-th of n equal strata, so positions differ
-    and no region is expanded.
+    Without replacement every set of n positions is as likely as any other (Floyd's method): the k-th draw takes a
+    position below width - n + k, or the last of those if it is taken. Randomness is a hash of the region's number, the
+    seed and the draw, and no region is expanded.
     """
-    width = F.col(end) - F.col(start)
-    m = F.lit(n) if replace else F.least(F.lit(n), width)
-    rows = regions.where(width > 0).withColumn("__m", m.cast("int")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("__m"))))
-    u = F.rand(seed)
+    width = (F.col(end) - F.col(start)).cast("bigint")
+    rows = regions.where(width > 0)
     if replace:
-        return rows.select(rid, "draw", (F.col(start) + F.floor(u * width)).alias("pos"))
-    lo, hi = F.floor((F.col("draw") - 1) * width / F.col("__m")), F.floor(F.col("draw") * width / F.col("__m"))
-    return rows.select(rid, "draw", (F.col(start) + lo + F.floor(u * (hi - lo))).alias("pos"))
+        rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        return rows.select(rid, "draw", (F.col(start) + F.floor(F.rand(seed) * width)).alias("pos"))
+    m = F.least(F.lit(n).cast("bigint"), width)
+
+    def take(taken: Column, upto: Column) -> Column:
+        u = F.shiftrightunsigned(F.xxhash64(F.col(rid), F.lit(seed), upto), 11).cast("double") / float(1 << 53)
+        at = F.floor(u * upto).cast("bigint")
+        return F.array_append(taken, F.when(F.array_contains(taken, at), upto - 1).otherwise(at))
+
+    drawn = F.aggregate(F.sequence(width - m + 1, width), F.array().cast("array<bigint>"), take)
+    rows = rows.select(rid, F.col(start).cast("bigint").alias("__start"), F.posexplode(drawn).alias("__i", "__at"))
+    return rows.select(rid, (F.col("__i") + 1).alias("draw"), (F.col("__start") + F.col("__at")).alias("pos"))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import alleles as A
 from ..functions import coords as C
@@ -18,7 +17,7 @@ from ..operators import intervals as I
 from ..operators import islands as S
 from ..operators import ld as L
 from ..operators import sim
-from .views import DOSAGES_SQL, FEATURES, HAPS_SQL, KNOTS, PANEL_OF_VARIANTS, REGIONS, VARIANTS, WIDE, cte, dosages, haplotypes, panel, view
+from .views import DOSAGES_SQL, FAR_KNOTS, FAR_REGIONS, FAR_VARIANTS, FAR_WIDE, FEATURES, HAPS_SQL, KNOTS, PANEL_OF_VARIANTS, REGIONS, VARIANTS, WIDE, cte, dosages, haplotypes, panel, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,9 +126,38 @@ def annotate_feature_sets(spark, d):
 
 @query("block_lookup", f"{_VR}, f AS (SELECT variant_id, min(region_id) AS region_id FROM variants v LEFT JOIN regions r ON v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos GROUP BY variant_id) SELECT variant_id, r.chrom AS block_chrom, start_pos AS block_start, end_pos AS block_end FROM f LEFT JOIN regions r ON f.region_id=r.region_id")
 def block_lookup(spark, d):
-    r = view(spark, d, REGIONS)
-    found = I.first_match(_points(spark, d), "variant_id", _VSPAN, r, "region_id", _RSPAN)
-    return found.join(r, "region_id", "left").select("variant_id", F.col("chrom").alias("block_chrom"), F.col("start_pos").alias("block_start"), F.col("end_pos").alias("block_end"))
+    found = I.block_of(_points(spark, d), "variant_id", _VSPAN, view(spark, d, REGIONS), "region_id", _RSPAN)
+    return found.select("variant_id", "block_chrom", F.col("block_start_pos").alias("block_start"), F.col("block_end_pos").alias("block_end"))
+
+
+@query("region_region_flag", f"{_RW} SELECT region_id, EXISTS (SELECT 1 FROM wide w WHERE r.chrom=w.chrom AND w.start_pos<r.end_pos AND r.start_pos<w.end_pos AND w.region_id%3=0) AS overlaps FROM regions r")
+def region_region_flag(spark, d):
+    return I.flagged(view(spark, d, REGIONS), "region_id", _RSPAN, view(spark, d, WIDE).where("region_id%3=0"), _RSPAN)
+
+
+@query("region_variant_flag", f"{_VR} SELECT region_id, EXISTS (SELECT 1 FROM variants v WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos) AS overlaps FROM regions r")
+def region_variant_flag(spark, d):
+    return I.flagged(view(spark, d, REGIONS), "region_id", _RSPAN, _points(spark, d), _VSPAN)
+
+
+@query("variant_variant_flag", f"{_VP} SELECT variant_id, EXISTS (SELECT 1 FROM panel p WHERE v.chrom=p.chrom AND v.pos=p.pos) AS overlaps FROM variants v")
+def variant_variant_flag(spark, d):
+    return I.flagged(_points(spark, d), "variant_id", _VSPAN, I.with_point_span(panel(spark, d)), _VSPAN)
+
+
+_FAR = cte(variants=FAR_VARIANTS, regions=FAR_REGIONS)
+
+
+@query("far_variant_region_assign", f"{cte(variants=FAR_VARIANTS, wide=FAR_WIDE)} SELECT variant_id, min(region_id) AS region_id FROM variants v LEFT JOIN wide r ON v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos GROUP BY variant_id")
+def far_variant_region_assign(spark, d):
+    return I.first_match(I.with_point_span(view(spark, d, FAR_VARIANTS)), "variant_id", _VSPAN, view(spark, d, FAR_WIDE), "region_id", _RSPAN)
+
+
+@query("far_nearest_region", f"""{_FAR}, d AS (SELECT variant_id, region_id, CASE WHEN pos<start_pos THEN pos-start_pos WHEN pos<end_pos THEN 0 ELSE pos-end_pos END AS distance FROM variants v JOIN regions r ON v.chrom=r.chrom)
+ SELECT v.variant_id, b.distance FROM variants v LEFT JOIN (SELECT variant_id, arg_min(distance, abs(distance)*4+CASE WHEN distance>0 THEN 1 ELSE 0 END) AS distance FROM d GROUP BY variant_id) b ON v.variant_id=b.variant_id""")
+def far_nearest_region(spark, d):
+    """Positions up to 200 million, so what lies before and after a segment is carried into it."""
+    return I.nearest_region(view(spark, d, FAR_VARIANTS), "chrom", "pos", view(spark, d, FAR_REGIONS), "region_id", _RSPAN).select("variant_id", "distance")
 
 
 # ---- alleles
@@ -288,12 +316,52 @@ def midpoints_widths(spark, d):
 
 @query("shift_regions", f"{_R} SELECT region_id, start_pos+1000 AS start_pos, end_pos+1000 AS end_pos FROM regions")
 def shift_regions(spark, d):
-    return view(spark, d, REGIONS).select("region_id", (F.col("start_pos") + 1000).alias("start_pos"), (F.col("end_pos") + 1000).alias("end_pos"))
+    s, e = C.shifted("start_pos", "end_pos", 1000)
+    return view(spark, d, REGIONS).select("region_id", s.alias("start_pos"), e.alias("end_pos"))
 
 
-@query("set_fields", f"{_V} SELECT variant_id, CAST(1+chrom%24 AS INT) AS chrom, pos+1 AS pos, 15 AS ref, 15 AS alt FROM variants")
+@query("set_fields", f"{_V} SELECT variant_id, CAST(1+chrom%24 AS INT) AS chrom, pos+1 AS pos, CAST(15-ref AS INT) AS ref, alt FROM variants")
 def set_fields(spark, d):
-    return view(spark, d, VARIANTS).withColumns({"chrom": F.expr("CAST(1+chrom%24 AS INT)"), "pos": F.expr("pos+1"), "ref": F.lit(15), "alt": F.lit(15)}).drop("beta")
+    v = K.compact_variants(view(spark, d, VARIANTS).drop("beta"))
+    x = F.col("variant")
+    moved = v.withColumn("variant", K.with_fields("variant", chrom=(x["chrom"] % 24 + 1).cast("int"), pos=x["pos"] + 1, ref=15 - x["ref"]))
+    return K.explode_variants(moved)
+
+
+@query("clear_alleles", f"{_V} SELECT variant_id, chrom, pos, 15 AS ref, 15 AS alt FROM variants")
+def clear_alleles(spark, d):
+    v = K.compact_variants(view(spark, d, VARIANTS).drop("beta"))
+    return K.explode_variants(v.withColumn("variant", K.cleared()))
+
+
+@query("holds_and_order", f"{_VRZ} SELECT variant_id, c1=c2 AND s<=pos AND pos<e AS holds, c1=c2 AND s=pos AND e=pos+1 AS held, c2<c1 OR (c2=c1 AND e<pos) AS ends_before FROM z")
+def holds_and_order(spark, d):
+    z = _variant_regions(spark, d)
+    return z.select("variant_id", C.holds("c2", "s", "e", "c1", "pos").alias("holds"), C.variant_holds("c1", "pos", "c2", "s", "e").alias("held"), C.starts_before("c2", "e", "c1", "pos").alias("ends_before"))
+
+
+@query("joined_regions", f"{_NEXT} SELECT region_id, CASE WHEN c1=c2 AND (CASE WHEN s1<s2 OR (s1=s2 AND e1<=e2) THEN e1>=s2 ELSE e2>=s1 END) THEN least(s1,s2) END AS start_pos, CASE WHEN c1=c2 AND (CASE WHEN s1<s2 OR (s1=s2 AND e1<=e2) THEN e1>=s2 ELSE e2>=s1 END) THEN CASE WHEN s1<s2 OR (s1=s2 AND e1<=e2) THEN e2 ELSE e1 END END AS end_pos FROM (SELECT region_id, c1, s1, e1+(region_id%3)*30000000 AS e1, c2, s2, e2 FROM pairs)")
+def joined_regions(spark, d):
+    s, e = C.joined_region("c1", "s1", "e1", "c2", "s2", "e2")
+    return _region_pairs(spark, d).withColumn("e1", F.expr("e1+(region_id%3)*30000000")).select("region_id", s.alias("start_pos"), e.alias("end_pos"))
+
+
+@query("boundary_positions", f"{_R} SELECT region_id, start_pos AS first, end_pos-1 AS last, end_pos AS after FROM regions")
+def boundary_positions(spark, d):
+    return view(spark, d, REGIONS).select("region_id", *[c.alias(k) for k, c in C.boundary_positions("start_pos", "end_pos").items()])
+
+
+@query("casts", f"{_V} SELECT variant_id, chrom, pos, ref, alt, CAST(chrom AS BIGINT)*288230376151711744 + pos*65536 + ref*256 + alt AS packed, pos AS start_pos, pos+1 AS end_pos, CAST(chrom AS BIGINT)*288230376151711744 + pos*536870912 + pos+1 AS packed_region FROM variants")
+def casts(spark, d):
+    """Text to struct to packed long to struct, and the variant's region."""
+    t = view(spark, d, VARIANTS).select("variant_id", C.format_variant().alias("text"))
+    v = t.withColumn("v", K.as_variant(t, "text"))
+    p = v.withColumn("packed", K.as_packed(v, "v"))
+    v = p.withColumn("v", K.as_variant(p, "packed"))
+    r = v.withColumn("r", K.as_region(v, "v"))
+    r = r.withColumn("packed_region", K.as_packed(r, "r"))
+    r = r.withColumn("r", K.as_region(r, "packed_region"))
+    return r.select("variant_id", "v.*", "packed", F.col("r.start").alias("start_pos"), F.col("r.end").alias("end_pos"), "packed_region")
 
 
 _LABEL = "CASE WHEN chrom=23 THEN 'chrX' WHEN chrom=24 THEN 'chrY' ELSE 'chr' || CAST(chrom AS VARCHAR) END"
@@ -438,11 +506,41 @@ def distinct_variants(spark, d):
 
 @query("variant_rank", f"{_V} SELECT variant_id, row_number() OVER (ORDER BY chrom,pos,ref,alt,variant_id) AS rank FROM variants")
 def variant_rank(spark, d):
-    """Ranks within chromosomes, plus the number of variants on those before; no task orders all rows."""
-    v = view(spark, d, VARIANTS)
-    before = v.groupBy("chrom").agg(F.count("*").alias("n")).select("chrom", F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "ref", "alt", "variant_id"))
-    return v.withColumn("r", own).join(before, "chrom").select("variant_id", (F.col("r") + F.col("base")).alias("rank"))
+    return S.ranked(view(spark, d, VARIANTS), ["chrom", "pos", "ref", "alt", "variant_id"]).select("variant_id", "rank")
+
+
+@query("far_variant_rank", f"{cte(variants=FAR_VARIANTS)} SELECT variant_id, row_number() OVER (ORDER BY chrom NULLS FIRST,pos,ref,alt,variant_id) AS rank FROM (SELECT variant_id, CASE WHEN variant_id%11<>0 THEN chrom END AS chrom, pos, ref, alt FROM variants)")
+def far_variant_rank(spark, d):
+    """Over many segments, with missing chromosomes."""
+    v = view(spark, d, FAR_VARIANTS).withColumn("chrom", F.expr("CASE WHEN variant_id%11<>0 THEN chrom END"))
+    return S.ranked(v, ["chrom", "pos", "ref", "alt", "variant_id"]).select("variant_id", "rank")
+
+
+@query("sorted_regions", f"{_W} SELECT region_id, chrom, start_pos, end_pos FROM wide")
+def sorted_regions(spark, d):
+    return view(spark, d, WIDE).select("region_id", "chrom", "start_pos", "end_pos").orderBy("chrom", "start_pos", "end_pos", "region_id")
+
+
+_FAR_CLUSTER = _CLUSTER.replace(_W, cte(wide=FAR_WIDE))
+
+
+@query("far_region_clusters", _FAR_CLUSTER.replace("SELECT *, CASE WHEN start_pos", "SELECT region_id, start_pos, end_pos, chrom, CASE WHEN start_pos").replace("FROM wide)", "FROM (SELECT region_id, start_pos, end_pos, CASE WHEN region_id%7<>0 THEN chrom END AS chrom FROM wide))") + " SELECT region_id, chrom, cluster FROM g")
+def far_region_clusters(spark, d):
+    """Clusters that reach over segments; a missing chromosome is a group of its own."""
+    w = view(spark, d, FAR_WIDE).withColumn("chrom", F.expr("CASE WHEN region_id%7<>0 THEN chrom END"))
+    return S.clusters(w, "chrom", "start_pos", "end_pos", ties=["region_id"]).select("region_id", "chrom", "cluster")
+
+
+@query("far_disjoin_regions", f"""{cte(wide=FAR_WIDE)} SELECT chrom, b AS start_pos, e AS end_pos, CAST(depth AS BIGINT) AS depth FROM (
+ SELECT chrom, p AS b, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS e, sum(d) OVER (PARTITION BY chrom ORDER BY p) AS depth
+ FROM (SELECT chrom, p, sum(d) AS d FROM (SELECT chrom,start_pos AS p, 1 AS d FROM wide UNION ALL SELECT chrom,end_pos,-1 FROM wide) x GROUP BY chrom, p) y) z WHERE depth > 0""")
+def far_disjoin_regions(spark, d):
+    return S.disjoin(view(spark, d, FAR_WIDE), "chrom", "start_pos", "end_pos")
+
+
+@query("extended_blocks", f"{_R} SELECT region_id, CASE WHEN start_pos=min(start_pos) OVER (PARTITION BY chrom) THEN 1 ELSE start_pos END AS start_pos, CASE WHEN end_pos=max(end_pos) OVER (PARTITION BY chrom) THEN 536870911 ELSE end_pos END AS end_pos FROM regions")
+def extended_blocks(spark, d):
+    return S.extended_ends(view(spark, d, REGIONS), "chrom", "start_pos", "end_pos").select("region_id", "start_pos", "end_pos")
 
 
 @query("sorted_variants", f"{_V} SELECT variant_id, chrom, pos, ref, alt FROM variants")
@@ -482,6 +580,30 @@ def interpolate_map(spark, d):
     return M.interpolate(view(spark, d, VARIANTS), view(spark, d, KNOTS)).select("variant_id", F.round("map", 6).alias("map"))
 
 
+_INTERPOLATED = SQL["interpolate_map"]
+
+
+@query("far_interpolate_map", _INTERPOLATED.replace(cte(variants=VARIANTS, knots=KNOTS), cte(variants=FAR_VARIANTS, knots=FAR_KNOTS)))
+def far_interpolate_map(spark, d):
+    return M.interpolate(view(spark, d, FAR_VARIANTS), view(spark, d, FAR_KNOTS)).select("variant_id", F.round("map", 6).alias("map"))
+
+
+@query("interpolate_map_strict", f"SELECT m.variant_id, m.map FROM ({_INTERPOLATED}) m JOIN ({cte(variants=VARIANTS, knots=KNOTS)} SELECT variant_id FROM variants v JOIN (SELECT chrom, min(pos) AS lo, max(pos) AS hi FROM knots GROUP BY chrom) b ON v.chrom=b.chrom AND lo<=pos AND pos<=hi) i ON m.variant_id=i.variant_id")
+def interpolate_map_strict(spark, d):
+    """Of variants between the first and the last knot; others would be an error."""
+    k = view(spark, d, KNOTS)
+    ends = k.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    v = view(spark, d, VARIANTS).join(ends, "chrom").where("lo <= pos AND pos <= hi").drop("lo", "hi")
+    return M.interpolate(v, k, strict=True).select("variant_id", F.round("map", 6).alias("map"))
+
+
+@query("jitter_until_increasing", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(round(cm, 2) + row_number() OVER (PARTITION BY chrom ORDER BY pos)*0.00000001, 9) AS cm FROM knots")
+def jitter_until_increasing(spark, d):
+    """Values that tie after rounding are separated by the first step."""
+    out = M.jittered_until_increasing(view(spark, d, KNOTS).withColumn("cm", F.round("cm", 2)), 0.00000001)
+    return out.select("chrom", "pos", F.round("cm", 9).alias("cm"))
+
+
 @query("jitter_map", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(cm + row_number() OVER (PARTITION BY chrom ORDER BY pos)*0.0001, 9) AS cm FROM knots")
 def jitter_map(spark, d):
     return M.jittered(view(spark, d, KNOTS), 0.0001).select("chrom", "pos", F.round("cm", 9).alias("cm"))
@@ -494,7 +616,7 @@ def map_monotone_check(spark, d):
 
 @query("map_distance", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(abs(cm - lag(cm) OVER (PARTITION BY chrom ORDER BY pos)), 9) AS step FROM knots")
 def map_distance(spark, d):
-    return view(spark, d, KNOTS).select("chrom", "pos", F.round(F.abs(F.col("cm") - F.lag("cm").over(Window.partitionBy("chrom").orderBy("pos"))), 9).alias("step"))
+    return M.steps(view(spark, d, KNOTS)).select("chrom", "pos", F.round("step", 9).alias("step"))
 
 
 _S = "(SELECT sum(1.0/i) FROM range(1, 170) t(i))"
@@ -534,6 +656,28 @@ def genotype_subset(spark, d):
     return g.select("snp_id", F.aggregate(G.filled("own"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), G.has_missing("own").alias("has_missing"))
 
 
+@query("dosage_covariance", f"WITH {DOSAGES_SQL} SELECT a.snp_id, round(covar_samp(a.d, b.d), 9)+0.0 AS cov FROM doses a JOIN doses b ON b.snp_id=a.snp_id+1 AND a.sample=b.sample GROUP BY a.snp_id")
+def dosage_covariance(spark, d):
+    """Of each variant with the next one."""
+    g = dosages(spark, d)
+    pair = g.join(g.select((F.col("snp_id") - 1).alias("snp_id"), F.col("dosages").alias("next")), "snp_id")
+    return pair.select("snp_id", F.round(G.dosage_covariance("dosages", "next"), 9).alias("cov"))
+
+
+@query("hap_bytes", f"WITH {HAPS_SQL} SELECT hap_id, b.i AS byte, CAST(list_sum(list_transform(range(8), lambda k: bits[b.i*8+k+1]*(1 << k))) AS INT) AS value FROM haps, (SELECT unnest(range(8)) AS i) b")
+def hap_bytes(spark, d):
+    """Eight haplotypes to a byte."""
+    h = haplotypes(spark, d).select("hap_id", F.hex(G.pack_bytes("bits")).alias("x"))
+    each = h.select("hap_id", "x", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    return each.select("hap_id", F.col("i").cast("bigint").alias("byte"), F.conv(F.substring("x", F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("value"))
+
+
+@query("byte_covariance", f"WITH {HAPS_SQL} SELECT a.block, a.hap_id AS i, b.hap_id AS j, round((64*list_dot_product(a.bits,b.bits)-list_sum(a.bits)*list_sum(b.bits))/(64.0*63.0), 9) AS cov FROM haps a JOIN haps b ON a.block=b.block AND a.hap_id<=b.hap_id")
+def byte_covariance(spark, d):
+    """Covariances of packed columns with the number of samples given, from words that hold the bytes."""
+    return L.pair_covariance(haplotypes(spark, d), "block", "hap_id", "words", 64).select("block", "i", "j", F.round("cov", 9).alias("cov"))
+
+
 @query("hap_popcount", f"WITH {HAPS_SQL} SELECT hap_id, CAST(list_sum(bits) AS BIGINT) AS ones FROM haps")
 def hap_popcount(spark, d):
     return haplotypes(spark, d).select("hap_id", G.popcount("words").alias("ones"))
@@ -578,32 +722,70 @@ def ld_scores(spark, d):
     return L.scores(ld, "block", 64).select("block", "i", F.round("score", 6).alias("score"))
 
 
+@query("ld_scores_of_pairs", _SHRUNK + " SELECT block, i, round(sum(r*r-(1-r*r)/62.0)-1, 6) AS score FROM (SELECT block,i,j,r FROM r UNION ALL SELECT block,j,i,r FROM r WHERE i<>j) GROUP BY block, i")
+def ld_scores_of_pairs(spark, d):
+    """As for tables of pairs, where the variant itself doesn't count."""
+    ld = L.shrunk(haplotypes(spark, d), "block", "hap_id", "words", "cm", 64)
+    return L.scores(ld, "block", 64, without_self=True).select("block", "i", F.round("score", 6).alias("score"))
+
+
+_PANEL = f"WITH {DOSAGES_SQL}, lab AS (SELECT vec_id AS snp_id, label AS block FROM embeddings), p AS (SELECT la.block, a.snp_id AS i, b.snp_id AS j, covar_samp(a.d,b.d) AS c FROM doses a JOIN lab la ON a.snp_id=la.snp_id JOIN lab lb ON la.block=lb.block AND la.snp_id<=lb.snp_id JOIN doses b ON b.snp_id=lb.snp_id AND a.sample=b.sample GROUP BY la.block, a.snp_id, b.snp_id), v AS (SELECT i, c AS v FROM p WHERE i=j)"
+
+
+def _panel(spark, d, shrink: bool) -> DataFrame:
+    """Blocks, places and dosages come from two readers."""
+    read_map = lambda ref: haplotypes(spark, ref).select(F.col("hap_id").alias("id"), "block", F.col("hap_id").alias("pos"), "cm")
+    read_dosages = lambda ref, at: dosages(spark, ref).select(F.col("snp_id").alias("id"), "dosages")
+    return L.panel_ld(d, read_map, read_dosages, shrink, block="block").select("block", "i", "j", F.round("r", 6).alias("r"))
+
+
+@query("panel_correlation", _PANEL + " SELECT block, p.i, p.j, round(CASE WHEN p.i=p.j THEN 1.0 ELSE c/nullif(sqrt(a.v*b.v), 0) END, 6)+0.0 AS r FROM p JOIN v a ON a.i=p.i JOIN v b ON b.i=p.j")
+def panel_correlation(spark, d):
+    return _panel(spark, d, False)
+
+
+@query("panel_ld", _PANEL + f", th AS (SELECT {_THETA} AS t) SELECT block, p.i, p.j, round(CASE WHEN p.i=p.j THEN 1.0 ELSE c*CASE WHEN exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0))<0.001 THEN 0 ELSE exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0)) END*(1-t)*(1-t)/sqrt((a.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))*(b.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))) END, 6)+0.0 AS r FROM p JOIN v a ON a.i=p.i JOIN v b ON b.i=p.j, th")
+def panel_ld(spark, d):
+    return _panel(spark, d, True)
+
+
 # ---- several operators, simulation
 
 
+_SUMMARY = f"""WITH h AS ({SQL["harmonise_effects"]}), m AS ({SQL["interpolate_map"]}), a AS ({cte(variants=VARIANTS, wide=WIDE)} SELECT variant_id, min(region_id) AS block_id FROM variants v JOIN wide r ON v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos GROUP BY variant_id)
+ SELECT block_id, count(*) AS variants, round(avg(abs(h.beta)), 4) AS mean_effect, round(max(m.map)-min(m.map), 6) AS cm_span FROM h JOIN m ON h.variant_id=m.variant_id JOIN a ON h.variant_id=a.variant_id GROUP BY block_id"""
+
+
 def block_summary_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Harmonised effects by block: harmonise, interpolate, assign to blocks, sum up."""
+    """Harmonised effects by block: harmonise, interpolate, assign to blocks, sum up. Each variant is carried through once."""
     h = J.harmonise(view(spark, d, VARIANTS), "variant_id", panel(spark, d), "panel_id")
-    at = M.interpolate(h, view(spark, d, KNOTS))
+    at = I.with_point_span(M.interpolate(h, view(spark, d, KNOTS))).withColumn("map", F.round("map", 6)).withColumn("row", F.struct("variant_id", "beta", "map"))
     blocks = view(spark, d, WIDE).withColumnRenamed("region_id", "block_id")
-    own = I.first_match(I.with_point_span(at), "variant_id", _VSPAN, blocks, "block_id", _RSPAN)
-    joined = at.join(own, "variant_id").where("block_id IS NOT NULL")
-    return joined.groupBy("block_id").agg(F.count("*").alias("variants"), F.round(F.avg(F.abs("beta")), 4).alias("mean_effect"), F.round(F.max("map") - F.min("map"), 6).alias("cm_span"))
+    own = I.overlap_pairs(at, "row", _VSPAN, blocks, "block_id", _RSPAN).groupBy("row.variant_id").agg(F.min("block_id").alias("block_id"), F.first("row").alias("row"))
+    return own.groupBy("block_id").agg(F.count("*").alias("variants"), F.round(F.avg(F.abs("row.beta")), 4).alias("mean_effect"), F.round(F.max("row.map") - F.min("row.map"), 6).alias("cm_span"))
+
+
+query("block_summary", _SUMMARY)(block_summary_plan)
 
 
-QUERIES["block_summary"] = block_summary_plan
+def _sizes(spark, d):
+    return view(spark, d, WIDE).groupBy("chrom").agg(F.max("end_pos").alias("size"))
 
 
-@query("random_regions")
+@query("random_regions", "SELECT i AS id, true AS fits FROM range(1000) t(i)")
 def random_regions(spark, d):
-    sizes = view(spark, d, WIDE).groupBy("chrom").agg(F.max("end_pos").alias("size"))
-    return sim.random_regions(spark, 1000, sizes, seed=7)
+    """What is fixed about them: numbers, and bounds within the chromosome."""
+    sizes = _sizes(spark, d)
+    out = sim.random_regions(spark, 1000, sizes, seed=7).join(sizes, "chrom")
+    return out.select("id", ((F.col("start") >= 1) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("size") + 1)).alias("fits"))
 
 
-@query("random_variants")
+@query("random_variants", "SELECT i AS id, true AS fits FROM range(1000) t(i)")
 def random_variants(spark, d):
-    sizes = view(spark, d, WIDE).groupBy("chrom").agg(F.max("end_pos").alias("size"))
-    return sim.random_variants(spark, 1000, sizes, seed=7)
+    sizes = _sizes(spark, d)
+    out = sim.random_variants(spark, 1000, sizes, seed=7).join(sizes, "chrom")
+    base = lambda c: F.col(c).isin(1, 2, 4, 8)
+    return out.select("id", ((F.col("pos") >= 1) & (F.col("pos") <= F.col("size")) & base("ref") & base("alt") & (F.col("ref") != F.col("alt"))).alias("fits"))
 
 
 @query("sample_in_regions", f"{_R} SELECT region_id, CAST(5 AS BIGINT) AS draws, true AS inside, CAST(5 AS BIGINT) AS different FROM regions")

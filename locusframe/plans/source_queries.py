@@ -13,7 +13,7 @@ from ..functions.coords import chrom_label, format_region, rsid_text
 from ..sources import plink, sequences, store, text
 from ..streaming import joins as stream
 from .queries import _BEST, _V, query
-from .views import DOSAGES_SQL, KNOTS, REGIONS, VARIANTS, cte, dosages, haplotypes, panel, view
+from .views import DOSAGES_SQL, KNOTS, REGIONS, VARIANTS, WIDE, cte, dosages, haplotypes, panel, view
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,17 +49,9 @@ def fam_roundtrip(spark, d):
     return text.read_fam(spark, path)
 
 
-@query("genetic_map_read", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(cm, 6) AS cm FROM knots WHERE pos%3<>0 AND chrom=5")
+@query("genetic_map_read", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(cm, 6) AS cm FROM knots WHERE pos%3<>0")
 def genetic_map_read(spark, d):
-    path = scratch(spark, "chr5.map")
-    k = view(spark, d, KNOTS).where("chrom = 5").select(F.col("pos").alias("position"), F.lit(0.1).alias("rate"), F.col("cm").alias("map"), F.when(F.col("pos") % 3 == 0, 1).otherwise(0).alias("filtered"))
-    k.write.csv(path, sep="\t", header=True)
-    return text.read_genetic_map(spark, path).select("chrom", "pos", F.round("cm", 6).alias("cm"))
-
-
-@query("genetic_map_read_whole", f"{cte(knots=KNOTS)} SELECT chrom, pos, round(cm, 6) AS cm FROM knots WHERE pos%3<>0")
-def genetic_map_read_whole(spark, d):
-    """One map file for each chromosome, which its path names."""
+    """One map file for each of the 24 chromosomes, which its path names; rows marked as filtered go."""
     path = scratch(spark, "maps")
     k = view(spark, d, KNOTS).select(chrom_label("chrom").alias("file"), F.col("pos").alias("position"), F.lit(0.1).alias("rate"), F.col("cm").alias("map"), F.when(F.col("pos") % 3 == 0, 1).otherwise(0).alias("filtered"))
     k.repartition("file").write.partitionBy("file").csv(path, sep="\t", header=True)
@@ -101,25 +93,12 @@ def plink_bed_roundtrip(spark, d):
     return back.select("snp_id", "n", F.aggregate(G.filled("dosages"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(F.filter("dosages", lambda x: x.isNull())).cast("bigint").alias("missing"))
 
 
-_DNA = "translate(lower(substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 600)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+_DNA = "translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 
 
-@query("fasta_read", f"SELECT 'd' || doc_id AS name, {_DNA} AS seq FROM documents WHERE doc_id%10=0 AND length({_DNA})>0")
+@query("fasta_read", f"SELECT 'd' || coalesce(CAST(doc_id AS VARCHAR), '') AS name, {_DNA} AS seq FROM documents WHERE length({_DNA})>0")
 def fasta_read(spark, d):
-    """Texts as bases, 60 to a line, several records to a file."""
-    seq = F.expr("translate(lower(substr(regexp_replace(text, '[^a-z]', ''), 1, 600)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id%10=0").select("doc_id", seq.alias("s")).where("length(s) > 0").orderBy("doc_id").coalesce(1)
-    path = scratch(spark, "fa")
-    docs.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.array_join(F.expr("transform(sequence(0, CAST(floor((length(s)-1)/60) AS INT)), i -> substr(s, i*60+1, 60))"), "\n"))).write.text(path)
-    return sequences.read_fasta(spark, path).select("name", "seq")
-
-
-_WHOLE_DNA = "translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
-
-
-@query("fasta_read_whole", f"SELECT 'd' || coalesce(CAST(doc_id AS VARCHAR), '') AS name, {_WHOLE_DNA} AS seq FROM documents WHERE length({_WHOLE_DNA})>0")
-def fasta_read_whole(spark, d):
-    """All texts whole, in as many files as the table has partitions."""
+    """All texts whole as bases, 60 to a line, in as many files as the table has partitions."""
     seq = F.expr("translate(regexp_replace(text, '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", seq.alias("s")).where("length(s) > 0")
     path = scratch(spark, "fa")
@@ -127,13 +106,113 @@ def fasta_read_whole(spark, d):
     return sequences.read_fasta(spark, path).select("name", "seq")
 
 
-@query("bgzf_lines", f"{cte(regions=REGIONS)} SELECT CAST(region_id AS BIGINT) AS line, 'chr' || chrom || ':' || start_pos || '_' || end_pos AS value FROM regions")
+@query("bgzf_lines", f"{cte(regions=REGIONS)} SELECT 'chr' || chrom || ':' || start_pos || '_' || end_pos AS value FROM regions")
 def bgzf_lines(spark, d):
-    rows = view(spark, d, REGIONS).orderBy("region_id").select(format_region("chrom", "start_pos", "end_pos").alias("t")).toLocalIterator()
-    path = scratch(spark, "x.bgz")
-    with open(path, "wb") as f:
-        f.write(sequences.bgzf_compress("\n".join(r["t"] for r in rows).encode(), block=1000))
-    return sequences.read_bgzf_lines(spark, path).select("line", "value")
+    """Each partition writes a file of its own."""
+    path = scratch(spark, "bgz")
+    sequences.write_bgzf_lines(view(spark, d, REGIONS).repartition(3, "region_id").select(format_region("chrom", "start_pos", "end_pos").alias("value")), path, block=1000)
+    return sequences.read_bgzf_lines(spark, f"{path}/*.bgz").select("value")
+
+
+@query("store_regions_read", f"{cte(variants=VARIANTS, wide=WIDE)} SELECT variant_id, v.chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM wide r WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos AND r.region_id%2=0)")
+def store_regions_read(spark, d):
+    """The store's rows in many regions that overlap each other."""
+    path = scratch(spark, "store")
+    store.write_store(view(spark, d, VARIANTS), path, files_per_chrom=2)
+    r = view(spark, d, WIDE).where("region_id%2=0").select("chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
+    return store.read_regions(spark, path, r).select("variant_id", "chrom", "pos")
+
+
+@query("store_subset", f"{cte(variants=VARIANTS, wide=WIDE)} SELECT variant_id, CAST(ref=1 AS INT) AS is_a FROM variants v WHERE ref<>alt AND pos%2=0 AND EXISTS (SELECT 1 FROM wide r WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos)")
+def store_subset(spark, d):
+    """Regions read, filtered, mapped and written by functions that a user gives."""
+    source, sink = scratch(spark, "store"), scratch(spark, "subset")
+    store.write_store(view(spark, d, VARIANTS), source, files_per_chrom=1)
+    r = view(spark, d, WIDE).select("chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
+    keep, make = lambda x: x.where("ref <> alt AND pos%2=0"), lambda x: x.select("variant_id", (F.col("ref") == 1).cast("int").alias("is_a"))
+    store.each_region(r, lambda regions: store.read_regions(spark, source, regions), keep, make, write=lambda x: x.write.parquet(sink))
+    return spark.read.parquet(sink)
+
+
+@query("samples_read", "SELECT 's' || c_custkey AS sample, 'p' || c_nationkey AS population, c_mktsegment AS \"group\", CAST(1+c_custkey%2 AS INT) AS sex FROM customer")
+def samples_read(spark, d):
+    path = scratch(spark, "samples")
+    c = spark.read.parquet(f"{d}/customer.parquet").selectExpr("concat('s', c_custkey) AS sample", "concat('p', c_nationkey) AS population", "c_mktsegment AS `group`", "CAST(1+c_custkey%2 AS INT) AS sex")
+    c.write.csv(path, sep=" ", header=True)
+    return text.read_samples(spark, path)
+
+
+_PARTS = "WITH " + DOSAGES_SQL + " SELECT snp_id AS rsid, CAST(1+snp_id%22 AS INT) AS chrom, 1+snp_id*7 AS pos, CAST(sum(coalesce(d,0)) AS BIGINT) AS total, CAST(count(*)-count(d) AS BIGINT) AS missing FROM doses "
+
+
+def _plink(spark, d):
+    g = dosages(spark, d).select(F.col("snp_id").alias("variant_index"), F.col("snp_id").alias("rsid"), F.expr("CAST(1+snp_id%22 AS INT)").alias("chrom"), F.expr("1+snp_id*7").alias("pos"), F.lit(1).alias("ref"), F.lit(2).alias("alt"), "dosages")
+    fam = spark.range(64).selectExpr("'f' AS fid", "CAST(id AS STRING) AS iid", "'0' AS father_id", "'0' AS mother_id", "1 AS sex", "1.0D AS phenotype")
+    prefix = scratch(spark, "panel")
+    # ranges of unlike sizes, so that the text has several parts and Spark deals them to partitions out of order
+    parts = g.repartitionByRange(7, F.expr("variant_index * variant_index"))
+    plink.write_plink(parts, fam, prefix, parts=7)
+    return prefix
+
+
+def _totals(df):
+    return df.select(text.rsid_number("rsid").alias("rsid"), "chrom", "pos", F.aggregate(G.filled("dosages"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(F.filter("dosages", lambda x: x.isNull())).cast("bigint").alias("missing"))
+
+
+@query("plink_parts_roundtrip", _PARTS + "GROUP BY snp_id")
+def plink_parts_roundtrip(spark, d):
+    """Variants and samples as several text parts beside one genotype file, read back together."""
+    return _totals(plink.read_plink(spark, _plink(spark, d)))
+
+
+@query("plink_bed_seek", _PARTS + "WHERE snp_id%17=3 GROUP BY snp_id")
+def plink_bed_seek(spark, d):
+    """Genotypes of chosen variants, read by their place."""
+    prefix = _plink(spark, d)
+    bim = text.with_line_number(text.read_bim(spark, f"{prefix}.bim"), "variant_index")
+    own = bim.where(text.rsid_number("rsid") % 17 == 3)
+    return _totals(own.join(plink.read_bed_genotypes(spark, f"{prefix}.bed", 64, bim.count(), own), "variant_index"))
+
+
+_HAPS = "SELECT vec_id AS rsid, CAST(1+vec_id%3 AS INT) AS chrom, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS ones FROM embeddings "
+
+
+def _hap_folder(spark, d):
+    """Legends and haplotypes of three chromosomes, each in several parts of unlike sizes; the pattern of their paths."""
+    folder = scratch(spark, "haps")
+    h = haplotypes(spark, d).select("hap_id", F.expr("CAST(1+hap_id%3 AS INT)").alias("chrom"), "bits")
+    for c in (1, 2, 3):
+        own = h.where(F.col("chrom") == c).repartitionByRange(4, F.expr("hap_id * hap_id")).sortWithinPartitions("hap_id")
+        own.select(F.concat(rsid_text("hap_id"), F.lit(":x")).alias("id"), (F.col("hap_id") * 10 + 1).alias("position"), F.lit("A").alias("a0"), F.lit("C").alias("a1")).write.csv(f"{folder}/chr{c}.legend", sep=" ", header=True)
+        own.select(F.array_join(F.transform("bits", lambda x: x.cast("string")), " ")).write.text(f"{folder}/chr{c}.hap")
+    return f"{folder}/chr{{chrom}}.{{kind}}"
+
+
+@query("hap_by_rsid_parts", _HAPS + "WHERE vec_id%5<2")
+def hap_by_rsid_parts(spark, d):
+    """Over chromosomes, from files of several parts."""
+    ids = haplotypes(spark, d).where("hap_id%5<2").select(F.col("hap_id").alias("rsid"))
+    out = text.hap_over_chromosomes(spark, _hap_folder(spark, d), (1, 2, 3), text.hap_by_rsid, ids)
+    return out.select("rsid", "chrom", G.popcount("words").alias("ones"))
+
+
+@query("hap_by_regions_parts", _HAPS + "WHERE (vec_id%3=1 AND vec_id*10+1>=500 AND vec_id*10+1<2501) OR (vec_id%3=2 AND vec_id*10+1<1000)")
+def hap_by_regions_parts(spark, d):
+    regions = spark.createDataFrame([(2, 500, 2501), (2, 700, 900), (3, 0, 1000)], "chrom int, start bigint, end bigint")
+    out = text.hap_over_chromosomes(spark, _hap_folder(spark, d), (1, 2, 3), text.hap_by_regions, regions)
+    return out.select("rsid", "chrom", G.popcount("words").alias("ones"))
+
+
+@query("fasta_bases", f"WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents) SELECT 'd' || doc_id AS name, p AS pos, substr(seq, CAST(p AS INT), 1) AS base FROM s, (SELECT unnest([1, 60, 61, 200]) AS p) WHERE p<=length(seq) AND doc_id IS NOT NULL")
+def fasta_bases(spark, d):
+    """Single bases of every sequence, by the line that holds them."""
+    seq = F.expr("translate(regexp_replace(text, '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", seq.alias("s")).where("length(s) > 0")
+    path = scratch(spark, "fa")
+    docs.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n"))).write.text(path)
+    lines = sequences.read_fasta_lines(spark, path)
+    at = lines.where("start = 0").select("record", "name", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 60, 61, 200)])).alias("pos"))
+    return sequences.bases_at(lines.drop("name"), at.select("record", "pos"), 60).join(at, ["record", "pos"]).select("name", "pos", "base")
 
 
 def _streamed(spark: SparkSession, d: str, df: DataFrame, run) -> DataFrame:
@@ -158,8 +237,8 @@ def stream_matches(spark, d):
     return _streamed(spark, d, view(spark, d, VARIANTS), lambda s: stream.matches_of_stream(s, p, "panel_id").select("variant_id", "panel_id", "match_code"))
 
 
-@query("stream_windows", None)
+@query("stream_windows", "SELECT day, event_type, count(*) AS n, round(avg(abs(value)), 6) AS mean_effect FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, value FROM events) GROUP BY day, event_type HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_windows(spark, d):
     """Windows that are closed by the end of the stream."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("beta"))
-    return _streamed(spark, d, e, lambda s: stream.effects_by_window(s, "ts", "1 hour", "1 day", "event_type", "beta").select(F.col("window.start").alias("day"), "event_type", "n", "mean_effect"))
+    return _streamed(spark, d, e, lambda s: stream.effects_by_window(s, "ts", "1 hour", "1 day", "event_type", "beta").select(F.col("window.start").alias("day"), "event_type", "n", F.round("mean_effect", 6).alias("mean_effect")))

@@ -16,6 +16,13 @@ WIDE = ("part", f"""p_partkey AS region_id, CAST(1+p_partkey%24 AS INT) AS chrom
  1+{_SLOT}*1000+(200+p_size*16)*40 AS end_pos""")
 _KSLOT = "CAST((CAST(floor(c_custkey/24) AS BIGINT)*7919)%1000 AS DOUBLE)"
 KNOTS = ("customer", f"CAST(1+c_custkey%24 AS INT) AS chrom, CAST(1+{_KSLOT}*1000 AS BIGINT) AS pos, {_KSLOT}*0.01+({_KSLOT}%7)*0.001 AS cm")
+#: Variants and wide regions spread over 200 million bases, so that rows lie in many segments of a chromosome and between them.
+FAR_VARIANTS = (VARIANTS[0], VARIANTS[1].replace("1+(o_orderkey*7919)%1000000 AS pos", "1+((o_orderkey*7919)%1000000)*200 AS pos"))
+FAR_WIDE = ("part", f"""p_partkey AS region_id, CAST(1+p_partkey%24 AS INT) AS chrom, 1+{_SLOT}*200000 AS start_pos,
+ 1+{_SLOT}*200000+(200+p_size*16)*8000 AS end_pos""")
+FAR_REGIONS = ("part", f"""p_partkey AS region_id, CAST(1+p_partkey%24 AS INT) AS chrom, 1+{_SLOT}*200000 AS start_pos,
+ 1+{_SLOT}*200000+(200+p_size*16)*100 AS end_pos""")
+FAR_KNOTS = (KNOTS[0], KNOTS[1].replace(f"CAST(1+{_KSLOT}*1000 AS BIGINT) AS pos", f"CAST(1+{_KSLOT}*200000 AS BIGINT) AS pos"))
 FEATURES = ("events", "event_id, event_type, CAST(1+user_id%24 AS INT) AS chrom, 1+(event_id*6151)%1000000 AS start_pos, 1+(event_id*6151)%1000000+50+user_id%400 AS end_pos")
 #: Panel rows from variants by variant_id modulo 8: same, swapped, other strand, both, any base, one position on, two rows, none.
 _COMP = "CASE {x} WHEN 1 THEN 8 WHEN 2 THEN 4 WHEN 4 THEN 2 WHEN 8 THEN 1 ELSE 15 END"

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..cluster import ship
 from ..functions.genotypes import pack_dosages, unpack_dosages
+from ..operators.islands import ranked
 from .text import read_bim, read_fam, with_line_number, write_bim, write_fam
 
 #: Fixed value of the format.
@@ -73,10 +74,31 @@ def read_bed_genotypes(spark: SparkSession, path: str, n: int, variants: int, in
     spark.dataSource.register(PlinkSource)
     rows = spark.read.format("plink_bed").options(path=path, n=str(n), variants=str(variants), part=str(part)).load()
     if indices is not None:
-        rows = rows.join(indices.select("variant_index"), "variant_index", "left_semi")
+        rows = _seek(indices, path, n, variants)
     return rows.select("variant_index", F.lit(n).alias("n"), "data", unpack_dosages("data", n).alias("dosages"))
 
 
+def _seek(indices: DataFrame, path: str, n: int, variants: int) -> DataFrame:
+    """(variant_index, data) of the given variants; each task reads its own by their place in the file and nothing between."""
+    width = (n + 3) // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            if f.read(3) != HEAD:
+                raise ValueError(f"{path} is not in variant-major binary genotype format")
+            for batch in batches:
+                out = []
+                for i in batch.column(0).to_pylist():
+                    f.seek(3 + i * width)
+                    out.append(f.read(width))
+                    if len(out[-1]) != width:
+                        raise ValueError(f"{path} ends before variant {i + 1}")
+                yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["variant_index", "data"])
+
+    own = indices.select(F.col("variant_index").cast("bigint")).where((F.col("variant_index") >= 0) & (F.col("variant_index") < variants)).distinct()
+    return own.repartitionByRange("variant_index").sortWithinPartitions("variant_index").mapInArrow(run, "variant_index bigint, data binary")
+
+
 def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
     """Variants of prefix.bim with their genotypes from prefix.bed; samples are those of prefix.fam."""
     bim = with_line_number(read_bim(spark, f"{prefix}.bim"), "variant_index")
@@ -85,16 +107,41 @@ def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 def write_bed_genotypes(df: DataFrame, path: str, order: str = "variant_index", data: str = "data", append: bool = False) -> None:
-    """One file in the order of variants. The format is one sequential file, so rows stream through the driver, a partition at a time."""
-    with open(path, "ab" if append else "wb") as f:
+    """One file in the order of variants, on a disk that all executors see.
+
+    Every variant takes the same number of bytes, so its rank says where it lies: tasks write their own ranges of the
+    file at once, and a task that runs again writes the same bytes to the same place. No row comes to the driver.
+    """
+    ship(df.sparkSession)
+    rows = ranked(df.select(F.lit(0).alias("__c"), F.col(order).alias("__o"), F.col(data).alias("__d")), ["__c", "__o"], "__n", "__c", "__o", 1 << 16)
+    with open(path, "r+b" if append else "wb") as f:
         if not append:
             f.write(HEAD)
-        for r in df.select(order, data).orderBy(order).toLocalIterator(prefetchPartitions=True):
-            f.write(r[1])
-
-
-def write_plink(variants: DataFrame, fam: DataFrame, prefix: str, dosages: str = "dosages") -> None:
-    """prefix.bed as one file, prefix.bim and prefix.fam as folders of text parts."""
+        begin = f.seek(0, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = None
+        with open(path, "r+b") as f:
+            for batch in batches:
+                at = None
+                for rank, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    width = len(x) if width is None else width
+                    if len(x) != width:
+                        raise ValueError("variants differ in their number of samples")
+                    to = begin + (rank - 1) * width
+                    if to != at:
+                        f.seek(to)
+                    f.write(x)
+                    at = to + width
+        yield pa.record_batch([pa.array([] if width is None else [width], pa.int64())], ["width"])
+
+    if len({r["width"] for r in rows.select("__n", "__d").mapInArrow(run, "width bigint").distinct().collect()}) > 1:  # one row for each width
+        raise ValueError("variants differ in their number of samples")
+
+
+def write_plink(variants: DataFrame, fam: DataFrame, prefix: str, dosages: str = "dosages", parts: int | None = None) -> None:
+    """prefix.bed as one file, prefix.bim and prefix.fam as folders of text parts, whose order is that of their names."""
     write_bed_genotypes(variants.withColumn("data", pack_dosages(dosages)), f"{prefix}.bed")
-    write_bim(variants.orderBy("variant_index"), f"{prefix}.bim", "overwrite")
+    at = variants.repartitionByRange(parts, "variant_index").sortWithinPartitions("variant_index") if parts else variants.orderBy("variant_index")
+    write_bim(at, f"{prefix}.bim", "overwrite")
     write_fam(fam, f"{prefix}.fam", "overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,7 +54,7 @@ def bases_at(lines: DataFrame, positions: DataFrame, width: int | None = None) -
         p, s = positions.alias("p"), lines.alias("s")
         found = p.join(s, (F.col("p.record") == F.col("s.record")) & (F.col("s.start") < F.col("p.pos")) & (F.col("p.pos") <= F.col("s.start") + F.length("s.seq"))).select("p.record", "p.pos", "s.start", "s.seq")
     base = F.substring(F.col("seq"), (F.col("pos") - F.col("start")).cast("int"), F.lit(1))
-    return found.select("record", "pos", base.alias("base"), mask_of(base).alias("mask"))
+    return found.where(base != "").select("record", "pos", base.alias("base"), mask_of(base).alias("mask"))
 
 
 def bgzf_blocks(data: bytes | memoryview) -> Iterator[tuple[int, int]]:
@@ -108,6 +109,10 @@ def read_bgzf_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line bigint, value string")
 
 
+#: Bytes of the empty block that ends a file.
+EMPTY = 28
+
+
 def bgzf_compress(data: bytes, block: int = 65280) -> bytes:
     """data as block-gzip, with the empty block that ends a file."""
     out = []
@@ -118,3 +123,27 @@ def bgzf_compress(data: bytes, block: int = 65280) -> bytes:
         head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25)
         out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
     return b"".join(out)
+
+
+def write_bgzf_lines(df: DataFrame, path: str, value: str = "value", block: int = 65280) -> None:
+    """df's lines as block-gzip files under path, a folder on a disk that all executors see; each partition writes its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, waiting, n = f"{path}/part-{TaskContext.get().partitionId():05d}.bgz", b"", 0
+        with open(f"{name}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+            for batch in batches:
+                waiting += b"".join(x.encode() + b"\n" for x in batch.column(0).to_pylist())
+                whole = len(waiting) // block * block
+                if whole:
+                    f.write(bgzf_compress(waiting[:whole], block)[:-EMPTY])
+                    waiting = waiting[whole:]
+                n += batch.num_rows
+            f.write(bgzf_compress(waiting, block))
+        os.replace(f.name, name)  # a task that runs again leaves one file
+        yield pa.record_batch([pa.array([n])], ["n"])
+
+    os.makedirs(path, exist_ok=True)
+    ship(df.sparkSession)
+    df.select(F.coalesce(F.col(value), F.lit(""))).mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.allele_join import by_id, by_id_complete
-from ..operators.intervals import overlap_pairs, with_point_span
+from ..operators.intervals import binned_pair, used_levels
+from ..operators.islands import merged
 
 
 def write_store(df: DataFrame, path: str, files_per_chrom: int = 8, mode: str = "error") -> None:
@@ -23,11 +24,16 @@ def read_region(spark: SparkSession, path: str, chrom: int, start: int, end: int
 
 
 def read_regions(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
-    """Rows in any of regions (chrom, start, end), each once."""
-    rows = spark.read.parquet(path).withColumn("__id", F.monotonically_increasing_id())
-    r = regions.withColumn("__rid", F.monotonically_increasing_id())
-    hits = overlap_pairs(with_point_span(rows), "__id", ("chrom", "pos", "pos_end"), r, "__rid", ("chrom", "start", "end"))
-    return rows.join(hits.select("__id"), "__id", "left_semi").drop("__id")
+    """Rows in any of regions (chrom, start, end), each once.
+
+    Regions are merged first, so that a position lies in one at most, and rows themselves meet them: nothing relies on
+    two scans of the store giving rows the same numbers.
+    """
+    apart = merged(regions.where("start < end AND chrom IS NOT NULL")).select(F.col("chrom").alias("__chrom"), F.col("start").alias("__ts"), F.col("end").alias("__te"))
+    rows = spark.read.parquet(path).withColumns({"__qs": F.col("pos").cast("bigint"), "__qe": F.col("pos").cast("bigint") + 1})
+    q, t = binned_pair(rows, apart, [0], used_levels(apart, "__ts", "__te"))
+    found = q.join(t, (q["chrom"] == t["__chrom"]) & (q["__code"] == t["__code"]) & (q["__bin"] == t["__bin"]) & (F.col("__ts") <= F.col("__qs")) & (F.col("__qs") < F.col("__te")))
+    return found.select(*[q[c] for c in rows.columns if not c.startswith("__")])
 
 
 def read_rsids(spark: SparkSession, path: str, rsids: DataFrame, allow_missing: bool = True) -> DataFrame:

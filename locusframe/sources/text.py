@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,21 @@ def hap_by_regions(spark: SparkSession, legend_path: str, hap_path: str, chrom:
     return read_hap_with_legend(spark, legend_path, hap_path, chrom, inside)
 
 
+def hap_over_chromosomes(spark: SparkSession, pattern: str, chroms: Sequence[int], read: Callable[..., DataFrame], rows: DataFrame) -> DataFrame:
+    """What read, hap_by_rsid or hap_by_regions, gives for each chromosome of a folder, in one table.
+
+    pattern, as "panel/EUR.chr{chrom}_1kg_geno", gives each chromosome's legend with .legend.gz after it and its
+    haplotypes with .hap.gz; parts of other names come as they are where the pattern says {kind}.
+    """
+
+    def path(chrom: int, kind: str) -> str:
+        name = pattern.format(chrom=chrom, kind=kind)
+        return name if "{kind}" in pattern else f"{name}.{kind}.gz"
+
+    parts = [read(spark, path(c, "legend"), path(c, "hap"), c, rows) for c in chroms]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def read_genetic_map(spark: SparkSession, path: str, chrom: int | None = None) -> DataFrame:
     """(chrom, pos, cm) of the rows that aren't marked as filtered; an error for a missing value."""
     raw = spark.read.csv(path, sep="\t", header=True, schema=MAP).where("filtered IS NULL OR filtered <> 1")

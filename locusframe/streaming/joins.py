@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import match_code
-from ..operators.intervals import LEVELS, _query_bins, _target_bins
+from ..operators.intervals import binned_pair, used_levels
 
 
 def regions_of_stream(stream: DataFrame, qid: str, regions: DataFrame, rid: str, chrom: str = "chrom", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
     """(stream's columns, rid): one row for each region that holds the variant; the bins of the regions are a static table."""
     q = stream.withColumns({"__chrom": F.col(chrom), "__qs": F.col(pos).cast("bigint"), "__qe": F.col(pos).cast("bigint") + 1})
     t = regions.select(F.col(rid), F.col(chrom).alias("__chrom"), F.col(start).cast("bigint").alias("__ts"), F.col(end).cast("bigint").alias("__te")).where("__ts < __te")
-    pairs = _query_bins(q, LEVELS).join(_target_bins(t, LEVELS), ["__chrom", "__level", "__bin"])
+    q, t = binned_pair(q, t, [0], used_levels(t, "__ts", "__te"))  # a position is of the finest level
+    pairs = q.join(t, ["__chrom", "__code", "__bin"])
     return pairs.where("__ts <= __qs AND __qs < __te").select(*stream.columns, rid)
 
 

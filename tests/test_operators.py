@@ -185,3 +185,64 @@ def test_simulation_is_repeatable_and_in_bounds(spark):
     r = regions(spark, [(1, 1, 10, 13), (2, 1, 100, 200)], "t")
     got = [tuple(x) for x in sim.sample_in_regions(r, "t", 5, 1, replace=False).collect()]
     assert sorted(p for i, _, p in got if i == 1) == [10, 11, 12] and len({p for i, _, p in got if i == 2}) == 5
+
+
+def test_missing_chromosomes_are_a_group_and_lose_no_row(spark):
+    df = regions(spark, [(1, 1, 1, 10), (2, None, 5, 20), (3, None, 15, 30), (4, 1, 5, None), (5, 1, None, 7)], "t")
+    assert S.clusters(df).count() == 5 and S.hull_over(df).count() == 5 and S.cluster_hulls(df).count() == 5
+    got = {r["t"]: r["cluster"] for r in S.clusters(df).collect()}
+    assert got[2] == got[3] == 1
+    assert {r["t"]: (r["hull_start"], r["hull_end"]) for r in S.hull_over(df).where("chrom IS NULL").collect()} == {2: (5, 30), 3: (5, 30)}
+
+
+def test_rank_over_segments(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 2, None]), rng.choice([None, rng.randrange(1, 3000)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "t bigint, chrom int, pos bigint")
+    low = lambda x: (x is not None, x or 0)
+    want = {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (low(r[1]), low(r[2]), r[0])))}
+    for segment in (50, 1 << 22):
+        assert {r["t"]: r["rank"] for r in S.ranked(df, ["chrom", "pos", "t"], segment=segment).collect()} == want
+
+
+def test_wide_regions_give_few_rows_on_either_side(spark):
+    wide = regions(spark, [(1, 1, 1, 248_000_000), (2, 1, 5, 9), (3, 1, 100_000_000, 100_300_000)], "q")
+    fine = regions(spark, [(i, 1, i * 1_000_000 + 1, i * 1_000_000 + 200) for i in range(240)], "t")
+    for a, b in ((wide, fine), (fine, wide)):
+        (x, y), both = (c.columns[0] for c in (a, b)), [c.select(F.col(c.columns[0]).alias("id"), F.col("chrom").alias("__chrom"), F.col("start").alias("s"), F.col("end").alias("e")) for c in (a, b)]
+        q, t = both[0].select("id", "__chrom", F.col("s").alias("__qs"), F.col("e").alias("__qe")), both[1].select("id", "__chrom", F.col("s").alias("__ts"), F.col("e").alias("__te"))
+        ql, tl = I.binned_pair(q, t, I.used_levels(q, "__qs", "__qe"), I.used_levels(t, "__ts", "__te"))
+        assert ql.count() + tl.count() <= 2 * (len(I.LEVELS) + 1) * (q.count() + t.count())
+        assert I.overlap_pairs(a, x, SPAN, b, y, SPAN).count() == 240 + 2
+
+
+def test_sampling_without_replacement_is_uniform(spark):
+    r = spark.range(4000).select(F.col("id").alias("t"), F.lit(1).alias("chrom"), F.lit(10).alias("start"), F.lit(15).alias("end"))
+    rows = sim.sample_in_regions(r, "t", 2, 1, replace=False).groupBy("t").agg(F.sort_array(F.collect_list("pos")).alias("p")).groupBy("p").count().collect()
+    assert len(rows) == 10 and all(320 <= x["count"] <= 480 for x in rows)
+
+
+def test_windows_cut_on_the_map_equal_whole_ones(spark):
+    rng = random.Random(8)
+    rows = [(c, i * 10, i * 0.07 + rng.random() * 0.05) for c in (1, 2) for i in range(80)] + [(1, 5000, None)]
+    got = {(r["chrom"], r["pos"]): (r["start"], r["end"]) for r in M.windows(spark.createDataFrame(rows, "chrom int, pos bigint, cm double"), 0.6).collect()}
+    for c, p, m in rows:
+        near = [q for d, q, k in rows if m is not None and d == c and k is not None and abs(k - m) <= 0.3]
+        assert got[c, p] == ((min(near), max(near) + 1) if near else (None, None))
+
+
+def test_casts_and_types(spark):
+    from locusframe.operators import columns as K
+
+    df = spark.createDataFrame([("chr1:5_A_C", "chr2:1_9"), ("x", "y"), (None, None)], "v string, r string")
+    out = df.withColumns({"a": K.as_variant(df, "v"), "b": K.as_region(df, "r")})
+    assert K.is_variant(out, "a") and K.is_region(out, "b") and not K.is_variant(out, "b")
+    assert [tuple(x) if x else None for x in (r["a"] for r in out.collect())] == [(1, 5, 1, 2), None, None]
+    assert [r["x"] and tuple(r["x"]) for r in out.select(K.as_region(out, "a").alias("x")).collect()] == [(1, 5, 6), None, None]
+
+
+def test_texts_with_bases_that_a_variant_cannot_have(spark):
+    from locusframe.functions import coords as C
+
+    df = spark.createDataFrame([("1:5_A_U",), ("1:5_U_A",), ("1:5_A_T",)], "t string")
+    assert [r["pos"] for r in df.select(C.parse_variant("t")["pos"].alias("pos")).collect()] == [None, None, 5]
