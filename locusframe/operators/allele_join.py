@@ -16,24 +16,35 @@ def position_match(q: DataFrame, qid: str, t: DataFrame, tid: str, on: Sequence[
     return q.select(qid, *on).join(first, list(on), "left").select(qid, tid)
 
 
+def _best(q: DataFrame, qid: str, t: DataFrame, tid: str, on: Sequence[str], ref: str, alt: str, carry: Sequence[str]) -> DataFrame:
+    """(qid, row, m): each query's row and the least of (match code, tid, carry) over the targets at its position that it matches."""
+    tl = t.select(*on, F.col(ref).alias("__tr"), F.col(alt).alias("__ta"), F.col(tid).alias("__tid"), *[F.col(c).alias(f"__c_{c}") for c in carry])
+    rows = q.select(*on, F.struct(*q.columns).alias("row"))
+    pairs = rows.join(tl, list(on), "left").withColumn("__code", match_code(F.col("row")[ref], F.col("row")[alt], "__tr", "__ta"))
+    found = F.when(F.col("__code").isNotNull(), F.struct("__code", "__tid", *[f"__c_{c}" for c in carry]))
+    return pairs.groupBy(F.col("row")[qid].alias("__q")).agg(F.min(found).alias("m"), F.first("row").alias("row"))
+
+
 def best_match(q: DataFrame, qid: str, t: DataFrame, tid: str, on: Sequence[str] = ("chrom", "pos"), ref: str = "ref", alt: str = "alt", carry: Sequence[str] = ()) -> DataFrame:
     """(qid, match_code, tid, carry): the target with the lowest match code, then the smallest id; NULLs without one.
 
     All targets at the position are held against the query. The best is a minimum of structs, which is
-    aggregated before any shuffle.
+    aggregated before any shuffle. Queries are told apart by qid.
     """
-    tl = t.select(*on, F.col(ref).alias("__tr"), F.col(alt).alias("__ta"), F.col(tid).alias("__tid"), *[F.col(c).alias(f"__c_{c}") for c in carry])
-    pairs = q.select(qid, *on, ref, alt).join(tl, list(on)).withColumn("__code", match_code(ref, alt, "__tr", "__ta")).where("__code IS NOT NULL")
-    best = pairs.groupBy(qid).agg(F.min(F.struct("__code", "__tid", *[f"__c_{c}" for c in carry])).alias("m"))
-    found = q.select(qid).join(best, qid, "left")
-    return found.select(qid, F.col("m.__code").alias("match_code"), F.col("m.__tid").alias(tid), *[F.col(f"m.__c_{c}").alias(c) for c in carry])
+    found = _best(q.select(qid, *on, ref, alt), qid, t, tid, on, ref, alt, carry)
+    return found.select(F.col("__q").alias(qid), F.col("m.__code").alias("match_code"), F.col("m.__tid").alias(tid), *[F.col(f"m.__c_{c}").alias(c) for c in carry])
+
+
+def left_join(q: DataFrame, qid: str, t: DataFrame, tid: str, suffix: str = "_ref", on: Sequence[str] = ("chrom", "pos"), ref: str = "ref", alt: str = "alt") -> DataFrame:
+    """q with its best target's columns, under their names with a suffix; rows and targets meet once."""
+    others = [c for c in t.columns if c != tid]
+    found = _best(q, qid, t, tid, on, ref, alt, others)
+    return found.select("row.*", F.col("m.__code").alias("match_code"), F.col("m.__tid").alias(tid), *[F.col(f"m.__c_{c}").alias(f"{c}{suffix}") for c in others])
 
 
-def left_join(q: DataFrame, qid: str, t: DataFrame, tid: str, suffix: str = "_ref", **how) -> DataFrame:
-    """q with its best target's columns, under their names with a suffix."""
-    best = best_match(q, qid, t, tid, **how)
-    named = t.select(*[F.col(c).alias(c if c == tid else f"{c}{suffix}") for c in t.columns])
-    return q.join(best, qid).join(named, tid, "left")
+def align_reference(q: DataFrame, qid: str, panel: DataFrame, tid: str, on: Sequence[str] = ("chrom", "pos"), ref: str = "ref", alt: str = "alt") -> DataFrame:
+    """q with match_code and tid of its best row of a panel, NULL without one."""
+    return _best(q, qid, panel, tid, on, ref, alt, ()).select("row.*", F.col("m.__code").alias("match_code"), F.col("m.__tid").alias(tid))
 
 
 def harmonise(gwas: DataFrame, qid: str, panel: DataFrame, tid: str, effects: Sequence[str] = ("beta",), remove_ambiguous: bool = True, remove_missing: bool = True, compat: bool = False) -> DataFrame:
@@ -42,7 +53,7 @@ def harmonise(gwas: DataFrame, qid: str, panel: DataFrame, tid: str, effects: Se
     compat negates effects for all but swapped matches instead, and for rows without a match.
     """
     rows = gwas.where(~is_strand_ambiguous("ref", "alt")) if remove_ambiguous else gwas
-    out = rows.join(best_match(rows, qid, panel, tid), qid)
+    out = align_reference(rows, qid, panel, tid)
     swapped = F.coalesce(is_reversed("match_code"), F.lit(False))
     turn = ~swapped if compat else swapped
     out = out.withColumns({e: F.when(turn, -F.col(e)).otherwise(F.col(e)) for e in effects})

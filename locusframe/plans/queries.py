@@ -205,6 +205,11 @@ def harmonise_effects_compat(spark, d):
     return out.select("variant_id", "panel_id", "match_code", F.round("beta", 6).alias("beta"))
 
 
+@query("align_reference", f"{_BEST} SELECT v.variant_id, v.chrom, v.pos, v.ref, v.alt, match_code, panel_id FROM variants v LEFT JOIN best b ON v.variant_id=b.variant_id")
+def align_reference(spark, d):
+    return J.align_reference(view(spark, d, VARIANTS), "variant_id", panel(spark, d), "panel_id").drop("beta")
+
+
 @query("left_variant_join", f"{_BEST} SELECT v.variant_id, v.chrom, v.pos, b.panel_id, p.pos AS pos_ref, p.ref AS ref_ref, p.alt AS alt_ref FROM variants v LEFT JOIN best b ON v.variant_id=b.variant_id LEFT JOIN panel p ON b.panel_id=p.panel_id")
 def left_variant_join(spark, d):
     out = J.left_join(view(spark, d, VARIANTS), "variant_id", panel(spark, d), "panel_id")
