@@ -7,8 +7,9 @@ seeded order of its source: the documents whose midpoints in the running sum of
 the target. So the words taken miss the target by half a document at most.
 
 A null source is a source of its own, after all others. Null texts and texts without a word have size 0.
-Null ids hash as 0. Rows that are repeated in full are taken as often as any of them would be, in total.
-Empty tables give no rows.
+Null ids hash as 0. Of rows with the same id and size any may be taken, as many as it takes; a key that holds many rows
+is a few sums and numbers within parts of the table, so no task orders its rows. Sources are ordered in one task, a row
+for each. Very long texts count like others. Empty tables give no rows. Names of further columns don't matter to mix().
 """
 
 from __future__ import annotations
@@ -68,11 +69,14 @@ def repetitions(ws: Workspace, df: DataFrame, key: str, source: str, size: Colum
     """df's rows with __size, source_size, target and times (how often the mix takes the row).
 
     df is written once to the shared folder with its sizes, as they cost a pass over the texts. The order
-    within a source is cut into BINS parts; whole parts lie above or below the cut, and only the part on it
-    is sorted. So the largest source is spread like any other.
+    within a source is cut into BINS parts; whole parts lie above or below the cut. In the part on it, rows of one key and
+    size are one cell with a count, and cells are summed up in order; of the one cell on the cut, rows are numbered
+    within the parts of the table that were written. So the largest source and the most frequent key are spread like others.
     """
     rank = order_hash(F.col(key), seed)
-    rows = ws.keep(df.withColumns({"__size": size, "__rank": rank, "__bin": F.floor(rank * BINS / PRIME).cast("int")}), "sized")
+    # where a row was written, as columns of the table, so that a second read finds the same numbers
+    place = {"__file": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}
+    rows = ws.keep(df.withColumns({"__size": size, "__rank": rank, "__bin": F.floor(rank * BINS / PRIME).cast("int")} | place), "sized")
     parts = rows.groupBy(F.col(source).alias("source"), F.col("__bin").alias("bin")).agg(F.sum("__size").alias("bin_size"))
     goal = targets(parts.groupBy("source").agg(F.sum("bin_size").alias("size")), "source", "size", weights, budget, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -84,12 +88,30 @@ def repetitions(ws: Workspace, df: DataFrame, key: str, source: str, size: Colum
     cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") > F.col("rest"))
     parts = parts.select(F.col("source").alias("__source"), F.col("bin").alias("__part"), "start", "source_size", "target", "whole", "rest", cut.alias("cut"))
     rows = rows.join(parts, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__bin") == F.col("__part")))
-    own = Window.partitionBy("__source", "__part").orderBy("__rank", F.col(key).asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
     sure = rows.where(~F.col("cut")).withColumn("more", F.col("start") < F.col("rest"))
-    near = rows.where("cut").withColumn("__mid", 2 * (F.col("start") + F.coalesce(F.sum("__size").over(own), F.lit(0))) + F.col("__size"))
-    near = near.withColumn("more", F.col("__mid") < 2 * F.col("rest")).drop("__mid")
-    out = sure.unionByName(near).withColumn("times", F.col("whole") + F.col("more").cast("int"))
-    return out.drop("__source", "__part", "__rank", "__bin", "start", "whole", "rest", "cut", "more")
+    near = rows.where("cut")
+    keys = ["__source", "__part", "__rank", "__key", "__size"]
+    near = near.withColumn("__key", F.col(key))
+    cells = near.groupBy(*keys, "start", "rest").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("__source", "__part").orderBy("__rank", F.col("__key").asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("start") + F.coalesce(F.sum(F.col("__n") * F.col("__size")).over(order), F.lit(0))
+    # row i of a cell is taken if 2 (begin + i size) + size < 2 rest
+    fits = F.when(F.col("__size") > 0, F.ceil((F.col("rest") - begin) / F.col("__size") - 0.5)).when(begin < F.col("rest"), F.col("__n")).otherwise(0)
+    cells = cells.withColumn("__take", F.least(F.greatest(fits, F.lit(0)), F.col("__n")).cast("long")).drop("start", "rest")
+    on_cut = ws.keep(cells.where("__take > 0 AND __take < __n"), "cells")  # one for each source at most
+    taken = cells.where("__take = __n").select(*keys)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    split = near.alias("r").join(on_cut.alias("c"), same("r", "c"))
+    one = split.groupBy("r.__source", "r.__file").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("__source").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = one.select(F.col("__source").alias("__s"), F.col("__file").alias("__f"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
+    at = F.row_number().over(Window.partitionBy("r.__source", "r.__file").orderBy("r.__row"))
+    split = split.withColumn("at", at).join(ahead, F.col("r.__source").eqNullSafe(F.col("__s")) & (F.col("r.__file") == F.col("__f")))
+    split = split.select("r.*", (F.col("at") + F.col("ahead") <= F.col("c.__take")).alias("more"))
+    whole_cells = near.alias("r").join(on_cut.alias("c"), same("r", "c"), "left_anti").alias("r")
+    whole_cells = whole_cells.join(taken.withColumn("__in", F.lit(True)).alias("c"), same("r", "c"), "left").select("r.*", F.coalesce("__in", F.lit(False)).alias("more"))
+    out = sure.unionByName(split.unionByName(whole_cells).drop("__key")).withColumn("times", F.col("whole") + F.col("more").cast("int"))
+    return out.drop("__source", "__part", "__rank", "__bin", "__file", "__row", "start", "whole", "rest", "cut", "more")
 
 
 def mix(ws: Workspace, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:

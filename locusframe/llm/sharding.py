@@ -3,7 +3,10 @@
 A record goes to the shard with the least of -ln(u) / weight, where u is uniform and comes from the record's
 key and the shard's number. A new shard only draws the records that it wins; none moves between old shards.
 
-Null keys hash as one key. Repeated rows go to the same shard and get slots of their own. Empty tables give no rows.
+Null keys hash as one key. The hash depends on the key's type, so a key that is an INT in one table and a BIGINT in the
+other must be cast to one of them. Of equal costs the lower shard wins. Texts play no part: a null or very long one is
+placed like any other. Repeated rows go to the same shard and get slots of their own; a key that holds many rows fills
+its shard, whose slots are still numbered by many tasks. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
-from locusframe.llm import embed_dedup, graph, html_text, labelled, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, texts, token_ids, token_records
+from locusframe.llm import embed_dedup, graph, html_text, labelled, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, queries, sharding, texts, token_ids, token_records
 from locusframe.llm.queries import tokenizer_path
 from locusframe.llm.shared import Workspace
 
@@ -251,6 +251,21 @@ def test_targets_and_taken_words(spark, docs, empty):
     assert mixing.mix(Workspace(spark), empty).count() == 0
 
 
+def test_mix_with_one_key_for_most_rows_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(21)
+    rows = [(7 if i % 3 else (None if i % 2 else i), " ".join("w" for _ in range(rng.choice([0, 1, 5, 5, 40]))) or None, "en", [None, "a", "b"][i % 7 % 3], 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (tmp_path / "s").mkdir()
+    got = Counter(tuple(r) for r in queries.op4_water_filling_mix(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP4_SQL})").fetchall()
+    assert got == Counter(want)
+
+
 # ---- 5
 
 
