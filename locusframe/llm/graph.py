@@ -2,7 +2,8 @@
 
 Every step is a minimum per node, summed up before the shuffle, and a join of edges with the minimum of their node.
 Nodes that hold more than 1 / HUBS of all edges, which are fewer than HUBS by that, get theirs by broadcast, so no task
-holds a large node's neighbourhood. The number of rows never exceeds twice the number of edges.
+holds a large node's neighbourhood; with FEW edges or less, which are counted first, all do. The number of rows never
+exceeds twice the number of edges.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 HUBS = 1000
+#: Rows up to which a table with at most one row for each of them is sent to all tasks.
+FEW = 200_000
 
 
 def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined with the one row of groups that has their key; size counts the rows of a key, total all of them.
 
     Keys with more than total / HUBS rows are fewer than HUBS, so theirs are sent to all tasks, and their rows are not
-    shuffled; all others meet in a shuffle.
+    shuffled; all others meet in a shuffle. Up to FEW rows, which bound the groups, all groups are sent.
     """
+    if total <= FEW:
+        return rows.join(F.broadcast(groups), key)
     hot = F.col(size) * HUBS > total
     few = F.broadcast(groups.where(hot))  # fewer than HUBS rows
     rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
@@ -31,6 +36,11 @@ def _down(df: DataFrame, u: str, v: str) -> DataFrame:
     return df.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
 
 
+def _files(rows: int) -> int:
+    """Files for a table of at most `rows` rows."""
+    return 8 + rows // 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
@@ -47,10 +57,10 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = ws.keep(_down(with_group(both.where("v > u"), least, "u", "n", 2 * before[0]), "v", "m"), "large")
+        large = ws.keep(_down(with_group(both.where("v > u"), least, "u", "n", 2 * before[0]), "v", "m").coalesce(_files(before[0])), "large")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = with_group(large, smallest, "u", "n", before[0]).select("v", "m").unionByName(smallest.select(F.col("u").alias("v"), "m"))
-        after = ws.keep(_down(small, "v", "m"), "edges")
+        after = ws.keep(_down(small, "v", "m").coalesce(_files(before[0])), "edges")
         ws.drop(now, large)
         now, state = after, _state(after)
         if state == before:

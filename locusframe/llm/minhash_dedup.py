@@ -96,33 +96,32 @@ def _chunk(many: str) -> Column:
 
 
 def _linked(ws: Workspace, rows: DataFrame, by: str, compare: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """(rep, root) over all groups of rows (by, rep): edges whose components are those of all pairs that compare links.
+    """(by, rep, root) over all groups of rows (by, rep): edges whose components are those of all pairs that compare links.
 
-    compare gets (by, x, y, right, rep): one task's rows have equal by, x and y, and are held against each other, or
-    where x and y differ those with right against those without.
+    compare gets (by, x, y, right, rep) and gives (by, rep, root), the least class that each reaches: one task's rows
+    have equal by, x and y, and are held against each other, or where x and y differ those with right against those
+    without.
     """
     sizes = rows.groupBy(by).agg(F.count("*").alias("m")).where("m > 1")
     rows = ws.keep(with_group(rows, sizes, by, "m", max(1, rows.count())), f"{name}-groups").withColumn("own", _chunk("m"))
     no = F.lit(False)
     edges = ws.keep(compare(rows.select(by, F.col("own").alias("x"), F.col("own").alias("y"), no.alias("right"), "rep")), name)
     large = rows.where(F.col("m") > CHUNK)
-    if large.isEmpty():
+    many = large.count()
+    if not many:
         return edges
-
-    def rooted() -> DataFrame:
-        found = connected_components(ws, edges, "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("root"))
-        return ws.keep(large.join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"{name}-roots")
-
-    at = rooted()
-    pivots = at.groupBy(by, "root").agg(F.min("rep").alias("rep"))
-    pivots = ws.keep(pivots.join(pivots.groupBy(by).agg(F.count("*").alias("p")), by).withColumn("own", _chunk("p")), f"{name}-pivots")
+    # the root of each class in its chunk, then that root's root among the roots of its group
+    at = large.join(edges.select(by, "rep", "root").distinct(), [by, "rep"], "left").withColumn("first", F.coalesce("root", "rep")).drop("root")
+    at = ws.keep(at, f"{name}-roots")
+    pivots = at.select(by, F.col("first").alias("rep")).distinct()
+    pivots = with_group(pivots, pivots.groupBy(by).agg(F.count("*").alias("p")), by, "p", many).withColumn("own", _chunk("p"))
     more = ws.keep(compare(pivots.select(by, F.col("own").alias("x"), F.col("own").alias("y"), no.alias("right"), "rep")), name)
-    edges = edges.unionByName(more)
-    ws.drop(at)
-    at = rooted()
-    sums = at.groupBy(by, "root").agg(F.count("*").alias("n")).groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    at = with_group(at.drop("m"), sums.join(sizes, by), by, "m", max(1, at.count())).where("others > 0")
+    to = more.select(by, F.col("rep").alias("first"), F.col("root").alias("second")).distinct()
+    at = ws.keep(at.join(to, [by, "first"], "left").withColumn("root", F.coalesce("second", "first")).drop("first", "second"), f"{name}-roots")
+    sums = at.groupBy(by, "root").agg(F.count("*").alias("n")).groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("m"))
+    at = with_group(at.drop("m"), sums, by, "m", many).where("others > 0")
     at = ws.keep(at.withColumn("other", F.col("root") != F.col("main")), f"{name}-others")
+    edges = edges.unionByName(more)
     chunks, mine, bounds = F.ceil(F.col("others") / CHUNK).cast("int"), _chunk("others"), F.ceil(F.col("m") / CHUNK).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), many - 1)).alias("to")
     own = at.where("NOT other").select("*", every(chunks)).select(by, F.col("own").alias("x"), (-1 - F.col("to")).alias("y"), no.alias("right"), "rep")
@@ -164,11 +163,11 @@ class _Union:
             low, high = (i, j) if self.rep[i] <= self.rep[j] else (j, i)
             self.up[high] = low
 
-    def moved(self) -> tuple[np.ndarray, np.ndarray]:
-        """(rep, root) of the rows whose root is another."""
+    def moved(self, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, rep, root) of the rows whose root is another."""
         root = np.array([self.find(i) for i in range(len(self.up))], int)
         at = np.flatnonzero(root != np.arange(len(root)))
-        return self.rep[at], self.rep[root[at]]
+        return np.full(len(at), group, np.int64), self.rep[at], self.rep[root[at]]
 
 
 def _sides(g: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,21 +185,19 @@ def _signs(g: pa.Table) -> np.ndarray:
     return g.column("sig").chunk(0).flatten().to_numpy().reshape(g.num_rows, -1)
 
 
-def _collected(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    reps, roots, n = [], [], 0
-    for rep, root in found:
-        reps.append(rep)
-        roots.append(root)
-        n += len(rep)
-        if n > 20_000:
-            yield pa.record_batch([pa.array(np.concatenate(reps), pa.int64()), pa.array(np.concatenate(roots), pa.int64())], ["rep", "root"])
-            reps, roots, n = [], [], 0
-    if reps:
-        yield pa.record_batch([pa.array(np.concatenate(reps), pa.int64()), pa.array(np.concatenate(roots), pa.int64())], ["rep", "root"])
+def _collected(found: Iterator[tuple[np.ndarray, ...]], by: str) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    for one in found:
+        held.append(one)
+        if sum(len(x[0]) for x in held) > 20_000:
+            yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], [by, "rep", "root"])
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], [by, "rep", "root"])
 
 
 def _candidate_edges(dealt: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
-    """(rep, root): for each list, its classes that reach a smaller one over signatures with t collisions or more."""
+    """(pair, rep, root): for each list, its classes that reach a smaller one over signatures with t collisions or more."""
     keys = ["pair", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +209,16 @@ def _candidate_edges(dealt: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
                     for i, to in _sides(g):
                         for j in to[(sig[to] == sig[i]).sum(axis=1) >= t].tolist():
                             sets.join(i, j)
-                    yield sets.moved()
+                    yield sets.moved(g.column("pair")[0].as_py())
 
-        yield from _collected(found())
+        yield from _collected(found(), "pair")
 
     rows = dealt.join(sigs, "rep")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig").mapInArrow(run, "rep long, root long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig").mapInArrow(run, "pair long, rep long, root long")
 
 
 def _confirmed_edges(dealt: DataFrame, sigs: DataFrame, texts: DataFrame, t: int, percent: int, shingle: int) -> DataFrame:
-    """(rep, root): for each group, its classes that reach a smaller one over pairs whose full sets are alike."""
+    """(component, rep, root): for each group, its classes that reach a smaller one over pairs whose full sets are alike."""
     keys = ["component", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +248,12 @@ def _confirmed_edges(dealt: DataFrame, sigs: DataFrame, texts: DataFrame, t: int
                         both = np.bincount(rows[mine[at] == theirs], minlength=len(part))
                         for j in part[100 * both >= percent * (size[i] + size[part] - both)].tolist():
                             sets.join(i, j)
-                yield sets.moved()
+                yield sets.moved(g.column("component")[0].as_py())
 
-        yield from _collected(found())
+        yield from _collected(found(), "component")
 
     rows = dealt.join(sigs, "rep").join(texts, "rep")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig", "text").mapInArrow(run, "rep long, root long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig", "text").mapInArrow(run, "component long, rep long, root long")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent: int = 85, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -285,7 +282,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent
     held = filled.select("key", F.xxhash64(*same).alias("rep"))
     several = held.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("most"), F.count("*").alias("n")).where("root < most")
     twice = with_group(held, several, "key", "n", max(1, sets.count())).select("rep", "root").distinct()
-    labels = connected_components(ws, links.unionByName(twice), "rep", "root").select(F.col("node").alias("rep"), "component")
+    labels = connected_components(ws, links.select("rep", "root").unionByName(twice), "rep", "root").select(F.col("node").alias("rep"), "component")
     joined = ws.keep(classes.select("rep", "least").join(labels, "rep"), "joined")
     least_of = joined.groupBy("component").agg(F.min("least").alias("label"), F.count("*").alias("size"))
     named = with_group(joined, least_of, "component", "size", max(1, joined.count())).select("rep", "label")
