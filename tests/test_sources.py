@@ -67,7 +67,7 @@ def test_genetic_map_of_every_chromosome(spark):
     from locusframe.plans.views import KNOTS, view
 
     want = sorted((r["chrom"], r["pos"]) for r in view(spark, DIR, KNOTS).where("pos % 3 <> 0").collect())
-    got = sorted((r["chrom"], r["pos"]) for r in q.genetic_map_read_whole(spark, DIR).collect())
+    got = sorted((r["chrom"], r["pos"]) for r in q.genetic_map_read(spark, DIR).collect())
     assert got == want and {c for c, _ in got} == set(range(1, 25))
 
 
@@ -167,3 +167,17 @@ def test_haplotypes_of_several_parts_meet_their_legend(spark, tmp_path, small_sp
         at += n
     got = text.read_hap_with_legend(spark, str(tmp_path / "l"), str(tmp_path / "h"), 19).select("rsid", G.format_bits("words", 10).alias("b")).collect()
     assert {r["rsid"]: r["b"] for r in got} == {i: f"{i:010b}" for i in range(at)}
+
+
+def test_genotypes_of_unlike_widths_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(0, b"ab"), (1, b"abc")], "variant_index bigint, data binary")
+    with pytest.raises(Exception, match="differ in their number of samples"):
+        plink.write_bed_genotypes(df, str(tmp_path / "x.bed"))
+
+
+def test_regions_of_a_store_that_overlap_give_each_row_once(spark, tmp_path):
+    df = spark.range(500).select(F.lit(1).alias("chrom"), F.col("id").alias("pos"))
+    path = str(tmp_path / "s")
+    store.write_store(df, path, files_per_chrom=1)
+    r = spark.createDataFrame([(1, 10, 50), (1, 20, 30), (1, 40, 60), (2, 0, 9), (None, 0, 9), (1, 70, 70)], "chrom int, start bigint, end bigint")
+    assert sorted(x["pos"] for x in store.read_regions(spark, path, r).collect()) == list(range(10, 60))
