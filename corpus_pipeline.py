@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ws, names = Workspace(spark), docs.columns
     found = minhash_dedup.near_duplicates(ws, docs, "doc_id", "text", percent=SIMILAR)
     kept = ws.keep(found.where("key = component_id").groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("__rows")), "kept")
-    rows = with_group(docs, kept, "doc_id", "__rows", max(1, docs.count()))
+    rows = with_group(ws, docs, kept, "doc_id", "__rows", max(1, docs.count()))
     once = rows.where("__rows = 1").select(names)
     # few: rows that share their doc_id, of which equal texts come once
     several = rows.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(names)

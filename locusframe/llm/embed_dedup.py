@@ -265,10 +265,10 @@ def near_duplicates(ws: Workspace, table: DataFrame, key: str, vector: str, leas
     named = ws.keep(connected_components(ws, found, "cid", "root").select(F.col("node").alias("cid"), "component"), "components")
     named = named.join(classes, "cid")
     sizes = named.groupBy("component").agg(F.count("*").alias("m"), F.min("least").alias("label"))
-    grouped = ws.keep(with_group(named, sizes, "component", "m", max(1, named.count())), "grouped")
+    grouped = ws.keep(with_group(ws, named, sizes, "component", "m", max(1, named.count())), "grouped")
     links = counted(_dealt(grouped.select("component", "cid", "n", "m").join(vectors, "cid"), F.ceil(F.col("m") / CHUNK).cast("int")), least, kind)
     of = ws.keep(classes.join(grouped.select("cid", "label"), "cid", "left").join(links, "cid", "left"), "links")
     of = of.select("cid", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "least").alias("label"))
-    known = with_group(rows.where("cid IS NOT NULL"), of, "cid", "n", max(1, rows.count()))
+    known = with_group(ws, rows.where("cid IS NOT NULL"), of, "cid", "n", max(1, rows.count()))
     known = known.select("key", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), F.col("label").alias("component_id"))
     return known.unionByName(rows.where("cid IS NULL").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")))

@@ -18,18 +18,21 @@ HUBS = 1000
 FEW = 200_000
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows joined with the one row of groups that has their key; size counts the rows of a key, total all of them.
+def with_group(ws: Workspace, rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, few: int = 0) -> DataFrame:
+    """rows joined with the one row of groups that has their key, a long; size counts the rows of a key, total all of them.
 
     Keys with more than total / HUBS rows are fewer than HUBS, so theirs are sent to all tasks, and their rows are not
-    shuffled; all others meet in a shuffle. Up to FEW rows, which bound the groups, all groups are sent.
+    shuffled; all others meet in a shuffle. Up to `few` rows, which bound the groups, all groups are sent.
     """
-    if total <= FEW:
+    if total <= few:
         return rows.join(F.broadcast(groups), key)
-    hot = F.col(size) * HUBS > total
-    few = F.broadcast(groups.where(hot))  # fewer than HUBS rows
-    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
-    return rows.join(few, key).unionByName(rest)
+    groups = ws.keep(groups, "groups")
+    hot = [r[0] for r in groups.where(F.col(size) * HUBS > total).select(key).collect()]  # fewer than HUBS
+    if not hot:
+        return rows.join(groups.hint("merge"), key)
+    own = F.col(key).isin(hot)
+    rest = rows.where(~own).join(groups.where(~own).hint("merge"), key)
+    return rows.where(own).join(F.broadcast(groups.where(own)), key).unionByName(rest)
 
 
 def _down(df: DataFrame, u: str, v: str) -> DataFrame:
@@ -57,9 +60,9 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = ws.keep(_down(with_group(both.where("v > u"), least, "u", "n", 2 * before[0]), "v", "m").coalesce(_files(before[0])), "large")
+        large = ws.keep(_down(with_group(ws, both.where("v > u"), least, "u", "n", 2 * before[0], FEW), "v", "m").coalesce(_files(before[0])), "large")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = with_group(large, smallest, "u", "n", before[0]).select("v", "m").unionByName(smallest.select(F.col("u").alias("v"), "m"))
+        small = with_group(ws, large, smallest, "u", "n", before[0], FEW).select("v", "m").unionByName(smallest.select(F.col("u").alias("v"), "m"))
         after = ws.keep(_down(small, "v", "m").coalesce(_files(before[0])), "edges")
         ws.drop(now, large)
         now, state = after, _state(after)

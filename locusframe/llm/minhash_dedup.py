@@ -86,7 +86,7 @@ def _prefixes(ws: Workspace, classes: DataFrame, t: int, k: int) -> DataFrame:
     """(pair, rep, n): the prefix of each class that may have a candidate, and how many classes hold the pair."""
     posted = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("pair"))
     held = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    own = with_group(posted, held, "pair", "n", max(1, classes.count() * k)).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("pairs"))
+    own = with_group(ws, posted, held, "pair", "n", max(1, classes.count() * k)).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("pairs"))
     own = own.where(F.size("pairs") >= t).withColumn("prefix", F.slice("pairs", 1, F.size("pairs") - t + 1))
     return ws.keep(own.select("rep", F.explode("prefix").alias("p")).select("p.pair", "rep", "p.n"), "prefixes")
 
@@ -103,7 +103,7 @@ def _linked(ws: Workspace, rows: DataFrame, by: str, compare: Callable[[DataFram
     without.
     """
     sizes = rows.groupBy(by).agg(F.count("*").alias("m")).where("m > 1")
-    rows = ws.keep(with_group(rows, sizes, by, "m", max(1, rows.count())), f"{name}-groups").withColumn("own", _chunk("m"))
+    rows = ws.keep(with_group(ws, rows, sizes, by, "m", max(1, rows.count())), f"{name}-groups").withColumn("own", _chunk("m"))
     no = F.lit(False)
     edges = ws.keep(compare(rows.select(by, F.col("own").alias("x"), F.col("own").alias("y"), no.alias("right"), "rep")), name)
     large = rows.where(F.col("m") > CHUNK)
@@ -114,12 +114,12 @@ def _linked(ws: Workspace, rows: DataFrame, by: str, compare: Callable[[DataFram
     at = large.join(edges.select(by, "rep", "root").distinct(), [by, "rep"], "left").withColumn("first", F.coalesce("root", "rep")).drop("root")
     at = ws.keep(at, f"{name}-roots")
     pivots = at.select(by, F.col("first").alias("rep")).distinct()
-    pivots = with_group(pivots, pivots.groupBy(by).agg(F.count("*").alias("p")), by, "p", many).withColumn("own", _chunk("p"))
+    pivots = with_group(ws, pivots, pivots.groupBy(by).agg(F.count("*").alias("p")), by, "p", many).withColumn("own", _chunk("p"))
     more = ws.keep(compare(pivots.select(by, F.col("own").alias("x"), F.col("own").alias("y"), no.alias("right"), "rep")), name)
     to = more.select(by, F.col("rep").alias("first"), F.col("root").alias("second")).distinct()
     at = ws.keep(at.join(to, [by, "first"], "left").withColumn("root", F.coalesce("second", "first")).drop("first", "second"), f"{name}-roots")
     sums = at.groupBy(by, "root").agg(F.count("*").alias("n")).groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("m"))
-    at = with_group(at.drop("m"), sums, by, "m", many).where("others > 0")
+    at = with_group(ws, at.drop("m"), sums, by, "m", many).where("others > 0")
     at = ws.keep(at.withColumn("other", F.col("root") != F.col("main")), f"{name}-others")
     edges = edges.unionByName(more)
     chunks, mine, bounds = F.ceil(F.col("others") / CHUNK).cast("int"), _chunk("others"), F.ceil(F.col("m") / CHUNK).cast("int")
@@ -281,13 +281,13 @@ def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent
     links = _linked(ws, groups, "component", lambda dealt: _confirmed_edges(dealt, sigs, texts, t, percent, shingle), "links")
     held = filled.select("key", F.xxhash64(*same).alias("rep"))
     several = held.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("most"), F.count("*").alias("n")).where("root < most")
-    twice = with_group(held, several, "key", "n", max(1, sets.count())).select("rep", "root").distinct()
+    twice = with_group(ws, held, several, "key", "n", max(1, sets.count())).select("rep", "root").distinct()
     labels = connected_components(ws, links.select("rep", "root").unionByName(twice), "rep", "root").select(F.col("node").alias("rep"), "component")
     joined = ws.keep(classes.select("rep", "least").join(labels, "rep"), "joined")
     least_of = joined.groupBy("component").agg(F.min("least").alias("label"), F.count("*").alias("size"))
-    named = with_group(joined, least_of, "component", "size", max(1, joined.count())).select("rep", "label")
+    named = with_group(ws, joined, least_of, "component", "size", max(1, joined.count())).select("rep", "label")
     named = ws.keep(classes.join(named, "rep", "left").select("rep", "n", F.coalesce("label", "least").alias("component_id")), "named")
-    found = with_group(filled.select("key", "n_shingles", "fp1", "fp2", F.xxhash64(*same).alias("rep")), named, "rep", "n", max(1, sets.count()))
+    found = with_group(ws, filled.select("key", "n_shingles", "fp1", "fp2", F.xxhash64(*same).alias("rep")), named, "rep", "n", max(1, sets.count()))
     rest = sets.where("key IS NULL OR n_shingles = 0").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("key")))
     out = ["key", "n_shingles", "component_id", "fp1", "fp2"]
     return found.select(*out).unionByName(rest.select(*out))
