@@ -87,31 +87,41 @@ def repetitions(ws: Workspace, df: DataFrame, key: str, source: str, size: Colum
     parts = parts.join(g, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") > F.col("rest"))
     parts = parts.select(F.col("source").alias("__source"), F.col("bin").alias("__part"), "start", "source_size", "target", "whole", "rest", cut.alias("cut"))
+    parts = _with_last(ws, rows.select(F.col(source).alias("__s"), F.col(key).alias("__key"), "__size", "__rank", "__bin", "__file", "__row"), parts)
     rows = rows.join(parts, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__bin") == F.col("__part")))
-    sure = rows.where(~F.col("cut")).withColumn("more", F.col("start") < F.col("rest"))
-    near = rows.where("cut")
-    keys = ["__source", "__part", "__rank", "__key", "__size"]
-    near = near.withColumn("__key", F.col(key))
+    upto = F.struct("__rank", F.col(key).alias("__key"), "__size", "__row") <= F.struct("last.__rank", "last.__key", "last.__size", "last.__row")
+    more = F.when(~F.col("cut"), F.col("start") < F.col("rest")).otherwise(F.col("last").isNotNull() & F.coalesce(upto, F.lit(False)))
+    out = rows.withColumn("times", F.col("whole") + more.cast("int"))
+    return out.drop("__source", "__part", "__rank", "__bin", "__file", "__row", "start", "whole", "rest", "cut", "last")
+
+
+def _with_last(ws: Workspace, rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """parts with last: in the part on the cut, the last row that is taken, by rank, key, size and the row's number.
+
+    Only narrow columns are looked at. The rows that are taken are the first ones in that order, as midpoints rise with it.
+    """
+    here = parts.where("cut").select("__source", "__part", "start", "rest")
+    near = rows.join(here, F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__bin") == F.col("__part"))).drop("__s", "__bin")
+    keys = ["__source", "__rank", "__key", "__size"]
     cells = near.groupBy(*keys, "start", "rest").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy("__source", "__part").orderBy("__rank", F.col("__key").asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__source").orderBy("__rank", F.col("__key").asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("start") + F.coalesce(F.sum(F.col("__n") * F.col("__size")).over(order), F.lit(0))
     # row i of a cell is taken if 2 (begin + i size) + size < 2 rest
     fits = F.when(F.col("__size") > 0, F.ceil((F.col("rest") - begin) / F.col("__size") - 0.5)).when(begin < F.col("rest"), F.col("__n")).otherwise(0)
-    cells = cells.withColumn("__take", F.least(F.greatest(fits, F.lit(0)), F.col("__n")).cast("long")).drop("start", "rest")
-    on_cut = ws.keep(cells.where("__take > 0 AND __take < __n"), "cells")  # one for each source at most
-    taken = cells.where("__take = __n").select(*keys)
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    split = near.alias("r").join(on_cut.alias("c"), same("r", "c"))
-    one = split.groupBy("r.__source", "r.__file").agg(F.count("*").alias("m"))
+    cells = cells.withColumn("__take", F.least(F.greatest(fits, F.lit(0)), F.col("__n")).cast("long")).where("__take > 0")
+    last = cells.groupBy("__source").agg(F.max(F.struct("__rank", "__key", "__size", "__take", "__n")).alias("c"))
+    last = ws.keep(last.select("__source", "c.*"), "last")  # one row for each source
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    split = near.alias("r").join(last.where("__take < __n").alias("c"), same).select("r.__source", "r.__file", "r.__row", "c.__take")
     before = Window.partitionBy("__source").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = one.select(F.col("__source").alias("__s"), F.col("__file").alias("__f"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
-    at = F.row_number().over(Window.partitionBy("r.__source", "r.__file").orderBy("r.__row"))
-    split = split.withColumn("at", at).join(ahead, F.col("r.__source").eqNullSafe(F.col("__s")) & (F.col("r.__file") == F.col("__f")))
-    split = split.select("r.*", (F.col("at") + F.col("ahead") <= F.col("c.__take")).alias("more"))
-    whole_cells = near.alias("r").join(on_cut.alias("c"), same("r", "c"), "left_anti").alias("r")
-    whole_cells = whole_cells.join(taken.withColumn("__in", F.lit(True)).alias("c"), same("r", "c"), "left").select("r.*", F.coalesce("__in", F.lit(False)).alias("more"))
-    out = sure.unionByName(split.unionByName(whole_cells).drop("__key")).withColumn("times", F.col("whole") + F.col("more").cast("int"))
-    return out.drop("__source", "__part", "__rank", "__bin", "__file", "__row", "start", "whole", "rest", "cut", "more")
+    ahead = split.groupBy("__source", "__file").agg(F.count("*").alias("m")).select(F.col("__source").alias("__s"), F.col("__file").alias("__f"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
+    at = F.row_number().over(Window.partitionBy("__source", "__file").orderBy("__row"))
+    split = split.withColumn("at", at).join(ahead, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__file") == F.col("__f")))
+    rows_of = split.where("at + ahead <= __take").groupBy(F.col("__source").alias("__s")).agg(F.max("__row").alias("__row"))
+    last = last.join(rows_of, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    every = F.coalesce("__row", F.lit((1 << 63) - 1))
+    last = last.select(F.col("__source").alias("__l"), F.struct("__rank", "__key", "__size", every.alias("__row")).alias("last"))
+    return parts.join(last, F.col("__source").eqNullSafe(F.col("__l")) & F.col("cut"), "left").drop("__l")
 
 
 def mix(ws: Workspace, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
