@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from . import labelled
-from .texts import BLOCK, Words, _powers, blocks, mix
+from .texts import _BYTE, _IS_SPACE, BLOCK, PIECE, Words, _hashes, blocks
 
 MIN_WORDS = 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -39,11 +39,13 @@ for _name, _bytes in {"upper": range(65, 91), "lower": range(97, 123), "exclaim"
     _KINDS[_name][list(_bytes)] = True
 _STARTS = np.ones(256, bool)
 _STARTS[128:192] = False  # bytes that continue a character
+_STARTS &= ~_IS_SPACE
 
 
 def _sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return np.diff(total[starts])
+    if len(starts) == 2:  # a sum in longs would hold 8 bytes for each
+        return np.array([np.count_nonzero(flags)])
+    return np.add.reduceat(flags, starts[:-1], dtype=np.int64)  # no row is without a byte
 
 
 def _repeats(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,40 +59,64 @@ def _repeats(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
-def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """BASE and FEATURES of each row of a block."""
-    words = Words(data, starts, lower=False)
-    n = words.counts()
-    rows = np.arange(len(n))
-    inside = np.zeros(len(data) + 1, np.int64)
-    np.add.at(inside, words.start, 1)
-    np.add.at(inside, words.end, -1)
-    in_word = np.cumsum(inside[:-1]).astype(bool)
-    out = {"n_words": n, "word_chars": _sums(in_word & _STARTS[data], starts), "n_symbols": _sums(_SYMBOL[data], starts)}
+def _last(starts: np.ndarray) -> np.ndarray:
+    """Flags of the last byte of each row."""
+    out = np.zeros(starts[-1], bool)
+    out[starts[1:] - 1] = True
+    return out
+
+
+def _later(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many items of each row have an equal before them."""
+    if rows == 1:
+        h = np.sort(h)
+        return np.array([np.count_nonzero(h[1:] == h[:-1])])
+    return np.bincount(row[_repeats(h, row)[1]], minlength=rows)
 
-    ends = np.unique(np.concatenate((np.flatnonzero(data == 10), starts[1:] - 1)))
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    own_start = np.searchsorted(starts, begins, "right") - 1
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-    line_hash = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-    spoken = np.searchsorted(words.start, ends) > np.searchsorted(words.start, begins)
-    line_row = own_start[spoken]
-    out["n_dup_lines"] = np.bincount(line_row[_repeats(line_hash[spoken], line_row)[1]], minlength=len(n))
 
+def _repeat_words(words: Words) -> np.ndarray:
+    """How many words of each row lie in windows of three words that come twice or more in it."""
+    n = words.counts()
     h, first = words.windows(3)
+    hit = np.zeros(len(words.start) + 3, bool)
+    if len(n) == 1:  # a long text is a block of its own
+        again = np.sort(h)
+        again = np.unique(again[1:][again[1:] == again[:-1]])
+        for a in range(0, len(h) if len(again) else 0, PIECE):
+            own = h[a : a + PIECE]
+            at = a + np.flatnonzero(again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own)
+            for j in range(3):
+                hit[at + j] = True
+        return np.array([np.count_nonzero(hit)])
+    rows = np.arange(len(n))
     run_row = np.repeat(rows, np.diff(first))
     twice = np.flatnonzero(_repeats(h, run_row)[0])
     at = words.first[run_row[twice]] + twice - first[run_row[twice]]
-    hit = np.zeros(len(words.start) + 3, bool)
     for j in range(3):
         hit[at + j] = True
     word_row = np.repeat(rows, n)
-    out["n_repeat_words"] = np.bincount(word_row[hit[: len(word_row)]], minlength=len(n))
+    return np.bincount(word_row[hit[: len(word_row)]], minlength=len(n))
+
+
+def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """BASE and FEATURES of each row of a block. Beside words and lines nothing is held for each byte but the byte."""
+    words = Words(data, starts, lower=False)
+    n = words.counts()
+    out = {"n_words": n, "word_chars": _sums(_STARTS[data], starts), "n_symbols": _sums(_SYMBOL[data], starts)}
+
+    ends = np.flatnonzero((data == 10) | _last(starts))
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    spoken = np.searchsorted(words.start, ends) > np.searchsorted(words.start, begins)
+    begins, ends = begins[spoken], ends[spoken]
+    line_row = np.searchsorted(starts, begins, "right") - 1 if len(n) > 1 else np.broadcast_to(0, len(begins))
+    out["n_dup_lines"] = _later(_hashes(data, begins, ends, _BYTE), line_row, len(n))
+    lines = np.bincount(line_row, minlength=len(n)) if len(n) > 1 else np.array([len(begins)])
+    del begins, ends, spoken, line_row
+    out["n_repeat_words"] = _repeat_words(words)
+    del words
 
     kinds = {k: _sums(v[data], starts) for k, v in _KINDS.items()}
     some = np.maximum(n, 1)
-    lines = np.bincount(line_row, minlength=len(n))
     chars = np.maximum(out["word_chars"], 1)
     out |= {
         "log_words": np.log1p(n), "chars_per_word": out["word_chars"] / some, "symbols_per_word": out["n_symbols"] / some,
@@ -209,9 +235,9 @@ def table(docs: DataFrame, key: str, text: str, trees: Trees | None, more: Seque
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
-    """Trees from the bounded sample of labelled rows; only their statistics come to the driver."""
-    known = labelled.sample(docs.select(key, text), labels.select(key, label), key, label)
-    found = table(known, key, text, None, ["__label"]).orderBy(key).collect()
+    """Trees from the bounded sample of labelled rows; only their statistics are shuffled and come to the driver."""
+    known = labelled.rows(docs.select(key, text), labels.select(key, label), key, label)
+    found = labelled.least(table(known, key, text, None, ["__label", "__hash"]).select(key, "__label", "__hash", *FEATURES), key).orderBy(key).collect()
     x = np.array([[r[f] for f in FEATURES] for r in found], float).reshape(len(found), len(FEATURES))
     y = np.array([r["__label"] for r in found], float)
     return fit(x, y, list(FEATURES.values()))

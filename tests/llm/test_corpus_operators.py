@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +163,32 @@ def test_rules_statistics_and_verdicts(spark, docs, empty):
     assert quality_rules.filter_docs(more, trees).columns == more.columns
 
 
+def test_rules_on_a_very_long_text():
+    rng = random.Random(5)
+    text = "\n".join([prose(rng, 30) for _ in range(12_000)] + ["y" * 300_000, "the same line", "the same line"])
+    (_, data, starts), = texts.blocks(pa.array([text]))
+    tracemalloc.start()
+    alone = quality_rules.statistics(data, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(data)  # words of 5 bytes with their spaces; it was over 60
+    both = quality_rules.statistics(*next(texts.blocks(pa.array(["a b", text]), 1 << 30))[1:])
+    assert all(v[0] == both[k][1] for k, v in alone.items()) and alone["n_dup_lines"][0] == 1
+
+
+def test_rules_learn_without_a_shuffle_of_texts(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    taken = []
+    table = quality_rules.table
+    monkeypatch.setattr(quality_rules, "table", lambda df, *a: taken.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(df, *a))
+    trees = quality_rules.train(docs, labels)
+    assert len(trees.root) and "__row" not in taken[0]
+    known = labelled.sample(docs.select("doc_id", "text"), labels, "doc_id", "quality")
+    rows = table(known, "doc_id", "text", None, ["__label"]).orderBy("doc_id").collect()
+    again = quality_rules.fit(np.array([[r[f] for f in quality_rules.FEATURES] for r in rows], float), np.array([r["__label"] for r in rows], float), list(quality_rules.FEATURES.values()))
+    assert (trees.feature == again.feature).all() and (trees.value == again.value).all()
+
+
 def test_trees_keep_the_order_of_constrained_features():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 3))
