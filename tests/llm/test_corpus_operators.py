@@ -568,6 +568,67 @@ def answered_by_places(model, blocks):
     return [(shard, told) for shard, told in answered(model, blocks, len(blocks) - 1) if shard < model.shards]
 
 
+def pathed(model, blocks, which):
+    """As answered_by_places, with the counts at inner nodes."""
+    chunks = defaultdict(list)
+    for i, data in enumerate(blocks):
+        for shard, keys in lm_mixing.asked(model, data):
+            if shard < model.shards:
+                chunks[shard].append((i, keys))
+    return [(shard, told) for shard in sorted(chunks) for (i, _), told in zip(chunks[shard], lm_mixing.served([k for _, k in chunks[shard]], model), strict=True) if i == which]
+
+
+def test_hashed_contexts_count_at_every_node(spark):
+    rng = random.Random(4)
+    model, blocks, _ = learnt(spark, [(i, " ".join(rng.choice("abcdefg") for _ in range(40)), "en", "s", 1) for i in range(30)])
+    code, place, _ = model.codes()
+    for i, data in enumerate(blocks):
+        keys = [lm_mixing.unpack_keys(k) for shard, k in lm_mixing.asked(model, data) if shard < model.shards]
+        every = Counter()
+        for other in blocks:
+            for shard, k in lm_mixing.asked(model, other):
+                if shard < model.shards:
+                    for key, n in zip(*(x.tolist() for x in lm_mixing.unpack_keys(k)), strict=True):
+                        every[shard, key >> lm_mixing.SYMBOL_BITS, key & ((1 << lm_mixing.SYMBOL_BITS) - 1)] += n
+        bits = lambda x: model.bit[model.first[x] : model.first[x + 1]].tolist()
+        for (shard, told), (own, _) in zip(pathed(model, blocks, i), keys, strict=True):
+            c, n, many, counts = lm_mixing.unpack(told, "<u4 <u4 u1 <u4")
+            at = np.cumsum(many.astype(int)) - many
+            for j, key in enumerate(own.tolist()):
+                context, x = key >> lm_mixing.SYMBOL_BITS, key & ((1 << lm_mixing.SYMBOL_BITS) - 1)
+                b = bits(x)
+                want = [sum(m for (sh, ctx, y), m in every.items() if (sh, ctx) == (shard, context) and bits(y)[:d] == b[:d]) for d in range(1, len(b) + 1)]
+                assert [*counts[at[j] : at[j] + many[j]].tolist(), *[c[j]] * (len(b) - many[j])] == want
+
+
+def test_hashed_contexts_leave_out_their_own_row(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(60)), "en", "s", 1) for i in range(12)]
+    model, blocks, _ = learnt(spark, rows)
+    scored = lambda m, b: {r["key"]: r["score"] for i in range(len(b)) for r in lm_mixing.scored_block(m, b[i], pathed(m, b, i)).to_pylist()}
+    whole = scored(model, blocks)
+    _, no_key, _, *rest = lm_mixing.unpack(blocks[0], lm_mixing.BLOCK_KINDS)
+    key = lm_mixing.unpack(blocks[0], lm_mixing.BLOCK_KINDS)[0]
+    for k in key.tolist()[:3]:
+        out = [lm_mixing.pack(key, no_key, (key == k).astype("u1"), *rest), *[b for b in blocks[1:]]]
+        assert math.isclose(scored(model, out)[k], whole[k], rel_tol=1e-6)  # held out, its counts are not there at all
+
+
+def test_hashed_contexts_mix_to_a_distribution(spark):
+    rng = random.Random(9)
+    phrase = "the cat sat on the mat and the dog ran".split()
+    model, blocks, _ = learnt(spark, [(i, " ".join(rng.choice(phrase) for _ in range(30)) + " " + " ".join(phrase), "en", "s", 1) for i in range(40)])
+    s = model.symbols(lm_mixing.tokens(*next(texts.blocks(pa.array([" ".join(phrase)])))[1:])[0])
+    for k in (0, 1, 5, 9):
+        every = [*blocks, ready([np.append(s[:k], x) for x in range(model.size)] + ([s[:k]] if k else []))]
+        top, model.top, base, model.base = model.top, np.arange(model.size), model.base, np.zeros(model.size)
+        answers = pathed(model, every, len(every) - 1)
+        assert any(lm_mixing.unpack(x, "<u4 <u4 u1 <u4")[2].any() for _, x in answers) or k < 1
+        got = np.array(lm_mixing.scored_block(model, every[-1], answers).column("score").to_pylist())
+        model.top, model.base = top, base
+        assert abs((10 ** (got[: model.size] - (got[-1] if k else 0))).sum() - 1) < 1e-6
+
+
 def test_spellings_are_a_distribution(spark):
     rng = random.Random(3)
     model, _, _ = learnt(spark, [(i, prose(rng, 80), "en", "s", 1) for i in range(20)])
