@@ -392,6 +392,18 @@ def test_records_round_trip_and_notice_damage(spark, docs, empty):
     assert token_records.index_records(ws, files).count() == 0
 
 
+def test_record_files_are_bounded_in_bytes(spark):
+    path, ws = tokenizer_path("word_bpe_49k.json"), Workspace(spark)
+    files = ws.path("records")
+    docs = spark.range(70).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', if(id = 5, 1200000, 20000))").alias("text"))
+    token_records.write_records(docs.coalesce(1), "doc_id", "text", path, files)
+    index = token_records.with_starts(token_records.index_records(ws, files)).orderBy("start").collect()
+    size = sorted(r["length"] for r in spark.read.format("binaryFile").load(files).drop("content").collect())
+    assert len(size) > 5 and size[-2] <= 1 << 20 < size[-1]  # the long text's record is a file of its own
+    assert [r["key"] for r in index] == list(range(70))
+    assert [r["start"] for r in index] == np.cumsum([0, *(r["n_tokens"] for r in index[:-1])]).tolist()
+
+
 def check_packing(rows, want, width=2048):
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in rows:
