@@ -666,6 +666,22 @@ def test_a_text_that_comes_in_parts_scores_alike(spark, monkeypatch):
     assert np.allclose(sum(whole, []), sum(parts, []), rtol=1e-4)
 
 
+def test_steps_weigh_only_rows_that_go_on(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, n), "en", "s", 1) for i, n in enumerate((137, 100, 20, 3000, 5, 64, 300, *[10] * 30))]
+    model, blocks, _ = learnt(spark, rows)
+    answers = [answered(model, blocks, i) for i in range(len(blocks))]
+    bins, real = [], np.bincount
+    with monkeypatch.context() as m:
+        m.setattr(lm_mixing.np, "bincount", lambda x, weights=None, minlength=0: (bins.append(minlength), real(x, weights, minlength))[1])
+        whole = [lm_mixing.scored_block(model, b, a).column("score").to_pylist() for b, a in zip(blocks, answers, strict=True)]
+    of_rows = sum(-(-(len(r[1].split()) + 1) // lm_mixing.STEP) for r in rows)
+    assert sum(bins) < 6 * of_rows * lm_mixing._GATES + 10 * len(rows) * len(blocks)  # not each step's times all rows
+    monkeypatch.setattr(lm_mixing, "PART", 2 * lm_mixing.STEP)  # ends of texts come with longer ones, in any order
+    parts = [lm_mixing.scored_block(model, b, a).column("score").to_pylist() for b, a in zip(blocks, answers, strict=True)]
+    assert np.allclose(sum(whole, []), sum(parts, []), rtol=1e-4)
+
+
 def test_copies_are_told_from_other_texts(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 150), "en", "s", 1) for i in range(60)] + [(100 + i, None, "en", "s", 1) for i in range(2)]
