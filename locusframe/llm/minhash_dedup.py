@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .graph import connected_components, with_group
 from .shared import Workspace
 from .texts import Words, blocks, distinct, mix
+from .token_ids import forget
 
 K = 64
 SHINGLE = 5
@@ -66,6 +67,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int = K, shingle: int
     """SETS of docs: a hash of the text, the set's size, two independent sums of hashes as the set's fingerprint, and the signature (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys = batch.column(0)
             for row, data, starts in blocks(batch.column(2)):
@@ -201,6 +203,7 @@ def _candidate_edges(dealt: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
     keys = ["pair", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for g in _groups(batches, keys):
                 if g.num_rows > 1:
@@ -222,6 +225,7 @@ def _confirmed_edges(dealt: DataFrame, sigs: DataFrame, texts: DataFrame, t: int
     keys = ["component", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for g in _groups(batches, keys):
                 if g.num_rows < 2:

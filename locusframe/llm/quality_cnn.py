@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from . import labelled
 from .texts import blocks
+from .token_ids import forget
 
 DIM, HIDDEN = 8, 16
 #: Width in bytes and number of the filters of each bank.
@@ -193,6 +194,7 @@ def classify(docs: DataFrame, network: Network, key: str = "doc_id", text: str =
     have = docs.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row, data, starts in blocks(batch.column(1), BLOCK):
                 yield pa.record_batch([batch.column(0)[row : row + len(starts) - 1], pa.array(network.score(data, starts))], [key, "score"])
@@ -208,6 +210,7 @@ def filter_docs(docs: DataFrame, network: Network, text: str = "text", least: fl
     at = f"c{names.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row, data, starts in blocks(batch.column(at), BLOCK):
                 yield batch.slice(row, len(starts) - 1).filter(pa.array(network.score(data, starts) >= least))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from . import labelled
 from .texts import _BYTE, _IS_SPACE, BLOCK, PIECE, Words, _hashes, blocks
+from .token_ids import forget
 
 MIN_WORDS = 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -220,6 +221,7 @@ def table(docs: DataFrame, key: str, text: str, trees: Trees | None, more: Seque
     have = docs.select(key, *more, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row, data, starts in blocks(batch.column(len(more) + 1), BLOCK):
                 s = statistics(data, starts)
@@ -255,6 +257,7 @@ def filter_docs(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     at = f"c{names.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row, data, starts in blocks(batch.column(at), BLOCK):
                 s = statistics(data, starts)

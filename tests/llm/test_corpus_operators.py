@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -364,6 +365,32 @@ def test_chunks_encode_like_whole_texts(name, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == want, rows[i]
 
 
+def test_tasks_before_packing_give_up_encoders_of_their_worker(spark, docs, monkeypatch):
+    path, tasks, plain = tokenizer_path("byte_bpe_50k.json"), [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or plain(self, f, *a, **b))
+    quality_cnn.classify(docs, quality_cnn.constant(None))
+    quality_cnn.filter_docs(docs, quality_cnn.constant(None))
+    quality_rules.table(docs, "doc_id", "text", None)
+    quality_rules.filter_docs(docs, None)
+    minhash_dedup.near_duplicates(Workspace(spark), docs, "doc_id", "text")
+    assert len(tasks) >= 7
+    for task in tasks:
+        e = token_ids.encoder(path)
+        ids = {t: e.by_chunks(t) for t in ("a b, c", " d")}
+        memory = weakref.ref(e.pieces)
+        assert memory() and len(e.pieces) >= 4
+        del e
+        assert list(task(iter([]))) == [] and memory() is None
+        assert ids == {t: token_ids.encoder(path).by_chunks(t) for t in ids}
+
+
+def test_byte_level_pieces_are_remembered_once():
+    e = token_ids.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    list(e.rows(pa.array(["start word word, word"]), 1))
+    assert [*vars(e).values()].count(e.pieces) == sum(isinstance(x, token_ids.Memory) for x in vars(e).values()) == 1
+    assert list(e.pieces).count(" word") == 1 and "word" not in e.pieces
+
+
 def test_records_round_trip_and_notice_damage(spark, docs, empty):
     path = tokenizer_path("word_bpe_49k.json")
     ws = Workspace(spark)
