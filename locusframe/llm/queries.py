@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
+from . import centroids, embed_dedup, fill_middle, html_text, language_id, lm_mixing, minhash_dedup, mixing, packing, quality_cnn, quality_rules, sharding, token_records
 from .labelled import fold
 from .shared import Workspace
 
@@ -89,6 +89,32 @@ def op10_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
+def op11_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    known = language_id.train(docs, fold(F.col("doc_id"), 4) != 2)
+    out = language_id.identify(docs, known)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "bits_per_char", "rejected")
+
+
+def op12_marker_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id",
+        F.col("units").alias("n"),
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster(Workspace(spark), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return centroids.summed_up(assigned.withColumnRenamed("key", "vec_id"), found)
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -123,6 +149,59 @@ SELECT doc_id, size, source_size, target,
 FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source
 """
 
+OP12_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS whole, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), units AS (
+  SELECT doc_id, whole, regexp_extract_all(whole, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         CAST('0x' || digest[1:8] AS BIGINT) AS h1, CAST('0x' || digest[9:16] AS BIGINT) AS h2,
+         CAST('0x' || digest[17:24] AS BIGINT) AS h3, CAST('0x' || digest[25:32] AS BIGINT) AS h4 FROM hashed
+), cut AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS high,
+         CASE WHEN whole = '' OR contains(whole, '<P>') OR contains(whole, '<S>') OR contains(whole, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS prefix, coalesce(array_to_string(u[low + 1:high], ''), '') AS middle,
+         coalesce(array_to_string(u[high + 1:], ''), '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE whole END) AS output_sha256,
+       sha256(whole) AS restored_sha256
+FROM parts
+"""
+
+
+def _op13_sql(clusters: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """Rounds of a full search, one after the other; rows are numbered, as keys may repeat."""
+    steps = [f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {size}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (
+    SELECT v, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept ORDER BY h, v LIMIT {clusters})
+)"""]
+    assign = """a{r} AS MATERIALIZED (
+  SELECT row, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT row, vec_id, v, cluster, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, c)]) AS BIGINT) AS d FROM kept, c{r})
+  GROUP BY row, vec_id, v
+)"""
+    update = """c{n} AS MATERIALIZED (
+  SELECT c{r}.cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i)
+    GROUP BY cluster) m ON m.cluster = c{r}.cluster
+)"""
+    for r in range(rounds):
+        steps += [assign.format(r=r), update.format(r=r, n=r + 1)]
+    steps.append(assign.format(r=rounds))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_network": op1_byte_network,
     "op2_tree_rules": op2_tree_rules,
@@ -134,6 +213,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minhash_coordinate_join": op10_minhash_coordinate_join,
+    "op11_kneser_ney_languages": op11_kneser_ney_languages,
+    "op12_marker_fill_middle": op12_marker_fill_middle,
+    "op13_sort_means": op13_sort_means,
 }
 
-SQL: dict[str, str] = {"op4_water_filling_mix": OP4_SQL}
+SQL: dict[str, str] = {"op4_water_filling_mix": OP4_SQL, "op12_marker_fill_middle": OP12_SQL, "op13_sort_means": _op13_sql()}
