@@ -36,6 +36,8 @@ from .token_ids import forget
 
 ORDER = 5
 UNKNOWN = "und"
+#: Languages that are learned, those with the most texts.
+MOST_LANGUAGES = 1000
 #: Code points that a language is learned from and texts that they come from, at most; all languages together; of one text.
 MOST_CHARS, MOST_TEXTS, MOST_OF_ALL, MOST_OF_TEXT = 1 << 18, 2000, 1 << 24, 1 << 14
 #: One of so many sampled texts is kept for calibration, where it is cut to these lengths.
@@ -225,7 +227,8 @@ def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang
     have = docs.where(learn & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(text).isNotNull())
     have = have.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     sizes = have.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("texts"))
-    near = have.join(sizes, "lang").where(F.shiftrightunsigned("hash", 32) * F.col("texts") < (1 << 32) * 2.0 * MOST_TEXTS)
+    known = F.broadcast(sizes.orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES))  # few rows by that bound
+    near = have.join(known, "lang").where(F.shiftrightunsigned("hash", 32) * F.col("texts") < (1 << 32) * 2.0 * MOST_TEXTS)
     parts = near.select("lang", "hash", F.substring("text", place + 1, F.lit(MOST_OF_TEXT)).alias("part"))
     once = parts.groupBy("lang", "hash").agg(F.min("part").alias("part")).withColumn("order", F.shiftrightunsigned("hash", 32))
     ranked = once.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY order, hash) AS rank", "sum(length(part)) OVER (PARTITION BY lang ORDER BY order, hash) AS size")
