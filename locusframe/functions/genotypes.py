@@ -88,6 +88,26 @@ def pack_bytes(bits: Column | str) -> Column:
     return F.when(F.size(b) > 0, F.unhex(F.array_join(hexes, ""))).when(b.isNotNull(), F.unhex(F.lit("")))
 
 
+def planes(dosages: Column | str) -> Column:
+    """Dosages as bits of 64-bit words: low where it is 1, high where it is 2, and present where it isn't missing."""
+    bits = lambda f: pack_bits(F.transform(_c(dosages), lambda x: F.coalesce(f(x).cast("int"), F.lit(0))))
+    return F.struct(bits(lambda x: x == 1).alias("low"), bits(lambda x: x == 2).alias("high"), bits(lambda x: x.isNotNull()).alias("present"))
+
+
+def _common(x: Column, y: Column) -> Column:
+    """Bits set in both; of arrays of unlike lengths what the shorter one lacks is not set."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.coalesce(F.bit_count(a.bitwiseAND(b)), F.lit(0))), F.lit(0).cast("bigint"), lambda s, n: s + n)
+
+
+def plane_covariance(x: Column | str, y: Column | str) -> Column:
+    """As dosage_covariance, of planes: sums and products over samples that both have are counts of common bits."""
+    x, y = _c(x), _c(y)
+    n = _common(x["present"], y["present"]).cast("double")
+    total = lambda a, b: (_common(a["low"], b["present"]) + 2 * _common(a["high"], b["present"])).cast("double")
+    dot = _common(x["low"], y["low"]) + 2 * (_common(x["low"], y["high"]) + _common(x["high"], y["low"])) + 4 * _common(x["high"], y["high"])
+    return F.when(n > 1, (n * dot - total(x, y) * total(y, x)) / F.nullif(n * (n - 1.0), F.lit(0.0)))
+
+
 def dosage_covariance(x: Column | str, y: Column | str) -> Column:
     """Sample covariance of two dosage arrays over the samples that both have; NULL with fewer than two."""
     both = F.filter(F.arrays_zip(_c(x).alias("a"), _c(y).alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull())

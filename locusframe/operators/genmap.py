@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .intervals import as_of
-
-
-#: Least length of a segment of windows on the map.
-SEGMENT_CM = 1.0
+from .segments import segments
 
 
 def steps(knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm", out: str = "step") -> DataFrame:
@@ -40,21 +37,22 @@ def interpolate(q: DataFrame, knots: DataFrame, chrom: str = "chrom", pos: str =
     return at.withColumn(out, value).drop("__prev", "__next", "__ec", "a0", "a1", "z0", "z1")
 
 
-def windows(df: DataFrame, width: float, chrom: str = "chrom", pos: str = "pos", cm: str = "cm") -> DataFrame:
+def windows(df: DataFrame, width: float, chrom: str = "chrom", pos: str = "pos", cm: str = "cm", rows: int | None = None) -> DataFrame:
     """df with start and end of the region of all positions whose map value is at most width / 2 away.
 
-    The frame is a range over doubles, which only SQL text can express. A chromosome is cut at multiples of a length on
-    the map, and every segment also gets the rows within half a width of it, so no task sorts a chromosome. A row
+    The frame is a range over doubles, which only SQL text can express. A chromosome is cut into segments of about as many
+    rows each, and every segment also gets the rows within half a width of it, so no task sorts a chromosome. A row
     without a map value has no region.
     """
-    half, length = width / 2, max(width, SEGMENT_CM)
-    at = F.explode_outer(F.sequence(F.floor((F.col(cm) - half) / length), F.floor((F.col(cm) + half) / length)))
-    df = df.withColumn("__seg", at)
+    half = width / 2
+    cut = segments(df, chrom, cm, rows)
+    near = cut.number(df.withColumns({"__low": F.col(cm) - half, "__high": F.col(cm) + half}), chrom, "__low", "__from")
+    near = cut.number(cut.number(near, chrom, "__high", "__to"), chrom, cm, "__own")
     over = f"OVER (PARTITION BY `{chrom}`, __seg ORDER BY `{cm}` RANGE BETWEEN CAST({half!r} AS DOUBLE) PRECEDING AND CAST({half!r} AS DOUBLE) FOLLOWING)"
-    seen = df.withColumns({"start": F.expr(f"min(`{pos}`) {over}"), "end": F.expr(f"max(`{pos}`) {over} + 1")})
-    seen = seen.where(F.floor(F.col(cm) / length).eqNullSafe(F.col("__seg")))
+    near = near.withColumn("__seg", F.explode(F.sequence("__from", "__to")))
+    seen = near.withColumns({"start": F.expr(f"min(`{pos}`) {over}"), "end": F.expr(f"max(`{pos}`) {over} + 1")}).where("__seg = __own")
     known = F.col(cm).isNotNull()
-    return seen.withColumns({"start": F.when(known, F.col("start")), "end": F.when(known, F.col("end"))}).drop("__seg")
+    return seen.withColumns({"start": F.when(known, F.col("start")), "end": F.when(known, F.col("end"))}).drop("__seg", "__own", "__from", "__to", "__low", "__high")
 
 
 def not_increasing(knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm") -> DataFrame:

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .segments import segments
+
 #: Bases of a bin at each level; the last level holds all that is wider.
 LEVELS = (1 << 8, 1 << 11, 1 << 14, 1 << 17, 1 << 20, 1 << 23, 1 << 30)
-#: Bases of a segment of the as-of lookup.
-SEGMENT = 1 << 20
 Span = tuple[str, str, str]
 #: Code of a level in a row's key where the query's level is the coarser one.
 _FROM_QUERY = 100
@@ -127,37 +127,43 @@ def group_by_region(t: DataFrame, tid: str, t_span: Span, q: DataFrame, qid: str
     return t.select(tid).join(overlap_pairs(t, tid, t_span, q, qid, q_span), tid, "left")
 
 
-def as_of(q: DataFrame, chrom: str, pos: str, t: DataFrame, t_chrom: str, t_pos: str, value: Column, prev: str = "prev", next_: str = "next", segment: int = SEGMENT) -> DataFrame:
+def as_of(q: DataFrame, chrom: str, pos: str, t: DataFrame, t_chrom: str, t_pos: str, value: Column, prev: str = "prev", next_: str = "next", rows: int | None = None, furthest: Column | None = None) -> DataFrame:
     """q with prev, the value of the last target at or before pos, and next, of the first one after it.
 
-    value is a struct whose first field is the target's position. Chromosomes are cut into segments, windows run
+    value is a struct whose first field is the target's position. furthest: another struct, whose largest value among the
+    targets at or before pos is prev. Chromosomes are cut into segments of about `rows` rows of either side, windows run
     within a segment, and what lies outside comes from a table with one row for each segment; so no task sorts
     a chromosome.
     """
     names = q.columns
-    rows = q.select(F.struct(*names).alias("__row"), F.col(chrom).alias("__chrom"), F.col(pos).alias("__pos"))
-    marks = t.where(F.col(t_chrom).isNotNull() & F.col(t_pos).isNotNull()).select(F.col(t_chrom).alias("__chrom"), F.col(t_pos).alias("__pos"), value.alias("__mark"))
-    seg = F.floor(F.col("__pos") / F.lit(segment)).alias("__seg")
-    rows, marks = rows.select("*", seg), marks.select("*", seg)
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    ends = both.groupBy("__chrom", "__seg").agg(F.max("__mark").alias("__hi"), F.min("__mark").alias("__lo"))
+    asked = q.select(F.struct(*names).alias("__row"), F.col(chrom).alias("__chrom"), F.col(pos).alias("__pos"))
+    marks = t.where(F.col(t_chrom).isNotNull() & F.col(t_pos).isNotNull()).select(F.col(t_chrom).alias("__chrom"), F.col(t_pos).alias("__pos"), value.alias("__mark"), (value if furthest is None else furthest).alias("__far"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    both = segments(both, "__chrom", "__pos", rows).number(both, "__chrom", "__pos")
+    ends = both.groupBy("__chrom", "__seg").agg(F.max("__far").alias("__hi"), F.min("__mark").alias("__lo"))
     across = Window.partitionBy("__chrom").orderBy("__seg")
     back = Window.partitionBy("__chrom").orderBy(F.col("__seg").desc())
     outside = ends.select("__chrom", "__seg", F.max("__hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__lo").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
     up = Window.partitionBy("__chrom", "__seg").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("__chrom", "__seg").orderBy(F.col("__pos").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumns({"__up": F.max("__mark").over(up), "__down": F.min("__mark").over(down)}).where("__row IS NOT NULL")
+    seen = both.withColumns({"__up": F.max("__far").over(up), "__down": F.min("__mark").over(down)}).where("__row IS NOT NULL")
     seen = seen.join(outside, (seen["__chrom"].eqNullSafe(outside["__chrom"])) & (seen["__seg"].eqNullSafe(outside["__seg"])), "left")
-    return seen.select("__row.*", F.coalesce("__up", "__before").alias(prev), F.coalesce("__down", "__after").alias(next_))
+    # a further end may come from before the segment, as ends need not be in the order of starts
+    return seen.select("__row.*", F.greatest("__up", "__before").alias(prev), F.coalesce("__down", "__after").alias(next_))
 
 
-def nearest_region(q: DataFrame, chrom: str, pos: str, t: DataFrame, tid: str, t_span: Span, max_distance: int | None = None) -> DataFrame:
-    """q with the nearest of disjoint target regions and its signed distance; ties go to the later region.
+def nearest_region(q: DataFrame, chrom: str, pos: str, t: DataFrame, tid: str, t_span: Span, max_distance: int | None = None, rows: int | None = None) -> DataFrame:
+    """q with the nearest of target regions, which may overlap, and its signed distance; ties go to the later region.
 
-    Only regions of the chromosome count, and only those nearer than max_distance.
+    Of regions that start at or before a position the one with the furthest end is the nearest, whatever lies within it;
+    it is carried along beside the next start. Of several that hold a position it is the one whose end is furthest; equal
+    ends go to the later start, then to the larger id, and regions ahead that start alike to the nearer end, then the smaller id.
+    Only regions of the chromosome count, and only those nearer than max_distance. Regions without a base or with a
+    missing bound are no targets.
     """
-    value = F.struct(F.col(t_span[1]).alias("start"), F.col(t_span[2]).alias("end"), F.col(tid).alias("id"))
-    found = as_of(q, chrom, pos, t, t_span[0], t_span[1], value, "__prev", "__next")
+    start, end, own = F.col(t_span[1]), F.col(t_span[2]), F.col(tid).alias("id")
+    value, furthest = F.struct(start.alias("start"), end.alias("end"), own), F.struct(end.alias("end"), start.alias("start"), own)
+    found = as_of(q, chrom, pos, t.where(start < end), t_span[0], t_span[1], value, "__prev", "__next", rows, furthest)
     p = F.col(pos)
     behind = F.when(p < F.col("__prev.end"), F.lit(0)).otherwise(p - F.col("__prev.end"))
     ahead = F.col("__next.start") - p

@@ -2,8 +2,8 @@
 
 Rows whose chromosome is NULL are a group of their own. Regions with a NULL bound come first in their group.
 
-Clusters are found in two steps. Regions are sorted within segments of a chromosome, and a segment starts
-with the furthest end of all segments before it, which comes from a table with one row for each segment.
+Clusters are found in two steps. Regions are sorted within segments of a chromosome that hold about as many rows each,
+and a segment starts with the furthest end of all segments before it, which comes from a table with one row for each segment.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEGMENT = 1 << 22
+from .segments import Segments, segments
 
 
 def hull(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", by: list[str] | None = None) -> DataFrame:
@@ -33,9 +33,9 @@ def hull_over(df: DataFrame, chrom: str = "chrom", start: str = "start", end: st
     return _with(df, df.groupBy(chrom).agg(F.min(start).alias("hull_start"), F.max(end).alias("hull_end")), [chrom])
 
 
-def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], what: Column, name: str, segment: int, before: str) -> DataFrame:
+def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], what: Column, name: str, cut: Segments, before: str) -> DataFrame:
     """df with the aggregate `what` (max or sum) of all rows before, in the order of start, end and ties."""
-    df = df.withColumn("__seg", F.floor(F.col(start) / segment))
+    df = cut.number(df, chrom, start)
     totals = df.groupBy(chrom, "__seg").agg(what.alias("__all"))
     fold = F.max if before == "max" else F.sum
     across = Window.partitionBy(chrom).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,19 +47,19 @@ def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], w
     return df.withColumn(name, value).drop("__seg", "__carry")
 
 
-def clusters(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", ties: list[str] | None = None, compat: bool = False, out: str = "cluster", segment: int = SEGMENT) -> DataFrame:
+def clusters(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", ties: list[str] | None = None, compat: bool = False, out: str = "cluster", rows: int | None = None) -> DataFrame:
     """df with the number, from 1 on each chromosome, of its group of overlapping regions; touching regions stay apart.
 
     compat compares a region with the one before it only, so a region nested in an earlier one can end a group.
     """
-    ties = ties or []
+    ties, cut = ties or [], segments(df, chrom, start, rows)
     if compat:
         last = F.lag(end).over(Window.partitionBy(chrom).orderBy(start, end, *ties))
         marked = df.withColumn("__new", F.when(F.col(start) < last, 0).otherwise(1))
     else:
-        seen = _running(df, chrom, start, end, ties, F.max(end), "__end", segment, "max")
+        seen = _running(df, chrom, start, end, ties, F.max(end), "__end", cut, "max")
         marked = seen.withColumn("__new", F.when(F.col(start) < F.col("__end"), 0).otherwise(1)).drop("__end")
-    return _running(marked, chrom, start, end, ties, F.sum("__new"), out, segment, "sum").drop("__new")
+    return _running(marked, chrom, start, end, ties, F.sum("__new"), out, cut, "sum").drop("__new")
 
 
 def cluster_hulls(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", **how) -> DataFrame:
@@ -80,32 +80,31 @@ def union_disjoint(a: DataFrame, b: DataFrame, chrom: str = "chrom", start: str
     both = a.select(chrom, start, end).unionByName(b.select(chrom, start, end))
     if not strict:
         return both
-    seen = _running(both, chrom, start, end, [], F.max(end), "__end", SEGMENT, "max")
+    seen = _running(both, chrom, start, end, [], F.max(end), "__end", segments(both, chrom, start), "max")
     bad = F.col(start) < F.col("__end")
     return seen.where(F.when(bad, F.raise_error(F.lit("regions overlap")).cast("boolean")).otherwise(True)).drop("__end")
 
 
-def disjoin(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", segment: int = SEGMENT) -> DataFrame:
+def disjoin(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", rows: int | None = None) -> DataFrame:
     """Maximal regions between neighbouring bounds that at least one region covers, and how many do (depth)."""
     steps = df.select(chrom, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.groupBy(chrom, F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d")).withColumn("__at_end", F.col("at"))
-    deep = _running(steps, chrom, "at", "__at_end", [], F.sum("d"), "depth", segment, "sum")
-    deep = deep.withColumn("__seg", F.floor(F.col("at") / segment))
+    cut = segments(df, chrom, start, rows)
+    deep = cut.number(_running(steps, chrom, "at", "__at_end", [], F.sum("d"), "depth", cut, "sum"), chrom, "at")
     firsts = deep.groupBy(chrom, "__seg").agg(F.min("at").alias("__first"))
     firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(chrom).orderBy("__seg"))).drop("__first")
     after = F.lead("at").over(Window.partitionBy(chrom, "__seg").orderBy("at"))
-    cut = _with(deep.withColumn("__lead", after), firsts, [chrom, "__seg"]).withColumn("__to", F.coalesce("__lead", "__next"))
-    return cut.where("depth > 0").select(chrom, F.col("at").alias(start), F.col("__to").alias(end), "depth")
+    apart = _with(deep.withColumn("__lead", after), firsts, [chrom, "__seg"]).withColumn("__to", F.coalesce("__lead", "__next"))
+    return apart.where("depth > 0").select(chrom, F.col("at").alias(start), F.col("__to").alias(end), "depth")
 
 
-def ranked(df: DataFrame, by: list[str], out: str = "rank", chrom: str = "chrom", pos: str = "pos", segment: int = SEGMENT) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], out: str = "rank", chrom: str = "chrom", pos: str = "pos", rows: int | None = None) -> DataFrame:
     """df with each row's place, from 1, in the order of by, whose first two columns are chrom and pos.
 
     Rows are numbered within segments of a chromosome, and each starts where those before it end: no task orders all
     rows or a chromosome. NULLs come first.
     """
-    seg = F.floor(F.col(pos) / segment)
-    df = df.withColumn("__seg", seg)
+    df = segments(df, chrom, pos, rows).number(df, chrom, pos)
     before = Window.orderBy(chrom, "__seg").rowsBetween(Window.unboundedPreceding, -1)  # one row for each segment
     starts = df.groupBy(chrom, "__seg").agg(F.count("*").alias("n")).select(chrom, "__seg", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     own = F.row_number().over(Window.partitionBy(chrom, "__seg").orderBy(*by))

@@ -160,6 +160,36 @@ def far_nearest_region(spark, d):
     return I.nearest_region(view(spark, d, FAR_VARIANTS), "chrom", "pos", view(spark, d, FAR_REGIONS), "region_id", _RSPAN).select("variant_id", "distance")
 
 
+def _overlapping(variants, wide):
+    return f"""{cte(variants=variants, wide=wide)}, d AS (SELECT variant_id, region_id, start_pos, end_pos, CASE WHEN pos<start_pos THEN pos-start_pos WHEN pos<end_pos THEN 0 ELSE pos-end_pos END AS distance FROM variants v JOIN wide r ON v.chrom=r.chrom),
+ o AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY abs(distance), CASE WHEN distance<0 THEN 0 ELSE 1 END, CASE WHEN distance<0 THEN start_pos ELSE -end_pos END, CASE WHEN distance<0 THEN end_pos ELSE -start_pos END, CASE WHEN distance<0 THEN region_id ELSE -region_id END) AS place FROM d)
+ SELECT v.variant_id, o.region_id, o.distance FROM variants v LEFT JOIN o ON v.variant_id=o.variant_id AND place=1"""
+
+
+@query("nearest_overlapping_region", _overlapping(VARIANTS, WIDE))
+def nearest_overlapping_region(spark, d):
+    """Targets that overlap each other and lie within each other."""
+    found = I.nearest_region(view(spark, d, VARIANTS), "chrom", "pos", view(spark, d, WIDE), "region_id", _RSPAN)
+    return found.select("variant_id", "region_id", "distance")
+
+
+@query("far_nearest_overlapping_region", _overlapping(FAR_VARIANTS, FAR_WIDE))
+def far_nearest_overlapping_region(spark, d):
+    """Over segments of few rows, so furthest ends are carried over several of them."""
+    found = I.nearest_region(view(spark, d, FAR_VARIANTS), "chrom", "pos", view(spark, d, FAR_WIDE), "region_id", _RSPAN, rows=200)
+    return found.select("variant_id", "region_id", "distance")
+
+
+_DENSE = (VARIANTS[0], VARIANTS[1].replace("1+(o_orderkey*7919)%1000000 AS pos", "CASE WHEN o_orderkey%10<9 THEN 150000000+(o_orderkey*7919)%1000000 ELSE 1+((o_orderkey*7919)%1000000)*200 END AS pos"))
+
+
+@query("dense_variant_rank", f"{cte(variants=_DENSE)} SELECT variant_id, row_number() OVER (ORDER BY chrom, pos, ref, alt, variant_id) AS rank FROM variants")
+def dense_variant_rank(spark, d):
+    """Nine of ten variants lie in one megabase of each chromosome, which several segments share."""
+    v = view(spark, d, _DENSE)
+    return S.ranked(v, ["chrom", "pos", "ref", "alt", "variant_id"], rows=100).select("variant_id", "rank")
+
+
 # ---- alleles
 
 _BC = lambda a, b: f"bit_count(CAST(({a}) & ({b}) AS BIGINT))"
@@ -716,22 +746,48 @@ _DIAG = lambda x: f"({_VAR(x)}*(1-t)*(1-t)+t/2.0*(1-t/2.0))"
 _SHRUNK = f"WITH {HAPS_SQL}, th AS (SELECT {_THETA} AS t), r AS (SELECT a.block, a.hap_id AS i, b.hap_id AS j, CASE WHEN a.hap_id=b.hap_id THEN 1.0 ELSE {_COV}*CASE WHEN {_RHO}<0.001 THEN 0 ELSE {_RHO} END*(1-t)*(1-t)/sqrt({_DIAG('a')}*{_DIAG('b')}) END AS r {_PAIRS}, th)"
 
 
-@query("ld_shrink", _SHRUNK + " SELECT block, i, j, round(r, 9) AS r FROM r")
+_NEAR = f"WITH {HAPS_SQL} SELECT a.block, a.hap_id AS i, b.hap_id AS j {_PAIRS} AND (a.hap_id=b.hap_id OR {_RHO}>=0.001)"
+
+
+@query("ld_shrink", _SHRUNK + f" SELECT block, i, j, round(r, 9) AS r FROM r SEMI JOIN ({_NEAR}) n USING (block, i, j)")
 def ld_shrink(spark, d):
+    """Pairs that are too far apart to be linked have no row."""
     return L.shrunk(haplotypes(spark, d), "block", "hap_id", "words", "cm", 64).select("block", "i", "j", F.round("r", 9).alias("r"))
 
 
 @query("ld_scores", _SHRUNK + " SELECT block, i, round(sum(r*r-(1-r*r)/62.0), 6) AS score FROM (SELECT block,i,j,r FROM r UNION ALL SELECT block,j,i,r FROM r WHERE i<>j) GROUP BY block, i")
 def ld_scores(spark, d):
     ld = L.shrunk(haplotypes(spark, d), "block", "hap_id", "words", "cm", 64)
-    return L.scores(ld, "block", 64).select("block", "i", F.round("score", 6).alias("score"))
+    return L.scores(ld, "block", 64, members=_members(spark, d)).select("block", "i", F.round("score", 6).alias("score"))
+
+
+def _members(spark, d):
+    return haplotypes(spark, d).groupBy("block").agg(F.count("*").alias("members"))
+
+
+_LINE_HAPS = HAPS_SQL.replace("label AS block, vec_id*0.001 AS cm", "0 AS block, vec_id*0.05 AS cm")
+
+
+@query("ld_banded", _SHRUNK.replace(HAPS_SQL, _LINE_HAPS) + " SELECT i, j, round(r, 9) AS r FROM r SEMI JOIN (" + _NEAR.replace(HAPS_SQL, _LINE_HAPS) + ") n USING (block, i, j)")
+def ld_banded(spark, d):
+    """One block of all variants, of which each is linked with those up to 2.6 cM away."""
+    h = haplotypes(spark, d).withColumns({"block": F.lit(0), "cm": F.col("hap_id") * 0.05})
+    return L.shrunk(h, "block", "hap_id", "words", "cm", 64, tile=64).select("i", "j", F.round("r", 9).alias("r"))
+
+
+@query("ld_banded_scores", _SHRUNK.replace(HAPS_SQL, _LINE_HAPS) + " SELECT i, round(sum(r*r-(1-r*r)/62.0), 6) AS score FROM (SELECT i,j,r FROM r UNION ALL SELECT j,i,r FROM r WHERE i<>j) GROUP BY i")
+def ld_banded_scores(spark, d):
+    """Scores over the whole block, from the pairs that are near and the number of those that aren't."""
+    h = haplotypes(spark, d).withColumns({"block": F.lit(0), "cm": F.col("hap_id") * 0.05})
+    ld = L.shrunk(h, "block", "hap_id", "words", "cm", 64)
+    return L.scores(ld, "block", 64, members=h.groupBy("block").agg(F.count("*").alias("members"))).select("i", F.round("score", 6).alias("score"))
 
 
 @query("ld_scores_of_pairs", _SHRUNK + " SELECT block, i, round(sum(r*r-(1-r*r)/62.0)-1, 6) AS score FROM (SELECT block,i,j,r FROM r UNION ALL SELECT block,j,i,r FROM r WHERE i<>j) GROUP BY block, i")
 def ld_scores_of_pairs(spark, d):
     """As for tables of pairs, where the variant itself doesn't count."""
     ld = L.shrunk(haplotypes(spark, d), "block", "hap_id", "words", "cm", 64)
-    return L.scores(ld, "block", 64, without_self=True).select("block", "i", F.round("score", 6).alias("score"))
+    return L.scores(ld, "block", 64, without_self=True, members=_members(spark, d)).select("block", "i", F.round("score", 6).alias("score"))
 
 
 _PANEL = f"WITH {DOSAGES_SQL}, lab AS (SELECT vec_id AS snp_id, label AS block FROM embeddings), p AS (SELECT la.block, a.snp_id AS i, b.snp_id AS j, covar_samp(a.d,b.d) AS c FROM doses a JOIN lab la ON a.snp_id=la.snp_id JOIN lab lb ON la.block=lb.block AND la.snp_id<=lb.snp_id JOIN doses b ON b.snp_id=lb.snp_id AND a.sample=b.sample GROUP BY la.block, a.snp_id, b.snp_id), v AS (SELECT i, c AS v FROM p WHERE i=j)"
@@ -749,7 +805,7 @@ def panel_correlation(spark, d):
     return _panel(spark, d, False)
 
 
-@query("panel_ld", _PANEL + f", th AS (SELECT {_THETA} AS t) SELECT block, p.i, p.j, round(CASE WHEN p.i=p.j THEN 1.0 ELSE c*CASE WHEN exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0))<0.001 THEN 0 ELSE exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0)) END*(1-t)*(1-t)/sqrt((a.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))*(b.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))) END, 6)+0.0 AS r FROM p JOIN v a ON a.i=p.i JOIN v b ON b.i=p.j, th")
+@query("panel_ld", _PANEL + f", th AS (SELECT {_THETA} AS t) SELECT block, p.i, p.j, round(CASE WHEN p.i=p.j THEN 1.0 ELSE c*CASE WHEN exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0))<0.001 THEN 0 ELSE exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0)) END*(1-t)*(1-t)/sqrt((a.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))*(b.v*(1-t)*(1-t)+t/2.0*(1-t/2.0))) END, 6)+0.0 AS r FROM p JOIN v a ON a.i=p.i JOIN v b ON b.i=p.j, th WHERE p.i=p.j OR exp(-abs(p.i-p.j)*0.001*(4*11490.672741/100.0/170.0))>=0.001")
 def panel_ld(spark, d):
     return _panel(spark, d, True)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
 from ..functions.coords import chrom_label, format_region, rsid_text
+from ..operators.islands import ranked
 from ..sources import plink, sequences, store, text
 from ..streaming import joins as stream
 from .queries import _BEST, _V, query
@@ -88,7 +89,7 @@ def plink_bed_roundtrip(spark, d):
     g = dosages(spark, d).withColumn("data", G.pack_dosages("dosages"))
     path = scratch(spark, "x.bed")
     plink.write_bed_genotypes(g, path, order="snp_id")
-    index = text.with_line_number(g.select("snp_id").orderBy("snp_id"), "variant_index")
+    index = ranked(g.select("snp_id", F.lit(0).alias("chrom")), ["chrom", "snp_id"], "rank", pos="snp_id").select("snp_id", (F.col("rank") - 1).alias("variant_index"))
     back = plink.read_bed_genotypes(spark, path, 64, g.count(), part=100).join(index, "variant_index")
     return back.select("snp_id", "n", F.aggregate(G.filled("dosages"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(F.filter("dosages", lambda x: x.isNull())).cast("bigint").alias("missing"))
 

@@ -51,18 +51,27 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(chrom_code("chrom").alias("chrom"), "rsid", "map", "pos", mask_of("ref").alias("ref"), mask_of("alt").alias("alt"), F.col("ref").alias("ref_text"), F.col("alt").alias("alt_text"))
 
 
+def _refuse_unless_scan(plan) -> None:
+    """An error unless a plan is one scan of files under projections."""
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() not in ("LogicalRelation", "Relation", "DataSourceV2Relation"):
+        raise ValueError(f"rows have line numbers as they are read from files, not after {plan.nodeName()}; number others by ranked")
+
+
 def with_line_number(df: DataFrame, name: str = "line") -> DataFrame:
     """df, as read from files, with a row number from 0: files in the order of their paths, rows in the order of their file.
 
     Spark deals splits to partitions by size, so neither partitions nor their order say where a row lies. Rows are
     counted in each split of each file, and each split starts where the ones before it end; the table of splits has
-    one row for every 128 MB of input at most.
+    one row for each split. After a sort, join, union or aggregate a row has no place in a file, so those are refused.
     """
+    _refuse_unless_scan(df._jdf.queryExecution().analyzed())
     at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
     splits = at.groupBy("__file", "__at").agg(F.count("*").alias("n"), F.min("__id").alias("least"))
     splits = splits.select("__file", "__at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("__shift"))
-    rows = at.join(F.broadcast(splits), ["__file", "__at"])
+    rows = at.join(splits, ["__file", "__at"])
     return rows.withColumn(name, (F.col("__id") + F.col("__shift")).cast("bigint")).drop("__file", "__at", "__id", "__shift")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import genotypes as G
+from locusframe.operators.segments import segments
 from locusframe.operators import allele_join as J
 from locusframe.operators import genmap as M
 from locusframe.operators import intervals as I
@@ -60,10 +61,58 @@ def test_nearest_against_brute_force(spark):
         assert got[i] == ((min(d)[3], min(d)[2]) if d else (None, None))
 
 
+@pytest.mark.parametrize("rows", [10, None])
+def test_nearest_of_overlapping_targets_against_brute_force(spark, rows):
+    rng = random.Random(12)
+    t = [(1, 1, 100, 1000), (2, 1, 200, 210), (3, 1, 5000, 5001), (4, 1, 300, 300), (5, 1, None, 900), (6, 1, 700, None), (7, None, 1, 10**6)]
+    for i in range(10, 150):
+        start = rng.randrange(1, 40_000)
+        t.append((i, rng.randrange(1, 4), start, start + rng.choice([1, 30, 600, 9000])))
+    t += [(200, 2, 50_000, 50_400), (201, 2, 50_100, 50_400), (202, 2, 50_100, 50_400), (203, 2, 61_000, 62_000), (204, 2, 61_000, 61_500)]
+    q = [(0, 1, 500), (1, 1, 1500), (2, 2, 50_300), (3, 2, 60_000), (4, 9, 5), (5, None, 5), (6, 1, None)] + [(i, rng.randrange(1, 4), rng.randrange(1, 70_000)) for i in range(10, 300)]
+    df = spark.createDataFrame(q, "id int, chrom int, pos bigint")
+    got = {r["id"]: (r["t"], r["distance"]) for r in I.nearest_region(df, "chrom", "pos", regions(spark, t, "t"), "t", SPAN, rows=rows).collect()}
+    assert len(got) == len(q) and got[0] == (1, 0)
+    for i, c, p in q:
+        near = []
+        for b in t:
+            if c is not None and p is not None and b[1] == c and None not in b and b[2] < b[3]:
+                if p < b[2]:
+                    near.append((b[2] - p, 0, b[2], b[3], b[0], p - b[2]))
+                else:
+                    near.append((max(0, p - b[3]), 1 if p >= b[3] else -1, -b[3], -b[2], -b[0], max(0, p - b[3])))
+        assert got[i] == ((abs(min(near)[4]), min(near)[5]) if near else (None, None)), (i, c, p)
+
+
+def test_segments_are_even_where_rows_are_dense(spark):
+    """90 % of the rows lie in one megabase of 200."""
+    n = 40_000
+    v = spark.range(n).selectExpr("id", "CAST(1 + id % 2 AS INT) AS chrom", "CASE WHEN id % 10 < 9 THEN 150000000 + (id * 7919) % 1000000 ELSE (id * 104729) % 200000000 END AS pos")
+    cut = segments(v, "chrom", "pos", rows=1000)
+    held = [r["count"] for r in cut.number(v, "chrom", "pos").groupBy("chrom", "__seg").count().collect()]
+    assert sum(held) == n and len(held) >= 36 and max(held) <= 2 * sum(held) / len(held)
+    want = {r["id"]: i + 1 for i, r in enumerate(sorted(v.collect(), key=lambda r: (r["chrom"], r["pos"], r["id"])))}
+    assert {r["id"]: r["rank"] for r in S.ranked(v, ["chrom", "pos", "id"], rows=1000).collect()} == want
+    t = v.where("id % 50 = 0").selectExpr("id AS t", "chrom", "pos AS start", "pos + 300 + id % 900 AS end")
+    key = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    assert key(S.merged(t, ties=["t"], rows=50), "chrom", "start", "end", "members") == key(S.merged(t, ties=["t"]), "chrom", "start", "end", "members")
+    one, many = (I.nearest_region(v, "chrom", "pos", t, "t", SPAN, rows=r) for r in (None, 500))
+    assert key(one, "id", "t", "distance") == key(many, "id", "t", "distance")
+    cm = v.selectExpr("id", "chrom", "pos", "pos / 1e6D AS cm").where("id % 4 < 2")
+    assert key(M.windows(cm, 0.01, rows=400), "id", "start", "end") == key(M.windows(cm, 0.01), "id", "start", "end")
+
+
+def test_rows_at_one_position_stay_together(spark):
+    v = spark.range(5000).selectExpr("id", "1 AS chrom", "CASE WHEN id < 4000 THEN 77L ELSE id END AS pos")
+    cut = segments(v, "chrom", "pos", rows=100)
+    assert cut.number(v, "chrom", "pos").where("pos = 77").select("__seg").distinct().count() == 1
+    assert S.ranked(v, ["chrom", "pos", "id"], rows=100).where("rank <> id + 1").isEmpty()
+
+
 def test_as_of_crosses_segments(spark):
     t = spark.createDataFrame([(1, 10, 1.0), (1, 5000, 2.0), (2, 7, 3.0)], "chrom int, pos bigint, v double")
     q = spark.createDataFrame([(1, 9), (1, 10), (1, 4999), (1, 5000), (1, 90000), (2, 100), (3, 1)], "chrom int, pos bigint")
-    got = {(r["chrom"], r["pos"]): (r["prev"] and r["prev"]["v"], r["next"] and r["next"]["v"]) for r in I.as_of(q, "chrom", "pos", t, "chrom", "pos", F.struct("pos", "v"), segment=100).collect()}
+    got = {(r["chrom"], r["pos"]): (r["prev"] and r["prev"]["v"], r["next"] and r["next"]["v"]) for r in I.as_of(q, "chrom", "pos", t, "chrom", "pos", F.struct("pos", "v"), rows=7).collect()}
     assert got == {(1, 9): (None, 1.0), (1, 10): (1.0, 2.0), (1, 4999): (1.0, 2.0), (1, 5000): (2.0, None), (1, 90000): (2.0, None), (2, 100): (3.0, None), (3, 1): (None, None)}
 
 
@@ -81,11 +130,11 @@ def test_clusters_and_disjoin_against_brute_force(spark):
     rng = random.Random(3)
     t = random_regions(rng, 150, 20_000)
     df = regions(spark, t, "t")
-    for segment in (100, 1 << 22):
+    for rows in (7, 1 << 22):
         cover = {}
         for _, c, s, e in t:
             cover.setdefault(c, []).append((s, e))
-        got = sorted(tuple(r) for r in S.disjoin(df, segment=segment).select("chrom", "start", "end", "depth").collect())
+        got = sorted(tuple(r) for r in S.disjoin(df, rows=rows).select("chrom", "start", "end", "depth").collect())
         want = []
         for c, xs in cover.items():
             cuts = sorted({x for s in xs for x in s})
@@ -94,7 +143,7 @@ def test_clusters_and_disjoin_against_brute_force(spark):
                 if depth:
                     want.append((c, a, b, depth))
         assert got == sorted(want)
-        merged = sorted(tuple(r) for r in S.merged(df, ties=["t"], segment=segment).select("chrom", "start", "end", "members").collect())
+        merged = sorted(tuple(r) for r in S.merged(df, ties=["t"], rows=rows).select("chrom", "start", "end", "members").collect())
         want = []
         for c, xs in cover.items():
             now = None
@@ -195,14 +244,51 @@ def test_missing_chromosomes_are_a_group_and_lose_no_row(spark):
     assert {r["t"]: (r["hull_start"], r["hull_end"]) for r in S.hull_over(df).where("chrom IS NULL").collect()} == {2: (5, 30), 3: (5, 30)}
 
 
+def test_tiles_and_bands_make_every_pair_once(spark):
+    rng = random.Random(21)
+    rows = [(i, rng.choice([1, 1, 2, None]), rng.choice([None, rng.uniform(0, 6)]) if i % 9 == 0 else rng.uniform(0, 6)) for i in range(160)]
+    df = spark.createDataFrame([(*r, i % 7) for i, r in enumerate(rows)], "id bigint, block int, cm double, v int")
+    for tile in (5, 1000):
+        got = sorted(tuple(r) for r in L.pairs(df, "block", "id", ["v"], tile=tile).select("block", "i", "j").collect())
+        assert got == sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[1] == b[1] is not None and a[0] <= b[0])
+        near = sorted(tuple(r) for r in L.pairs(df, "block", "id", ["v"], "cm", 0.7, tile).select("block", "i", "j").collect())
+        want = [(a[1], a[0], b[0]) for a in rows for b in rows if a[1] == b[1] is not None and a[0] <= b[0] and (a[0] == b[0] or None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 0.7)]
+        assert near == sorted(want)
+    assert L.pairs(df.limit(0), "block", "id", ["v"], "cm", 0.7).count() == 0
+
+
+def test_a_large_block_is_dealt_to_many_tasks(spark):
+    """20,000 variants of one block; none of the pairs that are too far apart is made."""
+    h = spark.range(20_000).selectExpr("id", "1 AS block", "id * 0.05D AS cm", "array(xxhash64(id), xxhash64(id, 1)) AS words")
+    out = L.shrunk(h, "block", "id", "words", "cm", 128)
+    per_task = [r["count"] for r in out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    reach = int(L.reach(L.M, L.NE, L.CUTOFF) / 0.05)
+    assert sum(per_task) == sum(min(reach, 19_999 - i) + 1 for i in range(20_000)) and len(per_task) == 4
+    tiles = L._tiled(h.select("block", "id"), "block", "id", None, None, L.TILE)
+    assert max(r["count"] for r in tiles.groupBy("__tile").count().collect()) < 1.3 * L.TILE
+
+
+def test_covariance_of_planes_is_that_of_dosages(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0, 1, 2, None]) if i % 3 else rng.choice([0, 1, 2]) for _ in range(n)], [rng.choice([0, 1, 2, None]) for _ in range(n)]) for i, n in enumerate([1, 2, 63, 64, 65, 130, 200, 0])]
+    rows += [(90, [None, None, 1], [1, 2, None]), (91, [1, 2], [0, 1, 2, 2]), (92, [1, 1, 1], [0, 1, 2])]
+    df = spark.createDataFrame(rows, "id int, x array<int>, y array<int>").withColumns({"p": G.planes("x"), "q": G.planes("y")})
+    for r in df.select("id", G.dosage_covariance("x", "y").alias("want"), G.plane_covariance("p", "q").alias("got"), G.plane_covariance("p", "p").alias("var")).collect():
+        assert (r["got"] is None) == (r["want"] is None) and (r["got"] is None or abs(r["got"] - r["want"]) < 1e-12)
+    for i, x, y in rows:
+        both = [(a, b) for a, b in zip(x, y) if a is not None and b is not None]
+        got = df.where(F.col("id") == i).select(G.plane_covariance("p", "q")).first()[0]
+        assert got is None if len(both) < 2 else abs(got - np.cov(np.array(both).T)[0, 1]) < 1e-9
+
+
 def test_rank_over_segments(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([1, 2, None]), rng.choice([None, rng.randrange(1, 3000)])) for i in range(300)]
     df = spark.createDataFrame(rows, "t bigint, chrom int, pos bigint")
     low = lambda x: (x is not None, x or 0)
     want = {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (low(r[1]), low(r[2]), r[0])))}
-    for segment in (50, 1 << 22):
-        assert {r["t"]: r["rank"] for r in S.ranked(df, ["chrom", "pos", "t"], segment=segment).collect()} == want
+    for n in (20, 1 << 22):
+        assert {r["t"]: r["rank"] for r in S.ranked(df, ["chrom", "pos", "t"], rows=n).collect()} == want
 
 
 def test_wide_regions_give_few_rows_on_either_side(spark):
