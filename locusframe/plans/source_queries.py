@@ -13,7 +13,7 @@ from ..functions.coords import chrom_label, format_region, rsid_text
 from ..operators.islands import ranked
 from ..sources import plink, sequences, store, text
 from ..streaming import joins as stream
-from .queries import _BEST, _V, query
+from .queries import _BEST, _V, QUERIES, query  # noqa: F401
 from .views import DOSAGES_SQL, KNOTS, REGIONS, VARIANTS, WIDE, cte, dosages, haplotypes, panel, view
 
 
@@ -115,6 +115,15 @@ def bgzf_lines(spark, d):
     return sequences.read_bgzf_lines(spark, f"{path}/*.bgz").select("value")
 
 
+@query("bgzf_lines_of_parts", f"{cte(regions=REGIONS)} SELECT row_number() OVER (ORDER BY region_id) - 1 AS line, 'chr' || chrom || ':' || start_pos || '_' || end_pos AS value FROM regions")
+def bgzf_lines_of_parts(spark, d):
+    """One file that several tasks read and number, each from the first block it finds."""
+    path = scratch(spark, "bgz")
+    lines = view(spark, d, REGIONS).repartitionByRange(1, "region_id").sortWithinPartitions("region_id")
+    sequences.write_bgzf_lines(lines.select(format_region("chrom", "start_pos", "end_pos").alias("value")), path, block=700)
+    return sequences.read_bgzf_lines(spark, f"{path}/*.bgz", part=1500).select("line", "value")
+
+
 @query("store_regions_read", f"{cte(variants=VARIANTS, wide=WIDE)} SELECT variant_id, v.chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM wide r WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos AND r.region_id%2=0)")
 def store_regions_read(spark, d):
     """The store's rows in many regions that overlap each other."""
@@ -175,6 +184,24 @@ def plink_bed_seek(spark, d):
     return _totals(own.join(plink.read_bed_genotypes(spark, f"{prefix}.bed", 64, bim.count(), own), "variant_index"))
 
 
+@query("plink_bed_ranges", _PARTS + "WHERE snp_id BETWEEN 3 AND 40 OR snp_id=170 GROUP BY snp_id")
+def plink_bed_ranges(spark, d):
+    """Two ranges of variants, of which nothing else of the file is read."""
+    prefix = _plink(spark, d)
+    bim = text.with_line_number(text.read_bim(spark, f"{prefix}.bim"), "variant_index")
+    some = plink.read_bed_genotypes(spark, f"{prefix}.bed", 64, bim.count(), ranges=[(20, 41), (3, 30), (170, 171)])
+    return _totals(bim.join(some, "variant_index"))
+
+
+@query("store_regions_by_files", f"{cte(variants=VARIANTS, regions=REGIONS)} SELECT variant_id, v.chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM regions r WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos AND r.region_id%24=5)")
+def store_regions_by_files(spark, d):
+    """Regions of one chromosome, for which the manifest names the files to open."""
+    path = scratch(spark, "store")
+    store.write_store(view(spark, d, VARIANTS), path, files_per_chrom=4)
+    r = view(spark, d, REGIONS).where("region_id%24=5").select("chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
+    return store.read_regions(spark, path, r).select("variant_id", "chrom", "pos")
+
+
 _HAPS = "SELECT vec_id AS rsid, CAST(1+vec_id%3 AS INT) AS chrom, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS ones FROM embeddings "
 
 
@@ -216,6 +243,18 @@ def fasta_bases(spark, d):
     return sequences.bases_at(lines.drop("name"), at.select("record", "pos"), 60).join(at, ["record", "pos"]).select("name", "pos", "base")
 
 
+@query("fasta_bases_by_index", f"WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents) SELECT 'd' || coalesce(CAST(doc_id AS VARCHAR), '') AS name, p AS pos, substr(seq, CAST(p AS INT), 1) AS base FROM s, (SELECT unnest([1, 60, 61, 200, 1999]) AS p) WHERE p<=length(seq)")
+def fasta_bases_by_index(spark, d):
+    """Single bases of every sequence, each read from its own byte of the files."""
+    seq = F.expr("translate(regexp_replace(text, '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", seq.alias("s")).where("length(s) > 0")
+    path = scratch(spark, "fa")
+    docs.select(F.concat(F.lit(">d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" x\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n"))).write.text(path)
+    index = sequences.fasta_index(spark, path)
+    at = index.select("record", "name", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 60, 61, 200, 1999)])).alias("pos"))
+    return sequences.bases_by_index(index, at).join(at, ["record", "pos"]).select("name", "pos", "base")
+
+
 def _streamed(spark: SparkSession, d: str, df: DataFrame, run) -> DataFrame:
     """The rows that run makes of df as a stream of files, until all have been read."""
     source, sink, state = (scratch(spark, x) for x in ("in", "out", "state"))

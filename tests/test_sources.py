@@ -1,12 +1,15 @@
 """Files of small known content."""
 
 import gzip
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import genotypes as G
+from locusframe.plans.source_queries import QUERIES
 from locusframe.sources import plink, sequences, store, text
 
 DIR = "/root/testdata/sf0.001"
@@ -113,6 +116,98 @@ def test_block_gzip(spark, tmp_path):
     assert blocks.count() == len(list(sequences.bgzf_blocks(data))) and blocks.agg(F.sum("size")).first()[0] == len(data)
 
 
+@pytest.mark.parametrize("block", [7, 40, 4000])
+def test_block_gzip_in_parts_of_any_size(spark, tmp_path, block):
+    """Lines and blocks are the same however a file is dealt to tasks, whether blocks end in lines, at their ends or within one character."""
+    rng = random.Random(block)
+    lines = ["".join(rng.choice("abé\x1f\x8b") for _ in range(rng.choice([0, 0, 3, 6, 60, 900]))) for _ in range(120)]
+    for ending in ("", "\n"):
+        path = tmp_path / f"x{len(ending)}.bgz"
+        path.write_bytes(sequences.bgzf_compress(("\n".join(lines) + ending).encode(), block))
+        want = list(enumerate(lines if ending or lines[-1] else lines[:-1]))
+        blocks = list(sequences.bgzf_blocks(path.read_bytes()))
+        for part in (1000, 50_000):
+            got = sequences.read_bgzf_lines(spark, str(path), part=part)
+            assert sorted((r["line"], r["value"]) for r in got.collect()) == want
+        got = sequences.read_bgzf(spark, str(path), part=3000).orderBy("block").collect()
+        assert [(r["offset"], r["size"]) for r in got] == blocks and [r["block"] for r in got] == list(range(len(blocks)))
+        assert b"".join(r["data"] for r in got) == ("\n".join(lines) + ending).encode()
+
+
+def test_parts_of_one_block_gzip_file_are_tasks_of_their_own(spark, tmp_path):
+    (tmp_path / "a.bgz").write_bytes(sequences.bgzf_compress("".join(f"{i * 7919 % 100003}\n" for i in range(50_000)).encode(), 1000))
+    lines = sequences.read_bgzf_lines(spark, str(tmp_path / "a.bgz"), part=20_000)
+    assert lines.count() == 50_000 and lines.where("value <> CAST(line * 7919 % 100003 AS STRING)").isEmpty()
+    assert spark.read.format("bgzf").options(files=json.dumps([[str(tmp_path / "a.bgz"), os.path.getsize(tmp_path / "a.bgz")]]), part="20000").load().rdd.getNumPartitions() > 5
+    (tmp_path / "empty.bgz").write_bytes(b"")
+    assert sequences.read_bgzf_lines(spark, str(tmp_path / "empty.bgz")).count() == 0
+    with pytest.raises(Exception, match="no file is named"):
+        sequences.read_bgzf_lines(spark, str(tmp_path / "none.bgz"))
+
+
+def test_fasta_index_reads_single_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    seqs = {f"s{i}": "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate([0, 1, 10, 11, 25, 400])}
+    parts = [list(seqs.items())[:3], list(seqs.items())[3:]]
+    for i, part in enumerate(parts):
+        (tmp_path / f"{i}.fa").write_text("".join(f">{n} more\n" + "".join(s[j : j + 10] + "\n" for j in range(0, len(s), 10)) for n, s in part))
+    index = sequences.fasta_index(spark, str(tmp_path))
+    got = {r["name"]: (r["length"], r["width"]) for r in index.collect()}
+    assert got == {n: (len(s), min(10, len(s)) or None) for n, s in seqs.items()}
+    at = index.select("record", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("length") + 2)).alias("pos"))
+    found = sequences.bases_by_index(index, at).join(index.select("record", "name"), "record").collect()
+    assert sorted((r["name"], r["pos"], r["base"]) for r in found) == sorted((n, i + 1, b) for n, s in seqs.items() for i, b in enumerate(s))
+    (tmp_path / "bad.fa").write_text(">x\nACGT\nACG\nACGT\n")
+    with pytest.raises(Exception, match="one width"):
+        sequences.fasta_index(spark, str(tmp_path / "bad.fa")).collect()
+
+
+def test_only_the_ranges_asked_for_are_read(spark, tmp_path):
+    path = str(tmp_path / "x.bed")
+    plink.write_bed_genotypes(spark.range(1000).select(F.col("id").alias("variant_index"), F.unhex(F.lpad(F.hex("id"), 4, "0")).alias("data")), path)
+    with open(path, "r+b") as f:
+        f.truncate(3 + 2 * 800)  # a file cut short is no error for what lies before the cut
+    read = lambda ranges: plink.read_bed_genotypes(spark, path, 8, 1000, part=100, ranges=ranges)
+    for ranges, tasks in (([(5, 6)], 1), ([(7, 9), (500, 501)], 2), ([(250, 380)], 2), ([(3, 10), (5, 20), (20, 25), (9, 9)], 1), ([], 1), ([(-5, 1)], 1)):
+        own = read(ranges)
+        assert own.select("variant_index").rdd.getNumPartitions() == tasks
+        got = {r["variant_index"]: int.from_bytes(r["data"], "big") for r in own.collect()}
+        assert got == {i: i for i in range(1000) if any(a <= i < b for a, b in ranges)}
+    both = read([(5, 6)]).union(read([(7, 8)])).union(read([(0, 3)]).where("variant_index > 1"))
+    assert sorted(r["variant_index"] for r in both.collect()) == [2, 5, 7]
+    with pytest.raises(Exception, match="ends before"):
+        read([(5, 6), (811, 812)]).count()
+
+
+def test_a_genotype_write_that_fails_leaves_no_file(spark, tmp_path):
+    path = str(tmp_path / "x.bed")
+    good = spark.range(50).select(F.col("id").alias("variant_index"), F.unhex(F.lit("0A0B")).alias("data"))
+    save = lambda df: df.write.format("plink_bed").mode("append").option("path", path).save()
+    plink._source(spark)
+    broken = good.withColumn("data", F.when(F.col("variant_index") == 40, F.raise_error(F.lit("no genotype")).cast("binary")).otherwise(F.col("data")))
+    for bad, why in ((broken, "no genotype"), (good.where("variant_index <> 7"), "without gaps"), (good.unionAll(good.limit(1)), "without gaps")):
+        with pytest.raises(Exception, match=why):
+            save(bad)
+        assert os.listdir(tmp_path) == []
+    save(good)
+    assert os.path.getsize(path) == 3 + 100 and os.listdir(tmp_path) == ["x.bed"]
+    with pytest.raises(Exception, match="there already"):
+        save(good)
+
+
+def test_regions_open_only_the_files_that_they_touch(spark, tmp_path):
+    df = spark.range(24_000).select((1 + F.col("id") % 24).cast("int").alias("chrom"), (F.col("id") * 10).alias("pos"))
+    path = str(tmp_path / "s")
+    store.write_store(df, path, files_per_chrom=3)
+    assert spark.read.parquet(path).count() == 24_000  # the manifest is no part of the data
+    r = spark.createDataFrame([(2, 1000, 1500), (2, 1400, 2000), (7, 100_000, 100_300), (3, 10**9, 10**9 + 5), (None, 1, 5)], "chrom int, start bigint, end bigint")
+    rows = store.read_regions(spark, path, r)
+    want = df.where("(chrom = 2 AND pos >= 1000 AND pos < 2000) OR (chrom = 7 AND pos >= 100000 AND pos < 100300)")
+    assert sorted(tuple(x) for x in rows.select("chrom", "pos").collect()) == sorted(tuple(x) for x in want.collect())
+    assert 1 <= len(rows.inputFiles()) <= 4 < len(spark.read.parquet(path).inputFiles())
+    assert store.read_regions(spark, path, r.where("chrom IS NULL")).count() == 0
+
+
 def test_store(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 3 + 1).cast("int").alias("chrom"), F.col("id").alias("pos"), F.col("id").alias("rsid"))
     path = str(tmp_path / "s")
@@ -181,3 +276,28 @@ def test_regions_of_a_store_that_overlap_give_each_row_once(spark, tmp_path):
     store.write_store(df, path, files_per_chrom=1)
     r = spark.createDataFrame([(1, 10, 50), (1, 20, 30), (1, 40, 60), (2, 0, 9), (None, 0, 9), (1, 70, 70)], "chrom int, start bigint, end bigint")
     assert sorted(x["pos"] for x in store.read_regions(spark, path, r).collect()) == list(range(10, 60))
+
+
+@pytest.fixture(scope="module")
+def in_five_files(spark, tmp_path_factory):
+    """The tables of DIR, each in five files of unlike sizes."""
+    folder = str(tmp_path_factory.mktemp("five"))
+    for name in ("orders", "part", "customer", "embeddings", "documents", "events"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").repartition(5).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
+@pytest.mark.parametrize("name", ["bed_roundtrip", "bim_roundtrip", "fam_roundtrip", "genetic_map_read", "hap_legend_read", "plink_bed_roundtrip", "plink_parts_roundtrip", "plink_bed_seek", "plink_bed_ranges", "hap_by_rsid_parts", "hap_by_regions_parts", "fasta_read", "fasta_bases", "fasta_bases_by_index", "bgzf_lines", "bgzf_lines_of_parts", "store_regions_read", "store_regions_by_files", "samples_read"])
+def test_source_queries_do_not_depend_on_the_files_of_tables(spark, in_five_files, name):
+    rows = lambda d: sorted(map(tuple, QUERIES[name](spark, d).collect()), key=str)
+    assert rows(DIR) == rows(in_five_files)
+
+
+def test_line_numbers_are_refused_where_rows_have_no_place(spark, tmp_path):
+    (tmp_path / "a").write_text("b\na\n")
+    lines = spark.read.text(str(tmp_path / "a"))
+    assert text.with_line_number(lines.select("value")).count() == 2
+    for df in (lines.orderBy("value"), lines.union(lines), lines.where("value > ''"), lines.join(lines.select("value"), "value"), lines.groupBy("value").count()):
+        with pytest.raises(ValueError, match="line numbers as they are read"):
+            text.with_line_number(df)
