@@ -1,22 +1,24 @@
 """Main text of web pages by the distribution of text over lines of blocks.
 
-Markup is stripped to one line for each block, in page order. A line weighs its characters outside of links, and
-nothing where half of it or more is links. Lengths are summed over windows of WINDOW lines. A window without weight is
-a dive: the lines that it covers, a menu or list of links, are outside the main text, which surges again after them.
-If the page marks an article or a main part, that part alone is looked at, and all between dives is kept. Otherwise
-lines belong to the element that holds them (a division, section or cell), windows don't reach beyond it, and an
-element's lines are the main text if one of its windows surges to SURGE characters, or to SHARE of the page's highest
-window if that is more; so a short line stays where its neighbours are, and a line of its own beside the text goes.
-A heading of the first rank surges by itself.
-
-Elements that HTML itself names as menus, footers, sidebars, forms and the like, and headers outside of an article,
-are apart: their lines are left out before windows are summed, so they cut nothing. So are elements whose class or
+Markup is stripped to one line for each block, in page order; where an element that holds blocks begins or ends (a division,
+list, section, menu, footer), as many empty lines follow as a window has, so no window reaches over such an edge. A line
+weighs its characters outside of links, and nothing where half of it or more is links. Lengths are summed over sliding
+windows of WINDOW lines, all lines of the page included: menus, adverts and footers too. Text surges where a window reaches SURGE
+characters, or SHARE of the page's highest window if that is more, and dives at the edge after it. What lies between
+a surge and its dive is main text, and so are lines of the same element between two surges, unless a window over
+them sums to nothing, as over a menu. A heading of the first rank surges by itself.
+
+Only then marks and names are looked at, for what lengths can't tell. If the page marks an article or a main part and a surge lies in
+it, the whole of that part is main text, short ends and lists of links included, and what surges beside it is not. Lines of elements
+that HTML names as menus, footers, sidebars, forms and the like, and headers outside of an article, go; so do those whose class or
 id says that they hold reader comments, adverts or notices, as those can be long prose: all parts of one of its names
-must be known words, so "ad-banner" and "comments" are, and "ad-hoc", "related-work" and "entry-header" are not.
+must be known words, so "ad-banner" and "comments" are, and "ad-hoc", "related-work" and "entry-header" are not. If that takes
+all that surged, windows are summed once more without those lines.
 
-Null pages and pages without text give an empty text. A page is read to its end, closed or not, and in time linear in
-its length, however malformed: the start of an article ends whatever was left open before it. Rows are treated one by
-one; pages with nulls in other columns and repeated rows are like others. Empty tables give no rows.
+Null pages and pages without text give an empty text. A page without anything but links is empty, unless it marks an article. A page is
+read to its end, closed or not, and in time linear in its length, however malformed: the start of an article ends
+whatever was left open before it. Rows are treated one by one; pages with nulls in other columns and repeated rows are
+like others. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame
 
 from ..cluster import ship
 
-#: Lines of a window; characters of a window that make it a surge where nothing marks the main part; or this share of the highest.
-WINDOW, SURGE, SHARE = 3, 80, 0.2
+#: Lines of a window; characters of a window that make it a surge; or this share of the highest.
+WINDOW, SURGE, SHARE = 3, 120, 0.35
 _RAW = frozenset("script style noscript template svg iframe textarea select object head title".split())
 _BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose start and end are edges.
+_EDGES = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 _HOLDERS = frozenset("div section td th article main".split())
 _APART = frozenset("nav footer aside form button menu dialog".split())
 #: Words of a class or id that say what an element holds, and those that may stand beside them.
@@ -54,9 +58,10 @@ class Line:
     text: str
     weight: int
     holder: int
-    inside: bool  # of an article or main part
+    part: int  # the outermost article or main part that it lies in, from 1, or 0
     apart: bool
     first_rank: bool
+    edge: bool  # whether an element that holds blocks began or ended before it
 
 
 class Reader:
@@ -136,17 +141,18 @@ def lines_of(page: str) -> list[Line]:
     """Every block's line in page order."""
     out: list[Line] = []
     now: list[str] = []
-    linked, in_link, first_rank = 0, False, False
+    linked, in_link, first_rank, edge, part = 0, False, False, True, 0
     open_: list[tuple[str, int]] = [("", 0)]  # elements that hold lines, with their numbers
     many: Counter[str] = Counter()
     holders, skip, depth = 0, "", 0
 
     def end() -> None:
-        nonlocal now, linked
+        nonlocal now, linked, edge
         text = " ".join(html.unescape("".join(now)).split())
         if text:
             weight = 0 if 2 * linked >= len(text) else len(text) - linked
-            out.append(Line(text, weight, open_[-1][1], many["article"] + many["main"] > 0, bool(skip), first_rank))
+            out.append(Line(text, weight, open_[-1][1], part if many["article"] + many["main"] > 0 else 0, bool(skip), first_rank, edge))
+            edge = False
         now, linked = [], 0
 
     for text, name, tag in Reader(page).tokens():
@@ -162,6 +168,7 @@ def lines_of(page: str) -> list[Line]:
             in_link = not closing
         if name in _BLOCKS:
             end()
+        edge = edge or name in _EDGES
         if name == "h1":
             first_rank = not closing
         marks_part = name in ("article", "main")
@@ -169,6 +176,7 @@ def lines_of(page: str) -> list[Line]:
             skip, depth, in_link = "", 0, False
         if name in _HOLDERS:
             if not closing:
+                part += marks_part and not many["article"] + many["main"]
                 holders += 1
                 open_.append((name, holders))
                 many[name] += 1
@@ -190,6 +198,15 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def surges(weights: list[int], window: int) -> int:
+    """The highest sum over a window."""
+    total = best = sum(weights[:window])
+    for i in range(window, len(weights)):
+        total += weights[i] - weights[i - window]
+        best = max(best, total)
+    return best
+
+
 def dives(weights: list[int], window: int) -> list[bool]:
     """Whether each line is covered by a window that sums to 0."""
     out, run = [False] * len(weights), 0
@@ -202,35 +219,41 @@ def dives(weights: list[int], window: int) -> list[bool]:
     return out
 
 
-def surges(weights: list[int], window: int) -> int:
-    """The highest sum over a window."""
-    total = best = sum(weights[:window])
-    for i in range(window, len(weights)):
-        total += weights[i] - weights[i - window]
-        best = max(best, total)
-    return best
+def surging(lines: list[Line], window: int, surge: int, share: float) -> list[bool]:
+    """Whether each line lies between a surge and its dive, or between two surges of its element."""
+    runs: list[list[int]] = []
+    for i, x in enumerate(lines):
+        if x.edge or not runs:
+            runs.append([])
+        runs[-1].append(i)
+    highest = [surges([lines[i].weight for i in run], window) for run in runs]
+    top = max(highest, default=0)
+    level = min(max(surge, share * top), top)
+    out = [x.first_rank for x in lines]
+    ends: dict[int, list[int]] = {}
+    for run, high in zip(runs, highest, strict=True):
+        if top and high >= level:
+            for i in run:
+                out[i] = True
+                ends.setdefault(lines[i].holder, [i, i])[1] = i
+    of: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if x.holder in ends and ends[x.holder][0] <= i <= ends[x.holder][1]:
+            of.setdefault(x.holder, []).append(i)
+    for at in of.values():
+        for i, gone in zip(at, dives([lines[i].weight for i in at], window), strict=True):
+            out[i] = lines[i].first_rank or not gone
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
-    lines = [x for x in lines_of(page or "") if not x.apart]
-    inside = [x for x in lines if x.inside]
-    if inside:
-        out = dives([x.weight for x in inside], window)
-        kept = [x for x, gone in zip(inside, out, strict=True) if not gone] or inside
-        return "\n\n".join(x.text for x in kept)
-    of: dict[int, list[int]] = {}
-    for i, x in enumerate(lines):
-        of.setdefault(x.holder, []).append(i)
-    highest = {h: surges([lines[i].weight for i in at], window) for h, at in of.items()}
-    level = max(surge, share * max(highest.values(), default=0))
-    if all(v < level for v in highest.values()):  # nothing on the page is long: what weighs most stays
-        level = max(highest.values(), default=0)
-    keep = [False] * len(lines)
-    for h, at in of.items():
-        gone = dives([lines[i].weight for i in at], window)
-        for i, out_ in zip(at, gone, strict=True):
-            keep[i] = lines[i].first_rank or highest[h] >= level and not out_ and highest[h] > 0
-    return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
+    lines = lines_of(page or "")
+    found = surging(lines, window, surge, share)
+    if not any(f and not x.apart and not x.first_rank for x, f in zip(lines, found, strict=True)):
+        lines = [x for x in lines if not x.apart]
+        found = surging(lines, window, surge, share)
+    parts = {x.part for x, f in zip(lines, found, strict=True) if f and x.part and not x.apart} or {x.part for x in lines} - {0}
+    return "\n\n".join(x.text for x, f in zip(lines, found, strict=True) if not x.apart and (x.part in parts if parts else f))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

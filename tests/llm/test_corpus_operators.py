@@ -311,11 +311,12 @@ def test_main_text():
 def test_pages_without_an_article_keep_short_text():
     long, menu = " ".join(["word"] * 160), "<nav><p>a</p><p>b</p><p>c</p><p>d</p></nav>"
     assert html_text.main_text(f"<h1>Title</h1>{menu}<p>{long}</p>") == f"Title\n\n{long}"
-    parts = ["Title", "By me", "A date", long, "End", "Short.", "Shorter."]
+    parts = ["Title", "By me", "A date", long, long, "End", "Short.", "Shorter."]
     page = "".join(f"<p>{x}</p>" for x in parts[:4]) + '<div class="widget"><p>x</p><p>y</p><p>z</p></div>' + "".join(f"<p>{x}</p>" for x in parts[4:])
     assert html_text.main_text(page) == "\n\n".join(parts)
-    small = " ".join(["word"] * 10)
-    assert html_text.main_text(f"<p>{small}</p>{menu}<p>{long}</p>{menu}<p>{small}</p>") == f"{small}\n\n{long}\n\n{small}"
+    small = " ".join(["word"] * 10)  # beyond the edges of the text, and with a tenth of its weight
+    assert html_text.main_text(f"<p>{small}</p>{menu}<p>{long}</p>{menu}<p>{small}</p>") == long
+    assert html_text.main_text(f"<p>{long}</p>{menu}<p>{small}</p>{menu}<p>{long}</p>") == f"{long}\n\n{small}\n\n{long}"
 
 
 def test_pages_of_a_table(spark):
