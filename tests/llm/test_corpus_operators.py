@@ -467,7 +467,7 @@ def test_packing_keeps_every_id(spark, docs, empty):
 
 def test_level_is_the_least_sum_of_squares():
     rng = random.Random(6)
-    p = packing.Packer(width=32, stretch=10**9)
+    p = packing.Packer(width=32)
     for i in range(2000):
         size = rng.randrange(1, 32)
         n = p.count.copy()
@@ -489,6 +489,39 @@ def test_level_is_the_least_sum_of_squares():
     assert all(sum(len(x[2]) for x in w) // 4 <= 32 for w in p.closed)
 
 
+def test_windows_that_nothing_fills_are_handed_on(spark, monkeypatch):
+    """Lengths that don't combine, with room for few open windows: all ids stay, nothing is padded."""
+    monkeypatch.setattr(packing, "OPEN", 5000)
+    path = tokenizer_path("byte_bpe_50k.json")
+    e = token_ids.Encoder(path)
+    rows = [(i, "word " * (1100 + i % 3)) for i in range(60)] + [(100, "a b c")]
+    want = {k: e.tokenizer.encode(t, add_special_tokens=False).ids + [1] for k, t in rows}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "doc_id", "text", path).collect()
+    assert check_packing(got, want) == 0
+    assert any(r["sequence_id"] >= packing.AFTER << 33 for r in got)
+
+
+def test_few_windows_are_filled_up_with_cuts():
+    """Of documents that fit a window few are cut, however many partitions they come in."""
+    rng = random.Random(3)
+    sizes = [min(2047, int(rng.lognormvariate(5.8, 1))) + 1 for _ in range(8000)]
+    left, full = [], 0
+    for part in range(8):
+        p = packing.Packer()
+        for i in range(part, len(sizes), 8):
+            p.add(i, bytes(4 * sizes[i]))
+        full += len(p.closed)
+        left += p.leave()
+    p = packing.Packer()
+    for piece in sorted(left, key=lambda x: -len(x[2])):
+        p.join(piece)
+    full, before = full + len(p.closed), len(p.closed)
+    p.finish()
+    assert len(p.closed) - before < 0.07 * (full + len(p.closed) - before)
+    pieces = Counter(x[0] for w in p.closed for x in w)
+    assert sum(n > 1 for n in pieces.values()) < 0.02 * len(sizes)
+
+
 # ---- 8
 
 

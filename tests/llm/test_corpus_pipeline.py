@@ -47,7 +47,7 @@ def odd(spark, tmp_path):
     near = rows[3][1].split(" ")
     near[40] = "other"
     rows += [(100, rows[2][1], "en", "s0", 1), (101, " ".join(near), None, None, None), (7, text(100), "en", "s1", 1), rows[5], rows[5], (None, text(90), "en", "s1", 1), (None, None, None, None, None), (200, None, "en", "s1", None), (201, "", "en", "s1", 0), (202, text(15_000), "en", "s2", 1)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(i) for i, c in enumerate(("key", "score", "rep", "component_id", "times"))})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(i) for i, c in enumerate(("key", "score", "rep", "component_id", "times", "rows", "__rows", "__text", "text_hash", "c0", "c1"))})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(None, 0, 0), (41, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return str(tmp_path), rows
@@ -103,5 +103,5 @@ def test_near_dedup_against_brute_force(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
