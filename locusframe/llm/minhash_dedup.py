@@ -43,6 +43,8 @@ K = 64
 SHINGLE = 5
 #: Classes of a chunk of a long list or group.
 CHUNK = 512
+#: Rows that a task compares with each other at most by intention.
+ROWS = 1 << 13
 _RNG = np.random.default_rng(7)
 _FLIP = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPREAD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -198,6 +200,11 @@ def _collected(found: Iterator[tuple[np.ndarray, ...]], by: str) -> Iterator[pa.
         yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], [by, "rep", "root"])
 
 
+def _tasks(dealt: DataFrame) -> int:
+    """Tasks for rows that are compared with each other, by their number: adaptive execution would go by their bytes, which are few."""
+    return max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // ROWS))
+
+
 def _candidate_edges(dealt: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
     """(pair, rep, root): for each list, its classes that reach a smaller one over signatures with t collisions or more."""
     keys = ["pair", "x", "y"]
@@ -217,7 +224,7 @@ def _candidate_edges(dealt: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
         yield from _collected(found(), "pair")
 
     rows = dealt.join(sigs, "rep")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig").mapInArrow(run, "pair long, rep long, root long")
+    return rows.repartition(_tasks(dealt), *keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig").mapInArrow(run, "pair long, rep long, root long")
 
 
 def _confirmed_edges(dealt: DataFrame, sigs: DataFrame, texts: DataFrame, t: int, percent: int, shingle: int) -> DataFrame:
@@ -257,7 +264,7 @@ def _confirmed_edges(dealt: DataFrame, sigs: DataFrame, texts: DataFrame, t: int
         yield from _collected(found(), "component")
 
     rows = dealt.join(sigs, "rep").join(texts, "rep")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig", "text").mapInArrow(run, "component long, rep long, root long")
+    return rows.repartition(_tasks(dealt), *keys).sortWithinPartitions(*keys).select(*keys, "right", "rep", "sig", "text").mapInArrow(run, "component long, rep long, root long")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, key: str, text: str, percent: int = 85, k: int = K, shingle: int = SHINGLE) -> DataFrame:
