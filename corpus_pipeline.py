@@ -44,13 +44,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group; of rows with its doc_id and the same text one, and all rows without a doc_id."""
     ws, names = Workspace(spark), docs.columns
-    found = minhash_dedup.near_duplicates(ws, docs, "doc_id", "text", percent=SIMILAR)
-    kept = ws.keep(found.where("key = component_id").groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("__rows")), "kept")
-    rows = with_group(ws, docs, kept, "doc_id", "__rows", max(1, docs.count()))
-    once = rows.where("__rows = 1").select(names)
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of a column is one of those added here
+    key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    found = minhash_dedup.near_duplicates(ws, own, key, text, percent=SIMILAR)
+    kept = ws.keep(found.where("key = component_id").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("rows")), "kept")
+    rows = with_group(ws, own, kept, key, "rows", max(1, own.count()))
+    once = rows.where("rows = 1").select(own.columns)
     # few: rows that share their doc_id, of which equal texts come once
-    several = rows.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(names)
-    return once.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
+    several = rows.where("rows > 1").withColumn("text_hash", F.xxhash64(text)).dropDuplicates([key, "text_hash"]).select(own.columns)
+    return once.unionByName(several).unionByName(own.where(F.col(key).isNull())).toDF(*names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
