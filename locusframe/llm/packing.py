@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from .shared import Workspace
-from .token_ids import encoder
+from .token_ids import encoder, give_back
 
 END = 1
 WIDTH = 2048
+#: Bytes of text that are encoded at a time, fewer than the encoder's own, as windows take memory too.
+BLOCK = 1 << 20
 #: Tokens that open windows hold at most, and tokens of the second packing for each of its tasks.
 OPEN, LEFT = 1 << 23, 1 << 23
 #: Number of the first sequence of the second packing's partitions, in partitions.
@@ -134,6 +136,8 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, width: int = WIDT
         return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [*names, "left_over"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encoder.cache_info().currsize:  # a worker that served another operator before
+            give_back()
         e, packer, number = encoder(tokenizer), Packer(width), TaskContext.get().partitionId() << 33
 
         def closed() -> pa.RecordBatch:
@@ -146,7 +150,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, width: int = WIDT
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for i, found in e.rows(batch.column(1), END):
+            for i, found in e.rows(batch.column(1), END, BLOCK):
                 packer.add(keys[i], found)
                 if packer.held >= OPEN:
                     yield open_()

@@ -142,14 +142,14 @@ class Encoder:
         parts = [np.frombuffer(self.by_chunks(column[i].as_py()), "<u4") if odd[i] else each[i][lead:] for i in range(n)]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
-    def rows(self, column: pa.Array, end: int) -> Iterator[tuple[int, bytes]]:
-        """(row, ids with the end id) of each text."""
+    def rows(self, column: pa.Array, end: int, block: int = BLOCK) -> Iterator[tuple[int, bytes]]:
+        """(row, ids with the end id) of each text; block: bytes of text that are encoded at a time."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
         first, stop = 0, end.to_bytes(4, "little")
         while first < len(column):
-            last = max(first + 1, int(np.searchsorted(size, size[first] + BLOCK, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(size, size[first] + block, "right")) - 1)
             ids, at = self.encode_column(column.slice(first, last - first))
             raw = memoryview(ids).cast("B")
             for i in range(last - first):
@@ -168,6 +168,11 @@ def forget() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()  # an encoder and its memory hold each other
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Gives what this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
