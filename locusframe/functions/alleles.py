@@ -66,7 +66,8 @@ def match_code(qr, qa, tr, ta) -> Column:
 
 
 def match_label(code: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MATCHES]), _c(code))
+    """The name of a code; NULL for other numbers."""
+    return F.when(_c(code).between(1, len(MATCHES)), F.element_at(F.array(*[F.lit(m) for m in MATCHES]), _c(code)))
 
 
 def is_reversed(code: Column | str) -> Column:

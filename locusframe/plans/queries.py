@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import alleles as A
 from ..functions import coords as C
 from ..functions import genotypes as G
+from ..functions.sql import register_functions
 from ..operators import allele_join as J
 from ..operators import columns as K
 from ..operators import genmap as M
@@ -202,14 +203,13 @@ def _code(a: str, b: str, c: str, e: str) -> str:
     return "CAST(CASE " + " ".join(parts) + " END AS INT)"
 
 
-_QUADS = "quads AS (SELECT CAST(a.x AS INT) AS a, CAST(b.x AS INT) AS b, CAST(c.x AS INT) AS c, CAST(e.x AS INT) AS e FROM range(1,16) a(x), range(1,16) b(x), range(1,16) c(x), range(1,16) e(x))"
+_SETS = ("lineitem", "CAST(1+l_orderkey%15 AS INT) AS a, CAST(1+l_partkey%15 AS INT) AS b, CAST(1+l_suppkey%15 AS INT) AS c, CAST(1+(l_partkey+4*l_linenumber)%15 AS INT) AS e")
 
 
-@query("allele_match_codes", f"WITH {_QUADS} SELECT a, b, c, e, {_code('a', 'b', 'c', 'e')} AS code FROM quads")
+@query("allele_match_codes", f"{cte(quads=_SETS)} SELECT a, b, c, e, {_code('a', 'b', 'c', 'e')} AS code, count(*) AS n FROM quads GROUP BY a, b, c, e")
 def allele_match_codes(spark, d):
-    """Every combination of four allele sets, 15 ** 4 rows."""
-    n = spark.range(15**4).select(*[(F.floor(F.col("id") / 15**i) % 15 + 1).cast("int").alias(c) for i, c in enumerate("abce")])
-    return n.withColumn("code", A.match_code("a", "b", "c", "e"))
+    """Four allele sets for each line of an order."""
+    return view(spark, d, _SETS).groupBy("a", "b", "c", "e").agg(F.count("*").alias("n")).withColumn("code", A.match_code("a", "b", "c", "e"))
 
 
 _BEST = f"{_VP}, m AS (SELECT variant_id, panel_id, {_code('v.ref', 'v.alt', 'p.ref', 'p.alt')} AS code FROM variants v JOIN panel p ON v.chrom=p.chrom AND v.pos=p.pos), best AS (SELECT variant_id, min(code) AS match_code, arg_min(panel_id, code*10000000000+panel_id) AS panel_id FROM m WHERE code IS NOT NULL GROUP BY variant_id)"
@@ -261,15 +261,14 @@ def panel_flip_query(spark, d):
     return J.panel_flip(_texts(view(spark, d, VARIANTS)), "variant_id", _texts(panel(spark, d)))
 
 
-_ACGT = "s AS (SELECT * FROM (VALUES ('A'),('C'),('G'),('T')) t(x)), p AS (SELECT a.x || ',' || b.x AS y FROM s a, s b)"
+_BASE = lambda x: f"substr('ACGT', CAST(1+{x}%4 AS INT), 1)"
+_BASE_PAIRS = ("lineitem", f"concat({_BASE('l_orderkey')}, ',', {_BASE('l_partkey')}) AS query, concat({_BASE('l_suppkey')}, ',', {_BASE('(l_partkey+l_linenumber)')}) AS target")
 
 
-@query("flip_code", f"WITH {_ACGT} SELECT q.y AS query, t.y AS target, {_FLIP('q.y', 't.y')} AS flip FROM p q, p t")
+@query("flip_code", f"{cte(pairs=_BASE_PAIRS)} SELECT query, target, {_FLIP('query', 'target')} AS flip, count(*) AS n FROM pairs GROUP BY query, target")
 def flip_code(spark, d):
-    letters = F.array(*[F.lit(x) for x in "ACGT"])
-    at = lambda i: F.element_at(letters, (F.floor(F.col("id") / 4**i) % 4 + 1).cast("int"))
-    rows = spark.range(256).select(F.concat(at(0), F.lit(","), at(1)).alias("query"), F.concat(at(2), F.lit(","), at(3)).alias("target"))
-    return rows.withColumn("flip", A.flip_code("query", "target"))
+    """Two pairs of bases for each line of an order."""
+    return view(spark, d, _BASE_PAIRS).groupBy("query", "target").agg(F.count("*").alias("n")).withColumn("flip", A.flip_code("query", "target"))
 
 
 @query("find_positions", f"{_VP} SELECT variant_id, min(panel_id) AS panel_id FROM variants v LEFT JOIN panel p ON v.chrom=p.chrom AND v.pos=p.pos AND v.variant_id%10=p.panel_id%10 GROUP BY variant_id")
@@ -283,12 +282,46 @@ def strand_ambiguous(spark, d):
     return view(spark, d, VARIANTS).select("variant_id", A.is_strand_ambiguous("ref", "alt").alias("ambiguous"))
 
 
-@query("ambiguity_codes", f"WITH m AS (SELECT CAST(a.x AS INT) AS a, CAST(b.x AS INT) AS b FROM range(1,16) a(x), range(1,16) b(x)) SELECT a, b, {_LET('a')} AS letter, CAST({_CM('a')} AS INT) AS complement, {_LET('(a | b)')} AS ambiguous, CASE WHEN xor(a, b)=0 THEN NULL ELSE {_LET('xor(a, b)')} END AS other FROM m")
+@query("ambiguity_codes", f"{cte(sets=_SETS)}, m AS (SELECT DISTINCT a, b FROM sets) SELECT a, b, {_LET('a')} AS letter, CAST({_CM('a')} AS INT) AS complement, {_LET('(a | b)')} AS ambiguous, CASE WHEN xor(a, b)=0 THEN NULL ELSE {_LET('xor(a, b)')} END AS other FROM m")
 def ambiguity_codes(spark, d):
-    m = spark.range(225).select((F.floor(F.col("id") / 15) + 1).cast("int").alias("a"), (F.col("id") % 15 + 1).cast("int").alias("b"))
+    m = view(spark, d, _SETS).select("a", "b").distinct()
     return m.select("a", "b", A.letter_of("a").alias("letter"), A.complement("a").alias("complement"), A.letter_of(A.union("a", "b")).alias("ambiguous"), A.letter_of(A.other("a", "b")).alias("other"))
 
 
+@query("sql_functions", f"{_BEST}, j AS (SELECT v.*, m.panel_id, m.code FROM variants v JOIN m ON v.variant_id=m.variant_id WHERE code IS NOT NULL AND NOT {_AMBIG}) SELECT variant_id, panel_id, code AS match_code, code IN (2,6) AS swapped, 'chr' || chrom || ':' || pos || '_' || {_LET('ref')} || '_' || {_LET('alt')} AS variant, pos//1000 AS thousand FROM j")
+def sql_functions(spark, d):
+    """Matches with a panel in the text of SQL alone, by temporary functions of the session."""
+    register_functions(spark)
+    text = """SELECT v.variant_id, p.panel_id, locus_match_code(v.ref, v.alt, p.ref, p.alt) AS match_code,
+     locus_is_reversed(locus_match_code(v.ref, v.alt, p.ref, p.alt)) AS swapped,
+     locus_format_variant(v.chrom, v.pos, v.ref, v.alt) AS variant, locus_unpack_variant(locus_pack_variant(v.chrom, v.pos, v.ref, v.alt)).pos div 1000 AS thousand
+     FROM {variants} v JOIN {panel} p ON v.chrom = p.chrom AND v.pos = p.pos
+     WHERE locus_match_code(v.ref, v.alt, p.ref, p.alt) IS NOT NULL AND NOT locus_is_strand_ambiguous(v.ref, v.alt)"""
+    return spark.sql(text, variants=view(spark, d, VARIANTS), panel=panel(spark, d))
+
+
+@query("missing_values", f"{_V} SELECT variant_id, variant_id%7=0 OR variant_id%11=0 AS no_variant, variant_id%5=0 AS no_allele FROM variants")
+def missing_values(spark, d):
+    """Texts of variants without a known chromosome or position, and letters that are no base, are missing."""
+    v = view(spark, d, VARIANTS)
+    label = F.when(F.col("variant_id") % 7 == 0, "99").otherwise(F.col("chrom").cast("string"))
+    pos = F.when(F.col("variant_id") % 11 == 0, "0").otherwise(F.col("pos").cast("string"))
+    t = v.select("variant_id", F.concat(label, F.lit(":"), pos, F.lit("_A_C")).alias("t"), F.when(F.col("variant_id") % 5 == 0, "-").otherwise(A.letter_of("ref")).alias("letter"))
+    return t.select("variant_id", K.as_variant(t, "t").isNull().alias("no_variant"), A.mask_of("letter").isNull().alias("no_allele"))
+
+
+@query("column_kinds", f"{_V}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE variant_id%7<>0) AS known FROM variants) " + " UNION ALL ".join(f"SELECT '{c}' AS name, {v} AS is_variant, {r} AS is_region, {x} AS present FROM n" for c, v, r, x in (("v", "true", "false", "known"), ("r", "false", "true", "known"), ("packed", "false", "false", "n"), ("fields", "false", "false", "n"))))
+def column_kinds(spark, d):
+    """Which columns of a table hold variants or regions, and in how many rows."""
+    v = view(spark, d, VARIANTS)
+    label = F.when(F.col("variant_id") % 7 == 0, "99").otherwise(F.col("chrom").cast("string"))
+    t = v.select(F.concat(label, F.lit(":"), "pos", F.lit("_A_C")).alias("t"), F.concat(label, F.lit(":"), "pos", F.lit("_"), F.col("pos") + 9).alias("u"), C.pack_variant().alias("packed"), F.struct("chrom", "pos").alias("fields"))
+    df = t.select(K.as_variant(t, "t").alias("v"), K.as_region(t, "u").alias("r"), "packed", "fields")
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    kinds = [F.struct(F.lit(c).alias("name"), F.lit(K.is_variant(df, c)).alias("is_variant"), F.lit(K.is_region(df, c)).alias("is_region"), F.col(c).alias("present")) for c in df.columns]
+    return counts.select(F.inline(F.array(*kinds)))
+
+
 @query("strand_flip", f"{_V} SELECT variant_id, translate({_PAIR('ref', 'alt')},'ATCG','TAGC') AS flipped, reverse(translate({_PAIR('ref', 'alt')},'ATCG','TAGC')) AS swapped FROM variants")
 def strand_flip(spark, d):
     t = _texts(view(spark, d, VARIANTS))

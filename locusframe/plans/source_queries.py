@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as G
 from ..functions.coords import chrom_label, format_region, rsid_text
 from ..operators.islands import ranked
-from ..sources import plink, sequences, store, text
+from ..sources import lines, plink, sequences, store, text
+from ..streaming import chunks
 from ..streaming import joins as stream
 from .queries import _BEST, _V, QUERIES, query  # noqa: F401
 from .views import DOSAGES_SQL, KNOTS, REGIONS, VARIANTS, WIDE, cte, dosages, haplotypes, panel, view
@@ -231,6 +232,17 @@ def hap_by_regions_parts(spark, d):
     return out.select("rsid", "chrom", G.popcount("words").alias("ones"))
 
 
+@query("hap_by_line_ranges", _HAPS.replace("CAST(1+vec_id%3 AS INT)", "1") + "WHERE vec_id%3=0 AND vec_id%5<2")
+def hap_by_line_ranges(spark, d):
+    """Haplotypes of chosen variants, of which the byte ranges that a kept index names are read alone."""
+    pattern, kept = _hap_folder(spark, d), scratch(spark, "index")
+    legend, hap = (pattern.format(chrom=1, kind=kind) for kind in ("legend", "hap"))
+    lines.line_index(spark, hap, rows=4).write.parquet(kept)
+    ids = haplotypes(spark, d).where("hap_id%5<2").select(F.col("hap_id").alias("rsid"))
+    out = text.hap_by_rsid(spark, legend, hap, 1, ids, spark.read.parquet(kept))
+    return out.select("rsid", "chrom", G.popcount("words").alias("ones"))
+
+
 @query("fasta_bases", f"WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents) SELECT 'd' || doc_id AS name, p AS pos, substr(seq, CAST(p AS INT), 1) AS base FROM s, (SELECT unnest([1, 60, 61, 200]) AS p) WHERE p<=length(seq) AND doc_id IS NOT NULL")
 def fasta_bases(spark, d):
     """Single bases of every sequence, by the line that holds them."""
@@ -282,3 +294,17 @@ def stream_windows(spark, d):
     """Windows that are closed by the end of the stream."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("beta"))
     return _streamed(spark, d, e, lambda s: stream.effects_by_window(s, "ts", "1 hour", "1 day", "event_type", "beta").select(F.col("window.start").alias("day"), "event_type", "n", F.round("mean_effect", 6).alias("mean_effect")))
+
+
+@query("chunked_effects", "SELECT event_type, count(*) AS n, count(DISTINCT CAST(date_trunc('day', ts) AS DATE)) AS days, round(sum(abs(value)), 4) AS total FROM events GROUP BY event_type")
+def chunked_effects(spark, d):
+    """Files of events, two a chunk, each chunk summed up by type and day by a function, and the sums merged."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("date").alias("day"), "event_type", "value")
+    source, out, state = (scratch(spark, x) for x in ("in", "chunks", "state"))
+    e.repartition(5, "day").write.parquet(source)
+
+    def sums(rows):
+        return rows.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum(F.abs("value")).alias("total"))
+
+    parts = chunks.each_chunk(spark, source, e.schema, sums, out, state, files=2)
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.count_distinct("day").alias("days"), F.round(F.sum("total"), 4).alias("total"))

@@ -105,28 +105,35 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", header=True, schema=SAMPLES)
 
 
-def read_hap(spark: SparkSession, path: str, keep: DataFrame | None = None) -> DataFrame:
-    """(line, n, words): one row for each line of 0 and 1; keep holds the lines to read."""
+def read_hap(spark: SparkSession, path: str, keep: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(line, n, words): one row for each line of 0 and 1; keep holds the lines to read.
+
+    With an index of the path's lines (lines.line_index) the byte ranges of keep's lines are read and no others.
+    """
     from ..functions.genotypes import pack_bits, parse_bits
+    from .lines import read_line_ranges
 
-    lines = with_line_number(spark.read.text(path))
-    if keep is not None:
-        lines = lines.join(keep.select("line"), "line", "left_semi")
+    if keep is not None and index is not None:
+        lines = read_line_ranges(index, keep)
+    else:
+        lines = with_line_number(spark.read.text(path))
+        if keep is not None:
+            lines = lines.join(keep.select("line"), "line", "left_semi")
     return lines.withColumn("bits", parse_bits("value")).select("line", F.size("bits").alias("n"), pack_bits("bits").alias("words"))
 
 
-def read_hap_with_legend(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def read_hap_with_legend(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, where: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Legend rows that `where` keeps, with their haplotypes; line i of one file belongs to line i of the other."""
     legend = with_line_number(read_legend(spark, legend_path, chrom))
     chosen = where(legend) if where else legend
-    return chosen.join(read_hap(spark, hap_path, chosen), "line")
+    return chosen.join(read_hap(spark, hap_path, chosen, index), "line")
 
 
-def hap_by_rsid(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, rsids: DataFrame) -> DataFrame:
-    return read_hap_with_legend(spark, legend_path, hap_path, chrom, lambda x: x.join(rsids.select("rsid"), "rsid", "left_semi"))
+def hap_by_rsid(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, rsids: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    return read_hap_with_legend(spark, legend_path, hap_path, chrom, lambda x: x.join(rsids.select("rsid"), "rsid", "left_semi"), index)
 
 
-def hap_by_regions(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, regions: DataFrame) -> DataFrame:
+def hap_by_regions(spark: SparkSession, legend_path: str, hap_path: str, chrom: int, regions: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """regions: (chrom, start, end)."""
 
     def inside(legend: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def hap_by_regions(spark: SparkSession, legend_path: str, hap_path: str, chrom:
         hits = overlap_pairs(with_point_span(legend), "line", ("chrom", "pos", "pos_end"), r, "__rid", ("chrom", "start", "end"))
         return legend.join(hits.select("line"), "line", "left_semi")
 
-    return read_hap_with_legend(spark, legend_path, hap_path, chrom, inside)
+    return read_hap_with_legend(spark, legend_path, hap_path, chrom, inside, index)
 
 
 def hap_over_chromosomes(spark: SparkSession, pattern: str, chroms: Sequence[int], read: Callable[..., DataFrame], rows: DataFrame) -> DataFrame:

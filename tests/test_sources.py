@@ -288,7 +288,7 @@ def in_five_files(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
-@pytest.mark.parametrize("name", ["bed_roundtrip", "bim_roundtrip", "fam_roundtrip", "genetic_map_read", "hap_legend_read", "plink_bed_roundtrip", "plink_parts_roundtrip", "plink_bed_seek", "plink_bed_ranges", "hap_by_rsid_parts", "hap_by_regions_parts", "fasta_read", "fasta_bases", "fasta_bases_by_index", "bgzf_lines", "bgzf_lines_of_parts", "store_regions_read", "store_regions_by_files", "samples_read"])
+@pytest.mark.parametrize("name", ["bed_roundtrip", "bim_roundtrip", "fam_roundtrip", "genetic_map_read", "hap_legend_read", "plink_bed_roundtrip", "plink_parts_roundtrip", "plink_bed_seek", "plink_bed_ranges", "hap_by_rsid_parts", "hap_by_regions_parts", "hap_by_line_ranges", "chunked_effects", "fasta_read", "fasta_bases", "fasta_bases_by_index", "bgzf_lines", "bgzf_lines_of_parts", "store_regions_read", "store_regions_by_files", "samples_read"])
 def test_source_queries_do_not_depend_on_the_files_of_tables(spark, in_five_files, name):
     rows = lambda d: sorted(map(tuple, QUERIES[name](spark, d).collect()), key=str)
     assert rows(DIR) == rows(in_five_files)
