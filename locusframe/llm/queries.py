@@ -40,7 +40,8 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = sharding.shard(docs, "doc_id", [1.0] * SHARDS)
     placed = sharding.shard(placed, "doc_id", [1.0] * (SHARDS + 1), out="grown_shard")
-    out = sharding.gapless(Workspace(spark), placed, "shard", "slot")
+    ws = Workspace(spark)
+    out = sharding.gapless(ws, ws.keep(placed, "placed"), "shard", "slot", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -115,6 +116,33 @@ def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.summed_up(assigned.withColumnRenamed("key", "vec_id"), found)
 
 
+def _crc32_sql(data: str) -> str:
+    """CRC-32 of a BLOB, byte by byte: eight steps of the register at once are a sum, without carry, of those of the eight bits."""
+    step = "a >> 8"
+    for bit in range(8):
+        register = 1 << bit
+        for _ in range(8):
+            register = register >> 1 ^ (0xEDB88320 if register & 1 else 0)
+        step = f"xor({step}, ((xor(a, b) >> {bit}) & 1) * {register})"
+    values = f"list_transform(regexp_extract_all(hex({data}), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}, {values}), lambda a, b: {step}), {0xFFFFFFFF})"
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc32_sql("encode(coalesce(text, ''))")} AS text_crc32,
+         md5('{sharding.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+k AS (SELECT doc_id, size, text_crc32, CAST('0x' || h[1:8] AS BIGINT) % {sharding.PRIME} AS a, CAST('0x' || h[9:16] AS BIGINT) % {sharding.PRIME} AS b FROM d),
+x AS (SELECT doc_id, size, text_crc32, list_transform(range({SHARDS + 1}), lambda s: (a + b * (s + 1)) % {sharding.PRIME}) AS x FROM k),
+y AS (SELECT *, list_transform(x, lambda v, i: (v * 48271 + i - 1) % {sharding.PRIME}) AS y FROM x),
+z AS (SELECT *, list_transform(y, lambda v, i: ((v * v + v * 7 + 13) % {sharding.PRIME} * 69621 + x[i]) % {sharding.PRIME}) AS z FROM y),
+s AS (SELECT doc_id, size, text_crc32, list_position(z[1:{SHARDS}], list_max(z[1:{SHARDS}])) - 1 AS shard, list_position(z, list_max(z)) - 1 AS grown_shard FROM z)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM s
+"""
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -218,4 +246,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sort_means": op13_sort_means,
 }
 
-SQL: dict[str, str] = {"op4_water_filling_mix": OP4_SQL, "op12_marker_fill_middle": OP12_SQL, "op13_sort_means": _op13_sql()}
+SQL: dict[str, str] = {"op3_rendezvous_shards": OP3_SQL, "op4_water_filling_mix": OP4_SQL, "op12_marker_fill_middle": OP12_SQL, "op13_sort_means": _op13_sql()}

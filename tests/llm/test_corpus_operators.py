@@ -224,16 +224,41 @@ def test_shards_only_draw_into_the_new_one(spark, docs, empty):
     heavy = Counter(r["shard"] for r in sharding.shard(keys, "doc_id", [3.0, 1.0]).collect())
     assert abs(heavy[0] / 20000 - 0.75) < 0.02
     for table in (docs, both.repartition(7)):
-        at = sharding.gapless(Workspace(spark), table if "shard" in table.columns else sharding.shard(table, "doc_id", [1.0] * 3), "shard", "slot")
+        at = sharding.gapless(Workspace(spark), table if "shard" in table.columns else sharding.shard(table, "doc_id", [1.0] * 3), "shard", "slot", ["doc_id"])
         slots = defaultdict(list)
         for r in at.collect():
             slots[r["shard"]].append(r["slot"])
         assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == table.count()
-    assert sharding.gapless(Workspace(spark), sharding.shard(empty, "doc_id", [1.0]), "shard", "slot").count() == 0
+    assert sharding.gapless(Workspace(spark), sharding.shard(empty, "doc_id", [1.0]), "shard", "slot", ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         sharding.rendezvous(F.lit(1), [1.0, 0.0])
 
 
+def test_shards_and_slots_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    texts = [None, "", "a", "\x00\r\n", "žluť 漢字 🙂 " * 40, "x" * 70000]
+    rows = [(None if i % 50 == 0 else 7 if i % 3 else i - 200, rng.choice(texts), "en", "a", 1) for i in range(600)]
+    spark.createDataFrame(rows + rows[:90], DOCS).repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op3_rendezvous_shards(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(got) == 690 and Counter(got) == Counter(con.execute(queries.OP3_SQL).fetchall())
+
+
+def test_slots_follow_an_order_beside_columns_of_clashing_names(spark):
+    table = spark.range(0, 3000, 1, 9).select((F.col("id") * 7919 % 3000).alias("n"), F.when(F.col("id") % 3 > 0, "big").alias("shard"), F.lit("mine").alias("part"), F.lit(1).alias("_AT"), F.lit(2).alias("at"))
+    rows = sharding.gapless(Workspace(spark), table, "shard", "slot", ["n"])
+    assert rows.columns == [*table.columns, "slot"]
+    for group in ("big", None):
+        own = sorted((r["slot"], r["n"], r["part"]) for r in rows.collect() if r["shard"] == group)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own) and {x[2] for x in own} == {"mine"}
+    keys = spark.range(500).select("id", F.col("id").cast("int").alias("i"))
+    both = sharding.shard(sharding.shard(keys, "id", [1.0, 2.0, 4.0], "a"), "i", [1.0, 2.0, 4.0], "b")
+    assert both.where("a <> b").count() == 0
+
+
 def test_word_count(spark):
     rows = [("",), (None,), (" ",), ("a",), (" a b\n",), ("a\x0b\x0cb c  d",), ("é\r\n",)]
     for r in spark.createDataFrame(rows, "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect():
