@@ -121,7 +121,14 @@ def index_records(ws: Workspace, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """index with start: the number of ids in all records before."""
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).select("part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return index.join(files, ["part", "file"]).withColumn("start", F.col("base") + F.col("before")).drop("base")
+    """index with start: the number of ids in all records before.
+
+    Sums go over the tasks that wrote, one row each, and then over the files of each task.
+    """
+    earlier = (Window.unboundedPreceding, -1)
+    total = lambda over: F.coalesce(F.sum("n").over(over), F.lit(0))
+    files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", total(Window.orderBy("part").rowsBetween(*earlier)).alias("of_part"))
+    within = files.select("part", "file", total(Window.partitionBy("part").orderBy("file").rowsBetween(*earlier)).alias("of_file"))
+    rows = index.join(within, ["part", "file"]).join(parts, "part")
+    return rows.withColumn("start", F.col("of_part") + F.col("of_file") + F.col("before")).drop("of_part", "of_file")
