@@ -76,8 +76,8 @@ def store_rsid_read(spark, d):
 
 @query("hap_legend_read", f"{_V}, w AS (SELECT 1+(v.hap_id*37)%5000 AS pos, CAST(list_sum(bits) AS BIGINT) AS ones, hap_id FROM (SELECT vec_id AS hap_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings) v) SELECT hap_id AS rsid, pos, ones FROM w WHERE pos>=1000 AND pos<2500")
 def hap_legend_read(spark, d):
-    """Legend and haplotype lines of one chromosome, read for one region."""
-    h = haplotypes(spark, d).select("hap_id", F.expr("1+(hap_id*37)%5000").alias("pos"), "bits").orderBy("hap_id").coalesce(1)
+    """Legend and haplotype lines of one chromosome, in as many files as sorting gives, read for one region."""
+    h = haplotypes(spark, d).select("hap_id", F.expr("1+(hap_id*37)%5000").alias("pos"), "bits").orderBy("hap_id")
     a, b = scratch(spark, "chr19.legend"), scratch(spark, "chr19.hap")
     h.select(F.concat(rsid_text("hap_id"), F.lit(":x")).alias("id"), F.col("pos").alias("position"), F.lit("A").alias("a0"), F.lit("C").alias("a1")).write.csv(a, sep=" ", header=True)
     h.select(F.array_join(F.transform("bits", lambda x: x.cast("string")), " ")).write.text(b)
@@ -125,6 +125,15 @@ def bgzf_lines_of_parts(spark, d):
     return sequences.read_bgzf_lines(spark, f"{path}/*.bgz", part=1500).select("line", "value")
 
 
+@query("store_rsid_complete", f"{cte(variants=VARIANTS)} SELECT variant_id AS rsid, chrom, pos FROM variants WHERE variant_id IN (SELECT l_orderkey FROM lineitem)")
+def store_rsid_complete(spark, d):
+    """Variants of all orders that have lines, none of which may be missing from the store."""
+    path = scratch(spark, "store")
+    store.write_store(view(spark, d, VARIANTS).withColumn("rsid", F.col("variant_id")), path, files_per_chrom=1)
+    ids = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("rsid"))
+    return store.read_rsids(spark, path, ids, allow_missing=False).select("rsid", "chrom", "pos")
+
+
 @query("store_regions_read", f"{cte(variants=VARIANTS, wide=WIDE)} SELECT variant_id, v.chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM wide r WHERE v.chrom=r.chrom AND start_pos<=pos AND pos<end_pos AND r.region_id%2=0)")
 def store_regions_read(spark, d):
     """The store's rows in many regions that overlap each other."""
@@ -243,13 +252,13 @@ def hap_by_line_ranges(spark, d):
     return out.select("rsid", "chrom", G.popcount("words").alias("ones"))
 
 
-@query("fasta_bases", f"WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents) SELECT 'd' || doc_id AS name, p AS pos, substr(seq, CAST(p AS INT), 1) AS base FROM s, (SELECT unnest([1, 60, 61, 200]) AS p) WHERE p<=length(seq) AND doc_id IS NOT NULL")
+@query("fasta_bases", f"WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents) SELECT 'd' || coalesce(CAST(doc_id AS VARCHAR), '') AS name, p AS pos, substr(seq, CAST(p AS INT), 1) AS base FROM s, (SELECT unnest([1, 60, 61, 200]) AS p) WHERE p<=length(seq)")
 def fasta_bases(spark, d):
     """Single bases of every sequence, by the line that holds them."""
     seq = F.expr("translate(regexp_replace(text, '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')")
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", seq.alias("s")).where("length(s) > 0")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", seq.alias("s")).where("length(s) > 0")
     path = scratch(spark, "fa")
-    docs.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n"))).write.text(path)
+    docs.select(F.concat(F.lit(">d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" x\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n"))).write.text(path)
     lines = sequences.read_fasta_lines(spark, path)
     at = lines.where("start = 0").select("record", "name", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 60, 61, 200)])).alias("pos"))
     return sequences.bases_at(lines.drop("name"), at.select("record", "pos"), 60).join(at, ["record", "pos"]).select("name", "pos", "base")
