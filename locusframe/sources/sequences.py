@@ -67,16 +67,19 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = with_line_number(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")))
     lines = lines.withColumns({"block": F.floor(F.col("line") / 100_000), "head": F.col("value").startswith(">"), "bytes": (F.octet_length("value") + 1).cast("bigint")})
+    # lines give way to the figures that the index needs, before they are dealt by stretch
+    name, n = F.when(F.col("head"), F.regexp_extract("value", r"^>\s*(\S*)", 1)), F.when(~F.col("head"), F.length("value"))
+    lines = lines.select("path", "line", "block", "head", "bytes", name.alias("name"), n.alias("n"))
     sums = lines.groupBy("path", "block").agg(F.sum("bytes").alias("s"), F.sum(F.col("head").cast("bigint")).alias("h"))
     of_file = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     of_all = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     sums = sums.select("path", "block", F.coalesce(F.sum("s").over(of_file), F.lit(0)).alias("from_byte"), F.coalesce(F.sum("h").over(of_all), F.lit(0)).alias("from_head"))
     own = Window.partitionBy("path", "block").orderBy("line")
     at = lines.join(sums, ["path", "block"]).withColumns({"byte": F.col("from_byte") + F.sum("bytes").over(own) - F.col("bytes"), "record": F.col("from_head") + F.sum(F.col("head").cast("bigint")).over(own)})
-    n = F.when(~F.col("head"), F.length("value"))
-    some = F.when(n > 0, F.struct("line", n.alias("n")))
+    n = F.col("n")
+    some = F.when(n > 0, F.struct("line", "n"))
     first = at.groupBy("path", "record").agg(
-        F.max(F.when(F.col("head"), F.regexp_extract("value", r"^>\s*(\S*)", 1))).alias("name"),
+        F.max("name").alias("name"),
         F.min(F.when(n > 0, F.col("byte"))).alias("offset"),
         F.coalesce(F.sum(n), F.lit(0)).alias("length"),
         F.max(n).alias("width"),
