@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,8 @@ def steps(knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "c
 def interpolate(q: DataFrame, knots: DataFrame, chrom: str = "chrom", pos: str = "pos", cm: str = "cm", out: str = "map", strict: bool = False) -> DataFrame:
     """q with the map's value at each position: linear between knots of the chromosome, and beyond the ends by their last two.
 
-    Chromosomes with fewer than two knots give the knot's value on the knot itself and NULL elsewhere. strict
+    Chromosomes with fewer than two knots give the knot's value on the knot itself and NULL elsewhere. Where the last two
+    knots of an end share a position, what lies beyond has no line: NaN, or infinite if their values differ. strict
     raises for positions beyond the ends. The end knots are one row for each chromosome.
     """
     value = F.struct(F.col(pos).cast("bigint").alias("p"), F.col(cm).alias("m"))
@@ -29,7 +32,11 @@ def interpolate(q: DataFrame, knots: DataFrame, chrom: str = "chrom", pos: str =
     ends = rank.groupBy(F.col(chrom).alias("__ec")).agg(pick("__i", 1).alias("a0"), pick("__i", 2).alias("a1"), pick("__j", 2).alias("z0"), pick("__j", 1).alias("z1"))
     at = at.join(ends, F.col(chrom) == F.col("__ec"), "left")
     p = F.col(pos)
-    line = lambda a, b: F.col(f"{a}.m") + (p - F.col(f"{a}.p")) / (F.col(f"{b}.p") - F.col(f"{a}.p")) * (F.col(f"{b}.m") - F.col(f"{a}.m"))
+
+    def line(a: str, b: str) -> Column:
+        over, run = p - F.col(f"{a}.p"), F.col(f"{b}.p") - F.col(f"{a}.p")
+        return F.col(f"{a}.m") + F.when(run != 0, over / run).otherwise(over * F.lit(math.inf)) * (F.col(f"{b}.m") - F.col(f"{a}.m"))
+
     value = F.when(F.col("__prev.p") == p, F.col("__prev.m")).when(F.col("__prev").isNotNull() & F.col("__next").isNotNull(), line("__prev", "__next")).when(F.col("__prev").isNull(), line("a0", "a1")).otherwise(line("z0", "z1"))
     if strict:
         beyond = (F.col("__prev").isNull() | F.col("__next").isNull()) & ~F.coalesce(F.col("__prev.p") == p, F.lit(False))

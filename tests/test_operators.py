@@ -1,5 +1,6 @@
 """Operators against brute force on small random tables, and published golden cases."""
 
+import math
 import random
 
 import numpy as np
@@ -126,6 +127,14 @@ def test_interpolation_goldens(spark):
         M.interpolate(q, k, strict=True).collect()
 
 
+def test_interpolation_beyond_end_knots_that_share_a_position(spark):
+    k = spark.createDataFrame([(1, 10, 1.0), (1, 10, 1.0), (1, 20, 2.0), (1, 30, 3.0), (1, 30, 3.0), (2, 5, 1.0), (2, 5, 2.0)], "chrom int, pos bigint, cm double")
+    q = spark.createDataFrame([(1, p) for p in (5, 10, 15, 30, 40)] + [(2, 6)], "chrom int, pos bigint")
+    got = {(r["chrom"], r["pos"]): r["map"] for r in M.interpolate(q, k).collect()}
+    assert math.isnan(got.pop((1, 5))) and math.isnan(got.pop((1, 40))) and math.isinf(got.pop((2, 6)))
+    assert got == {(1, 10): 1.0, (1, 15): 1.5, (1, 30): 3.0}
+
+
 def test_clusters_and_disjoin_against_brute_force(spark):
     rng = random.Random(3)
     t = random_regions(rng, 150, 20_000)
