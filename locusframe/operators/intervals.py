@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .islands import running
 from .segments import segments
 
 #: Bases of a bin at each level; the last level holds all that is wider.
@@ -91,9 +92,45 @@ def with_point_span(df: DataFrame, pos: str = "pos", end: str = "pos_end") -> Da
     return df.withColumn(end, F.col(pos) + 1)
 
 
-def first_match(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False) -> DataFrame:
-    """(qid, tid): for each query the smallest matching target, NULL without one. Queries are told apart by qid."""
-    return overlap_pairs(q, qid, q_span, t, tid, t_span, within, left=True).groupBy(qid).agg(F.min(tid).alias(tid))
+def first_match(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False, rows: int | None = None) -> DataFrame:
+    """(qid, tid): for each query the smallest matching target, NULL without one. Queries are told apart by qid.
+
+    No pairs are made, so targets may overlap each other however often. A target matches if its start is at or before one
+    position of the query and its end at or after another. Distinct starts of a chromosome are numbered; the first r of
+    them are a few nodes of a binary tree, one for each bit of r, and a target is put into the nodes that hold its start.
+    Within a node, whose rows are a window of their own, a running minimum from the furthest end down answers all queries.
+    """
+    x, y = (F.col("__qs"), F.col("__qe")) if within else (F.col("__qe") - 1, F.col("__qs") + 1)
+    asked = _side(q, qid, q_span, ("__q", "__qs", "__qe"))
+    fits = F.coalesce((F.col("__qs") < F.col("__qe")) & F.col("__chrom").isNotNull(), F.lit(False))
+    asked = asked.select("__chrom", F.when(fits, x).alias("__x"), F.when(fits, y).alias("__y"), "__q", F.lit(2).alias("__kind"))
+    marks = _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
+    starts = marks.groupBy("__chrom", F.col("__ts").alias("__x")).agg(F.lit(0).alias("__kind"))
+    marks = marks.groupBy("__chrom", F.col("__ts").alias("__x"), F.col("__te").alias("__y")).agg(F.min("__t").alias("__t"), F.lit(1).alias("__kind"))
+    most = starts.groupBy("__chrom").count().agg(F.max("count")).first()[0] or 0
+    # starts come before all else at their position, so a row's number is that of distinct starts at or before it
+    both = starts.unionByName(marks, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    cut = segments(both, "__chrom", "__x", rows)
+    both = running(both.withColumn("__one", (F.col("__kind") == 0).cast("int")), "__chrom", "__x", "__kind", [], F.sum("__one"), "__r", cut, "sum").where("__kind > 0")
+    bit = lambda n, level: F.call_function("shiftright", n, level)
+    query, at = F.col("__kind") == 2, F.when(F.col("__kind") == 2, F.col("__r")).otherwise(F.col("__r") - 1)
+    wanted = F.filter(F.array(*map(F.lit, range(most.bit_length()))).cast("array<int>"), lambda level: (bit(at, level) % 2) == F.when(query & F.col("__x").isNotNull(), 1).when(query, -1).otherwise(0))
+    placed = both.select("__chrom", "__y", "__q", "__t", "__kind", at.alias("__at"), F.explode_outer(wanted).alias("__level"))
+    # a query that no node answers goes to any task
+    node = F.when(F.col("__level").isNull(), F.pmod(F.xxhash64("__q"), F.lit(4096))).when(query, bit(F.col("__at"), F.col("__level")) - 1).otherwise(bit(F.col("__at"), F.col("__level")))
+    placed = placed.select("__chrom", "__y", "__q", "__t", "__kind", F.coalesce("__level", F.lit(-1)).alias("__level"), node.alias("__node"))
+    keys, found = ["__chrom", "__level", "__node"], F.col("__up")
+    coarse = cut.every(8)
+    if coarse.bounds:  # the nodes near the root hold many rows, and are dealt by stretches of ends
+        placed = coarse.number(placed, "__chrom", "__y")
+        down = Window.partitionBy(*keys).orderBy(F.col("__seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = placed.groupBy(*keys, "__seg").agg(F.min("__t").alias("__all")).withColumn("__beyond", F.min("__all").over(down)).drop("__all").where("__beyond IS NOT NULL")
+        known = [F.col(k).alias(f"{k}_e") for k in (*keys, "__seg")]
+        placed = placed.join(ends.select(*known, "__beyond"), [F.col(k) == F.col(f"{k}_e") for k in (*keys, "__seg")], "left").drop(*[f"{k}_e" for k in (*keys, "__seg")])
+        keys, found = [*keys, "__seg"], F.least("__up", "__beyond")
+    over = Window.partitionBy(*keys).orderBy(F.col("__y").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = placed.withColumn("__up", F.min("__t").over(over)).where("__kind = 2").select(F.col("__q").alias(qid), found.alias(tid))
+    return seen.groupBy(qid).agg(F.min(tid).alias(tid))
 
 
 def flagged(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, out: str = "overlaps") -> DataFrame:
@@ -147,7 +184,7 @@ def as_of(q: DataFrame, chrom: str, pos: str, t: DataFrame, t_chrom: str, t_pos:
     up = Window.partitionBy("__chrom", "__seg").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("__chrom", "__seg").orderBy(F.col("__pos").desc()).rangeBetween(Window.unboundedPreceding, -1)
     seen = both.withColumns({"__up": F.max("__far").over(up), "__down": F.min("__mark").over(down)}).where("__row IS NOT NULL")
-    seen = seen.join(outside, (seen["__chrom"].eqNullSafe(outside["__chrom"])) & (seen["__seg"].eqNullSafe(outside["__seg"])), "left")
+    seen = seen.join(F.broadcast(outside), (seen["__chrom"].eqNullSafe(outside["__chrom"])) & (seen["__seg"].eqNullSafe(outside["__seg"])), "left")
     # a further end may come from before the segment, as ends need not be in the order of starts
     return seen.select("__row.*", F.greatest("__up", "__before").alias(prev), F.coalesce("__down", "__after").alias(next_))
 

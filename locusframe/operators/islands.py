@@ -33,7 +33,7 @@ def hull_over(df: DataFrame, chrom: str = "chrom", start: str = "start", end: st
     return _with(df, df.groupBy(chrom).agg(F.min(start).alias("hull_start"), F.max(end).alias("hull_end")), [chrom])
 
 
-def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], what: Column, name: str, cut: Segments, before: str) -> DataFrame:
+def running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], what: Column, name: str, cut: Segments, before: str) -> DataFrame:
     """df with the aggregate `what` (max or sum) of all rows before, in the order of start, end and ties."""
     df = cut.number(df, chrom, start)
     totals = df.groupBy(chrom, "__seg").agg(what.alias("__all"))
@@ -41,7 +41,7 @@ def _running(df: DataFrame, chrom: str, start: str, end: str, ties: list[str], w
     across = Window.partitionBy(chrom).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(chrom, "__seg", fold("__all").over(across).alias("__carry"))
     own = Window.partitionBy(chrom, "__seg").orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, -1 if before == "max" else 0)
-    df = _with(df, totals, [chrom, "__seg"])
+    df = _with(df, F.broadcast(totals), [chrom, "__seg"])  # a row for each segment
     inner = what.over(own)
     value = F.greatest(inner, F.col("__carry")) if before == "max" else F.coalesce(inner, F.lit(0)) + F.coalesce("__carry", F.lit(0))
     return df.withColumn(name, value).drop("__seg", "__carry")
@@ -57,9 +57,9 @@ def clusters(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str
         last = F.lag(end).over(Window.partitionBy(chrom).orderBy(start, end, *ties))
         marked = df.withColumn("__new", F.when(F.col(start) < last, 0).otherwise(1))
     else:
-        seen = _running(df, chrom, start, end, ties, F.max(end), "__end", cut, "max")
+        seen = running(df, chrom, start, end, ties, F.max(end), "__end", cut, "max")
         marked = seen.withColumn("__new", F.when(F.col(start) < F.col("__end"), 0).otherwise(1)).drop("__end")
-    return _running(marked, chrom, start, end, ties, F.sum("__new"), out, cut, "sum").drop("__new")
+    return running(marked, chrom, start, end, ties, F.sum("__new"), out, cut, "sum").drop("__new")
 
 
 def cluster_hulls(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", **how) -> DataFrame:
@@ -80,7 +80,7 @@ def union_disjoint(a: DataFrame, b: DataFrame, chrom: str = "chrom", start: str
     both = a.select(chrom, start, end).unionByName(b.select(chrom, start, end))
     if not strict:
         return both
-    seen = _running(both, chrom, start, end, [], F.max(end), "__end", segments(both, chrom, start), "max")
+    seen = running(both, chrom, start, end, [], F.max(end), "__end", segments(both, chrom, start), "max")
     bad = F.col(start) < F.col("__end")
     return seen.where(F.when(bad, F.raise_error(F.lit("regions overlap")).cast("boolean")).otherwise(True)).drop("__end")
 
@@ -90,7 +90,7 @@ def disjoin(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str
     steps = df.select(chrom, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.groupBy(chrom, F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d")).withColumn("__at_end", F.col("at"))
     cut = segments(df, chrom, start, rows)
-    deep = cut.number(_running(steps, chrom, "at", "__at_end", [], F.sum("d"), "depth", cut, "sum"), chrom, "at")
+    deep = cut.number(running(steps, chrom, "at", "__at_end", [], F.sum("d"), "depth", cut, "sum"), chrom, "at")
     firsts = deep.groupBy(chrom, "__seg").agg(F.min("at").alias("__first"))
     firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(chrom).orderBy("__seg"))).drop("__first")
     after = F.lead("at").over(Window.partitionBy(chrom, "__seg").orderBy("at"))

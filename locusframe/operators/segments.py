@@ -26,6 +26,10 @@ class Segments:
     def __init__(self, bounds: list[tuple[object, list]], kind: str, pos_kind: str):
         self.bounds, self.kind, self.pos_kind = bounds, kind, pos_kind
 
+    def every(self, n: int) -> Segments:
+        """Segments of n of these each."""
+        return Segments([(c, b[n - 1 :: n]) for c, b in self.bounds if len(b) >= n], self.kind, self.pos_kind)
+
     def number(self, df: DataFrame, chrom: str, pos: str, out: str = "__seg") -> DataFrame:
         """df with the number of each row's segment within its chromosome, from 0; a NULL position is in the first one."""
         if not self.bounds:

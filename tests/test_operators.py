@@ -43,6 +43,27 @@ def test_overlap_and_within_against_brute_force(spark, levels):
     assert inside == {(a[0], b[0]) for a in q for b in t if a[1] == b[1] and b[2] <= a[2] and a[3] <= b[3]}
 
 
+def bounded(rng, n, widest):
+    """Regions of which some are copies, empty, without a chromosome or without a bound."""
+    rows = random_regions(rng, n, widest)
+    return [*rows, *[(i + n, *r[1:]) for i, r in enumerate(rows[:20])], (900, 1, 50, 50), (901, None, 1, 10**6), (902, 1, None, 10), (903, 2, 10, None), (904, 2, 60, 40)]
+
+
+@pytest.mark.parametrize("within", [True, False])
+@pytest.mark.parametrize("rows", [3, None])
+def test_first_match_against_brute_force(spark, within, rows):
+    rng = random.Random(31)
+    q, t = bounded(rng, 120, 30_000), bounded(rng, 150, 150_000)
+    found = I.first_match(regions(spark, q, "q"), "q", SPAN, regions(spark, t, "t"), "t", SPAN, within, rows=rows)
+    sound = lambda r: None not in r and r[2] < r[3]
+    meets = lambda a, b: b[2] <= a[2] and a[3] <= b[3] if within else a[2] < b[3] and b[2] < a[3]
+    want = {a[0]: min((b[0] for b in t if sound(a) and sound(b) and a[1] == b[1] and meets(a, b)), default=None) for a in q}
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    assert "__bin" not in found._jdf.queryExecution().toString()  # no pairs of bins: their number grows with the square of copies
+    none = I.first_match(regions(spark, q, "q"), "q", SPAN, regions(spark, t[-5:], "t").where("false"), "t", SPAN, within)
+    assert none.where("t IS NULL").count() == len(q)
+
+
 def test_block_boundaries(spark):
     ends = [1, 1892607, 3582736, 4380811, 5913893, 7247335, 9365199]
     blocks = regions(spark, [(i + 1, 1, a, b) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], "block")
