@@ -133,10 +133,18 @@ def first_match(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_
     return seen.groupBy(qid).agg(F.min(tid).alias(tid))
 
 
-def flagged(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, out: str = "overlaps") -> DataFrame:
+def _reached(q: DataFrame, q_span: Span, t: DataFrame, t_span: Span, out: str, rows: int | None = None) -> DataFrame:
+    """q with whether any target overlaps the row: of those that start before its end the furthest end is beyond its start."""
+    start, end = (F.col(c).cast("bigint") for c in t_span[1:])
+    asked = q.withColumn("__before", F.col(q_span[2]).cast("bigint") - 1)
+    seen = as_of(asked, q_span[0], "__before", t.where(start < end), t_span[0], t_span[1], F.struct(start.alias("start")), "__prev", "__next", rows, F.struct(end.alias("end")))
+    hit = (F.col(q_span[1]) < F.col(q_span[2])) & (F.col("__prev.end") > F.col(q_span[1]))
+    return seen.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__before", "__prev", "__next")
+
+
+def flagged(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, out: str = "overlaps", rows: int | None = None) -> DataFrame:
     """(qid, out): whether any target overlaps the query; regions or positions (as one-base regions) on either side."""
-    found = first_match(q, qid, q_span, t.withColumn("__one", F.lit(1)), "__one", t_span)
-    return found.select(qid, F.col("__one").isNotNull().alias(out))
+    return _reached(q.select(qid, *q_span), q_span, t, t_span, "__hit", rows).select(qid, F.col("__hit").alias(out))
 
 
 def block_of(q: DataFrame, qid: str, q_span: Span, blocks: DataFrame, block: str, b_span: Span) -> DataFrame:
@@ -146,11 +154,9 @@ def block_of(q: DataFrame, qid: str, q_span: Span, blocks: DataFrame, block: str
     return found.select(qid, *[F.col(f"__block.{c}").alias(c if c == block else f"block_{c}") for c in blocks.columns])
 
 
-def overlapping(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, tid: str = "__tid", anti: bool = False) -> DataFrame:
+def overlapping(q: DataFrame, qid: str, q_span: Span, t: DataFrame, t_span: Span, anti: bool = False, rows: int | None = None) -> DataFrame:
     """q's rows that overlap any target, or none."""
-    t = t.withColumn(tid, F.lit(1)) if tid not in t.columns else t
-    hits = overlap_pairs(q, qid, q_span, t, tid, t_span).select(qid)
-    return q.join(hits, qid, "left_anti" if anti else "left_semi")
+    return _reached(q, q_span, t, t_span, "__hit", rows).where("NOT __hit" if anti else "__hit").drop("__hit")
 
 
 def annotate_sets(q: DataFrame, qid: str, q_span: Span, t: DataFrame, feature: str, t_span: Span, features: Sequence[str]) -> DataFrame:

@@ -64,6 +64,20 @@ def test_first_match_against_brute_force(spark, within, rows):
     assert none.where("t IS NULL").count() == len(q)
 
 
+@pytest.mark.parametrize("rows", [7, None])
+def test_flags_and_filters_make_no_pairs(spark, rows):
+    rng = random.Random(32)
+    q, t = bounded(rng, 120, 3_000), bounded(rng, 60, 9_000)
+    a, b = regions(spark, q, "q"), regions(spark, t, "t")
+    sound = lambda r: None not in r and r[2] < r[3]
+    want = {x[0]: any(sound(x) and sound(y) and x[1] == y[1] and x[2] < y[3] and y[2] < x[3] for y in t) for x in q}
+    flags, inside, outside = I.flagged(a, "q", SPAN, b, SPAN, rows=rows), I.overlapping(a, "q", SPAN, b, SPAN, rows=rows), I.overlapping(a, "q", SPAN, b, SPAN, anti=True, rows=rows)
+    assert dict(map(tuple, flags.collect())) == want and {True, False} == set(want.values())
+    assert sorted(r["q"] for r in inside.collect()) == sorted(k for k, v in want.items() if v) and inside.columns == a.columns
+    assert sorted(r["q"] for r in outside.collect()) == sorted(k for k, v in want.items() if not v)
+    assert not any("__bin" in df._jdf.queryExecution().toString() for df in (flags, inside, outside))
+
+
 def test_block_boundaries(spark):
     ends = [1, 1892607, 3582736, 4380811, 5913893, 7247335, 9365199]
     blocks = regions(spark, [(i + 1, 1, a, b) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], "block")
