@@ -167,7 +167,9 @@ def annotate_sets(q: DataFrame, qid: str, q_span: Span, t: DataFrame, feature: s
 
 def group_by_region(t: DataFrame, tid: str, t_span: Span, q: DataFrame, qid: str, q_span: Span) -> DataFrame:
     """(tid, qid): all queries of each target; a target without any has one row with NULL."""
-    return t.select(tid).join(overlap_pairs(t, tid, t_span, q, qid, q_span), tid, "left")
+    pairs = overlap_pairs(t, tid, t_span, q, qid, q_span)
+    alone = overlapping(t.select(tid, *t_span), tid, t_span, q, q_span, anti=True)
+    return pairs.unionByName(alone.select(tid, F.lit(None).cast(dict(pairs.dtypes)[qid]).alias(qid)))
 
 
 def as_of(q: DataFrame, chrom: str, pos: str, t: DataFrame, t_chrom: str, t_pos: str, value: Column, prev: str = "prev", next_: str = "next", rows: int | None = None, furthest: Column | None = None) -> DataFrame:

@@ -78,6 +78,13 @@ def test_flags_and_filters_make_no_pairs(spark, rows):
     assert not any("__bin" in df._jdf.queryExecution().toString() for df in (flags, inside, outside))
 
 
+def test_groups_of_regions_without_an_id_keep_their_pairs(spark):
+    t = regions(spark, [(None, 1, 1, 10), (2, 1, 5, 9), (3, 1, 50, 60), (4, None, 1, 9)], "t")
+    q = regions(spark, [(7, 1, 6, 7), (8, 1, 1, 2)], "q")
+    got = {tuple(r) for r in I.group_by_region(t, "t", SPAN, q, "q", SPAN).collect()}
+    assert got == {(None, 7), (None, 8), (2, 7), (3, None), (4, None)}
+
+
 def test_block_boundaries(spark):
     ends = [1, 1892607, 3582736, 4380811, 5913893, 7247335, 9365199]
     blocks = regions(spark, [(i + 1, 1, a, b) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], "block")
