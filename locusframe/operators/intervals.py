@@ -43,7 +43,7 @@ def used_levels(df: DataFrame, start: str, end: str, levels: Sequence[int] = LEV
     return sorted(df.agg(F.collect_set(_level(F.col(start), F.col(end), levels))).first()[0])
 
 
-def _bins(df: DataFrame, start: str, end: str, own: str, first: str, looks: dict[int, tuple[str, int]], levels: Sequence[int], outer: bool) -> DataFrame:
+def _bins(df: DataFrame, start: str, end: str, own: str, first: str, looks: dict[int, tuple[str, int]], levels: Sequence[int]) -> DataFrame:
     """df with a row for each bin that it touches at the levels it looks at: looks has, by code, whether its own level must be "at" or "upto" or "below" a level."""
     s, e, level = F.col(start), F.col(end), F.col(own)
     none = F.array().cast("array<struct<code:int,bin:bigint,first:bigint>>")
@@ -57,33 +57,33 @@ def _bins(df: DataFrame, start: str, end: str, own: str, first: str, looks: dict
 
     parts = [at_level(code, rule, at) for code, (rule, at) in looks.items()]
     every = F.concat(*parts) if parts else none
-    out = df.withColumn(own, _level(s, e, levels)).withColumn("__at", (F.explode_outer if outer else F.explode)(every))
+    out = df.withColumn(own, _level(s, e, levels)).withColumn("__at", F.explode(every))
     return out.select("*", F.col("__at.code").alias("__code"), F.col("__at.bin").alias("__bin"), F.col("__at.first").alias(first)).drop("__at", own)
 
 
-def binned_pair(q: DataFrame, t: DataFrame, q_levels: Sequence[int], t_levels: Sequence[int], levels: Sequence[int] = LEVELS, within: bool = False, outer: bool = False) -> tuple[DataFrame, DataFrame]:
+def binned_pair(q: DataFrame, t: DataFrame, q_levels: Sequence[int], t_levels: Sequence[int], levels: Sequence[int] = LEVELS, within: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides, (.., __qs, __qe) and (.., __ts, __te), with a row for each bin where they may meet."""
     up = [x for x in t_levels if any(y <= x for y in q_levels)]
     down = [] if within else [x for x in q_levels if any(y < x for y in t_levels)]
-    ql = _bins(q, "__qs", "__qe", "__qlevel", "__qfirst", {x: ("upto", x) for x in up} | {x + _FROM_QUERY: ("at", x) for x in down}, levels, outer)
-    tl = _bins(t, "__ts", "__te", "__tlevel", "__tfirst", {x: ("at", x) for x in up} | {x + _FROM_QUERY: ("below", x) for x in down}, levels, False)
+    ql = _bins(q, "__qs", "__qe", "__qlevel", "__qfirst", {x: ("upto", x) for x in up} | {x + _FROM_QUERY: ("at", x) for x in down}, levels)
+    tl = _bins(t, "__ts", "__te", "__tlevel", "__tfirst", {x: ("at", x) for x in up} | {x + _FROM_QUERY: ("below", x) for x in down}, levels)
     return ql, tl
 
 
-def overlap_pairs(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False, levels: Sequence[int] = LEVELS, left: bool = False) -> DataFrame:
+def overlap_pairs(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_span: Span, within: bool = False, levels: Sequence[int] = LEVELS) -> DataFrame:
     """(qid, tid) of all overlapping half-open regions of one chromosome; within: of queries that lie inside the target.
 
-    left: queries without a target have rows with NULL, one for each bin that was looked at, beside those of no other.
     Regions with a NULL bound or without a base match nothing.
     """
-    ql, tl = _side(q, qid, q_span, ("__q", "__qs", "__qe")), _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
-    if not left:
-        ql = ql.where("__qs < __qe AND __chrom IS NOT NULL")
-    ql, tl = binned_pair(ql, tl, used_levels(ql, "__qs", "__qe", levels), used_levels(tl, "__ts", "__te", levels), levels, within, left)
+    ql, tl = _side(q, qid, q_span, ("__q", "__qs", "__qe")).where("__qs < __qe AND __chrom IS NOT NULL"), _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
+    ql, tl = binned_pair(ql, tl, used_levels(ql, "__qs", "__qe", levels), used_levels(tl, "__ts", "__te", levels), levels, within)
     fits = (F.col("__ts") <= F.col("__qs")) & (F.col("__qe") <= F.col("__te")) if within else (F.col("__qs") < F.col("__te")) & (F.col("__ts") < F.col("__qe"))
-    a, b = ql.alias("a"), tl.alias("b")
+    spark = q.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a number of partitions, as adaptive execution would put bins together by their few bytes and not by their many pairs
+    a, b = (x.repartition(parts, "__chrom", "__code", "__bin").alias(name) for x, name in ((ql, "a"), (tl, "b")))
     same = (F.col("a.__chrom") == F.col("b.__chrom")) & (F.col("a.__code") == F.col("b.__code")) & (F.col("a.__bin") == F.col("b.__bin"))
-    pairs = a.join(b, same & fits & (F.col("a.__bin") == F.greatest("__qfirst", "__tfirst")), "left" if left else "inner")
+    pairs = a.join(b, same & fits & (F.col("a.__bin") == F.greatest("__qfirst", "__tfirst")))
     return pairs.select(F.col("__q").alias(qid), F.col("__t").alias(tid))
 
 

@@ -85,6 +85,12 @@ def test_groups_of_regions_without_an_id_keep_their_pairs(spark):
     assert got == {(None, 7), (None, 8), (2, 7), (3, None), (4, None)}
 
 
+def test_pairs_are_dealt_to_all_tasks_however_few_their_bytes(spark):
+    t = regions(spark, [(i, 1 + i % 5, 1 + i * 300, 900 + i * 300) for i in range(300)], "t").coalesce(1)
+    pairs = I.overlap_pairs(t, "t", SPAN, t.withColumnRenamed("t", "u"), "u", SPAN)
+    assert sum(n > 0 for n in pairs.rdd.glom().map(len).collect()) == 4
+
+
 def test_block_boundaries(spark):
     ends = [1, 1892607, 3582736, 4380811, 5913893, 7247335, 9365199]
     blocks = regions(spark, [(i + 1, 1, a, b) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], "block")
