@@ -38,6 +38,12 @@ def _side(df: DataFrame, key: str, span: Span, names: tuple[str, str, str]) -> D
     return df.select(F.col(key).alias(names[0]), F.col(span[0]).alias("__chrom"), F.col(span[1]).cast("bigint").alias(names[1]), F.col(span[2]).cast("bigint").alias(names[2]))
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions for rows that become many more in their task, which adaptive execution can't tell from their bytes."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def used_levels(df: DataFrame, start: str, end: str, levels: Sequence[int] = LEVELS) -> list[int]:
     """The levels that regions of df have, from one aggregate over their bounds."""
     return sorted(df.agg(F.collect_set(_level(F.col(start), F.col(end), levels))).first()[0])
@@ -78,8 +84,7 @@ def overlap_pairs(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str,
     ql, tl = _side(q, qid, q_span, ("__q", "__qs", "__qe")).where("__qs < __qe AND __chrom IS NOT NULL"), _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
     ql, tl = binned_pair(ql, tl, used_levels(ql, "__qs", "__qe", levels), used_levels(tl, "__ts", "__te", levels), levels, within)
     fits = (F.col("__ts") <= F.col("__qs")) & (F.col("__qe") <= F.col("__te")) if within else (F.col("__qs") < F.col("__te")) & (F.col("__ts") < F.col("__qe"))
-    spark = q.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = partitions(q)
     # a number of partitions, as adaptive execution would put bins together by their few bytes and not by their many pairs
     a, b = (x.repartition(parts, "__chrom", "__code", "__bin").alias(name) for x, name in ((ql, "a"), (tl, "b")))
     same = (F.col("a.__chrom") == F.col("b.__chrom")) & (F.col("a.__code") == F.col("b.__code")) & (F.col("a.__bin") == F.col("b.__bin"))
@@ -105,6 +110,7 @@ def first_match(q: DataFrame, qid: str, q_span: Span, t: DataFrame, tid: str, t_
     fits = F.coalesce((F.col("__qs") < F.col("__qe")) & F.col("__chrom").isNotNull(), F.lit(False))
     asked = asked.select("__chrom", F.when(fits, x).alias("__x"), F.when(fits, y).alias("__y"), "__q", F.lit(2).alias("__kind"))
     marks = _side(t, tid, t_span, ("__t", "__ts", "__te")).where("__ts < __te AND __chrom IS NOT NULL")
+    marks = marks.repartition(partitions(t), "__chrom", "__ts")  # a file of many small rows is one task, which would hold all its sums
     starts = marks.groupBy("__chrom", F.col("__ts").alias("__x")).agg(F.lit(0).alias("__kind"))
     marks = marks.groupBy("__chrom", F.col("__ts").alias("__x"), F.col("__te").alias("__y")).agg(F.min("__t").alias("__t"), F.lit(1).alias("__kind"))
     most = starts.groupBy("__chrom").count().agg(F.max("count")).first()[0] or 0

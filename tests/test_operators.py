@@ -78,6 +78,12 @@ def test_flags_and_filters_make_no_pairs(spark, rows):
     assert not any("__bin" in df._jdf.queryExecution().toString() for df in (flags, inside, outside))
 
 
+def test_many_small_rows_of_one_file_are_dealt_before_they_are_summed_up(spark):
+    t = regions(spark, [(i, 1, i, i + 9) for i in range(60)], "t").coalesce(1)
+    plan = I.first_match(t, "t", SPAN, t.withColumnRenamed("t", "u"), "u", SPAN)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_groups_of_regions_without_an_id_keep_their_pairs(spark):
     t = regions(spark, [(None, 1, 1, 10), (2, 1, 5, 9), (3, 1, 50, 60), (4, None, 1, 9)], "t")
     q = regions(spark, [(7, 1, 6, 7), (8, 1, 1, 2)], "q")
