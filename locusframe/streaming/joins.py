@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import match_code
-from ..operators.intervals import binned_pair, used_levels
+from ..operators.intervals import binned_pair, overlap_pairs, used_levels
+from ..operators.islands import disjoin
 
 
 def regions_of_stream(stream: DataFrame, qid: str, regions: DataFrame, rid: str, chrom: str = "chrom", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
@@ -18,6 +19,22 @@ def regions_of_stream(stream: DataFrame, qid: str, regions: DataFrame, rid: str,
     return pairs.where("__ts <= __qs AND __qs < __te").select(*stream.columns, rid)
 
 
+def pieces(regions: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """(chrom, start, end, piece): the disjoint pieces of regions, each with its start as its number on the chromosome.
+
+    A stream held against pieces writes a variant once at most, however many regions hold it; regions_of_pieces gives those.
+    """
+    sound = regions.where((F.col(start) < F.col(end)) & F.col(chrom).isNotNull())
+    return disjoin(sound, chrom, start, end).select(chrom, start, end, F.col(start).alias("piece"))
+
+
+def regions_of_pieces(found: DataFrame, parts: DataFrame, regions: DataFrame, rid: str, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """(found's columns, rid): one row for each region that holds the piece of a row."""
+    held = overlap_pairs(parts.withColumn("__piece", F.struct(chrom, "piece")), "__piece", (chrom, start, end), regions, rid, (chrom, start, end), within=True)
+    held = held.select(F.col(f"__piece.{chrom}").alias("__of"), F.col("__piece.piece").alias("__at"), rid)
+    return found.join(held, (F.col(chrom) == F.col("__of")) & (F.col("piece") == F.col("__at"))).drop("__of", "__at")
+
+
 def matches_of_stream(stream: DataFrame, panel: DataFrame, panel_id: str, on: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
     """(stream's columns, panel_id, match_code): one row for each row of the panel that a variant matches."""
     t = panel.select(*on, F.col(panel_id), F.col("ref").alias("__tr"), F.col("alt").alias("__ta"))

@@ -301,3 +301,18 @@ def test_line_numbers_are_refused_where_rows_have_no_place(spark, tmp_path):
     for df in (lines.orderBy("value"), lines.union(lines), lines.where("value > ''"), lines.join(lines.select("value"), "value"), lines.groupBy("value").count()):
         with pytest.raises(ValueError, match="line numbers as they are read"):
             text.with_line_number(df)
+
+
+def test_a_stream_writes_a_variant_once_however_many_regions_hold_it(spark, tmp_path):
+    from locusframe.streaming import joins
+
+    r = spark.createDataFrame([(i, 1, 10 + i % 3, 20 + i % 2) for i in range(30)] + [(40, 2, 5, 5), (41, None, 1, 50), (42, 2, 7, None)], "rid int, chrom int, start bigint, end bigint")
+    v = spark.createDataFrame([(i, 1 + i % 2, 5 + i % 20) for i in range(80)], "id int, chrom int, pos bigint")
+    v.write.parquet(f"{tmp_path}/in")
+    parts = joins.pieces(r)
+    out = joins.regions_of_stream(spark.readStream.schema(v.schema).parquet(f"{tmp_path}/in"), "id", parts, "piece")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    held = [(i, x) for i, c, p in v.collect() for x, d, s, e in r.collect() if c == d and e is not None and s <= p < e]
+    assert found.count() == len({i for i, _ in held}) < len(held)
+    assert sorted(map(tuple, joins.regions_of_pieces(found, parts, r, "rid").select("id", "rid").collect())) == sorted(held)
