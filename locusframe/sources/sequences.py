@@ -59,6 +59,17 @@ def bases_at(lines: DataFrame, positions: DataFrame, width: int | None = None) -
     return found.where(base != "").select("record", "pos", base.alias("base"), mask_of(base).alias("mask"))
 
 
+#: Bytes of files for each task that lines are dealt to: about a stretch of 100,000 lines of 60 bases.
+DEALT = 6_100_000
+
+
+def _tasks(spark: SparkSession, path: str) -> int:
+    """Tasks for the lines of files by their bytes; figures of lines shrink so much that adaptive execution puts millions of rows together."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return 1 + sum(fs.getContentSummary(x.getPath()).getLength() for x in fs.globStatus(hadoop) or []) // DEALT
+
+
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, record, name, offset, width, length): where the bases of each record lie, how many a line has and how many there are.
 
@@ -75,7 +86,8 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     of_all = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     sums = sums.select("path", "block", F.coalesce(F.sum("s").over(of_file), F.lit(0)).alias("from_byte"), F.coalesce(F.sum("h").over(of_all), F.lit(0)).alias("from_head"))
     own = Window.partitionBy("path", "block").orderBy("line")
-    at = lines.join(sums, ["path", "block"]).withColumns({"byte": F.col("from_byte") + F.sum("bytes").over(own) - F.col("bytes"), "record": F.col("from_head") + F.sum(F.col("head").cast("bigint")).over(own)})
+    dealt = lines.repartition(_tasks(spark, path), "path", "block")
+    at = dealt.join(sums, ["path", "block"]).withColumns({"byte": F.col("from_byte") + F.sum("bytes").over(own) - F.col("bytes"), "record": F.col("from_head") + F.sum(F.col("head").cast("bigint")).over(own)})
     n = F.col("n")
     some = F.when(n > 0, F.struct("line", "n"))
     first = at.groupBy("path", "record").agg(

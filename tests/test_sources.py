@@ -162,6 +162,18 @@ def test_fasta_index_reads_single_bytes(spark, tmp_path):
         sequences.fasta_index(spark, str(tmp_path / "bad.fa")).collect()
 
 
+def test_fasta_index_deals_lines_by_the_bytes_of_files(spark, tmp_path, monkeypatch):
+    """By bytes of shuffled figures, one task sorted the lines of nearly all stretches."""
+    for k in range(3):
+        (tmp_path / f"{k}.fa").write_text("".join(f">r{k}{i}\nACGTAC\nGT\n" for i in range(50)))
+    want = sorted(sequences.fasta_index(spark, str(tmp_path)).drop("path").collect())
+    monkeypatch.setattr(sequences, "DEALT", 100)
+    index = sequences.fasta_index(spark, f"{tmp_path}/*.fa")
+    assert sorted(index.drop("path").collect()) == want and len(want) == 150
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.fa"))
+    assert f"{1 + size // 100}), REPARTITION_BY_NUM" in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_the_ranges_asked_for_are_read(spark, tmp_path):
     path = str(tmp_path / "x.bed")
     plink.write_bed_genotypes(spark.range(1000).select(F.col("id").alias("variant_index"), F.unhex(F.lpad(F.hex("id"), 4, "0")).alias("data")), path)
