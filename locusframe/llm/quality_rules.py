@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from . import labelled
-from .texts import _BYTE, _IS_SPACE, BLOCK, PIECE, Words, _hashes, blocks
+from .texts import _BYTE, _IS_SPACE, BLOCK, PIECE, Words, _hashes, blocks, run_hashes
 from .token_ids import forget
 
 MIN_WORDS = 50
+#: Hashes of a long text that are sorted at a time, up to 256 times as many.
+SORTED = 1 << 20
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What trees see, with -1 where a higher value must not raise the score.
 FEATURES = {
@@ -44,8 +46,6 @@ _STARTS &= ~_IS_SPACE
 
 
 def _sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if len(starts) == 2:  # a sum in longs would hold 8 bytes for each
-        return np.array([np.count_nonzero(flags)])
     return np.add.reduceat(flags, starts[:-1], dtype=np.int64)  # no row is without a byte
 
 
@@ -67,28 +67,11 @@ def _last(starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _later(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """How many items of each row have an equal before them."""
-    if rows == 1:
-        h = np.sort(h)
-        return np.array([np.count_nonzero(h[1:] == h[:-1])])
-    return np.bincount(row[_repeats(h, row)[1]], minlength=rows)
-
-
 def _repeat_words(words: Words) -> np.ndarray:
     """How many words of each row lie in windows of three words that come twice or more in it."""
     n = words.counts()
     h, first = words.windows(3)
     hit = np.zeros(len(words.start) + 3, bool)
-    if len(n) == 1:  # a long text is a block of its own
-        again = np.sort(h)
-        again = np.unique(again[1:][again[1:] == again[:-1]])
-        for a in range(0, len(h) if len(again) else 0, PIECE):
-            own = h[a : a + PIECE]
-            at = a + np.flatnonzero(again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own)
-            for j in range(3):
-                hit[at + j] = True
-        return np.array([np.count_nonzero(hit)])
     rows = np.arange(len(n))
     run_row = np.repeat(rows, np.diff(first))
     twice = np.flatnonzero(_repeats(h, run_row)[0])
@@ -99,24 +82,95 @@ def _repeat_words(words: Words) -> np.ndarray:
     return np.bincount(word_row[hit[: len(word_row)]], minlength=len(n))
 
 
-def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """BASE and FEATURES of each row of a block. Beside words and lines nothing is held for each byte but the byte."""
+def _equals(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, twice, later) of the hashes of one text, flags as of _repeats, by parts that hold all equals of theirs and about SORTED hashes."""
+    parts = 1 << min(8, (len(h) // SORTED).bit_length())
+    part = h.view(np.uint8)[7::8] & np.uint8(parts - 1)
+    for i in range(parts):
+        at = np.flatnonzero(part == i)
+        yield at, *_repeats(h[at], np.broadcast_to(0, len(at)))
+
+
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in stretches of about PIECE bytes that end with white space, as its last byte is."""
+    begin = 0
+    for a in range(0, len(data), PIECE):
+        space = np.flatnonzero(_IS_SPACE[data[a : a + PIECE]])
+        if len(space):  # else a word goes on
+            yield data[begin : a + space[-1] + 1]
+            begin = a + space[-1] + 1
+
+
+def _long_dup_lines(data: np.ndarray, lines: int) -> tuple[int, int]:
+    """How many lines with a word a text has, and how many of them have an equal before them; it has `lines` lines at most."""
+    h, n, begin, spoken = np.empty(lines, np.uint64), 0, 0, 0
+    for a in range(0, len(data), PIECE):
+        own = data[a : a + PIECE]
+        before = np.concatenate(([0], np.cumsum(~_IS_SPACE[own])))
+        ends = np.flatnonzero(own == 10)
+        if a + PIECE >= len(data):
+            ends = np.append(ends, len(own) - 1)
+        if len(ends):
+            begins = np.concatenate(([begin], a + ends[:-1] + 1))
+            said = before[ends] - before[np.maximum(begins - a, 0)]
+            said[0] += spoken
+            begin, spoken = a + ends[-1] + 1, before[-1] - before[ends[-1]]
+            found = _hashes(data, begins[said > 0], a + ends[said > 0], _BYTE)
+            h[n : n + len(found)] = found
+            n += len(found)
+        else:
+            spoken += before[-1]
+    return n, sum(np.count_nonzero(later) for _, _, later in _equals(h[:n]))
+
+
+def _long_repeat_words(data: np.ndarray, n: int) -> int:
+    """As _repeat_words, of a text of n words."""
+    h, at, rest = np.empty(max(n - 2, 0), np.uint64), 0, np.zeros(0, np.uint64)
+    for piece in _pieces(data):
+        words = np.concatenate((rest, Words(piece, np.array([0, len(piece)]), lower=False).hash))
+        found = run_hashes(words, 3)
+        h[at : at + len(found)] = found
+        at, rest = at + len(found), words[-2:]
+    hit = np.zeros(n, bool)
+    for places, twice, _ in _equals(h):
+        for j in range(3):
+            hit[places[twice] + j] = True
+    return np.count_nonzero(hit)
+
+
+def _long_counts(data: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """As _counts, of one long text, by stretches. Beside the text, 10 bytes are held for each word, or 9 for each line."""
+    of_byte, n, inside = np.zeros(256, np.int64), 0, False
+    for a in range(0, len(data), PIECE):
+        own = data[a : a + PIECE]
+        of_byte += np.bincount(own, minlength=256)
+        word = np.concatenate(([inside], ~_IS_SPACE[own]))
+        n, inside = n + np.count_nonzero(word[1:] > word[:-1]), word[-1]
+    lines, dup_lines = _long_dup_lines(data, int(of_byte[10]) + 1)
+    one = lambda x: np.array([x])
+    out = {"n_words": one(n), "word_chars": one(of_byte[_STARTS].sum()), "n_symbols": one(of_byte[_SYMBOL].sum()), "n_dup_lines": one(dup_lines), "n_repeat_words": one(_long_repeat_words(data, n))}
+    return out, one(lines), {k: one(of_byte[v].sum()) for k, v in _KINDS.items()}
+
+
+def _counts(data: np.ndarray, starts: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """BASE, the number of lines with a word, and the numbers of bytes of each of _KINDS, of each row of a block."""
     words = Words(data, starts, lower=False)
-    n = words.counts()
-    out = {"n_words": n, "word_chars": _sums(_STARTS[data], starts), "n_symbols": _sums(_SYMBOL[data], starts)}
-
+    out = {"n_words": words.counts(), "word_chars": _sums(_STARTS[data], starts), "n_symbols": _sums(_SYMBOL[data], starts)}
     ends = np.flatnonzero((data == 10) | _last(starts))
     begins = np.concatenate(([0], ends[:-1] + 1))
     spoken = np.searchsorted(words.start, ends) > np.searchsorted(words.start, begins)
     begins, ends = begins[spoken], ends[spoken]
-    line_row = np.searchsorted(starts, begins, "right") - 1 if len(n) > 1 else np.broadcast_to(0, len(begins))
-    out["n_dup_lines"] = _later(_hashes(data, begins, ends, _BYTE), line_row, len(n))
-    lines = np.bincount(line_row, minlength=len(n)) if len(n) > 1 else np.array([len(begins)])
-    del begins, ends, spoken, line_row
+    line_row = np.searchsorted(starts, begins, "right") - 1
+    rows = len(starts) - 1
+    out["n_dup_lines"] = np.bincount(line_row[_repeats(_hashes(data, begins, ends, _BYTE), line_row)[1]], minlength=rows)
     out["n_repeat_words"] = _repeat_words(words)
-    del words
+    return out, np.bincount(line_row, minlength=rows), {k: _sums(v[data], starts) for k, v in _KINDS.items()}
+
 
-    kinds = {k: _sums(v[data], starts) for k, v in _KINDS.items()}
+def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """BASE and FEATURES of each row of a block. A text longer than BLOCK is a block of its own and is read in stretches."""
+    out, lines, kinds = _long_counts(data) if len(starts) == 2 and len(data) > BLOCK else _counts(data, starts)
+    n = out["n_words"]
     some = np.maximum(n, 1)
     chars = np.maximum(out["word_chars"], 1)
     out |= {

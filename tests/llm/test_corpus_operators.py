@@ -177,6 +177,29 @@ def test_rules_on_a_very_long_text():
     assert all(v[0] == both[k][1] for k, v in alone.items()) and alone["n_dup_lines"][0] == 1
 
 
+def test_rules_hold_few_bytes_for_each_byte_of_a_long_text():
+    text = " ".join(str(i % 2_500_000) + "\n" * (i % 30 == 0) for i in range(4_000_000))
+    (_, data, starts), = texts.blocks(pa.array([text]))
+    tracemalloc.start()
+    quality_rules.statistics(data, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(data)
+
+
+def test_rules_on_odd_long_texts():
+    rng = random.Random(7)
+    long = 1 << 20
+    odd = ["a b c d a b c", "a\n\na\n", "x" * long, " " * long, "\n" * long, "a\n" * (long // 2), "a b " * (long // 4), "x" * long + " y z" * 9, ("w" * 200_000 + "\n") * 7, " " * 300_000 + "\nq\n" + " " * 300_000 + "q\n", "é ü\x00 " * (long // 6)]
+    odd += ["".join(rng.choice("ab |#\n\t,A7é") for _ in range(rng.randrange(600_000, 900_000))) for _ in range(3)]
+    for text in odd:
+        (_, data, starts), = texts.blocks(pa.array([text]))
+        alone = quality_rules.statistics(data, starts)
+        assert tuple(alone[c][0] for c in quality_rules.BASE) == plain_statistics(text)
+        both = quality_rules.statistics(*next(texts.blocks(pa.array(["a b", text]), 1 << 30))[1:])
+        assert all(v.dtype == both[k].dtype and v[0] == both[k][1] for k, v in alone.items())
+
+
 def test_rules_learn_without_a_shuffle_of_texts(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
     taken = []
