@@ -342,6 +342,18 @@ def test_all_pairs_of_a_block_come_from_tiles_and_not_from_a_join(spark):
         assert "FlatMapGroupsInArrow" in plan and "REPARTITION_BY_NUM" in plan and plan.count("Join") == 1  # with the numbers of tiles
 
 
+def test_a_variant_is_sent_to_as_many_tasks_whatever_its_block(spark):
+    """It was sent to a task for each tile of its block, so what is shuffled grew with the square of the block."""
+    for n, tile, tasks in ((600, 1, 19), (200, 4, 16), (20, 2, 10)):  # 19: parts hold 32 tiles at most
+        ids = [i // 2 if i < 60 else i for i in range(n)]  # some keys come twice, also across the tiles of a part
+        df = spark.createDataFrame([(i, [i * 977]) for i in ids], "id bigint, words array<bigint>").selectExpr("1 AS block", "*")
+        out = L.pair_covariance(df, "block", "id", "words", 64, correlation=False, tile=tile)
+        dealt = out._jdf.queryExecution().analyzed().child()
+        assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, dealt).count() == n * tasks
+        if tile > 1:
+            assert sorted((r["i"], r["j"]) for r in out.select("i", "j").collect()) == sorted((a, b) for a in ids for b in ids if a <= b)
+
+
 def test_panel_correlations_of_missing_dosages(spark):
     rows = [(1, 0, [0, 1, 2, None]), (1, 1, [2, None, 0, 1]), (1, 2, [1, 1, 1, 1]), (1, 3, [None, None, None, 2]), (1, 4, [0, 2, 2, 1]), (2, 5, [0, 1, 2, 0])]
     df = spark.createDataFrame(rows, "chrom int, id long, dosages array<int>")
