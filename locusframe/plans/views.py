@@ -79,13 +79,13 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(snp_id, dosages): three thresholds of an embedding; values near 0 in every fifth vector are missing.
+    """(snp_id, dosages): three thresholds of an embedding; values near 0 in every fifth vector are missing. Vectors without any value have no row.
 
     Thresholds are of the values' own type, as in SQL: the float next to -0.1 isn't below it, though as a double it is.
     """
     from pyspark.sql import functions as F
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) > 0")
     kind = e.schema["embedding"].dataType.elementType
     of = lambda x: F.lit(x).cast(kind)
     d = F.transform("embedding", lambda x: F.when((F.col("vec_id") % 5 == 0) & (F.abs(x) < of(0.02)), F.lit(None)).when(x < of(-0.1), 0).when(x < of(0.1), 1).otherwise(2))
